@@ -119,17 +119,20 @@ def upsert_catalog(catalog: DataFrame, files: DataFrame, now: Column | None = No
     return _merge(one_per_path(files), catalog, F.lit(True), now).drop("_write", "_seen")
 
 
-def scan_merge(catalog: DataFrame, files: DataFrame, now: Column | None = None) -> DataFrame:
+def scan_merge(
+    catalog: DataFrame, files: DataFrame, now: Column | None = None, incremental: bool = True
+) -> DataFrame:
     """Change detection and upsert in one join on path: unchanged files keep their old row.
 
-    ``_write`` marks the rows that are new or changed, ``_seen`` those the listing held.
+    ``_write`` marks the rows that are new or changed, ``_seen`` those the listing held. Without
+    ``incremental`` every listed file is written.
     """
     same = (
         F.col("_old").isNotNull()
         & F.coalesce(F.coalesce("_old_last_modified", F.lit(0.0)) == F.col("_new_last_modified"), F.lit(False))
         & F.coalesce(F.coalesce("_old_size", F.lit(0)) == F.col("_new_size"), F.lit(False))
     )
-    return _merge(one_per_path(files), catalog, ~same, now)
+    return _merge(one_per_path(files), catalog, ~same if incremental else F.lit(True), now)
 
 
 def scan_stats(files: DataFrame, elapsed_seconds: float | None = None) -> DataFrame:
