@@ -46,10 +46,11 @@ def exclude_globs(files: DataFrame, globs: list[str]) -> DataFrame:
 
 
 def regular_files(listing: DataFrame) -> DataFrame:
-    """Regular files only; links are not followed."""
-    return listing.filter(
-        ~F.coalesce(F.col("is_symlink"), F.lit(False)) & ~F.coalesce(F.col("is_directory"), F.lit(False))
-    )
+    """Regular files only; links are not followed. A listing without the marks holds files only."""
+    for mark in ("is_symlink", "is_directory"):
+        if mark in listing.columns:
+            listing = listing.filter(~F.coalesce(F.col(mark), F.lit(False)))
+    return listing
 
 
 def min_size(files: DataFrame, bytes_: int) -> DataFrame:

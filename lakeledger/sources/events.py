@@ -21,4 +21,6 @@ def parse_events(raw: DataFrame, value: str = "value") -> DataFrame:
 
 def files_only(events: DataFrame) -> DataFrame:
     """Drop directory events (an event without the mark counts as a file event)."""
+    if "is_directory" not in events.columns:
+        return events
     return events.filter(~F.coalesce(F.col("is_directory"), F.lit(False)))
