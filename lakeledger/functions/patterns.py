@@ -17,6 +17,11 @@ def _literal(ch: str) -> str:
     return "\\" + ch if ch in _SPECIAL else ch
 
 
+def literal(text: str) -> str:
+    """A regex that matches the text itself."""
+    return "".join(map(_literal, text))
+
+
 def _char_class(body: str) -> str:
     negated = body.startswith("!")
     if negated:
@@ -110,9 +115,10 @@ def python_compiles(pattern: str) -> bool:
 def java_compiles(spark: SparkSession, pattern: str) -> bool:
     """Whether the JVM accepts the translated pattern (asked of the driver's JVM)."""
     from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
 
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(java_regex(pattern))
         return True
-    except Py4JError:
+    except (Py4JError, PySparkException):
         return False

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import PROTECTED_UNIX
-from ..functions.patterns import glob_match
+from ..functions.patterns import glob_match, literal
 from ..functions.paths import _col, normalize_path
 
 
@@ -27,9 +27,15 @@ def has_prefix(path: Column | str, prefix: str) -> Column:
 
 
 def is_protected(path: Column | str, protected: list[str] = PROTECTED_UNIX, separator: str = "/") -> Column:
-    """Equal to, or below, a protected directory; Unix paths are made absolute first."""
+    """Equal to, or below, a protected directory; Unix paths are made absolute first.
+
+    One pattern for all directories, so that the path is made absolute once per row.
+    """
+    if not protected:
+        return F.lit(False)
     path = normalize_path(path) if separator == "/" else _col(path)
-    return _any([is_under(path, p, separator) for p in protected])
+    either = "|".join(literal(p) for p in protected)
+    return path.rlike(rf"\A(?:{either})(?:{literal(separator)}|\z)")
 
 
 def not_protected(files: DataFrame, protected: list[str] = PROTECTED_UNIX, separator: str = "/") -> DataFrame:

@@ -40,7 +40,8 @@ def numbered_parents(name: Column) -> Column:
         fits = (slot != "") & (suffix(base) == tail)
         pairs.append(F.when(fits, F.struct(base.alias("base"), F.try_to_number(slot, F.lit("999")).cast("int")
                                            .alias("slot"))))
-    return F.array_compact(F.array(*pairs))
+    nothing = F.array().cast("array<struct<base: string, slot: int>>")
+    return F.when(name.contains("_("), F.array_compact(F.array(*pairs))).otherwise(nothing)
 
 
 def slots_of(names: DataFrame) -> DataFrame:
@@ -183,10 +184,14 @@ def _settle(ranked: DataFrame, names: DataFrame, occupied: DataFrame) -> DataFra
     solved = cut_lineage(_solve(bases, edges, None))
     takes = _takes(solved)
     # a numbered name that is a base itself, or has two bases, hands its answer on
-    deep = edges.join(edges.select("dest_dir", F.col("base").alias("child")).distinct(), ["dest_dir", "child"],
-                      "left_semi")
-    double = edges.groupBy("dest_dir", "child").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    if not (deep.isEmpty() and double.isEmpty()):
+    roles = (
+        edges.select("dest_dir", F.col("child").alias("name"), F.lit(1).alias("as_child"), F.lit(0).alias("as_base"))
+        .unionByName(edges.select("dest_dir", F.col("base").alias("name"), F.lit(0).alias("as_child"),
+                                  F.lit(1).alias("as_base")).distinct())
+        .groupBy(*KEY).agg(F.sum("as_child").alias("as_child"), F.max("as_base").alias("as_base"))
+    )
+    hands_on = roles.filter((F.col("as_child") > 1) | ((F.col("as_child") > 0) & (F.col("as_base") > 0)))
+    if not hands_on.isEmpty():
         while True:
             again = cut_lineage(_solve(bases, edges, takes))
             new_takes = _takes(again)
@@ -210,7 +215,7 @@ def assign_numbers(rows: DataFrame, existing: DataFrame, salts: int = SALTS) ->
         ranked.filter((F.col("_part") == 0) & (F.col("_rank") == 1)).select(*KEY, F.col("id").alias("first_id"))
     )
     occupied = cut_lineage(
-        slots_of(existing.select(*KEY).distinct())
+        slots_of(existing.select(*KEY))
         .drop("name").withColumnRenamed("base", "name")
         .join(names.select(*KEY), KEY, "left_semi")
         .select(*KEY, "slot").distinct()
@@ -237,7 +242,7 @@ def first_free_number(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Add ``number`` to each row by the existing files alone, as if it were the only arrival."""
     wanted = rows.select(*KEY).distinct()
     blocked = (
-        slots_of(existing.select(*KEY).distinct())
+        slots_of(existing.select(*KEY))
         .drop("name").withColumnRenamed("base", "name")
         .join(wanted, KEY, "left_semi")
         .groupBy(*KEY)

@@ -340,7 +340,7 @@ def dup_stage1(spark, sf):
 
 @query
 def dup_stage2(spark, sf):
-    return D.dup_stage2(_hashed(spark, sf)).select("id", "path", "size", "head_hash")
+    return D.dup_stage2(D.write_hashes(_hashed(spark, sf))).select("id", "path", "size", "head_hash")
 
 
 @query

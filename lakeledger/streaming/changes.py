@@ -20,25 +20,26 @@ def last_event_per_path(events: DataFrame) -> DataFrame:
 
 
 def resolve_moves(moves: DataFrame) -> DataFrame:
-    """(path, final_path): moves with chains followed to their end.
+    """(path, final_path, arrived): moves with chains followed to their end, and the time of the last hop.
 
     A file moved a to b, then b to c, ends at c: the paths jump twice as far every round, so a chain of
-    n moves takes about log2(n) joins on path. A second hop must be later than the first.
+    n moves takes about log2(n) joins on path. A next hop must start later than the last one ended.
     """
-    hops = cut_lineage(moves.select("path", F.col("dest_path").alias("final_path"), F.col("ts").alias("_at")))
+    hops = cut_lineage(moves.select("path", F.col("dest_path").alias("final_path"), F.col("ts").alias("left"),
+                                    F.col("ts").alias("arrived")))
     while True:
-        following = hops.select(F.col("path").alias("final_path"), F.col("final_path").alias("_next"),
-                                F.col("_at").alias("_next_at"))
-        longer = hops.join(following, "final_path", "left").select(
-            "path",
-            F.when(F.col("_next_at") > F.col("_at"), F.col("_next")).otherwise(F.col("final_path")).alias("final_path"),
-            F.greatest("_at", "_next_at").alias("_at"),
-            (F.coalesce(F.col("_next_at") > F.col("_at"), F.lit(False))).alias("_jumped"),
-        )
-        longer = cut_lineage(longer)
+        onward = hops.select(F.col("path").alias("final_path"), F.col("final_path").alias("_next"),
+                             F.col("left").alias("_left"), F.col("arrived").alias("_arrived"))
+        jumps = F.coalesce(F.col("_left") > F.col("arrived"), F.lit(False))
+        longer = cut_lineage(hops.join(onward, "final_path", "left").select(
+            "path", "left",
+            F.when(jumps, F.col("_next")).otherwise(F.col("final_path")).alias("final_path"),
+            F.when(jumps, F.col("_arrived")).otherwise(F.col("arrived")).alias("arrived"),
+            jumps.alias("_jumped"),
+        ))
         hops = longer.drop("_jumped")
         if longer.filter("_jumped").isEmpty():
-            return hops.select("path", "final_path")
+            return hops.select("path", "final_path", "arrived")
 
 
 def apply_events(catalog: DataFrame, events: DataFrame) -> DataFrame:
@@ -48,14 +49,10 @@ def apply_events(catalog: DataFrame, events: DataFrame) -> DataFrame:
     A file that arrives on a path replaces the row that was there; of several arrivals the last stands.
     A created path gets size and mtime with the next scan.
     """
-    last = last_event_per_path(events)
+    last = cut_lineage(last_event_per_path(events))
     moves = resolve_moves(last.filter((F.col("kind") == "moved") & F.col("dest_path").isNotNull()))
-    order = F.struct("ts", "event_id")
-    arrivals = (
-        last.filter(F.col("kind") == "moved")
-        .join(moves, "path")
-        .groupBy("final_path")
-        .agg(F.max_by("path", order).alias("_from"), F.max(F.col("ts")).alias("_ts"))
+    arrivals = moves.groupBy("final_path").agg(
+        F.max_by("path", F.struct("arrived", "path")).alias("_from"), F.max("arrived").alias("_ts")
     )
     gone = last.select("path", "kind", F.col("ts").alias("_event_ts"))
     # rows that stay where they are: not deleted, not moved away, nothing moved onto them later
