@@ -8,6 +8,7 @@ from ..functions.paths import ancestors, base_name, dir_name, extension
 from ..functions.scalars import rate
 from .classify import default_category
 from .filters import is_protected
+from .skew import join_by_key
 
 RECORD = ["name", "extension", "size", "category", "last_modified"]
 
@@ -186,7 +187,7 @@ def session_files(files: DataFrame, sessions: DataFrame) -> DataFrame:
     """Files with the status and roots of their session; orphans stay with nulls."""
     known = sessions.select(F.col("id").alias("scan_session_id"), F.col("status").alias("session_status"),
                             "root_path")
-    return files.join(known, "scan_session_id", "left")
+    return join_by_key(files, known, ["scan_session_id"], "left")
 
 
 def drop_session(files: DataFrame, sessions: DataFrame, session_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -195,7 +196,7 @@ def drop_session(files: DataFrame, sessions: DataFrame, session_ids: DataFrame)
     ``session_ids`` has one column ``id``. Gives (files, sessions).
     """
     gone = session_ids.select(F.col("id").alias("scan_session_id")).distinct().withColumn("_gone", F.lit(True))
-    kept = files.join(gone, "scan_session_id", "left").select(
+    kept = join_by_key(files, gone, ["scan_session_id"], "left").select(
         *[F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == "scan_session_id" else F.col(c)
           for c in files.columns]
     )

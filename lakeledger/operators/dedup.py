@@ -2,7 +2,8 @@
 
 Content is read in one narrow pass and never shuffled: only sizes, digests, ids and paths move.
 Group sizes come from partial aggregates, so a size or a content that a third of all files share is
-counted map-side; members are numbered slice by slice (see ``ranking``).
+counted map-side; its rows are spread over salts in joins (see ``skew``) and numbered slice by slice
+(see ``ranking``).
 """
 
 from __future__ import annotations
@@ -16,15 +17,13 @@ from ..session import cut_lineage
 from ..sources.content import hash_paths
 from .filters import min_size
 from .ranking import ROWS_PER_BUCKET, number_rows
+from .skew import HOT_ROWS, join_by_key
 
 
-def repeated(files: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key occurs more than once.
-
-    The semi join's right side has one row per key, so AQE can cut a hot key's left side into pieces.
-    """
-    counts = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")
-    return files.join(counts, keys, "left_semi")
+def repeated(files: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows whose key occurs more than once; files of a hot key are spread by their path."""
+    counts = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)
+    return join_by_key(files, counts, keys, "left_semi", "_rows", "path", hot_rows)
 
 
 def dup_stage1(files: DataFrame, min_bytes: int = MIN_HASH_BYTES) -> DataFrame:
@@ -93,7 +92,10 @@ def duplicate_groups(hashed: DataFrame, min_bytes: int = MIN_HASH_BYTES) -> Data
 
 
 def dup_members(
-    hashed: DataFrame, min_bytes: int = MIN_HASH_BYTES, per_bucket: int = ROWS_PER_BUCKET
+    hashed: DataFrame,
+    min_bytes: int = MIN_HASH_BYTES,
+    per_bucket: int = ROWS_PER_BUCKET,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per file of every duplicate group, numbered by id, with its KEEP / COPY label.
 
@@ -103,7 +105,8 @@ def dup_members(
     groups = duplicate_groups(hashed, min_bytes).select(
         F.col("fingerprint").alias("hash"), "size", F.col("n_files").alias("n"), "first", "last"
     )
-    members = _hashed(hashed, min_bytes).select("id", "path", "size", "hash").join(groups, ["size", "hash"])
+    files = _hashed(hashed, min_bytes).select("id", "path", "size", "hash")
+    members = join_by_key(files, groups, ["size", "hash"], "inner", "n", hot_rows=hot_rows)
     ranked = number_rows(members, ["size", "hash"], "id", "rank", per_bucket)
     return ranked.select(
         F.col("hash").alias("fingerprint"), "size", "id", "path", "rank", F.col("n").alias("n_files"),

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..constants import MAX_COLLISIONS
 from ..functions.paths import suffix
 from ..session import cut_lineage
+from .skew import join_by_key
 
 SLOTS = MAX_COLLISIONS + 1
 SALTS = 1024
@@ -240,16 +241,17 @@ def assign_numbers(rows: DataFrame, existing: DataFrame, salts: int = SALTS) ->
 
 def first_free_number(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Add ``number`` to each row by the existing files alone, as if it were the only arrival."""
-    wanted = rows.select(*KEY).distinct()
+    wanted = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_rows"))
+    slots = F.sequence(F.lit(0), F.lit(MAX_COLLISIONS))
     blocked = (
         slots_of(existing.select(*KEY))
         .drop("name").withColumnRenamed("base", "name")
-        .join(wanted, KEY, "left_semi")
+        .join(wanted, KEY)
         .groupBy(*KEY)
-        .agg(F.collect_set("slot").alias("_blocked"))
-        .select(*KEY, F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(MAX_COLLISIONS)), F.col("_blocked")))
-                .alias("_free"), F.lit(True).alias("_seen"))
+        .agg(F.max("_rows").alias("_rows"), F.collect_set("slot").alias("_blocked"))
+        .select(*KEY, "_rows", F.array_min(F.array_except(slots, F.col("_blocked"))).alias("_free"),
+                F.lit(True).alias("_seen"))
     )
-    return rows.join(blocked, KEY, "left").withColumn(
+    return join_by_key(rows, blocked, KEY, "left", "_rows").withColumn(
         "number", F.when(F.col("_seen").isNull(), F.lit(0)).otherwise(F.col("_free"))
     ).select(*rows.columns, "number")

@@ -31,20 +31,17 @@ def plan_undo(candidates: DataFrame, listing: DataFrame) -> DataFrame:
     takes a place another file of the batch returns to.
     """
     there = listing.select("path").distinct()
-    rows = (
-        candidates.join(there.select(F.col("path").alias("current_path"), F.lit(True).alias("_found")),
-                        "current_path", "left")
-        .join(there.select(F.col("path").alias("original_path"), F.lit(True).alias("_occupied")),
-              "original_path", "left")
-    )
-    rows = cut_lineage(rows.select("log_id", "original_path", "current_path",
-                                   F.col("_found").isNotNull().alias("_found"),
-                                   F.col("_occupied").isNotNull().alias("_occupied")))
-    # the claim is joined back by log id, which is unique, not by path
+    found = there.select(F.col("path").alias("current_path"), F.lit(True).alias("_found"))
+    rows = candidates.join(found, "current_path", "left").select(
+        "log_id", "original_path", "current_path", F.col("_found").isNotNull().alias("_found"))
+    rows = cut_lineage(rows)
+    # one claim per path, however many logs name it; only claims are looked up in the listing, and they are
+    # joined back by log id
     first = (
-        rows.filter(F.col("_found") & ~F.col("_occupied"))
+        rows.filter("_found")
         .groupBy("original_path")
         .agg(F.min("log_id").alias("log_id"))
+        .join(there.withColumnRenamed("path", "original_path"), "original_path", "left_anti")
         .select("log_id", F.lit(True).alias("_first"))
     )
     claimed = rows.join(first, "log_id", "left").withColumn("_first", F.col("_first").isNotNull())
