@@ -30,7 +30,10 @@ def save_table(df: DataFrame, path: str, mode: str = "append", partition_by: lis
 
 
 def save_catalog(df: DataFrame, table: str, buckets: int) -> None:
-    """Save a snapshot bucketed and sorted by path: later joins on path do not shuffle this side."""
+    """Save a snapshot bucketed and sorted by path: later joins on path do not shuffle this side.
+
+    Take as many buckets as the session has shuffle partitions.
+    """
     df.write.mode("overwrite").bucketBy(buckets, "path").sortBy("path").saveAsTable(table)
 
 

@@ -50,7 +50,11 @@ def apply_events(catalog: DataFrame, events: DataFrame) -> DataFrame:
     A created path gets size and mtime with the next scan.
     """
     last = cut_lineage(last_event_per_path(events))
-    moves = resolve_moves(last.filter((F.col("kind") == "moved") & F.col("dest_path").isNotNull()))
+    hops = last.filter((F.col("kind") == "moved") & F.col("dest_path").isNotNull())
+    # what left a path after something had come to it is that something: its own chain covers the hop
+    reached = hops.groupBy(F.col("dest_path").alias("path")).agg(F.min("ts").alias("_reached"))
+    starts = hops.join(reached, "path", "left").filter(F.col("_reached").isNull() | (F.col("_reached") >= F.col("ts")))
+    moves = resolve_moves(hops).join(starts.select("path"), "path", "left_semi")
     arrivals = moves.groupBy("final_path").agg(
         F.max_by("path", F.struct("arrived", "path")).alias("_from"), F.max("arrived").alias("_ts")
     )
