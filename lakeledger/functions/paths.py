@@ -11,7 +11,11 @@ def _col(value: Column | str) -> Column:
 
 def suffix(name: Column | str) -> Column:
     """Last suffix with its case kept; '' for dotfiles, names without a dot, and a trailing dot."""
-    return F.regexp_extract(_col(name), r"(?s)\A.+(\.[^.]+)\z", 1)
+    name = _col(name)
+    last = F.substring_index(name, ".", -1)
+    # nothing before the dot, or no dot at all: ``last`` lacks at most one character of the name
+    return F.when((last == "") | (F.length(last) >= F.length(name) - 1), F.lit("")).otherwise(
+        F.concat(F.lit("."), last))
 
 
 def extension(name: Column | str) -> Column:
@@ -32,8 +36,9 @@ def base_name(path: Column | str) -> Column:
 
 def dir_name(path: Column | str) -> Column:
     """Part before the last slash; '/' for a file right below the root, '' without a slash."""
-    head = F.regexp_extract(_col(path), r"(?s)\A(.*)/[^/]*\z", 1)
-    return F.when((head == "") & _col(path).startswith("/"), F.lit("/")).otherwise(head)
+    path = _col(path)
+    head = F.length(path) - F.length(base_name(path))
+    return F.when(head == 1, F.lit("/")).otherwise(F.substring(path, F.lit(1), F.greatest(head - 1, F.lit(0))))
 
 
 def join_path(*parts: Column | str) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import PROTECTED_UNIX
 from ..functions.patterns import glob_match, literal
-from ..functions.paths import _col, normalize_path
+from ..functions.paths import _col, ancestors, dir_name, normalize_path
+from .skew import join_by_key
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -42,6 +43,24 @@ def not_protected(files: DataFrame, protected: list[str] = PROTECTED_UNIX, separ
     return files.filter(~is_protected("path", protected, separator))
 
 
+def not_below(files: DataFrame, directories: DataFrame) -> DataFrame:
+    """Files that neither are, nor lie below, one of many directories (``directories`` has one column ``path``).
+
+    The test runs on the distinct parent directories of the files, expanded to their ancestors; the files
+    themselves meet only the result, a crowded directory in pieces.
+    """
+    listed = directories.select(F.col("path").alias("_above")).distinct()
+    parents = files.select(dir_name("path").alias("_dir")).distinct()
+    below = (
+        parents.select("_dir", F.explode(ancestors("_dir")).alias("_above"))
+        .join(listed, "_above", "left_semi")
+        .select("_dir")
+        .distinct()
+    )
+    kept = join_by_key(files.withColumn("_dir", dir_name("path")), below, ["_dir"], "left_anti", spread="path")
+    return kept.join(listed.withColumnRenamed("_above", "path"), "path", "left_anti").select(*files.columns)
+
+
 def exclude_prefixes(files: DataFrame, prefixes: list[str]) -> DataFrame:
     return files.filter(~_any([has_prefix("path", p) for p in prefixes]))
 

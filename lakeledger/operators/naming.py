@@ -27,6 +27,7 @@ from .skew import join_by_key
 
 SLOTS = MAX_COLLISIONS + 1
 SALTS = 1024
+MAX_FOLDERS = 1000
 KEY = ["dest_dir", "name"]
 
 
@@ -205,6 +206,12 @@ def _settle(ranked: DataFrame, names: DataFrame, occupied: DataFrame) -> DataFra
     return missed.unionByName(gone)
 
 
+def _in_folders(existing: DataFrame, names: DataFrame) -> DataFrame:
+    """The existing files of the target folders, filtered in the scan where those are few enough to list."""
+    folders = [r["dest_dir"] for r in names.select("dest_dir").distinct().limit(MAX_FOLDERS + 1).collect()]
+    return existing.filter(F.col("dest_dir").isin(folders)) if len(folders) <= MAX_FOLDERS else existing
+
+
 def assign_numbers(rows: DataFrame, existing: DataFrame, salts: int = SALTS) -> DataFrame:
     """Add ``number`` to rows of (id, dest_dir, name, ...): 0 for the plain name, null where all are taken.
 
@@ -216,7 +223,7 @@ def assign_numbers(rows: DataFrame, existing: DataFrame, salts: int = SALTS) ->
         ranked.filter((F.col("_part") == 0) & (F.col("_rank") == 1)).select(*KEY, F.col("id").alias("first_id"))
     )
     occupied = cut_lineage(
-        slots_of(existing.select(*KEY))
+        slots_of(_in_folders(existing.select(*KEY), names))
         .drop("name").withColumnRenamed("base", "name")
         .join(names.select(*KEY), KEY, "left_semi")
         .select(*KEY, "slot").distinct()

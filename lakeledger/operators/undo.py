@@ -34,7 +34,6 @@ def plan_undo(candidates: DataFrame, listing: DataFrame) -> DataFrame:
     found = there.select(F.col("path").alias("current_path"), F.lit(True).alias("_found"))
     rows = candidates.join(found, "current_path", "left").select(
         "log_id", "original_path", "current_path", F.col("_found").isNotNull().alias("_found"))
-    rows = cut_lineage(rows)
     # one claim per path, however many logs name it; only claims are looked up in the listing, and they are
     # joined back by log id
     first = (
@@ -44,13 +43,13 @@ def plan_undo(candidates: DataFrame, listing: DataFrame) -> DataFrame:
         .join(there.withColumnRenamed("path", "original_path"), "original_path", "left_anti")
         .select("log_id", F.lit(True).alias("_first"))
     )
-    claimed = rows.join(first, "log_id", "left").withColumn("_first", F.col("_first").isNotNull())
+    claimed = cut_lineage(rows.join(first, "log_id", "left").withColumn("_first", F.col("_first").isNotNull()))
     restored = claimed.filter("_first").withColumn("target", F.col("original_path"))
     others = claimed.filter(F.col("_found") & ~F.col("_first")).select(
         F.col("log_id").alias("id"), "original_path", "current_path",
         dir_name("original_path").alias("dest_dir"), base_name("current_path").alias("name"),
     )
-    taken = folder_entries(there).unionByName(folder_entries(restored, "original_path"))
+    taken = folder_entries(listing.select("path")).unionByName(folder_entries(restored, "original_path"))
     variant = numbered_name(stem("name"), F.col("number"), suffix("name"))
     renamed = assign_numbers(others, taken).select(
         F.col("id").alias("log_id"), "original_path", "current_path",

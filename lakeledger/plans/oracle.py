@@ -183,6 +183,8 @@ FROM (SELECT *, regexp_replace(path, '/[^/]*$', '') AS d FROM files_v)"""),
     "format_bytes": f"SELECT o_orderkey, {_bytes('(o_orderkey * 97003)')} AS big, {_bytes('o_custkey')} AS small, '—' AS none FROM orders",
     "fingerprints": _q("files_text_v", "SELECT id, head_hash, hash FROM hashed", _HASHED),
     "not_protected": _q("places_v", f"SELECT * FROM places_v WHERE NOT {_under('(' + _PLACE + ')', PROTECTED_UNIX)}"),
+    "not_below": _q("files_v", """SELECT id, path FROM files_v f WHERE id <> 1 AND NOT EXISTS (SELECT 1 FROM dirs WHERE starts_with(f.path, d || '/'))""",
+                    "dirs AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS d FROM files_v WHERE extension = '.exe')"),
     "exclude_prefixes": _q("places_v", "SELECT * FROM places_v WHERE NOT starts_with(path, '/etc') AND NOT starts_with(path, '/home/etc/1-URGENT')"),
     "exclude_globs": _q("files_v", r"""SELECT id, path, name FROM files_v WHERE NOT regexp_matches(name, '(?i)^(.*\.xyz|doc_0[0-3].*|tax_20.4\..*)$')
  AND NOT regexp_matches(path, '(?i)^(.*\.xyz|.*/src1/.*)$')"""),
@@ -314,4 +316,14 @@ FROM fs_events_v WHERE kind <> 'deleted'"""),
 newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS rk FROM fs_events_v) WHERE rk = 1),
 known AS (SELECT DISTINCT path FROM fs_events_v WHERE path NOT LIKE '%/f3.txt')"""),
 }
+# a stream has not yet given out what is still open when its input ends
+_OPEN = f" AND b.session_end + {GAP} < (SELECT max(us) FROM timed)"
+ORACLE["debounce_root_stream"] = ORACLE["debounce"] + _OPEN
+ORACLE["debounce_stream"] = (
+    "SELECT root, path, kind, event_id, n_events, session_start, fires_at FROM ("
+    + ORACLE["debounce_by_path"].replace(
+        "CASE event_type WHEN 'click' THEN 'created' WHEN 'error' THEN 'deleted' WHEN 'purchase' THEN 'moved' ELSE 'modified' END",
+        "event_type")
+    + _OPEN.replace("<", "<=") + ")"
+)
 ORACLE["classify_rules_vectorised"] = ORACLE["classify_rules"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +12,7 @@ from ..functions.hashing import xxh64_fingerprint
 from ..operators import browse as B, catalog as C, classify as K, dedup as D, filters as X, logs as L, organize as O
 from ..operators import rules as R, stats as A, undo as U
 from ..schemas import FILE_RESPONSE
-from ..session import apply_settings, cut_lineage
+from ..session import apply_settings, checkpoint_folder, cut_lineage
 from ..sources.content import path_digests
 from ..sources.listing import list_files, list_tree, listed_files
 from ..streaming import changes as G, debounce as E
@@ -116,6 +117,15 @@ def not_protected(spark, sf):
     return X.not_protected(view(spark, sf, "places_v"))
 
 
+@query
+def not_below(spark, sf):
+    # every directory that holds an executable, and one file by its own path
+    files = view(spark, sf, "files_v").select("id", "path")
+    kept_out = view(spark, sf, "files_v").filter("extension = '.exe'").select(P.dir_name("path").alias("path"))
+    one = files.filter("id = 1").select("path")
+    return X.not_below(files, kept_out.unionByName(one))
+
+
 @query
 def exclude_prefixes(spark, sf):
     return X.exclude_prefixes(view(spark, sf, "places_v"), ["/etc", "/home/etc/1-URGENT"])
@@ -537,6 +547,39 @@ def apply_events(spark, sf):
     return G.apply_events(catalog, events).select("path", "name", "size", "category")
 
 
+@query
+def debounce_stream(spark, sf):
+    """The streaming form over the events table, until the stream has caught up."""
+    folder = f"{checkpoint_folder(apply_settings(spark))}/debounce-{uuid.uuid4().hex}"
+    raw = view(spark, sf, "events").schema
+    stream = spark.readStream.schema(raw).option("pathGlobFilter", "events.parquet").parquet(sf)
+    named = stream.select(
+        F.concat(F.lit("/watch/u"), F.col("user_id").cast("string")).alias("root"),
+        F.concat(F.lit("/watch/u"), F.col("user_id").cast("string"), F.lit("/f"),
+                 (F.col("event_id") % 4).cast("string"), F.lit(".txt")).alias("path"),
+        F.col("event_type").alias("kind"), F.lit(None).cast("string").alias("dest_path"), "event_id",
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    bursts = E.debounce_by_path_stream(named, GAP, delay="0 seconds")
+    writer = bursts.writeStream.format("parquet").option("path", f"{folder}/out")
+    writer.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(bursts.schema).parquet(f"{folder}/out").select(
+        "root", "path", "kind", "event_id", "n_events", "session_start", "fires_at")
+
+
+@query
+def debounce_root_stream(spark, sf):
+    """Streaming debounce per root, fed in two micro-batches by the batch function itself."""
+    folder = f"{checkpoint_folder(apply_settings(spark))}/debounce-{uuid.uuid4().hex}"
+    events = view(spark, sf, "fs_events_v")
+    half = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    sink = E.DebounceSink(f"{folder}/out", f"{folder}/state", GAP)
+    sink(events.filter(F.col("event_id") <= half), 0)
+    sink(events.filter(F.col("event_id") > half), 1)
+    return spark.read.parquet(f"{folder}/out").select(
+        "root", "path", "kind", "dest_path", "event_id", "n_events", "session_start", "session_end", "fires_at")
+
+
 @query
 def classify_events(spark, sf):
     found = G.classify_events(view(spark, sf, "fs_events_v"), view(spark, sf, "rules_v"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.paths import base_name, extension
 from ..operators.catalog import new_id
 from ..operators.classify import classify, default_category
+from ..operators.organize import move_requests, plan_moves
 from ..operators.rules import RuleSet
 from ..session import cut_lineage
 
@@ -109,6 +110,23 @@ def stream_classify(events: DataFrame, rules: RuleSet, handle: Callable[[DataFra
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def auto_organize(
+    destination_base: str, entries: Callable[[], DataFrame], out_dir: str, route_by: str = "category"
+) -> Callable[[DataFrame, int], None]:
+    """A ``handle`` for ``stream_classify``: move plans for the files that arrive, one folder per micro-batch.
+
+    ``entries`` gives the (dest_dir, name) rows that stand in the folders when the batch starts. A batch that
+    is repeated overwrites its own folder.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        arrived = batch.select(new_id("file").alias("id"), F.col("file").alias("path"), route_by).dropDuplicates(["path"])
+        plan = plan_moves(move_requests(arrived, destination_base, route_by=route_by), entries(), skip_in_place=True)
+        plan.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
+
+    return handle
+
+
 def event_counts(events: DataFrame, width: str = "1 minute", delay: str | None = None) -> DataFrame:
     """Events per tumbling window and kind; with a ``delay`` the same on a stream."""
     if delay is not None:

@@ -175,6 +175,19 @@ def test_classify_stream(spark, tmp_path):
     assert sorted(got) == [("/w/Invoice1.txt", "Invoices"), ("/w/x.mp3", "Audio")]
 
 
+def test_auto_organize(spark, tmp_path):
+    df = events(spark, ("/w", "/w/a/n.txt", "created", 1.0), ("/w", "/w/b/n.txt", "modified", 2.0),
+                ("/w", "/w/x.mp3", "deleted", 3.0))
+    none = spark.createDataFrame([("/org/Documents", "n.txt")], "dest_dir STRING, name STRING")
+    handle = G.auto_organize("/org", lambda: none, str(tmp_path / "plans"))
+    query = G.stream_classify(feed(spark, tmp_path, df, 1), load_rules(spark.createDataFrame(
+        [], "id BIGINT, name STRING, pattern STRING, match_type STRING, category STRING, target_folder STRING, "
+            "priority INT, enabled BOOLEAN")), handle, str(tmp_path / "cp"))
+    query.awaitTermination(60)
+    plans = spark.read.parquet(str(tmp_path / "plans")).collect()
+    assert sorted(r["destination"] for r in plans) == ["/org/Documents/n_(1).txt", "/org/Documents/n_(2).txt"]
+
+
 def test_counts(spark, tmp_path):
     df = events(spark, ("/w", "/w/a", "created", 1.0), ("/w", "/w/b", "created", 59.9), ("/w", "/w/b", "created", 60.0),
                 ("/w", "/w/b", "deleted", 61.0))
