@@ -111,29 +111,32 @@ def _merge(new: DataFrame, catalog: DataFrame, written: Column, now: Column | No
     return joined.select(*out, "_write", F.col("_new").isNotNull().alias("_seen"))
 
 
-def upsert_catalog(catalog: DataFrame, files: DataFrame, now: Column | None = None) -> DataFrame:
+def upsert_catalog(
+    catalog: DataFrame, files: DataFrame, now: Column | None = None, unique: bool = False
+) -> DataFrame:
     """The catalog after inserting or overwriting by path.
 
     Name, extension, size, category, mtime and session are overwritten (a null too); id, hash and
-    creation time survive. Incoming rows are first reduced to one per path.
+    creation time survive. Incoming rows are first reduced to one per path, unless they are ``unique``.
     """
-    return _merge(one_per_path(files), catalog, F.lit(True), now).drop("_write", "_seen")
+    return _merge(files if unique else one_per_path(files), catalog, F.lit(True), now).drop("_write", "_seen")
 
 
 def scan_merge(
-    catalog: DataFrame, files: DataFrame, now: Column | None = None, incremental: bool = True
+    catalog: DataFrame, files: DataFrame, now: Column | None = None, incremental: bool = True, unique: bool = False
 ) -> DataFrame:
     """Change detection and upsert in one join on path: unchanged files keep their old row.
 
     ``_write`` marks the rows that are new or changed, ``_seen`` those the listing held. Without
-    ``incremental`` every listed file is written.
+    ``incremental`` every listed file is written. A listing of one walk has every path once; say ``unique``
+    then, and it is not grouped before the join.
     """
     same = (
         F.col("_old").isNotNull()
         & F.coalesce(F.coalesce("_old_last_modified", F.lit(0.0)) == F.col("_new_last_modified"), F.lit(False))
         & F.coalesce(F.coalesce("_old_size", F.lit(0)) == F.col("_new_size"), F.lit(False))
     )
-    return _merge(one_per_path(files), catalog, ~same if incremental else F.lit(True), now)
+    return _merge(files if unique else one_per_path(files), catalog, ~same if incremental else F.lit(True), now)
 
 
 def scan_stats(files: DataFrame, elapsed_seconds: float | None = None) -> DataFrame:

@@ -70,7 +70,7 @@ def _hashed(files: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def duplicate_groups(hashed: DataFrame, min_bytes: int = MIN_HASH_BYTES) -> DataFrame:
-    """One row per set of equal files: fingerprint, size, number of files, wasted bytes, the file to keep.
+    """One row per set of equal files: fingerprint, size, number of files, wasted bytes, id of the file to keep.
 
     Files are equal when size and whole-content hash are; unreadable files (null hash) take no part.
     """
@@ -79,14 +79,13 @@ def duplicate_groups(hashed: DataFrame, min_bytes: int = MIN_HASH_BYTES) -> Data
         .groupBy("size", "hash")
         .agg(
             F.count(F.lit(1)).alias("n_files"),
-            F.min("id").alias("first"),
-            F.max("id").alias("last"),
-            F.min_by("path", "id").alias("keep_path"),
+            F.min("id").alias("keep_id"),
+            F.max("id").alias("last_id"),
         )
         .filter(F.col("n_files") > 1)
         .select(
             F.col("hash").alias("fingerprint"), "size", "n_files",
-            wasted_bytes("size", "n_files").alias("wasted_bytes"), "keep_path", "first", "last",
+            wasted_bytes("size", "n_files").alias("wasted_bytes"), "keep_id", "last_id",
         )
     )
 
@@ -103,7 +102,8 @@ def dup_members(
     has to read content.
     """
     groups = duplicate_groups(hashed, min_bytes).select(
-        F.col("fingerprint").alias("hash"), "size", F.col("n_files").alias("n"), "first", "last"
+        F.col("fingerprint").alias("hash"), "size", F.col("n_files").alias("n"), F.col("keep_id").alias("first"),
+        F.col("last_id").alias("last"),
     )
     files = _hashed(hashed, min_bytes).select("id", "path", "size", "hash")
     members = join_by_key(files, groups, ["size", "hash"], "inner", "n", hot_rows=hot_rows)

@@ -27,20 +27,25 @@ def has_prefix(path: Column | str, prefix: str) -> Column:
     return _col(path).startswith(prefix)
 
 
-def is_protected(path: Column | str, protected: list[str] = PROTECTED_UNIX, separator: str = "/") -> Column:
-    """Equal to, or below, a protected directory; Unix paths are made absolute first.
+def is_protected(
+    path: Column | str, protected: list[str] = PROTECTED_UNIX, separator: str = "/", normalize: bool = False
+) -> Column:
+    """Equal to, or below, a protected directory.
 
-    One pattern for all directories, so that the path is made absolute once per row.
+    Listings give absolute paths; ``normalize`` makes others absolute first, at the price of leaving
+    generated code.
     """
     if not protected:
         return F.lit(False)
-    path = normalize_path(path) if separator == "/" else _col(path)
+    path = normalize_path(path) if normalize else _col(path)
     either = "|".join(literal(p) for p in protected)
     return path.rlike(rf"\A(?:{either})(?:{literal(separator)}|\z)")
 
 
-def not_protected(files: DataFrame, protected: list[str] = PROTECTED_UNIX, separator: str = "/") -> DataFrame:
-    return files.filter(~is_protected("path", protected, separator))
+def not_protected(
+    files: DataFrame, protected: list[str] = PROTECTED_UNIX, separator: str = "/", normalize: bool = False
+) -> DataFrame:
+    return files.filter(~is_protected("path", protected, separator, normalize))
 
 
 def not_below(files: DataFrame, directories: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from os.path import abspath
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,16 +22,20 @@ def move_requests(
     session_id: int | None = None,
     categories: list[str] | None = None,
     route_by: str = "category",
+    normalize: bool = False,
 ) -> DataFrame:
-    """(id, source, dest_dir) for the files of a session; ``route_by`` is ``category`` or ``target_folder``."""
+    """(id, source, dest_dir) for the files of a session; ``route_by`` is ``category`` or ``target_folder``.
+
+    Catalog paths are absolute; ``normalize`` also resolves '.', '..' and doubled slashes in paths and
+    categories.
+    """
     if session_id is not None:
         files = in_session(files, session_id)
     files = in_categories(files, categories)
-    return files.select(
-        "id",
-        normalize_path("path").alias("source"),
-        normalize_path(join_path(F.lit(destination_base), or_default(route_by))).alias("dest_dir"),
-    )
+    source, folder = F.col("path"), join_path(F.lit(abspath(destination_base)), or_default(route_by))
+    if normalize:
+        source, folder = normalize_path(source), normalize_path(folder)
+    return files.select("id", source.alias("source"), folder.alias("dest_dir"))
 
 
 def folder_entries(listing: DataFrame, path: str = "path") -> DataFrame:

@@ -62,7 +62,7 @@ hashed AS (SELECT id, path, size, sha256(array_slice(encode(text), 1, 65536)) AS
            FROM files_text_v)"""
 _GROUPS = f"""
 {_HASHED},
-groups AS (SELECT size, hash, count(*) AS n, arg_min(path, id) AS keep_path FROM hashed WHERE size >= 1024
+groups AS (SELECT size, hash, count(*) AS n, min(id) AS keep_id FROM hashed WHERE size >= 1024
            GROUP BY size, hash HAVING count(*) > 1)"""
 _MEMBERS = f"""
 {_GROUPS},
@@ -236,7 +236,7 @@ FROM (SELECT o, n, n.path IS NOT NULL AND (o.path IS NULL OR o.size <> n.size OR
  CAST(coalesce(sum(size) FILTER (NOT bad), 0) AS BIGINT) AS total_bytes,
  (SELECT count(DISTINCT a) FROM (SELECT unnest(list_transform(range(2, len(s) + 1), lambda i: array_to_string(s[1:i], '/'))) AS a
     FROM (SELECT DISTINCT string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS s FROM every WHERE NOT bad))) AS total_dirs FROM every""",
-        f"""every AS (SELECT *, {_under('(' + _PLACE + ')', PROTECTED_UNIX)} AS bad FROM (SELECT path, size FROM files_v UNION ALL SELECT path, size FROM places_v))"""),
+        f"""every AS (SELECT *, {_under('path', PROTECTED_UNIX)} AS bad FROM (SELECT path, size FROM files_v UNION ALL SELECT path, size FROM places_v))"""),
     "list_sessions": _q("sessions_v", "SELECT * FROM sessions_v ORDER BY id DESC"),
     "latest_session": _q("sessions_v", "SELECT * FROM sessions_v WHERE id = (SELECT max(id) FROM sessions_v)"),
     "session_durations": _q("sessions_v", """SELECT id, completed_at - started_at AS duration,
@@ -262,7 +262,7 @@ FROM catalog_v WHERE scan_session_id = 1) WHERE pos // 50 = (n - 1) // 50"""),
  row_number() OVER (ORDER BY n DESC, category) AS position FROM (SELECT category, count(*) AS n FROM catalog_v GROUP BY category)"""),
     "dup_stage1": _q("files_v", """SELECT size, id, path FROM files_v WHERE size >= 1024 AND size IN (SELECT size FROM files_v GROUP BY size HAVING count(*) > 1)"""),
     "dup_stage2": _q("files_text_v", """SELECT id, path, size, head_hash FROM (SELECT *, count(*) OVER (PARTITION BY size, head_hash) AS n FROM hashed WHERE size >= 1024) WHERE n > 1""", _HASHED),
-    "duplicates": _q("files_text_v", "SELECT hash AS fingerprint, size, n AS n_files, size * (n - 1) AS wasted_bytes, keep_path FROM groups", _GROUPS),
+    "duplicates": _q("files_text_v", "SELECT hash AS fingerprint, size, n AS n_files, size * (n - 1) AS wasted_bytes, keep_id FROM groups", _GROUPS),
     "dup_members": _q("files_text_v", """SELECT fingerprint, size, id, path, rank, n AS n_files, CASE WHEN rank = 1 THEN 'KEEP' ELSE 'COPY ' || CAST(rank - 1 AS VARCHAR) END AS label FROM members""", _MEMBERS),
     "duplicate_lists": _q("files_text_v", """SELECT fingerprint, size, (rank - 1) // 1000 AS chunk, string_agg(path, '|' ORDER BY rank) AS files, size * (n - 1) AS wasted_bytes
 FROM members GROUP BY fingerprint, size, n, (rank - 1) // 1000""", _MEMBERS),

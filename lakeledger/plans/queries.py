@@ -114,7 +114,7 @@ def xxh64_fingerprints(spark, sf):
 
 @query
 def not_protected(spark, sf):
-    return X.not_protected(view(spark, sf, "places_v"))
+    return X.not_protected(view(spark, sf, "places_v"), normalize=True)
 
 
 @query
@@ -355,7 +355,7 @@ def dup_stage2(spark, sf):
 
 @query
 def duplicates(spark, sf):
-    return D.duplicate_groups(_hashed(spark, sf)).select("fingerprint", "size", "n_files", "wasted_bytes", "keep_path")
+    return D.duplicate_groups(_hashed(spark, sf)).select("fingerprint", "size", "n_files", "wasted_bytes", "keep_id")
 
 
 @query

@@ -42,7 +42,7 @@ def scan_records(
 
 
 def scan_catalog(
-    catalog: DataFrame, listing: DataFrame, session_id: int, incremental: bool = True, **filters
+    catalog: DataFrame, listing: DataFrame, session_id: int, incremental: bool = True, unique: bool = False, **filters
 ) -> DataFrame:
     """The catalog after a scan, with ``_write`` on the rows the scan changed.
 
@@ -50,7 +50,7 @@ def scan_catalog(
     shuffled for it. Unchanged files keep their old session.
     """
     records = scan_records(listing, **filters).withColumn("scan_session_id", F.lit(session_id).cast("bigint"))
-    return scan_merge(catalog, records, incremental=incremental)
+    return scan_merge(catalog, records, incremental=incremental, unique=unique)
 
 
 def session_row(
@@ -64,7 +64,13 @@ def session_row(
 
 
 def scan(
-    catalog: DataFrame, listing: DataFrame, session_id: int, roots: list[str], incremental: bool = True, **filters
+    catalog: DataFrame,
+    listing: DataFrame,
+    session_id: int,
+    roots: list[str],
+    incremental: bool = True,
+    unique: bool = False,
+    **filters,
 ) -> Scanned:
     """Run a scan and give the new catalog, the finished session row and the statistics.
 
@@ -73,7 +79,7 @@ def scan(
     spark, started = catalog.sparkSession, time.time()
     roots = clean_roots(roots)
     try:
-        merged = cut_lineage(scan_catalog(catalog, listing, session_id, incremental, **filters))
+        merged = cut_lineage(scan_catalog(catalog, listing, session_id, incremental, unique, **filters))
         total = merged.filter("_write").count()
     except Exception as error:
         failed = session_row(spark, session_id, roots, started, None, None, "failed")

@@ -51,21 +51,26 @@ def last_per_tick(events: DataFrame, keys: list[str], gap: int) -> DataFrame:
     )
 
 
-def _sessions(condensed: DataFrame, keys: list[str], gap: int) -> DataFrame:
+def ticks_of(events: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """(keys, tick, low, high) straight from the events: a hash aggregate with little to shuffle."""
+    at = F.unix_micros("ts")
+    return events.groupBy(*keys, _tick(gap).alias("tick")).agg(F.min(at).alias("low"), F.max(at).alias("high"))
+
+
+def _sessions(ticks: DataFrame, keys: list[str], gap: int) -> DataFrame:
     """(keys, tick, session_start, session_end): ticks belong together unless more than the gap lies between."""
-    ticks = condensed.groupBy(*keys, "tick").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     ordered = Window.partitionBy(*keys).orderBy("tick")
     before = F.lag("high").over(ordered)
     marked = ticks.withColumn("_start", F.when(before.isNull() | (F.col("low") > before + gap), F.col("low")))
     started = marked.withColumn("session_start", F.last("_start", ignorenulls=True).over(ordered))
-    ends = started.groupBy(*keys, "session_start").agg(F.max("high").alias("session_end"))
-    return started.select(*keys, "tick", "session_start").join(ends, [*keys, "session_start"])
+    end = F.max("high").over(Window.partitionBy(*keys, "session_start"))
+    return started.select(*keys, "tick", "session_start", end.alias("session_end"))
 
 
-def _emitted(condensed: DataFrame, keys: list[str], gap: int) -> DataFrame:
+def _emitted(condensed: DataFrame, ticks: DataFrame, keys: list[str], gap: int) -> DataFrame:
     path = [] if "path" in keys else ["path"]
     return (
-        condensed.join(_sessions(condensed, keys, gap), [*keys, "tick"])
+        condensed.join(_sessions(ticks, keys, gap), [*keys, "tick"])
         .groupBy(*keys, *path, "session_start", "session_end")
         .agg(F.max_by("last", F.struct("last.ts", "last.event_id")).alias("last"), F.sum("n").alias("n_events"))
         .select(
@@ -82,13 +87,14 @@ def debounce(events: DataFrame, gap_seconds: float = DEBOUNCE_SECONDS, group: st
     whose events share one timer.
     """
     gap = _micros(gap_seconds)
-    return _emitted(last_per_tick(events, [group], gap), [group], gap)
+    return _emitted(last_per_tick(events, [group], gap), ticks_of(events, [group], gap), [group], gap)
 
 
 def debounce_by_path(events: DataFrame, gap_seconds: float = DEBOUNCE_SECONDS, group: str = "root") -> DataFrame:
     """The same with a timer per path."""
     gap = _micros(gap_seconds)
-    return _emitted(last_per_tick(events, [group, "path"], gap), [group, "path"], gap)
+    keys = [group, "path"]
+    return _emitted(last_per_tick(events, keys, gap), ticks_of(events, keys, gap), keys, gap)
 
 
 def debounce_by_path_stream(
@@ -109,6 +115,10 @@ def debounce_by_path_stream(
     )
 
 
+def _ticks_again(condensed: DataFrame) -> DataFrame:
+    return condensed.groupBy("root", "tick").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 class DebounceSink:
     """Streaming debounce per root, as a ``foreachBatch`` function.
 
@@ -161,13 +171,13 @@ class DebounceSink:
         newest = condensed.agg(F.max("high").alias("newest")).first()["newest"]
         newest = max(t for t in (newest, newest_before, -(2**62)) if t is not None)
         watermark = newest - self.delay
-        sessions = _sessions(condensed, ["root"], self.gap)
+        sessions = _sessions(_ticks_again(condensed), ["root"], self.gap)
         closed = F.col("session_end") + self.gap < watermark
         burst = condensed.join(sessions.withColumn("_closed", closed), ["root", "tick"])
         still_open = burst.filter(~F.col("_closed")).select(*condensed.columns)
         still_open.write.mode("overwrite").parquet(f"{self.state_dir}/pending/{batch_id}")
         done = burst.filter("_closed").select(*condensed.columns)
-        _emitted(done, ["root"], self.gap).write.mode("overwrite").parquet(f"{self.out_dir}/batch={batch_id}")
+        _emitted(done, _ticks_again(done), ["root"], self.gap).write.mode("overwrite").parquet(f"{self.out_dir}/batch={batch_id}")
         clock = spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch"),
                                       F.lit(newest).cast("bigint").alias("newest"))
         clock.write.mode("append").parquet(f"{self.state_dir}/clock")

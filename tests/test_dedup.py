@@ -23,9 +23,9 @@ def table(spark, *contents):
 def test_groups(spark):
     hashed = D.with_hashes(table(spark, A, B_, A, U, TINY, TINY, TINY, B_, A))
     groups = D.duplicate_groups(hashed)
-    got = {r["size"]: (r["n_files"], r["wasted_bytes"], r["keep_path"], r["fingerprint"]) for r in groups.collect()}
-    assert got == {3800: (3, 7600, "/d/f00", hashlib.sha256(A).hexdigest()),
-                   2850: (2, 2850, "/d/f01", hashlib.sha256(B_).hexdigest())}
+    got = {r["size"]: (r["n_files"], r["wasted_bytes"], r["keep_id"], r["fingerprint"]) for r in groups.collect()}
+    assert got == {3800: (3, 7600, 0, hashlib.sha256(A).hexdigest()),
+                   2850: (2, 2850, 1, hashlib.sha256(B_).hexdigest())}
     assert [r["size"] for r in D.top_wasted(groups, 5).collect()] == [3800, 2850]
     assert tuple(D.dup_summary(groups).collect()[0]) == (2, 3, 10450)
     members = D.dup_members(hashed)

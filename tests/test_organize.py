@@ -62,7 +62,7 @@ def test_requests(spark):
     files = spark.createDataFrame([
         (1, "/in/a.txt", "a.txt", ".txt", 1, "Documents", 1.0, None, 1, 1.0), (2, "/in//b", "b", "", 1, None, 1.0, None, 1, 1.0),
         (3, "/in/c", "c", "", 1, "", 1.0, None, 2, 1.0)], FILES)
-    got = {r["id"]: (r["source"], r["dest_dir"]) for r in O.move_requests(files, "/org/./x/").collect()}
+    got = {r["id"]: (r["source"], r["dest_dir"]) for r in O.move_requests(files, "/org/./x/", normalize=True).collect()}
     assert got == {1: ("/in/a.txt", "/org/x/Documents"), 2: ("/in/b", "/org/x/Others"), 3: ("/in/c", "/org/x/Others")}
     assert [r["id"] for r in O.move_requests(files, "/o", 1, ["Documents"]).collect()] == [1]
     assert O.move_requests(files, "/o", 1, []).count() == 2
