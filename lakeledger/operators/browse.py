@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import DEFAULT_CATEGORY, PAGE_SIZE
 from ..functions.paths import _col
 from ..functions.scalars import clamp_limit, clamp_offset, clamp_page, or_default
+from ..session import cut_lineage
 
+DEEP_OFFSET = 100_000
 SORT_KEYS = ("name", "size", "category", "last_modified", "path")
 
 
@@ -42,6 +44,28 @@ def select_files(
     return search(in_categories(in_session(files, session_id), [category] if category else None), term, literal)
 
 
+def page_of(rows: DataFrame, order: list[Column], offset: int, limit: int, deep_offset: int = DEEP_OFFSET) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in the given order.
+
+    Up to ``deep_offset`` that is a top-k of offset + limit rows. Deeper, the rows are range-sorted into
+    partitions and written with their partition number; the counts per partition tell which ones hold
+    the page, and only those are ordered.
+    """
+    if offset <= deep_offset:
+        ordered = rows.orderBy(*order)
+        return (ordered.offset(offset) if offset else ordered).limit(limit)
+    ranged = cut_lineage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()
+    before, wanted, skip = 0, [], 0
+    for part in counts:
+        if before < offset + limit and before + part["n"] > offset:
+            skip = skip if wanted else offset - before
+            wanted.append(part["_range"])
+        before += part["n"]
+    held = ranged.filter(F.col("_range").isin(wanted)).drop("_range") if wanted else rows.limit(0)
+    return held.orderBy(*order).offset(skip).limit(limit)
+
+
 def _sort_key(sort_by: str) -> str:
     return sort_by if sort_by in SORT_KEYS else "name"
 
@@ -57,12 +81,11 @@ def browse(
     offset: int = 0,
     literal: bool = False,
 ) -> DataFrame:
-    """One page of the catalog; ties by id. The cost grows with the offset: go deep with ``browse_after``."""
+    """One page of the catalog; ties by id. ``browse_after`` goes through page after page at less cost."""
     key = F.col(_sort_key(sort_by))
-    order = key.desc() if sort_order.lower() == "desc" else key.asc()
-    rows = select_files(files, session_id, category, term, literal).orderBy(order, F.col("id").asc())
-    offset = clamp_offset(offset)
-    return (rows.offset(offset) if offset else rows).limit(clamp_limit(limit))
+    order = [key.desc() if sort_order.lower() == "desc" else key.asc(), F.col("id").asc()]
+    rows = select_files(files, session_id, category, term, literal)
+    return page_of(rows, order, clamp_offset(offset), clamp_limit(limit))
 
 
 def browse_after(

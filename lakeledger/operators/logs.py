@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import MAX_PAGE_LIMIT
+from .browse import page_of
 
 
 def with_status(logs: DataFrame, status: str | None) -> DataFrame:
@@ -17,8 +18,7 @@ def list_logs(logs: DataFrame, status: str | None = None, limit: int = 100, offs
         raise ValueError("limit must be between 1 and 1000")
     if offset < 0:
         raise ValueError("offset must not be negative")
-    rows = with_status(logs, status).orderBy(F.desc("timestamp"), F.asc("id"))
-    return (rows.offset(offset) if offset else rows).limit(limit)
+    return page_of(with_status(logs, status), [F.desc("timestamp"), F.asc("id")], offset, limit)
 
 
 def log_counts(logs: DataFrame) -> DataFrame:

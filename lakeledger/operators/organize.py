@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from os.path import abspath
+from posixpath import normpath
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,6 +17,14 @@ from .naming import assign_numbers, first_free_number
 PLAN = ["id", "source", "destination", "success", "error", "was_renamed"]
 
 
+def _clean_base(base: str) -> str:
+    """The target folder without '.', '..' and doubled slashes; a store's address keeps its scheme."""
+    if "://" in base:
+        scheme, rest = base.split("://", 1)
+        return f"{scheme}://{normpath(rest)}"
+    return abspath(base)
+
+
 def move_requests(
     files: DataFrame,
     destination_base: str,
@@ -32,7 +41,7 @@ def move_requests(
     if session_id is not None:
         files = in_session(files, session_id)
     files = in_categories(files, categories)
-    source, folder = F.col("path"), join_path(F.lit(abspath(destination_base)), or_default(route_by))
+    source, folder = F.col("path"), join_path(F.lit(_clean_base(destination_base)), or_default(route_by))
     if normalize:
         source, folder = normalize_path(source), normalize_path(folder)
     return files.select("id", source.alias("source"), folder.alias("dest_dir"))

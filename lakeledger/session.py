@@ -7,13 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# AQE splits hot join keys at run time; the other settings keep results the same on every cluster.
+# AQE sizes partitions and splits skewed ones at run time; UTC keeps results the same on every cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # bursts of one key are merged before the shuffle
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

@@ -142,6 +142,14 @@ def test_keyset_pages_equal_offset_pages(shelf, key, order):
         assert ids(rest) == [x["id"] for x in everything[i + 1:]]
 
 
+def test_deep_pages_equal_shallow_ones(spark):
+    rows = spark.range(3_000).select("id", (F.col("id") * 37 % 11).alias("size")).repartition(7)
+    order = [F.desc("size"), F.asc("id")]
+    for offset, limit in ((1, 5), (1_234, 700), (2_990, 50), (5_000, 10)):
+        expected = [r["id"] for r in B.page_of(rows, order, offset, limit).collect()]
+        assert [r["id"] for r in B.page_of(rows, order, offset, limit, deep_offset=0).collect()] == expected
+
+
 def test_page_is_a_top_k(shelf):
     plan = B.browse(shelf.repartition(3), 1, offset=2, limit=2)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan

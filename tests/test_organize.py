@@ -65,6 +65,7 @@ def test_requests(spark):
     got = {r["id"]: (r["source"], r["dest_dir"]) for r in O.move_requests(files, "/org/./x/", normalize=True).collect()}
     assert got == {1: ("/in/a.txt", "/org/x/Documents"), 2: ("/in/b", "/org/x/Others"), 3: ("/in/c", "/org/x/Others")}
     assert [r["id"] for r in O.move_requests(files, "/o", 1, ["Documents"]).collect()] == [1]
+    assert O.move_requests(files, "s3a://bucket/a//b/").first()["dest_dir"] == "s3a://bucket/a/b/Documents"
     assert O.move_requests(files, "/o", 1, []).count() == 2
 
 
