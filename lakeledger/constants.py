@@ -31,6 +31,7 @@ PROTECTED_WINDOWS = [
 # Confidence of a rule hit, of the extension table, of the fallback.
 RULE_CONFIDENCE, TABLE_CONFIDENCE, FALLBACK_CONFIDENCE = 1.0, 0.95, 0.5
 
+# Limits and sizes.
 MAX_COLLISIONS = 999          # numbered names tried after the plain one
 MIN_HASH_BYTES = 1024         # smaller files take no part in duplicate detection
 HEAD_BYTES = 65_536           # bytes hashed in the head stage
@@ -39,6 +40,7 @@ DEBOUNCE_SECONDS = 2.0
 PAGE_SIZE = 50
 MAX_PAGE_LIMIT = 1000
 
+# Error texts of failed moves.
 ERROR_NO_SOURCE = "Source file not found"
 ERROR_COLLISIONS = "Could not resolve collision after 999 attempts: "
 

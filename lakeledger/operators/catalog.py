@@ -56,8 +56,14 @@ def _known(catalog: DataFrame) -> DataFrame:
 
 
 def incremental(files: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The new and changed files: whatever has not the same path, mtime and size in the catalog."""
-    return files.join(_known(catalog), ["path", "last_modified", "size"], "left_anti")
+    """The new and changed files: whatever has not the same path, mtime and size in the catalog.
+
+    Path is the only join key, so that a catalog bucketed by path stays where it is; mtime and size are
+    compared on the matches.
+    """
+    known = _known(catalog).toDF("_path", "_modified", "_size")
+    same = (F.col("last_modified") == F.col("_modified")) & (F.col("size") == F.col("_size"))
+    return files.join(known, (F.col("path") == F.col("_path")) & F.coalesce(same, F.lit(False)), "left_anti")
 
 
 def _status(old: Column, new: Column, same: Column) -> Column:

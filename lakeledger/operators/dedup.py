@@ -98,10 +98,10 @@ def dup_members(
 ) -> DataFrame:
     """One row per file of every duplicate group, numbered by id, with its KEEP / COPY label.
 
-    ``hashed`` is read three times; pass a written hash table (``write_hashes``), not one that still
-    has to read content.
+    ``hashed`` is read several times; pass a written hash table (``write_hashes``), not one that still
+    has to read content. The groups, far fewer than files, are written once.
     """
-    groups = duplicate_groups(hashed, min_bytes).select(
+    groups = cut_lineage(duplicate_groups(hashed, min_bytes)).select(
         F.col("fingerprint").alias("hash"), "size", F.col("n_files").alias("n"), F.col("keep_id").alias("first"),
         F.col("last_id").alias("last"),
     )

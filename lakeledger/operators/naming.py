@@ -164,7 +164,16 @@ def _settle(ranked: DataFrame, names: DataFrame, occupied: DataFrame) -> DataFra
         .select("dest_dir", "base", "slot", "until", F.col("name").alias("child"))
         .unionByName(_shared_slots(names, occupied))
     )
-    if edges.isEmpty():
+    # a numbered name that is a base itself, or has two bases, hands its answer on
+    roles = (
+        edges.select("dest_dir", F.col("child").alias("name"), F.lit(1).alias("as_child"), F.lit(0).alias("as_base"))
+        .unionByName(edges.select("dest_dir", F.col("base").alias("name"), F.lit(0).alias("as_child"),
+                                  F.lit(1).alias("as_base")).distinct())
+        .groupBy(*KEY).agg(F.sum("as_child").alias("as_child"), F.max("as_base").alias("as_base"))
+    )
+    hands_on = (F.col("as_child") > 1) | ((F.col("as_child") > 0) & (F.col("as_base") > 0))
+    found = roles.agg(F.count(F.lit(1)).alias("contests"), F.count_if(hands_on).alias("hand_on")).first()
+    if not found["contests"]:
         return None
     contested = edges.groupBy("dest_dir", "base").agg(
         F.sort_array(F.collect_list(F.struct("slot", "until", "child"))).alias("contested")
@@ -183,17 +192,9 @@ def _settle(ranked: DataFrame, names: DataFrame, occupied: DataFrame) -> DataFra
         .join(taken, ["dest_dir", "base"], "left")
         .withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
     )
-    solved = cut_lineage(_solve(bases, edges, None))
+    solved = _solve(bases, edges, None)
     takes = _takes(solved)
-    # a numbered name that is a base itself, or has two bases, hands its answer on
-    roles = (
-        edges.select("dest_dir", F.col("child").alias("name"), F.lit(1).alias("as_child"), F.lit(0).alias("as_base"))
-        .unionByName(edges.select("dest_dir", F.col("base").alias("name"), F.lit(0).alias("as_child"),
-                                  F.lit(1).alias("as_base")).distinct())
-        .groupBy(*KEY).agg(F.sum("as_child").alias("as_child"), F.max("as_base").alias("as_base"))
-    )
-    hands_on = roles.filter((F.col("as_child") > 1) | ((F.col("as_child") > 0) & (F.col("as_base") > 0)))
-    if not hands_on.isEmpty():
+    if found["hand_on"]:
         while True:
             again = cut_lineage(_solve(bases, edges, takes))
             new_takes = _takes(again)
@@ -250,7 +251,7 @@ def first_free_number(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Add ``number`` to each row by the existing files alone, as if it were the only arrival."""
     wanted = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_rows"))
     slots = F.sequence(F.lit(0), F.lit(MAX_COLLISIONS))
-    blocked = (
+    blocked = cut_lineage(
         slots_of(existing.select(*KEY))
         .drop("name").withColumnRenamed("base", "name")
         .join(wanted, KEY)
