@@ -6,7 +6,7 @@ files or however often one name occurs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, functions as F
@@ -65,7 +65,7 @@ def _folded_position(rules: list[Row]) -> Column:
     return position
 
 
-def _matcher(rules: list[tuple[str, str]]) -> Callable[[str, str], int | None]:
+def _matcher(rules: list[tuple[str, str]]) -> Callable[[str, str], Iterator[int]]:
     import fnmatch
     import re
 
@@ -80,27 +80,41 @@ def _matcher(rules: list[tuple[str, str]]) -> Callable[[str, str], int | None]:
             compiled = re.compile(pattern, re.IGNORECASE)
             tests.append(lambda name, ext, c=compiled: c.search(name) is not None)
 
-    def first(name: str, ext: str) -> int | None:
-        return next((i for i, test in enumerate(tests) if test(name, ext)), None)
+    def matching(name: str, ext: str) -> Iterator[int]:
+        return (i for i, test in enumerate(tests) if test(name, ext))
 
-    return first
+    return matching
 
 
-def _vectorised_position(rules: list[Row]) -> Column:
-    """Position of the first matching rule by Arrow batches; each distinct name of a batch is tested once."""
+def _vectorised(rules: list[Row], every: bool) -> Column:
+    """Position of the first matching rule (or an array of all) by Arrow batches.
+
+    Patterns are compiled once per batch, each distinct name of a batch is tested once.
+    """
     specs = [(r["match_type"], r["pattern"]) for r in rules]
 
-    @F.pandas_udf("int")
+    def find(names: pd.Series, extensions: pd.Series) -> pd.Series:
+        matching = _matcher(specs)
+        pairs = list(zip(names.fillna(""), extensions.fillna("")))
+        found = {
+            pair: list(matching(*pair)) if every else next(matching(*pair), None) for pair in dict.fromkeys(pairs)
+        }
+        values = [found[pair] for pair in pairs]
+        return pd.Series(values, dtype=object if every else "Int32")
+
+    @F.pandas_udf("array<int>" if every else "int")
     def position(names: pd.Series, extensions: pd.Series) -> pd.Series:
-        first = _matcher(specs)
-        pairs = pd.DataFrame({"n": names.fillna(""), "e": extensions.fillna("")})
-        distinct = pairs.drop_duplicates()
-        found = {(n, e): first(n, e) for n, e in zip(distinct["n"], distinct["e"])}
-        return pd.Series([found[p] for p in zip(pairs["n"], pairs["e"])], dtype="Int32")
+        return find(names, extensions)
 
     return position(F.col("name"), F.col("extension"))
 
 
+def _form(ruleset: RuleSet, form: str) -> str:
+    if form != "auto":
+        return form
+    return "fold" if len(ruleset.active) <= FOLD_LIMIT and not ruleset.python_only else "vectorised"
+
+
 def classify(
     files: DataFrame,
     rules: DataFrame | RuleSet,
@@ -116,12 +130,11 @@ def classify(
     """
     ruleset = rules if isinstance(rules, RuleSet) else load_rules(rules)
     active = ruleset.active
-    if form == "auto":
-        form = "fold" if len(active) <= FOLD_LIMIT and not ruleset.python_only else "vectorised"
+    form = _form(ruleset, form)
     if "extension" not in files.columns:
         files = files.withColumn("extension", extension_of("name"))
 
-    position = _folded_position(active) if form == "fold" else _vectorised_position(active)
+    position = _folded_position(active) if form == "fold" else _vectorised(active, every=False)
     placed = files.withColumn("_rule", position if active else F.lit(None).cast("int"))
 
     def of_rule(field: str) -> Column:
@@ -152,23 +165,30 @@ def classify(
     return result
 
 
-def rule_matches(files: DataFrame, rules: DataFrame | RuleSet) -> DataFrame:
+def rule_matches(files: DataFrame, rules: DataFrame | RuleSet, form: str = "auto") -> DataFrame:
     """One row per file and matching rule (all of them), built map-side without a join."""
     ruleset = rules if isinstance(rules, RuleSet) else load_rules(rules)
-    if not ruleset.active:
-        return files.withColumn("rule_id", F.lit(None).cast("bigint")).limit(0)
-    hits = F.array(*[
-        F.when(rule_condition(r), F.struct(F.lit(r["id"]).cast("bigint").alias("rule_id"),
-                                           F.lit(r["priority"]).alias("priority"),
-                                           F.lit(r["name"]).alias("rule_name"),
-                                           F.lit(r["category"]).alias("rule_category")))
-        for r in ruleset.active if r["id"] not in ruleset.python_only
-    ])
-    return files.withColumn("_hit", F.explode(F.array_compact(hits))).select(*files.columns, "_hit.*")
+    active = ruleset.active
+    if not active:
+        nothing = "CAST(NULL AS BIGINT) rule_id, CAST(NULL AS INT) priority, CAST(NULL AS STRING) rule_name, " \
+                  "CAST(NULL AS STRING) rule_category"
+        return files.selectExpr("*", *nothing.split(", ")).limit(0)
+    if _form(ruleset, form) == "fold":
+        hits = F.array_compact(F.array(*[F.when(rule_condition(r), F.lit(i)) for i, r in enumerate(active)]))
+    else:
+        hits = _vectorised(active, every=True)
+
+    def of_rule(field: str, kind: str) -> Column:
+        return F.get(F.array(*[F.lit(r[field]).cast(kind) for r in active]), F.col("_hit"))
+
+    return files.withColumn("_hit", F.explode(hits)).select(
+        *files.columns, of_rule("id", "bigint").alias("rule_id"), of_rule("priority", "int").alias("priority"),
+        of_rule("name", "string").alias("rule_name"), of_rule("category", "string").alias("rule_category"),
+    )
 
 
 def rule_hits(files: DataFrame, rules: DataFrame | RuleSet) -> DataFrame:
-    """How many files each rule matches, and for how many it is the winner's category."""
+    """How many files each rule matches."""
     return rule_matches(files, rules).groupBy("rule_id", "rule_name").agg(F.count(F.lit(1)).alias("n_files"))
 
 

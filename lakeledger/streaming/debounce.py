@@ -8,7 +8,6 @@ of all events is no hot spot; its events then meet their session on (root, tick)
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import DEBOUNCE_SECONDS
@@ -140,18 +139,12 @@ class DebounceSink:
         self.gap, self.delay = _micros(gap_seconds), round(delay_seconds * 1_000_000)
 
     def _previous(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame | None, int | None]:
-        spark = batch.sparkSession
-        try:
-            clock = spark.read.schema("batch BIGINT, newest BIGINT").parquet(f"{self.state_dir}/clock")
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None, None
-            raise
-        # the row of the batch itself is there when the batch is repeated
-        last = clock.filter(F.col("batch") < batch_id).orderBy(F.desc("batch"), F.desc("newest")).first()
-        if last is None:
+        """Pending events and newest time after the micro-batch before (ids follow one another)."""
+        if batch_id == 0:
             return None, None
-        return spark.read.schema(self.STATE).parquet(f"{self.state_dir}/pending/{last['batch']}"), last["newest"]
+        reader = batch.sparkSession.read
+        newest = reader.schema("newest BIGINT").parquet(f"{self.state_dir}/clock/{batch_id - 1}").first()["newest"]
+        return reader.schema(self.STATE).parquet(f"{self.state_dir}/pending/{batch_id - 1}"), newest
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -178,6 +171,5 @@ class DebounceSink:
         still_open.write.mode("overwrite").parquet(f"{self.state_dir}/pending/{batch_id}")
         done = burst.filter("_closed").select(*condensed.columns)
         _emitted(done, _ticks_again(done), ["root"], self.gap).write.mode("overwrite").parquet(f"{self.out_dir}/batch={batch_id}")
-        clock = spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch"),
-                                      F.lit(newest).cast("bigint").alias("newest"))
-        clock.write.mode("append").parquet(f"{self.state_dir}/clock")
+        clock = spark.range(1).select(F.lit(newest).cast("bigint").alias("newest"))
+        clock.write.mode("overwrite").parquet(f"{self.state_dir}/clock/{batch_id}")

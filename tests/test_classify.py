@@ -69,6 +69,7 @@ def test_python_only_pattern_takes_the_vectorised_form(spark):
     table = rules(spark, (1, "cond", r"(a)?b(?(1)c|d)", "regex", "Cond", "Cond", 1, True))
     got = categories(K.classify(files(spark, "abc", "bd", "bc"), table))
     assert {n: v[0] for n, v in got.items()} == {"abc": "Cond", "bd": "Cond", "bc": "Others"}
+    assert [r["n_files"] for r in K.rule_hits(files(spark, "abc", "bd", "bc"), table).collect()] == [2]
 
 
 def test_many_rules_same_result(spark):
@@ -86,6 +87,9 @@ def test_all_matches_and_winner(spark):
     hits = {r["rule_id"]: r["n_files"] for r in K.rule_hits(data, table).collect()}
     assert hits == {1: 2, 2: 2, 3: 1}
     assert {r["id"]: r["rule_id"] for r in K.best_matches(data, table).collect()} == {0: 3, 1: 1}
+    fold = sorted(K.rule_matches(data, table, "fold").collect())
+    assert fold == sorted(K.rule_matches(data, table, "vectorised").collect()) and len(fold) == 5
+    assert K.rule_hits(data, table.limit(0)).count() == 0
 
 
 def test_fallback_only_where_nothing_matched(spark):
