@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..constants import CATEGORY_EXTENSIONS, PROTECTED_UNIX, category_by_extension
+from ..constants import PROTECTED_UNIX, category_by_extension
 from .views import duckdb_with
 
 GAP = 12 * 3600 * 1_000_000

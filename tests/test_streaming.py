@@ -4,7 +4,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from lakeledger.operators.rules import load_rules
 from lakeledger.sources.events import files_only, parse_events, read_events
