@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 
 from ..functions.patterns import java_compiles, python_compiles
 from ..schemas import MATCH_TYPES
+from ..session import cut_lineage
 
 MAX_RULES = 20_000
 
@@ -123,3 +124,17 @@ def apply_changes(table: DataFrame, changes: DataFrame, key: str = "id", default
 
 _NEVER = -(2**63)
 RULE_DEFAULTS = {"match_type": "glob", "priority": 0, "enabled": True}
+
+
+def maintain_rules(rules: DataFrame, changes: DataFrame, now: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rules, rejected): the table after a batch of changes, and the rows that would not be acceptable.
+
+    A changed rule is tested like a new one; where it fails, the rule stays as it was.
+    """
+    defaults = dict(RULE_DEFAULTS)
+    if now is not None and "created_at" in rules.columns:
+        defaults["created_at"] = now
+    checked = cut_lineage(validate_rules(apply_changes(rules, changes, defaults=defaults)))
+    rejected = checked.filter(~F.col("is_valid")).drop("is_valid")
+    unchanged = rules.join(rejected.select("id"), "id", "left_semi").select(*rules.columns)
+    return checked.filter("is_valid").select(*rules.columns).unionByName(unchanged), rejected

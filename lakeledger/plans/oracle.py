@@ -183,7 +183,7 @@ FROM (SELECT *, regexp_replace(path, '/[^/]*$', '') AS d FROM files_v)"""),
     "format_bytes": f"SELECT o_orderkey, {_bytes('(o_orderkey * 97003)')} AS big, {_bytes('o_custkey')} AS small, '—' AS none FROM orders",
     "fingerprints": _q("files_text_v", "SELECT id, head_hash, hash FROM hashed", _HASHED),
     "not_protected": _q("places_v", f"SELECT * FROM places_v WHERE NOT {_under('(' + _PLACE + ')', PROTECTED_UNIX)}"),
-    "not_below": _q("files_v", """SELECT id, path FROM files_v f WHERE id <> 1 AND NOT EXISTS (SELECT 1 FROM dirs WHERE starts_with(f.path, d || '/'))""",
+    "not_below": _q("files_v", """SELECT id, path FROM files_v f WHERE name <> 'doc_03.py' AND NOT EXISTS (SELECT 1 FROM dirs WHERE starts_with(f.path, d || '/'))""",
                     "dirs AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS d FROM files_v WHERE extension = '.exe')"),
     "exclude_prefixes": _q("places_v", "SELECT * FROM places_v WHERE NOT starts_with(path, '/etc') AND NOT starts_with(path, '/home/etc/1-URGENT')"),
     "exclude_globs": _q("files_v", r"""SELECT id, path, name FROM files_v WHERE NOT regexp_matches(name, '(?i)^(.*\.xyz|doc_0[0-3].*|tax_20.4\..*)$')

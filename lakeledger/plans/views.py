@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -130,8 +132,21 @@ def _text(name: str, dialect: str) -> str:
     return text
 
 
+_PLANNED: WeakKeyDictionary[SparkSession, dict[tuple[str, str], DataFrame]] = WeakKeyDictionary()
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view (or a raw table) as a DataFrame over the parquet files of ``sf_dir``."""
+    """A view (or a raw table) as a DataFrame over the parquet files of ``sf_dir``.
+
+    The plan is made once per session; no data is kept.
+    """
+    planned = _PLANNED.setdefault(spark, {})
+    if (sf_dir, name) not in planned:
+        planned[sf_dir, name] = _plan(spark, sf_dir, name)
+    return planned[sf_dir, name]
+
+
+def _plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     parts = [
         f"{n} AS ({_text(n, 'spark')})" if n in VIEWS else f"{n} AS (SELECT * FROM parquet.`{sf_dir}/{n}.parquet`)"
         for n in _closure([name])

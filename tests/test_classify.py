@@ -140,3 +140,18 @@ def test_changes(spark):
         1: ("new", "p", "glob", 7, True), 2: ("again", "s", "glob", 0, True), 3: ("made", "q", "glob", 3, True),
         5: ("late", "r", "glob", 0, True),
     }
+
+
+def test_maintenance_validates_updates_too(spark):
+    table = rules(spark, (1, "a", "p", "glob", "c", "t", 5, True), (2, "b", "p", "glob", "c", "t", 9, True))
+    changes = spark.createDataFrame([
+        (1, 1, "update", None, 5000, None, None), (2, 2, "update", None, 7, None, None),
+        (3, 3, "create", "x", None, "c", "t"), (4, 4, "create", "", None, "c", "t"), (2, 5, "update", None, None, "", None),
+    ], "id BIGINT, seq INT, op STRING, name STRING, priority INT, category STRING, target_folder STRING")
+    changes = changes.withColumn("pattern", F.when(F.col("op") == "create", F.lit("*.x")))
+    after, rejected = R.maintain_rules(table, changes)
+    assert {r["id"]: (r["name"], r["priority"], r["enabled"]) for r in after.collect()} == \
+        {1: ("a", 5, True), 2: ("b", 9, True), 3: ("x", 0, True)}
+    assert {r["id"]: list(r["reasons"]) for r in rejected.collect()} == {
+        1: ["priority must be between 0 and 1000"], 2: ["category must have 1 to 64 characters"],
+        4: ["name must have 1 to 128 characters"]}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lakeledger.operators import logs as L, organize as O, undo as U
 from lakeledger.plans.organize import organize
-from lakeledger.schemas import FILES, LOGS, UNDO_HISTORY
+from lakeledger.schemas import FILES, LOG_RESPONSE, LOGS, UNDO_HISTORY, respond
 
 
 def requests(spark, *rows):
@@ -90,6 +90,7 @@ def test_organize(spark):
     assert {r["log_id"] for r in undo} == {r["id"] for r in logs if r["status"] == "success"}
     assert all(r["id"] >= 100 for r in logs) and len({r["id"] for r in logs}) == 4
     assert done.logs.schema.names == [f.split()[0] for f in LOGS.split(", ")]
+    assert respond(done.logs, LOG_RESPONSE).columns == done.logs.columns
     assert done.undo.schema.names == [f.split()[0] for f in UNDO_HISTORY.split(", ")]
 
 
