@@ -146,29 +146,35 @@ def scan_merge(
 
 
 def scan_stats(files: DataFrame, elapsed_seconds: float | None = None) -> DataFrame:
-    """One row: files, directories above them, protected skips, errors, total bytes and the rate.
+    """One row: files, directories, protected skips, errors, total bytes and the rate.
 
-    Directories are counted from the distinct parents of the files, so the expansion to all
-    ancestors works on directories, not on files.
+    A listing with directory rows has them counted as they are. Otherwise directories are those above the
+    files, found from the distinct parents, so that the expansion to all ancestors works on directories.
     """
     protected = is_protected("path")
-    error = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)
-    regular = ~F.col("is_directory") if "is_directory" in files.columns else F.lit(True)
-    good = ~protected & ~error & regular
-    totals = files.agg(
-        F.count_if(good).alias("total_files"),
-        F.count_if(protected & regular).alias("skipped_protected"),
-        F.count_if(error & ~protected).alias("skipped_errors"),
-        F.coalesce(F.sum(F.when(good, F.col("size"))), F.lit(0)).cast("bigint").alias("total_bytes"),
-    )
-    parents = files.filter(good).select(dir_name("path").alias("directory")).distinct()
-    directories = (
-        parents.select(F.explode(ancestors("directory")).alias("directory"))
-        .distinct()
-        .agg(F.count(F.lit(1)).alias("total_dirs"))
-    )
-    # two one-row results side by side
-    stats = totals.withColumn("_one", F.lit(1)).join(directories.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    pruned = F.coalesce(error == "protected", F.lit(False))
+    walked = "is_directory" in files.columns
+    regular = ~F.col("is_directory") if walked else F.lit(True)
+    good = ~protected & error.isNull()
+    counts = [
+        F.count_if(good & regular).alias("total_files"),
+        F.count_if((protected & regular) | pruned).alias("skipped_protected"),
+        F.count_if(error.isNotNull() & ~pruned & ~protected).alias("skipped_errors"),
+        F.coalesce(F.sum(F.when(good & regular, F.col("size"))), F.lit(0)).cast("bigint").alias("total_bytes"),
+    ]
+    if walked:
+        stats = files.agg(*counts, F.count_if(good & ~regular).alias("total_dirs"))
+    else:
+        parents = files.filter(good).select(dir_name("path").alias("directory")).distinct()
+        directories = (
+            parents.select(F.explode(ancestors("directory")).alias("directory"))
+            .distinct()
+            .agg(F.count(F.lit(1)).alias("total_dirs"))
+        )
+        # two one-row results side by side
+        one = F.lit(1)
+        stats = files.agg(*counts).withColumn("_one", one).join(directories.withColumn("_one", one), "_one").drop("_one")
     if elapsed_seconds is None:
         return stats
     return stats.withColumn("elapsed_seconds", F.lit(float(elapsed_seconds))).withColumn(

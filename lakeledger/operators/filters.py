@@ -19,7 +19,7 @@ def _any(conditions: list[Column]) -> Column:
 def is_under(path: Column | str, directory: str, separator: str = "/") -> Column:
     """The path is the directory or lies below it."""
     path = _col(path)
-    return (path == directory) | path.startswith(directory + separator)
+    return (path == directory) | path.startswith(directory.removesuffix(separator) + separator)
 
 
 def has_prefix(path: Column | str, prefix: str) -> Column:
@@ -76,7 +76,12 @@ def exclude_globs(files: DataFrame, globs: list[str]) -> DataFrame:
 
 
 def regular_files(listing: DataFrame) -> DataFrame:
-    """Regular files only; links are not followed. A listing without the marks holds files only."""
+    """Regular files only; links are not followed, rows of what could not be read are left out.
+
+    A listing without these marks holds files only.
+    """
+    if "error" in listing.columns:
+        listing = listing.filter(F.col("error").isNull())
     for mark in ("is_symlink", "is_directory"):
         if mark in listing.columns:
             listing = listing.filter(~F.coalesce(F.col(mark), F.lit(False)))

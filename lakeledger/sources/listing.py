@@ -39,12 +39,12 @@ def list_files(spark: SparkSession, *roots: str) -> DataFrame:
     )
     return found.select(
         "path", base_name("path").alias("name"), extension(base_name("path")).alias("extension"), "size",
-        "last_modified", F.lit(False).alias("is_symlink"), F.lit(False).alias("is_directory"),
+        "last_modified",
     )
 
 
 def _under(path: str, roots: list[str]) -> bool:
-    return any(path == root or path.startswith(root + "/") for root in roots)
+    return any(path == root or path.startswith(root.rstrip("/") + "/") for root in roots)
 
 
 def _list_directory(directory: str, protected: list[str]) -> Iterator[tuple]:

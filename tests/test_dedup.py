@@ -118,6 +118,18 @@ def test_hot_keys_are_salted_and_nothing_is_lost(spark):
     assert D.repeated(files, ["hash"], hot_rows=100).count() == 4_000
 
 
+def test_rows_without_a_key_stay_in_outer_and_anti_joins(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "z"), (4, "a")], "id BIGINT, k STRING")
+    table = spark.createDataFrame([("a", 2)], "k STRING, n BIGINT")
+    left = join_by_key(rows, table, ["k"], "left", "n", hot_rows=1)
+    assert {(r["id"], r["n"]) for r in left.collect()} == {(1, 2), (2, None), (3, None), (4, 2)}
+    for given in ("n", None):
+        anti = join_by_key(rows, table, ["k"], "left_anti", given, hot_rows=1)
+        assert {r["id"] for r in anti.collect()} == {2, 3}
+        semi = join_by_key(rows, table, ["k"], "left_semi", given, hot_rows=1)
+        assert {r["id"] for r in semi.collect()} == {1, 4}
+
+
 def test_hot_duplicate_group(spark):
     files = skewed_files(spark)
     expected = {(r["hash"], r["id"]): r["rank"] for r in files.filter("id % 3 < 2").select(

@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from lakeledger.operators.catalog import scan_stats
 from lakeledger.plans.scan import scan, scan_records
 from lakeledger.schemas import FILES
 from lakeledger.sources import tables as T
@@ -30,8 +31,12 @@ def test_tree(spark, tmp_path):
     info = os.stat(tmp_path / "docs/notes.txt")
     assert found["docs/notes.txt"]["last_modified"] == info.st_mtime
     assert [os.path.basename(r["path"]) for r in listing.filter("error = 'protected'").collect()] == ["sys"]
+    stats = scan_stats(listing).collect()[0]
+    assert (stats["total_files"], stats["skipped_protected"], stats["skipped_errors"], stats["total_dirs"]) == (12, 1, 0, 10)
     missing = list_tree(spark, [str(tmp_path / "nowhere")]).collect()
     assert len(missing) == 1 and "No such file" in missing[0]["error"]
+    nowhere = list_tree(spark, [str(tmp_path / "nowhere")])
+    assert scan_stats(nowhere).collect()[0]["skipped_errors"] == 1 and scan_records(nowhere).count() == 0
 
 
 def test_protected_root(spark, tmp_path):
@@ -54,7 +59,7 @@ def test_scan_of_a_folder_and_again(spark, tmp_path):
     got = {r["name"]: r["category"] for r in first.catalog.collect()}
     assert got["report.pdf"] == "Documents" and got["main.py"] == "Code" and len(got) == 9
     stats = first.stats.collect()[0]
-    assert stats["total_files"] == 9 and stats["files_per_second"] > 0
+    assert stats["total_files"] == 9 and stats["total_dirs"] == 9 and stats["files_per_second"] > 0
     (tmp_path / "docs/new_document.docx").write_bytes(b"n")
     second = scan(first.catalog, list_tree(spark, [str(tmp_path)]), 2, [str(tmp_path)], protected=[])
     assert second.session.collect()[0]["total_files"] == 1
