@@ -62,7 +62,14 @@ def current_version(spark: SparkSession, root: str) -> int | None:
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None, schema=None) -> DataFrame:
-    """The snapshot of ``version``, by default the newest published one."""
+    """The snapshot of ``version``, by default the newest published one.
+
+    With a ``schema`` it is empty where nothing was published yet.
+    """
     version = current_version(spark, root) if version is None else version
+    if version is None:
+        if schema is None:
+            raise FileNotFoundError(f"no snapshot was published in {root}")
+        return spark.createDataFrame([], schema)
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(f"{root}/snapshot={version}")

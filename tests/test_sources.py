@@ -4,7 +4,10 @@ import os
 
 from pyspark.sql import functions as F
 
+from lakeledger.operators import browse, dedup
 from lakeledger.operators.catalog import scan_stats
+from lakeledger.operators.organize import folder_entries
+from lakeledger.plans.organize import organize
 from lakeledger.plans.scan import scan, scan_records
 from lakeledger.schemas import FILES
 from lakeledger.sources import tables as T
@@ -78,6 +81,23 @@ def test_snapshots(spark, tmp_path):
     assert T.read_snapshot(spark, root).count() == 2 and T.read_snapshot(spark, root, 1).count() == 1
 
 
+def test_whole_flow(spark, tmp_path):
+    share, store = tmp_path / "share", str(tmp_path / "catalog")
+    make_tree(share, ["code/copy.txt", "docs/copy.txt"])
+    for name in ("code/copy.txt", "docs/copy.txt"):
+        (share / name).write_bytes(b"same" * 500)
+    old = T.read_snapshot(spark, store, schema=FILES)
+    done = scan(old, list_tree(spark, [str(share)]), 7, [str(share)], unique=True, protected=[])
+    T.write_snapshot(done.catalog, store, version=7)
+    catalog = T.read_snapshot(spark, store, schema=FILES)
+    members = dedup.dup_members(dedup.hash_candidates(catalog)).collect()
+    assert sorted(r["label"] for r in members) == ["COPY 1", "KEEP"]
+    assert [r["name"] for r in browse.browse(catalog, 7, term="photo").collect()] == ["photo.jpg"]
+    moves = organize(catalog, 7, str(share / "sorted"), existing=folder_entries(catalog), sources=catalog.select("path"))
+    names = sorted(os.path.relpath(r["destination"], share) for r in moves.plan.collect())
+    assert "sorted/Documents/copy.txt" in names and "sorted/Documents/copy_(1).txt" in names and len(names) == 11
+
+
 def test_tables(spark, tmp_path):
     path = str(tmp_path / "logs")
     rows = spark.createDataFrame([(1, 1), (2, 2)], "id BIGINT, session_id BIGINT")
