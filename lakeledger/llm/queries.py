@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, secrets
+from . import bpe, crf, learn, quality_rules, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,15 @@ def _listed(spans: Column) -> Column:
     return F.array_join(one, ",")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    remainder = learn.bucket_of("doc_id", 5)
+    field = crf.fit(docs, _table(spark, sf_dir, "labels"), remainder != 0)
+    return crf.score(docs, field).select(
+        "doc_id", (remainder == 0).alias("held_out"), "score",
+        (F.col("score") >= crf.SCORE_CUT).cast("int").alias("predicted"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_documents(spark, sf_dir))
     base = [rule.kind for rule in secrets.BASE_RULES]
@@ -43,8 +52,18 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         _listed(F.col("spans")).alias("spans"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
+    "op10_quality_rules": op10_quality_rules,
+}
+ORACLE: dict[str, str] = {
+    "op10_quality_rules": quality_rules.oracle_sql(),
 }
-ORACLE: dict[str, str] = {}
