@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
@@ -19,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CACHE_ENTRIES = 250_000     # pre-tokens, and words, that a Python worker remembers: bounds memory, never changes a result
+CACHE_ENTRIES = 350_000     # words that a Python worker remembers, in each of two generations: bounds memory, never changes a result
 CACHE_CHARS = 48            # longer ones are encoded anew each time
 _BITS = [1 << i for i in range(256)]
+_HIGH = [i << 8 for i in range(256)]
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -38,12 +40,12 @@ class ByteBpe:
         self.tokens: list[bytes] = [b""] * size
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         # The rank queue: positions by rank, a bit per bucket with entries, a bit per word with such a bit.
         self.buckets: list[list[int]] = [[] for _ in range(size)]
         self.words = [0] * ((size >> 8) + 1)
         self.pieces = regex.compile(pattern).findall
-        self.known_pieces: dict[str, bytes] = {}
-        self.known_words = _Words(self)
+        self.known = _Known(self)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -53,11 +55,11 @@ class ByteBpe:
             return [known]
         n, top = len(piece), 0
         following, before = list(range(1, n + 2)), list(range(-1, n))
-        pair = [-1] * n                                   # rank of the token that this one and the next would make
-        for i in range(n - 1):
-            rank = get(piece[i:i + 2])
-            if rank is not None:
-                pair[i] = rank
+        # rank of the token that this one and the next would make, -1 for none
+        pair = list(map(self.pairs.__getitem__, map(int.__add__, map(_HIGH.__getitem__, piece), piece[1:])))
+        pair.append(-1)
+        for i, rank in enumerate(pair):
+            if rank >= 0:
                 bucket = buckets[rank]
                 if not bucket:
                     word = rank >> 8
@@ -82,45 +84,46 @@ class ByteBpe:
             pair[right] = -1
             after = following[right]
             following[i] = after
+            at = i
             if after < n:
                 before[after] = i
-            left = before[i]
-            for at in (i,) if left < 0 else (left, i):
-                middle = following[at]
+                rank = get(piece[i:following[after]]) if following[after] - i <= longest else None
+            else:
                 rank = None
-                if middle < n and following[middle] - at <= longest:
-                    rank = get(piece[at:following[middle]])
+            while True:                                   # the pair from here, then the one before
                 if rank is None:
                     pair[at] = -1
-                    continue
-                pair[at] = rank
-                bucket = buckets[rank]
-                if bucket:
-                    heappush(bucket, at)
                 else:
-                    bucket.append(at)
-                    word = rank >> 8
-                    words[word] |= bits[rank & 255]
-                    top |= bits[word]
+                    pair[at] = rank
+                    bucket = buckets[rank]
+                    if bucket:
+                        heappush(bucket, at)
+                    else:
+                        bucket.append(at)
+                        word = rank >> 8
+                        words[word] |= bits[rank & 255]
+                        top |= bits[word]
+                left = before[i]
+                if at != i or left < 0:
+                    break
+                at = left
+                rank = get(piece[at:after]) if after - at <= longest else None
         ids, ranks, i = [], self.ranks, 0
         while i < n:
             ids.append(ranks[piece[i:following[i]]])
             i = following[i]
         return ids
 
-    def pieces_of(self, text: str) -> bytes:
+    def stretch(self, text: str) -> bytes:
         """Ids of a stretch of text, pre-token by pre-token."""
-        known, out = self.known_pieces, []
-        for piece in self.pieces(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = np.array(self.merge(piece.encode("utf-8", "replace")), "<u4").tobytes()
-                if len(piece) <= CACHE_CHARS:
-                    if len(known) >= CACHE_ENTRIES:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        pieces, known = self.pieces(text), self.known
+        if len(pieces) == 1:
+            return self.piece(text)
+        # a pre-token of a space and something else is a stretch of its own
+        return b"".join([known[p[1:]] if p[0] == " " and not p.isspace() else self.piece(p) for p in pieces])
+
+    def piece(self, piece: str) -> bytes:
+        return array("I", self.merge(piece.encode("utf-8", "replace"))).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian uint32.
@@ -131,23 +134,30 @@ class ByteBpe:
         if not text:
             return b""
         first, *rest = _SINGLE_SPACE.split(text)
-        return self.pieces_of(first) + b"".join(map(self.known_words.__getitem__, rest))
+        return self.stretch(first) + b"".join(map(self.known.__getitem__, rest))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Words(dict):
-    """Ids of a stretch of text with the space before it."""
+class _Known(dict):
+    """Ids of a stretch of text with the space before it, for stretches seen lately.
+
+    Two generations: when one is full it becomes the old one, and what is asked for again moves on from there.
+    """
 
     def __init__(self, encoder: ByteBpe):
         super().__init__()
         self.encoder = encoder
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encoder.pieces_of(" " + word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encoder.stretch(" " + word)
         if len(word) <= CACHE_CHARS and "\n" not in word:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids

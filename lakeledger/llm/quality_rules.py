@@ -41,7 +41,7 @@ def _covered(hashes: Column) -> Column:
 
     Windows are sorted with their positions, equal neighbours kept, and the words they cover counted once.
     """
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     last = F.size(hashes) - 1
 
     def repeated(entry: Column, j: Column, all_: Column) -> Column:

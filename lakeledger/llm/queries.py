@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, crf, learn, quality_rules, secrets
+from . import bpe, crf, decontaminate, learn, quality_rules, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,24 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         _listed(F.col("spans")).alias("spans"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"), "longest", "longest_item", "longest_start")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    remainder = learn.bucket_of("doc_id", 4)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), remainder != 2)
+    return toxicity.score(docs, model).select(
+        "doc_id", (remainder == 2).alias("held_out"), "score",
+        (F.col("score") >= toxicity.SCORE_CUT).cast("int").alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -62,6 +80,8 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {

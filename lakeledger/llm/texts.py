@@ -128,7 +128,7 @@ def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
     terms *= powers(which, n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(terms, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse_powers(which, n)[starts] + (ends - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * inverse_powers(which, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
 def documents_of(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
