@@ -2,7 +2,8 @@
 
 Features of a text: densities of a lexicon, hits near the second person, obfuscated hits, capitals, punctuation and
 obfuscation rates. The lexicon is learned: words in a normal form (lower case, look-alike digits and signs undone,
-doubled letters made single) whose document frequency differs most between toxic and other sampled documents.
+doubled letters made single), and beginnings of words, whose document frequency differs most between toxic and
+other sampled documents.
 
 Everything is fitted on a bounded sample, ``PER_CLASS`` labelled documents of each class in hash order, cut by hash into a part for
 the lexicon, one for the trees and one for the calibration. Document frequencies are counted by Spark; the few thousand feature
@@ -29,6 +30,7 @@ PER_CLASS = 4000
 LEXICON = 400               # words at most
 LEAST_DOCUMENTS = 3         # toxic sample documents that a lexicon word must occur in
 NEAR = 5                    # words
+STEMS = (4, 5)              # first bytes of longer words that may stand in the lexicon for all their forms
 SCORE_CUT = 0.3
 TREES, DEPTH, BINS = 60, 3, 32
 
@@ -46,7 +48,10 @@ N_FEATURES = 15
 
 
 def word_forms(data: np.ndarray, offsets: np.ndarray):
-    """(hash of the normal form, whether a sign stands between letters, starts, ends, first) of all words."""
+    """(forms, whether a sign stands between letters, starts, ends, first) of all words.
+
+    ``forms`` has a column for the normal form and one for its first bytes of every length in ``STEMS``: hashes, 0 for none.
+    """
     starts, ends, first = word_bounds(data, offsets, WORD)
     plain = _PLAIN[data]
     # signs at the edge of a word are punctuation; between letters they stand for one
@@ -62,15 +67,19 @@ def word_forms(data: np.ndarray, offsets: np.ndarray):
     kept = _LETTER[shape]
     kept[1:] &= (shape[1:] != shape[:-1]) | (shape[1:] >= 0x80) | ~WORD[data[:-1]]
     places = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])
-    hashes = hash_spans(shape[kept], places[starts], places[ends])
-    hashes[places[starts] == places[ends]] = 0
+    low, high, shape = places[starts], places[ends], shape[kept]
+    forms = np.zeros((len(starts), 1 + len(STEMS)), np.uint64)
+    forms[:, 0] = np.where(low < high, hash_spans(shape, low, high), np.uint64(0))
+    for k, length in enumerate(STEMS, 1):
+        long = high - low > length
+        forms[long, k] = hash_spans(shape, low[long], low[long] + length, 1)
     signs = np.concatenate([[0], np.cumsum(inside & ~plain, dtype=np.int64)])
-    return hashes, signs[ends] > signs[starts], starts, ends, first
+    return forms, signs[ends] > signs[starts], starts, ends, first
 
 
 def form_hash(word: str) -> int:
     data = np.frombuffer(word.encode("utf-8"), np.uint8)
-    return int(word_forms(data, np.array([0, len(data)]))[0][0])
+    return int(word_forms(data, np.array([0, len(data)]))[0][0, 0])
 
 
 _SECOND = np.unique(np.array([form_hash(w) for w in SECOND_PERSON.split()], np.uint64))
@@ -87,7 +96,8 @@ def _member(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
 def features(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """One row per text; ``words`` are the sorted hashes of the lexicon, ``weights`` their log-odds."""
     n_docs = len(offsets) - 1
-    hashes, signed, starts, ends, first = word_forms(data, offsets)
+    forms, signed, starts, ends, first = word_forms(data, offsets)
+    hashes = forms[:, 0]
     doc = np.repeat(np.arange(n_docs), np.diff(first))
 
     def per_doc(values: np.ndarray) -> np.ndarray:
@@ -97,9 +107,13 @@ def features(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, weights:
         sums = np.concatenate([[0], np.cumsum(table[data], dtype=np.int64)])
         return (sums[offsets[1:]] - sums[offsets[:-1]]).astype(float)
 
-    at = _member(hashes, words)
+    at, weight = np.full(len(hashes), -1), np.zeros(len(hashes))
+    for form in forms.T:
+        found = _member(form, words)
+        at = np.where(at < 0, found, at)
+        if len(weights):
+            weight = np.maximum(weight, np.where(found >= 0, weights[found], 0.0))
     hit = at >= 0
-    weight = np.where(hit, weights[np.maximum(at, 0)] if len(weights) else 0.0, 0.0)
     second = _member(hashes, _SECOND) >= 0
     sums = np.concatenate([[0], np.cumsum(second)])
     index = np.arange(len(hashes))
@@ -203,15 +217,17 @@ def _distinct_forms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         data, offsets = documents_of(batch, "_text")
         label = np.asarray(batch.column(batch.schema.names.index("_label")))
         for low, high in chunks(offsets):
-            hashes, _, _, _, first = word_forms(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
-            pairs = np.unique(np.column_stack([np.repeat(np.arange(low, high), np.diff(first)).astype(np.uint64), hashes]), axis=0)
+            forms, _, _, _, first = word_forms(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
+            doc = np.repeat(np.arange(low, high), np.diff(first)).astype(np.uint64)
+            pairs = np.column_stack([np.tile(doc, forms.shape[1]), forms.T.ravel()])
+            pairs = np.unique(pairs[pairs[:, 1] != 0], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].view(np.int64)), pa.array(label[pairs[:, 0].astype(np.int64)])],
                                              ["form", "label"])
 
 
 def learn_lexicon(chosen: DataFrame, counts: dict, size: int = LEXICON) -> tuple[np.ndarray, np.ndarray]:
     """(sorted form hashes, log-odds) of the words whose share of toxic documents stands out most."""
-    forms = chosen.mapInArrow(_distinct_forms, "form bigint, label int").filter("form <> 0")
+    forms = chosen.mapInArrow(_distinct_forms, "form bigint, label int")
     seen = forms.groupBy("form").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("other"))
     toxic, other = max(counts.get(1, 0), 1), max(counts.get(0, 0), 1)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("other") + 0.5) / (other + 1.0))
