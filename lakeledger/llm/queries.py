@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, crf, decontaminate, learn, quality_rules, secrets, toxicity
+from . import bpe, crf, decontaminate, jaccard, learn, quality_rules, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n_hit > 0).alias("contaminated"), "longest", "longest_item", "longest_start")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     remainder = learn.bucket_of("doc_id", 4)
@@ -81,6 +85,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
     "op7_decontaminate": op7_decontaminate,
+    "op8_jaccard": op8_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
