@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, crf, decontaminate, jaccard, learn, quality_rules, secrets, toxicity
+from . import backoff, bpe, crf, decontaminate, jaccard, learn, quality_rules, secrets, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         _listed(F.col("spans")).alias("spans"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.remove_repeated(_documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = learn.bucket_of("doc_id", 10)
+    scored = backoff.score(_documents(spark, sf_dir), remainder != 0)
+    return scored.select("doc_id", (remainder == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
@@ -84,6 +96,8 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
+    "op5_substrings": op5_substrings,
+    "op6_backoff": op6_backoff,
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard": op8_jaccard,
     "op9_toxicity": op9_toxicity,
