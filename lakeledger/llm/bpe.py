@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CACHE_ENTRIES = 350_000     # words that a Python worker remembers, in each of two generations: bounds memory, never changes a result
+# Words that a Python worker remembers, in each of two generations: bounds its memory, never changes a result.
+CACHE_ENTRIES = 350_000
 CACHE_CHARS = 48            # longer ones are encoded anew each time
 _BITS = [1 << i for i in range(256)]
 _HIGH = [i << 8 for i in range(256)]
