@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import backoff, bpe, crf, decontaminate, jaccard, learn, quality_rules, secrets, substrings, toxicity
+from . import backoff, bpe, crf, decontaminate, jaccard, learn, quality_rules, secrets, substrings, toxicity, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         _listed(F.col("spans")).alias("spans"))
 
 
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, events = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "events")
+    judged = url_lists.evaluate(url_lists.captures_of(pages, events), url_lists.entries_of(pages, events))
+    return judged.withColumnRenamed("id", "page_id")
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.remove_repeated(_documents(spark, sf_dir))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -96,6 +102,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
+    "op4_url_lists": op4_url_lists,
     "op5_substrings": op5_substrings,
     "op6_backoff": op6_backoff,
     "op7_decontaminate": op7_decontaminate,
@@ -104,5 +111,6 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {
+    "op4_url_lists": url_lists.ORACLE,
     "op10_quality_rules": quality_rules.oracle_sql(),
 }
