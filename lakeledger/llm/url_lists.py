@@ -79,7 +79,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, width: int = BUCKET) -> Da
     force = F.when(F.size(past) > 0, F.element_at(past, -1))
     hit = F.when(force["added"], F.struct(F.length("key").alias("n"), F.col("key").alias("key"), force["at"].alias("since")))
     grouped = met.select("id", "url", "at", hit.alias("hit")).groupBy("id", "url", "at").agg(
-        F.count("hit").alias("n_active"), F.max("hit").alias("best"))
+        F.size(F.collect_set("hit.key")).cast("bigint").alias("n_active"), F.max("hit").alias("best"))
     age = F.floor((F.col("at") - F.col("best.since")) / 1_000_000).cast("bigint")
     return grouped.select("id", host_of(F.col("url")).alias("host"), "n_active", F.col("best.key").alias("matched"),
                           age.alias("entry_age_s"), (F.col("n_active") == 0).alias("kept"))
