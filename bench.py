@@ -6,13 +6,13 @@ BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose th
 import json
 import os
 import sys
-import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from lakeledger import run_scope  # noqa: E402
 from lakeledger.plans.queries import QUERIES  # noqa: E402
 
 HEADLINE = (
@@ -32,7 +32,6 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-checkpoint-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -42,7 +41,8 @@ def main() -> None:
         best = None
         for _ in range(2):   # the first run warms the JVM
             started = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            with run_scope(spark):
+                QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             spent = time.perf_counter() - started
             best = spent if best is None else min(best, spent)
         times[name] = round(best, 3)

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import ancestors, base_name, dir_name, extension
 from ..functions.scalars import rate
+from ..session import cut_lineage
 from .classify import default_category
 from .filters import is_protected
+from .ranking import dense_ids
 from .skew import join_by_key
 
 RECORD = ["name", "extension", "size", "category", "last_modified"]
@@ -87,9 +89,13 @@ def snapshot_diff(files: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def new_id(path: Column | str = "path") -> Column:
-    """Stable id of a file seen for the first time; the key of the catalog stays the path."""
-    return F.xxhash64(path)
+def with_ids(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Rows without an id get the numbers above the catalog's highest, in the order of their paths."""
+    written = cut_lineage(rows)
+    highest = catalog.agg(F.max("id")).first()[0]
+    missing = written.filter(F.col("id").isNull())
+    numbered = dense_ids(missing.drop("id"), ["path"], 0 if highest is None else highest + 1)
+    return written.filter(F.col("id").isNotNull()).unionByName(numbered.select(*written.columns))
 
 
 def _merge(new: DataFrame, catalog: DataFrame, written: Column, now: Column | None) -> DataFrame:
@@ -100,7 +106,7 @@ def _merge(new: DataFrame, catalog: DataFrame, written: Column, now: Column | No
     known = catalog.select("path", *[F.col(c).alias(f"_old_{c}") for c in catalog.columns if c != "path"],
                            F.lit(True).alias("_old"))
     joined = incoming.join(known, "path", "full_outer").withColumn("_write", F.col("_new").isNotNull() & written)
-    given = F.col("_new_id") if "id" in new.columns else new_id()
+    given = F.col("_new_id") if "id" in new.columns else F.lit(None).cast("bigint")
     out = []
     for column in catalog.columns:
         if column == "path":
@@ -114,7 +120,8 @@ def _merge(new: DataFrame, catalog: DataFrame, written: Column, now: Column | No
         else:
             value = F.col(f"_old_{column}")
         out.append(value.alias(column))
-    return joined.select(*out, "_write", F.col("_new").isNotNull().alias("_seen"))
+    merged = joined.select(*out, "_write", F.col("_new").isNotNull().alias("_seen"))
+    return with_ids(merged, catalog) if "id" in catalog.columns and "id" not in new.columns else merged
 
 
 def upsert_catalog(

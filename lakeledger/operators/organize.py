@@ -109,8 +109,7 @@ def organize_summary(plan: DataFrame) -> DataFrame:
 
 
 def move_log(
-    plan: DataFrame, session_id: int | Column, timestamp: float | Column, dry_run: bool = False,
-    log_id: str | Column = "id",
+    plan: DataFrame, session_id: int | Column, timestamp: float | Column, log_id: str | Column, dry_run: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Log and undo rows of a plan. A dry run logs its failures and nothing else.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 ROWS_PER_BUCKET = 200_000
 
 
@@ -51,3 +53,20 @@ def number_rows(
         .withColumn(rank, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint"))
         .drop("_local", "_before", "_slice")
     )
+
+
+def dense_ids(rows: DataFrame, order: list[str], start: int = 0, name: str = "id") -> DataFrame:
+    """``rows`` with whole numbers from ``start`` in the given order, without gaps.
+
+    The rows are range-partitioned, sorted and written once with their place in the partition; the sizes of the partitions before
+    (one row per partition) move them up. No task sees more than its range.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    written = cut_lineage(placed)
+    part = F.shiftright("_place", 33)           # how Spark builds these numbers: partition, then row
+    sizes = written.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    moved = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = written.withColumn("_part", part).join(moved, "_part")
+    return joined.withColumn(name, (F.lit(start) + F.col("_before") + inside).cast("bigint")).drop("_part", "_place", "_before")

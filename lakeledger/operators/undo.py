@@ -28,12 +28,16 @@ def plan_undo(candidates: DataFrame, listing: DataFrame) -> DataFrame:
 
     The original path when it is free; the first claim by log id has it. Otherwise a numbered variant of
     the *current* name in the original folder. Original paths are given out first, so a variant never
-    takes a place another file of the batch returns to.
+    takes a place another file of the batch returns to. A file that several logs name goes back once, for the
+    lowest log id; for the others it is no longer there.
     """
     there = listing.select("path").distinct()
     found = there.select(F.col("path").alias("current_path"), F.lit(True).alias("_found"))
     rows = candidates.join(found, "current_path", "left").select(
         "log_id", "original_path", "current_path", F.col("_found").isNotNull().alias("_found"))
+    owners = rows.filter("_found").groupBy("current_path").agg(F.min("log_id").alias("log_id"))
+    rows = rows.join(owners.select("log_id", F.lit(True).alias("_owner")), "log_id", "left").withColumn(
+        "_found", F.col("_owner").isNotNull()).drop("_owner")
     # one claim per path, however many logs name it; only claims are looked up in the listing, and they are
     # joined back by log id
     first = (

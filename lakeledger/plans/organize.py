@@ -37,5 +37,5 @@ def organize(
         "log_id", F.monotonically_increasing_id() + F.lit(first_log_id)
     )
     plan = cut_lineage(plan)
-    logs, undo = move_log(plan, session_id, time.time() if now is None else now, dry_run, "log_id")
+    logs, undo = move_log(plan, session_id, time.time() if now is None else now, "log_id", dry_run)
     return Organized(plan, logs, undo, files if dry_run else moved_catalog(files, plan))

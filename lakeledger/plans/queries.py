@@ -8,16 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import paths as P, scalars as S
-from ..functions.hashing import xxh64_fingerprint
 from ..operators import browse as B, catalog as C, classify as K, dedup as D, filters as X, logs as L, organize as O
 from ..operators import rules as R, stats as A, undo as U
 from ..schemas import FILE_RESPONSE
 from ..session import apply_settings, checkpoint_folder, cut_lineage
-from ..sources.content import path_digests
-from ..sources.listing import list_files, list_tree, listed_files
 from ..streaming import changes as G, debounce as E
 from .organize import organize
-from .scan import scan_catalog, scan_records
+from .scan import scan_catalog
 from .views import view
 
 GAP = 12 * 3600
@@ -103,12 +100,6 @@ def fingerprints(spark, sf):
     return D.with_hashes(files).select("id", "head_hash", "hash")
 
 
-@query
-def xxh64_fingerprints(spark, sf):
-    docs = view(spark, sf, "documents")
-    return docs.select("doc_id", xxh64_fingerprint("text").alias("digest"))
-
-
 # ---- filters
 
 
@@ -429,13 +420,13 @@ def organize_summary(spark, sf):
 @query
 def move_log(spark, sf):
     plan = O.plan_preview(_requests(spark, sf), view(spark, sf, "existing_v"), _sources(spark, sf))
-    return O.move_log(plan, 1, 1.7e9)[0]
+    return O.move_log(plan, 1, 1.7e9, "id")[0]
 
 
 @query
 def move_log_dry_run(spark, sf):
     plan = O.plan_preview(_requests(spark, sf), view(spark, sf, "existing_v"), _sources(spark, sf))
-    return O.move_log(plan, 1, 1.7e9, dry_run=True)[0]
+    return O.move_log(plan, 1, 1.7e9, "id", dry_run=True)[0]
 
 
 @query
@@ -448,7 +439,7 @@ def organize_session(spark, sf):
 @query
 def undo_rows(spark, sf):
     plan = O.plan_preview(_requests(spark, sf), view(spark, sf, "existing_v"), _sources(spark, sf))
-    return O.move_log(plan, 1, 1.7e9)[1]
+    return O.move_log(plan, 1, 1.7e9, "id")[1]
 
 
 # ---- logs and undo
@@ -475,7 +466,7 @@ def drop_logs(spark, sf):
 def verify_copies(spark, sf):
     # a target's content is its source's, but for what changed since: three sources are corrupted
     plan = O.plan_preview(_requests(spark, sf), view(spark, sf, "existing_v"))
-    logs = cut_lineage(O.move_log(plan, 1, 1.7e9)[0])
+    logs = cut_lineage(O.move_log(plan, 1, 1.7e9, "id")[0])
     hashes = D.write_hashes(_hashed(spark, sf)).select("id", "path", "hash")
     changed = F.when(F.col("old_path").rlike("/src[234]/"), F.lit("damaged")).otherwise(F.col("hash"))
     # previews of different files may name one target; the first file is the one that got there
@@ -584,27 +575,3 @@ def debounce_root_stream(spark, sf):
 def classify_events(spark, sf):
     found = G.classify_events(view(spark, sf, "fs_events_v"), view(spark, sf, "rules_v"))
     return found.select("event_id", "file", "category", "confidence")
-
-
-# ---- real files: the tables' own parquet files
-
-
-@query
-def list_table_files(spark, sf):
-    return list_files(spark, sf).select("name", "extension", "size")
-
-
-@query
-def list_tree_files(spark, sf):
-    return listed_files(list_tree(spark, [sf], protected=[])).select("name", "extension", "size")
-
-
-@query
-def path_hashes(spark, sf):
-    files = list_files(spark, sf).select("path")
-    return path_digests(files.repartition("path")).select(P.base_name("path").alias("name"), "digest")
-
-
-@query
-def scan_table_files(spark, sf):
-    return scan_records(list_files(spark, sf), protected=[]).select("name", "size", "category")

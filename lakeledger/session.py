@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,15 +37,18 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_scopes: list[list[str]] = []      # folders written inside the open run scopes, innermost last
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A temporary one is made only where none is named (tests, a laptop).
+    Where none is named, a folder below the session's warehouse, where the cluster keeps its tables.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakeledger-checkpoint-"))
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps")
     return context.getCheckpointDir()
 
 
@@ -52,8 +56,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table below the checkpoint folder and go on from there.
 
     A table, unlike an RDD checkpoint, lets later steps read single columns and tells the planner its size.
+    It stays until its run scope closes (``run_scope``) or ``forget`` names it.
     """
     spark = df.sparkSession
     folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    if _scopes:
+        _scopes[-1].append(folder)
+    step = spark.read.schema(df.schema).parquet(folder)
+    step._step_folder = folder
+    return step
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(step: DataFrame) -> None:
+    """Delete the table behind a result of ``cut_lineage`` that nothing reads any more, such as a loop's last round."""
+    folder = getattr(step, "_step_folder", None)
+    if folder is not None:
+        delete_folder(step.sparkSession, folder)
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut_lineage`` writes inside are deleted at the end. Results must have been written or collected by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            delete_folder(spark, folder)

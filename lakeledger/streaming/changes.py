@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paths import base_name, extension
-from ..operators.catalog import new_id
+from ..operators.catalog import with_ids
 from ..operators.classify import classify, default_category
 from ..operators.organize import move_requests, plan_moves
+from ..operators.ranking import dense_ids
 from ..operators.rules import RuleSet
-from ..session import cut_lineage
+from ..session import cut_lineage, forget
 
 
 def last_event_per_path(events: DataFrame) -> DataFrame:
@@ -28,6 +29,7 @@ def resolve_moves(moves: DataFrame) -> DataFrame:
     """
     hops = cut_lineage(moves.select("path", F.col("dest_path").alias("final_path"), F.col("ts").alias("left"),
                                     F.col("ts").alias("arrived")))
+    earlier = hops
     while True:
         onward = hops.select(F.col("path").alias("final_path"), F.col("final_path").alias("_next"),
                              F.col("left").alias("_left"), F.col("arrived").alias("_arrived"))
@@ -38,7 +40,8 @@ def resolve_moves(moves: DataFrame) -> DataFrame:
             F.when(jumps, F.col("_arrived")).otherwise(F.col("arrived")).alias("arrived"),
             jumps.alias("_jumped"),
         ))
-        hops = longer.drop("_jumped")
+        forget(earlier)
+        earlier, hops = longer, longer.drop("_jumped")
         if longer.filter("_jumped").isEmpty():
             return hops.select("path", "final_path", "arrived")
 
@@ -75,7 +78,7 @@ def apply_events(catalog: DataFrame, events: DataFrame) -> DataFrame:
                                                             if c != "path"])
     name = base_name("final_path")
     fresh = {"path": F.col("final_path"), "name": name, "extension": extension(name),
-             "category": default_category(extension(name)), "id": F.coalesce("_s_id", new_id("final_path"))}
+             "category": default_category(extension(name)), "id": F.col("_s_id")}
     moved = live.join(source, "_from", "left").select(
         *[fresh.get(c, F.col(f"_s_{c}")).alias(c) for c in catalog.columns]
     )
@@ -86,10 +89,11 @@ def apply_events(catalog: DataFrame, events: DataFrame) -> DataFrame:
     )
     name = base_name("path")
     blank = {"path": F.col("path"), "name": name, "extension": extension(name),
-             "category": default_category(extension(name)), "id": new_id("path")}
+             "category": default_category(extension(name))}
     types = {f.name: f.dataType for f in catalog.schema}
     created = made.select(*[blank.get(c, F.lit(None)).cast(types[c]).alias(c) for c in catalog.columns])
-    return staying.select(*catalog.columns).unionByName(moved).unionByName(created)
+    changed = moved.unionByName(created)
+    return staying.select(*catalog.columns).unionByName(with_ids(changed, catalog) if "id" in catalog.columns else changed)
 
 
 def classify_events(events: DataFrame, rules: DataFrame | RuleSet) -> DataFrame:
@@ -115,13 +119,16 @@ def auto_organize(
 ) -> Callable[[DataFrame, int], None]:
     """A ``handle`` for ``stream_classify``: move plans for the files that arrive, one folder per micro-batch.
 
-    ``entries`` gives the (dest_dir, name) rows that stand in the folders when the batch starts. A batch that
-    is repeated overwrites its own folder.
+    ``entries`` gives the (dest_dir, name) rows that stand in the folders when the batch starts. Of several events of a file the
+    newest counts; names are numbered in the order of (ts, event_id). A batch that is repeated overwrites its own folder.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        arrived = batch.select(new_id("file").alias("id"), F.col("file").alias("path"), route_by).dropDuplicates(["path"])
-        plan = plan_moves(move_requests(arrived, destination_base, route_by=route_by), entries(), skip_in_place=True)
+        last = F.max_by(F.struct("ts", "event_id", route_by), F.struct("ts", "event_id")).alias("_e")
+        newest = batch.groupBy(F.col("file").alias("path")).agg(last)
+        # numbers go out in the order of arrival; files that arrive together stand in the order of their events
+        arrived = dense_ids(newest.select("path", f"_e.{route_by}", "_e.ts", "_e.event_id"), ["ts", "event_id", "path"])
+        plan = plan_moves(move_requests(arrived.drop("ts", "event_id"), destination_base, route_by=route_by), entries(), skip_in_place=True)
         plan.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
 
     return handle

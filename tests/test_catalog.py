@@ -177,3 +177,29 @@ def test_sessions(spark, shelf):
     assert sorted(ids(left)) == [2, 3]
     joined = {r["id"]: r["session_status"] for r in C.session_files(files, left).collect()}
     assert joined == {1: None, 2: None, 3: None, 4: None, 5: "done"}
+
+
+def test_new_files_get_the_next_ids(spark):
+    from lakeledger.operators.ranking import dense_ids
+
+    rows = spark.createDataFrame([(f"/d/{i:04}",) for i in range(500)], "path STRING").repartition(7)
+    got = {r["path"]: r["id"] for r in dense_ids(rows, ["path"], 41).collect()}
+    assert got == {f"/d/{i:04}": 41 + i for i in range(500)}
+    catalog = spark.createDataFrame([(5, "/d/0001")], "id BIGINT, path STRING")
+    fresh = spark.createDataFrame([(None, "/b"), (5, "/d/0001"), (None, "/a")], "id BIGINT, path STRING")
+    assert {r["path"]: r["id"] for r in C.with_ids(fresh, catalog).collect()} == {"/d/0001": 5, "/a": 6, "/b": 7}
+
+
+def test_a_closed_run_scope_leaves_no_folder(spark):
+    import os
+
+    from lakeledger.session import checkpoint_folder, cut_lineage, forget, run_scope
+
+    root = checkpoint_folder(spark).removeprefix("file:")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    with run_scope(spark):
+        assert cut_lineage(spark.range(3)).count() == 3
+        assert set(os.listdir(root)) > before
+    step = cut_lineage(spark.range(2))
+    forget(step)
+    assert set(os.listdir(root)) == before

@@ -154,3 +154,18 @@ def test_logs(spark):
     assert {r["id"]: r["verified"] for r in L.verify_copies(logs, before, after).collect()} == {1: True, 3: False}
     assert {r["id"]: r["verified"] for r in L.verify_copies(logs, before, after.filter(F.lit(False))).collect()} == \
         {1: False, 3: False}
+
+
+def test_a_file_is_undone_once(spark):
+    """Two logs name one file: the lowest log id has it, the other finds no source, and the catalog keeps one row."""
+    logs = spark.createDataFrame([(1, "/a/x.txt", "/org/x.txt", "success", 1), (2, "/b/x.txt", "/org/x.txt", "success", 1)],
+                                 "id BIGINT, old_path STRING, new_path STRING, status STRING, session_id BIGINT")
+    undo = spark.createDataFrame([(1, 1, "/a/x.txt", True, None), (2, 2, "/b/x.txt", True, None)],
+                                 "id BIGINT, log_id BIGINT, original_path STRING, can_undo BOOLEAN, undone_at DOUBLE")
+    listing = spark.createDataFrame([("/org/x.txt",)], "path STRING")
+    files = spark.createDataFrame([(7, "/org/x.txt", "x.txt")], "id BIGINT, path STRING, name STRING")
+    done = U.undo_moves(logs, undo, listing, 9.0, files=files)
+    rows = {r["log_id"]: (r["success"], r["current_path"]) for r in done.results.collect()}
+    assert rows == {1: (True, "/a/x.txt"), 2: (False, "/org/x.txt")}
+    assert [r["path"] for r in done.files.collect()] == ["/a/x.txt"]
+    assert {r["id"]: r["status"] for r in done.logs.collect()} == {1: "undone", 2: "success"}

@@ -187,6 +187,16 @@ def test_auto_organize(spark, tmp_path):
     assert sorted(r["destination"] for r in plans) == ["/org/Documents/n_(1).txt", "/org/Documents/n_(2).txt"]
 
 
+def test_auto_organize_numbers_in_order_of_arrival(spark, tmp_path):
+    rows = spark.createDataFrame([(f"/w/{6 - i}/n.txt", "Documents", i, i) for i in range(6)] + [("/w/6/n.txt", "Old", -1, 9)],
+                                 "file STRING, category STRING, ts INT, event_id INT").repartition(3)
+    none = spark.createDataFrame([], "dest_dir STRING, name STRING")
+    G.auto_organize("/org", lambda: none, str(tmp_path / "p"))(rows, 0)
+    got = {r["source"]: r["destination"] for r in spark.read.parquet(str(tmp_path / "p")).collect()}
+    names = ["n.txt", *[f"n_({i}).txt" for i in range(1, 6)]]
+    assert got == {f"/w/{6 - i}/n.txt": f"/org/Documents/{names[i]}" for i in range(6)}
+
+
 def test_counts(spark, tmp_path):
     df = events(spark, ("/w", "/w/a", "created", 1.0), ("/w", "/w/b", "created", 59.9), ("/w", "/w/b", "created", 60.0),
                 ("/w", "/w/b", "deleted", 61.0))
