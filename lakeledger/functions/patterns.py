@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, functions as F
 
 from .paths import _col
 
@@ -112,13 +112,13 @@ def python_compiles(pattern: str) -> bool:
         return False
 
 
-def java_compiles(spark: SparkSession, pattern: str) -> bool:
-    """Whether the JVM accepts the translated pattern (asked of the driver's JVM)."""
-    from py4j.protocol import Py4JError
-    from pyspark.errors import PySparkException
+# What means the same to Java as to Python: ASCII text, escaped signs, dots, digits, plain sets, groups, alternatives,
+# line ends and the usual repetitions. Everything else (word classes, look-arounds, set operations, ...) is left to Python.
+_ATOM = r"""(?:[A-Za-z0-9 _,;:'"=!%@/<>~`&#-]|\\[.^$*+?()\[\]{}|\\/_-]|\\d|\.|\[\^?(?:[A-Za-z0-9 _.,](?:-[A-Za-z0-9])?|\\d)+\])"""
+_REPEAT = r"(?:(?:[*+?]|\{\d+(?:,\d*)?\})\??)?"
+_SAME = re.compile(rf"(?:{_ATOM}{_REPEAT}|\((?:\?:)?|\){_REPEAT}|\||\^|\$)*")
 
-    try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(java_regex(pattern))
-        return True
-    except (Py4JError, PySparkException):
-        return False
+
+def same_in_java(pattern: str) -> bool:
+    """Whether a pattern that Python compiles surely means the same as a Java expression."""
+    return _SAME.fullmatch(pattern) is not None

@@ -22,8 +22,6 @@ from ..functions.paths import extension as extension_of
 from ..functions.patterns import glob_match, regex_match
 from .rules import RuleSet, load_rules
 
-FOLD_LIMIT = 200   # beyond this many rules the generated code grows faster than the Python workers cost
-
 
 def category_of(extension: Column | str) -> Column:
     """Category of an extension, null when the table does not hold it (hash-set tests, no join)."""
@@ -57,62 +55,86 @@ def rule_condition(rule: Row, name: str = "name", extension: str = "extension")
     return F.coalesce(hit, F.lit(False))
 
 
-def _folded_position(rules: list[Row]) -> Column:
-    """Position of the first matching rule, as one CASE in priority order."""
+def _first_by(key: Column, places: dict[str, int]) -> Column:
+    """Position of the first rule by an exact key: one lookup, however many rules."""
+    entries = [F.lit(x) for pair in places.items() for x in pair]
+    return F.element_at(F.create_map(*entries), key) if entries else F.lit(None).cast("int")
+
+
+def _plain_glob(rule: Row) -> bool:
+    return rule["match_type"] == "glob" and not any(ch in rule["pattern"] for ch in "*?[")
+
+
+def _folded_position(rules: list[tuple[int, Row]]) -> Column:
+    """Position of the first matching rule that the JVM tests: lookups for extensions and globs without wildcards, and
+    one CASE in priority order for the rest."""
+    by_extension: dict[str, int] = {}
+    by_name: dict[str, int] = {}
     position = F.lit(None).cast("int")
-    for i in range(len(rules) - 1, -1, -1):
-        position = F.when(rule_condition(rules[i]), F.lit(i)).otherwise(position)
-    return position
+    for i, rule in rules:
+        if rule["match_type"] == "extension":
+            by_extension.setdefault(rule["pattern"].lower(), i)
+        elif _plain_glob(rule):
+            by_name.setdefault(rule["pattern"].lower(), i)
+    for i, rule in reversed(rules):
+        if rule["match_type"] != "extension" and not _plain_glob(rule):
+            position = F.when(rule_condition(rule), F.lit(i)).otherwise(position)
+    return _least(_first_by(F.lower("extension"), by_extension), _first_by(F.lower("name"), by_name), position)
+
 
+def _least(*positions: Column) -> Column:
+    """The lowest position that is not null (``least`` skips nulls)."""
+    return F.least(*positions)
 
-def _matcher(rules: list[tuple[str, str]]) -> Callable[[str, str], Iterator[int]]:
+
+def _matcher(rules: list[tuple[int, str, str]]) -> Callable[[str | None, str | None], Iterator[int]]:
     import fnmatch
     import re
+    import warnings
 
+    warnings.simplefilter("ignore", FutureWarning)        # about sets that another engine may read differently
     tests = []
-    for match_type, pattern in rules:
+    for i, match_type, pattern in rules:
         if match_type == "extension":
-            tests.append(lambda name, ext, p=pattern.lower(): ext.lower() == p)
+            tests.append((i, lambda name, ext, p=pattern.lower(): ext is not None and ext.lower() == p))
         elif match_type == "glob":
             compiled = re.compile(fnmatch.translate(pattern.lower()))
-            tests.append(lambda name, ext, c=compiled: c.match(name.lower()) is not None)
+            tests.append((i, lambda name, ext, c=compiled: name is not None and c.match(name.lower()) is not None))
         else:
             compiled = re.compile(pattern, re.IGNORECASE)
-            tests.append(lambda name, ext, c=compiled: c.search(name) is not None)
+            tests.append((i, lambda name, ext, c=compiled: name is not None and c.search(name) is not None))
 
-    def matching(name: str, ext: str) -> Iterator[int]:
-        return (i for i, test in enumerate(tests) if test(name, ext))
+    def matching(name: str | None, ext: str | None) -> Iterator[int]:
+        return (i for i, test in tests if test(name, ext))
 
     return matching
 
 
-def _vectorised(rules: list[Row], every: bool) -> Column:
+def _vectorised(rules: list[tuple[int, Row]], every: bool) -> Column:
     """Position of the first matching rule (or an array of all) by Arrow batches.
 
-    Patterns are compiled once per batch, each distinct name of a batch is tested once.
+    Patterns are compiled once per task, each distinct name of a batch is tested once.
     """
-    specs = [(r["match_type"], r["pattern"]) for r in rules]
-
-    def find(names: pd.Series, extensions: pd.Series) -> pd.Series:
-        matching = _matcher(specs)
-        pairs = list(zip(names.fillna(""), extensions.fillna("")))
-        found = {
-            pair: list(matching(*pair)) if every else next(matching(*pair), None) for pair in dict.fromkeys(pairs)
-        }
-        values = [found[pair] for pair in pairs]
-        return pd.Series(values, dtype=object if every else "Int32")
+    specs = [(i, r["match_type"], r["pattern"]) for i, r in rules]
 
     @F.pandas_udf("array<int>" if every else "int")
-    def position(names: pd.Series, extensions: pd.Series) -> pd.Series:
-        return find(names, extensions)
+    def position(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        matching = _matcher(specs)
+        for names, extensions in batches:
+            pairs = [(n if isinstance(n, str) else None, e if isinstance(e, str) else None) for n, e in zip(names, extensions)]
+            found = {
+                pair: list(matching(*pair)) if every else next(matching(*pair), None) for pair in dict.fromkeys(pairs)
+            }
+            yield pd.Series([found[pair] for pair in pairs], dtype=object if every else "Int32")
 
     return position(F.col("name"), F.col("extension"))
 
 
-def _form(ruleset: RuleSet, form: str) -> str:
-    if form != "auto":
-        return form
-    return "fold" if len(ruleset.active) <= FOLD_LIMIT and not ruleset.python_only else "vectorised"
+def _split(ruleset: RuleSet, form: str) -> tuple[list[tuple[int, Row]], list[tuple[int, Row]]]:
+    """(rules tested by the JVM, rules tested by Python) with their positions; what a rule matches is the same in both."""
+    python = [form == "vectorised" or r["id"] in ruleset.python_only for r in ruleset.active]
+    numbered = list(enumerate(ruleset.active))
+    return [x for x, p in zip(numbered, python) if not p], [x for x, p in zip(numbered, python) if p]
 
 
 def classify(
@@ -124,18 +146,19 @@ def classify(
     """Add ``category``, ``target_folder``, ``confidence`` and ``rule_name``.
 
     The enabled rule of the highest priority wins, equal priorities go by id; then the extension
-    table, then ``Others``. ``form`` is ``fold`` (one CASE expression), ``vectorised`` (Arrow batches)
-    or ``auto``: fold up to 200 rules. ``fallback(name, extension)`` gives a category (or null) for files
+    table, then ``Others``. Rules mean what they mean to Python's ``fnmatch`` and ``re``: those that mean the same to Java
+    are tested by the JVM, only the others by Arrow batches (all of them in the form ``vectorised``). ``fallback(name, extension)`` gives a category (or null) for files
     that nothing matched, from a column function or a ``pandas_udf``.
     """
     ruleset = rules if isinstance(rules, RuleSet) else load_rules(rules)
     active = ruleset.active
-    form = _form(ruleset, form)
+    folded, python = _split(ruleset, form)
     if "extension" not in files.columns:
         files = files.withColumn("extension", extension_of("name"))
 
-    position = _folded_position(active) if form == "fold" else _vectorised(active, every=False)
-    placed = files.withColumn("_rule", position if active else F.lit(None).cast("int"))
+    placed = files.withColumn("_rule", _folded_position(folded))
+    if python:
+        placed = placed.withColumn("_rule", _least(F.col("_rule"), _vectorised(python, every=False)))
 
     def of_rule(field: str) -> Column:
         values = F.array(*[F.lit(r[field]) for r in active]) if active else F.array().cast("array<string>")
@@ -173,10 +196,11 @@ def rule_matches(files: DataFrame, rules: DataFrame | RuleSet, form: str = "auto
         nothing = "CAST(NULL AS BIGINT) rule_id, CAST(NULL AS INT) priority, CAST(NULL AS STRING) rule_name, " \
                   "CAST(NULL AS STRING) rule_category"
         return files.selectExpr("*", *nothing.split(", ")).limit(0)
-    if _form(ruleset, form) == "fold":
-        hits = F.array_compact(F.array(*[F.when(rule_condition(r), F.lit(i)) for i, r in enumerate(active)]))
-    else:
-        hits = _vectorised(active, every=True)
+    folded, python = _split(ruleset, form)
+    hits = F.array_compact(F.array(*[F.when(rule_condition(r), F.lit(i)) for i, r in folded])) if folded else None
+    if python:
+        more = _vectorised(python, every=True)
+        hits = more if hits is None else F.array_sort(F.concat(hits, more))
 
     def of_rule(field: str, kind: str) -> Column:
         return F.get(F.array(*[F.lit(r[field]).cast(kind) for r in active]), F.col("_hit"))

@@ -6,12 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, functions as F
 
-from ..functions.patterns import java_compiles, python_compiles
+from ..functions.patterns import python_compiles, same_in_java
 from ..schemas import MATCH_TYPES
 from ..session import cut_lineage
 
-MAX_RULES = 20_000
-
 
 def rule_reasons():
     """Array of the reasons a rule row is not acceptable (empty when it is)."""
@@ -46,28 +44,25 @@ class RuleSet:
 
     active: list[Row]
     broken: list[Row]
-    python_only: frozenset[int]   # ids of regex rules that only Python's engine accepts
+    python_only: frozenset[int]   # ids of regex rules that are left to Python's engine
 
 
-def load_rules(rules: DataFrame, max_rules: int = MAX_RULES) -> RuleSet:
-    """Bring the enabled rules to the driver.
+def load_rules(rules: DataFrame) -> RuleSet:
+    """Bring the enabled rules to the driver: they are configuration that every row is tested against, not data.
 
-    Rules are configuration, not data; a table of more than ``max_rules`` is refused, not cut.
     Broken regular expressions never match, so they are set aside before a job could fail on them.
     """
     wanted = rules.filter(F.col("enabled")).select(
         "id", "name", "pattern", "match_type", "category", "target_folder", "priority"
     )
-    rows = wanted.limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} enabled rules")
+    rows = wanted.collect()
     rows.sort(key=lambda r: (-(r["priority"] or 0), r["id"]))
     broken, active, python_only = [], [], set()
     for row in rows:
         if row["match_type"] == "regex" and not python_compiles(row["pattern"]):
             broken.append(row)
             continue
-        if row["match_type"] == "regex" and not java_compiles(rules.sparkSession, row["pattern"]):
+        if row["match_type"] == "regex" and not same_in_java(row["pattern"]):
             python_only.add(row["id"])
         active.append(row)
     return RuleSet(active, broken, frozenset(python_only))

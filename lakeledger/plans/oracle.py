@@ -194,6 +194,21 @@ LEFT JOIN ext_cat e ON e.ext = f.extension""", _EXT),
     "classify_with_fallback": _q("files_v rules_v", """SELECT id, CASE WHEN confidence = 0.5 AND extension = '' THEN 'Guess ' || substr(name, 1, 3) ELSE category END AS category,
 confidence FROM classified""", _CLASSIFIED),
     "rule_hits": _q("files_v rules_v", "SELECT CAST(rule_id AS BIGINT) AS rule_id, rule_name, count(*) AS n_files FROM hits GROUP BY ALL", _WINNER),
+    "classify_part_rules": _q("files_v name_rules_v", "SELECT id, name, extension, category, target_folder, confidence, rule_name FROM classified",
+                              _CLASSIFIED.replace("rules_v", "name_rules_v").replace(
+                                  "regexp_matches(f.name, r.pattern, 'i')",
+                                  "regexp_matches(f.name, CASE WHEN starts_with(r.pattern, '(') THEN 'a^' ELSE r.pattern END, 'i')")),
+    "rule_quarantine": _q("name_rules_v", "SELECT id, pattern FROM name_rules_v WHERE enabled AND match_type = 'regex' AND starts_with(pattern, '(')"),
+    "scan_new_ids": _q("files_v old_catalog_v", """SELECT coalesce(o.id, n.new_id) AS id, coalesce(f.path, o.path) AS path, coalesce(f.size, o.size) AS size,
+ CASE WHEN f.path IS NULL THEN o.scan_session_id ELSE 9 END AS scan_session_id
+ FROM files_v f FULL OUTER JOIN old_catalog_v o ON o.path = f.path
+ LEFT JOIN (SELECT path, (SELECT max(id) FROM old_catalog_v) + row_number() OVER (ORDER BY path) AS new_id FROM files_v
+            WHERE path NOT IN (SELECT path FROM old_catalog_v)) n ON n.path = f.path"""),
+    "undo_shared_path": _q("shared_logs_v", """SELECT id AS log_id, old_path AS original_path,
+ CASE WHEN NOT owner THEN new_path WHEN first THEN old_path ELSE regexp_replace(old_path, '[^/]+$', '') || regexp_extract(new_path, '([^/]*)$', 1) END AS current_path,
+ owner AS success, CASE WHEN NOT owner THEN 'Source file not found' END AS error, new_path AS moved_from
+ FROM (SELECT *, owner AND id = min(id) FILTER (owner) OVER (PARTITION BY old_path) AS first
+       FROM (SELECT *, id = min(id) OVER (PARTITION BY new_path) AS owner FROM shared_logs_v))"""),
     "classify_rules_join": _q("files_v rules_v", "SELECT file_id AS id, CAST(rule_id AS BIGINT) AS rule_id, rule_name, category FROM winner", _WINNER),
     "validate_rules": _q("part_rules_v", """SELECT id, reasons = '' AS is_valid, reasons FROM (SELECT id, concat_ws('; ',
  CASE WHEN length(name) < 1 OR length(name) > 128 THEN 'name must have 1 to 128 characters' END,

@@ -151,6 +151,17 @@ def classify_rules_vectorised(spark, sf):
     return _classified(spark, sf, "vectorised")
 
 
+@query
+def classify_part_rules(spark, sf):
+    files = view(spark, sf, "files_v").select("id", "name", "extension")
+    return K.classify(files, view(spark, sf, "name_rules_v"))
+
+
+@query
+def rule_quarantine(spark, sf):
+    return R.quarantined_rules(view(spark, sf, "name_rules_v")).select("id", "pattern")
+
+
 @query
 def classify_with_fallback(spark, sf):
     files = view(spark, sf, "files_v").select("id", "name", "extension")
@@ -174,6 +185,15 @@ def validate_rules(spark, sf):
     return checked.select("id", "is_valid", F.array_join("reasons", "; ").alias("reasons"))
 
 
+@query
+def scan_new_ids(spark, sf):
+    """New files get the numbers above the catalog's highest in the order of their paths."""
+    old = view(spark, sf, "old_catalog_v")
+    new = C.file_records(view(spark, sf, "files_v").select("path", "size", "last_modified")).drop("is_symlink")
+    new = new.withColumn("scan_session_id", F.lit(9).cast("bigint"))
+    return C.upsert_catalog(old, new).select("id", "path", "size", "scan_session_id")
+
+
 @query
 def list_rules(spark, sf):
     return R.list_rules(view(spark, sf, "part_rules_v")).select("id", "name", "match_type", "priority", "enabled")
@@ -494,6 +514,15 @@ def undo_plan(spark, sf):
     return _undo(spark, sf)
 
 
+@query
+def undo_shared_path(spark, sf):
+    """Every file that the logs name is there once; lower log ids go first."""
+    logs = view(spark, sf, "shared_logs_v")
+    undo = logs.select(F.col("id").alias("log_id"), F.col("old_path").alias("original_path"), F.lit(True).alias("can_undo"))
+    listing = logs.select(F.col("new_path").alias("path")).distinct()
+    return U.plan_undo(U.undo_candidates(logs, undo), listing)
+
+
 @query
 def undo_summary(spark, sf):
     return U.undo_summary(_undo(spark, sf))

@@ -49,6 +49,23 @@ SELECT p_partkey AS id, CASE WHEN p_size % 9 = 0 THEN '' ELSE p_name END AS name
        CASE WHEN p_size % 11 = 0 THEN repeat(p_brand, 9) ELSE p_brand END AS category,
        concat(p_brand, '/', p_type) AS target_folder, p_size * 25 AS priority, p_size % 2 = 0 AS enabled
 FROM part"""),
+    # rules that match the files, many of them, some broken, some with sets that engines read differently
+    "name_rules_v": (["part"], """
+SELECT p_partkey AS id, p_name AS name,
+       CASE p_size % 5
+         WHEN 0 THEN CASE p_partkey % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.py' WHEN 2 THEN '.mp3' ELSE '.gone' END
+         WHEN 1 THEN concat('doc_0', CAST(p_partkey % 7 AS STRING), '*.?x?')
+         WHEN 2 THEN concat('_0[', CAST(p_partkey % 7 AS STRING), '&&x][.]')
+         WHEN 3 THEN concat('^tax_20+', CAST(p_partkey % 7 AS STRING), '(_|[.](docx|zip)$)')
+         ELSE concat('(_0', CAST(p_partkey % 7 AS STRING)) END AS pattern,
+       CASE p_size % 5 WHEN 0 THEN 'extension' WHEN 1 THEN 'glob' ELSE 'regex' END AS match_type,
+       p_brand AS category, concat(p_brand, '/', p_type) AS target_folder, p_size * 20 AS priority, p_size % 10 <> 7 AS enabled
+FROM part"""),
+    # logs of which several name one file, whose files claim one original path
+    "shared_logs_v": (["orders"], """
+SELECT o_orderkey AS id, concat('/in/', CAST(CAST(floor(o_custkey / 3) AS BIGINT) AS STRING), '/c.txt') AS old_path,
+       concat('/org/Documents/c', CAST(o_custkey AS STRING), '.txt') AS new_path, 'success' AS status, 1 AS session_id
+FROM orders"""),
     "cache_v": (["files_v"], """
 SELECT path, CASE WHEN id % 7 = 0 THEN last_modified - 1 ELSE last_modified END AS last_modified,
        CASE WHEN id % 11 = 0 THEN size + 1 ELSE size END AS size, 0 AS scan_session_id

@@ -65,7 +65,7 @@ def test_rules(spark, form):
     assert [r["id"] for r in R.quarantined_rules(table).collect()] == [6]
 
 
-def test_python_only_pattern_takes_the_vectorised_form(spark):
+def test_patterns_that_only_python_accepts(spark):
     table = rules(spark, (1, "cond", r"(a)?b(?(1)c|d)", "regex", "Cond", "Cond", 1, True))
     got = categories(K.classify(files(spark, "abc", "bd", "bc"), table))
     assert {n: v[0] for n, v in got.items()} == {"abc": "Cond", "bd": "Cond", "bc": "Others"}
@@ -111,10 +111,13 @@ def test_validation(spark):
     assert got == {1: 6, 2: 0, 3: 3}
 
 
-def test_too_many_rules_are_refused(spark):
-    table = rules(spark, *[(i, "n", "p", "glob", "c", "t", 1, True) for i in range(4)])
-    with pytest.raises(ValueError):
-        R.load_rules(table, max_rules=3)
+@pytest.mark.parametrize("fillers", [0, 199, 200, 400])
+def test_the_number_of_rules_changes_nothing(spark, fillers):
+    table = rules(spark, (1, "set", "[x&&y]", "regex", "Set", "t", 9, True), (2, "end", "^$", "regex", "Blank", "t", 8, True),
+                  (3, "all", "*z*", "glob", "All", "t", 7, True), (4, "word", r"\bq", "regex", "Word", "t", 6, True),
+                  *[(100 + i, f"f{i}", f"nothing{i}*", "glob", "F", "t", 1, True) for i in range(fillers)])
+    got = categories(K.classify(files(spark, "x", "&", "z.md", "b q", "", None), table))
+    assert {n: v[0] for n, v in got.items()} == {"x": "Set", "&": "Set", "z.md": "All", "b q": "Word", "": "Blank", None: "Others"}
 
 
 def test_list_rules(spark):

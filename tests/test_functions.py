@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lakeledger.constants import category_by_extension
 from lakeledger.functions import paths as P, scalars as S
 from lakeledger.functions.hashing import fingerprint, xxh64_fingerprint
-from lakeledger.functions.patterns import glob_match, glob_to_regex, java_compiles, python_compiles, regex_match
+from lakeledger.functions.patterns import glob_match, glob_to_regex, python_compiles, regex_match, same_in_java
 
 NAMES = ["foo.", "..foo", ".bashrc", "a.tar.gz", "...", "a..b", "x.PDF", ".a.b", " .txt", "noext", "a.b.", "a.b c",
          "ü.Äx", "line\nbreak.txt", "x.t\nt"]
@@ -133,7 +133,10 @@ def test_regexes(spark):
 
 def test_pattern_checks(spark):
     assert not python_compiles("a(") and python_compiles("a(b)")
-    assert java_compiles(spark, r"(?P<x>a)(?P=x)") and not java_compiles(spark, "a(?(1)b|c)")
+    for pattern in (r"tax_\d{4}", "^x", r"(a|b)+\.txt$", "[a-c_0-9]?", "a{2,}b*?", "[^.]+"):
+        assert same_in_java(pattern), pattern
+    for pattern in ("[x&&y]", "[[:alpha:]]", r"\w+", "(?P<x>a)(?P=x)", "a(?(1)b|c)", "a++", "{,3}", "(?=a)", "é", r"[\w]", "[]a]"):
+        assert not same_in_java(pattern), pattern
 
 
 def test_later_category_holds_a_shared_extension():
