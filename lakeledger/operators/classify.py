@@ -44,7 +44,7 @@ def classify_default(files: DataFrame) -> DataFrame:
     return files.withColumn("category", default_category("extension"))
 
 
-def rule_condition(rule: Row, name: str = "name", extension: str = "extension") -> Column:
+def rule_condition(rule: Row, name: Column | str = "name", extension: str = "extension") -> Column:
     """Whether one rule matches a file."""
     if rule["match_type"] == "extension":
         hit = F.lower(F.col(extension)) == rule["pattern"].lower()
@@ -67,18 +67,30 @@ def _plain_glob(rule: Row) -> bool:
 
 def _folded_position(rules: list[tuple[int, Row]]) -> Column:
     """Position of the first matching rule that the JVM tests: lookups for extensions and globs without wildcards, and
-    one CASE in priority order for the rest."""
+    one flat CASE in priority order for the rest.
+
+    The CASE stands inside ``transform`` over the one name, which Spark evaluates without generating code: hundreds of
+    rules would exceed what a generated method may hold.
+    """
     by_extension: dict[str, int] = {}
     by_name: dict[str, int] = {}
-    position = F.lit(None).cast("int")
+    rest = []
     for i, rule in rules:
         if rule["match_type"] == "extension":
             by_extension.setdefault(rule["pattern"].lower(), i)
         elif _plain_glob(rule):
             by_name.setdefault(rule["pattern"].lower(), i)
-    for i, rule in reversed(rules):
-        if rule["match_type"] != "extension" and not _plain_glob(rule):
-            position = F.when(rule_condition(rule), F.lit(i)).otherwise(position)
+        else:
+            rest.append((i, rule))
+
+    def first(name: Column) -> Column:
+        (i, rule), *more = rest
+        found = F.when(rule_condition(rule, name), F.lit(i))
+        for i, rule in more:
+            found = found.when(rule_condition(rule, name), F.lit(i))
+        return found
+
+    position = F.get(F.transform(F.array("name"), first), F.lit(0)) if rest else F.lit(None).cast("int")
     return _least(_first_by(F.lower("extension"), by_extension), _first_by(F.lower("name"), by_name), position)
 
 
