@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.skew import join_by_key
 from ..session import cut_lineage
+from .blobs import from_planes, from_steps, planes, steps
 from .components import connected
 from .texts import LOWER, WORD, chunks, documents_of, hash_spans, mix, word_bounds
 
@@ -35,6 +36,7 @@ WORDS = 4
 PERCENT = 85
 FRAGMENTS = 8               # of the hash order, in which overlaps are counted
 LEADING = 0.4               # share of the hash order that decides which documents stay
+SIEVE_BITS = 23             # of the bitmap that keeps most other texts out of the shuffle: 1 MB
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -69,25 +71,27 @@ def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
             int(np.bitwise_xor.reduce(mix(shingles ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)) if len(shingles) else 0)
 
 
-def describe(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, n, lo, hi): size and fingerprint of each row's set."""
+def describe(docs: DataFrame, key: str, text: str, words: int, share: float) -> DataFrame:
+    """(id, n, lo, hi, lead): size and fingerprint of each row's set, and its shingles in the leading fragments."""
+    limit = np.uint64(int(share * 2**64))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), *_fingerprint(s)) for s in _sets(batch, text, words)]
-            n, lo, hi = zip(*rows) if rows else ((), (), ())
+            rows = [(len(s), *_fingerprint(s), int(np.searchsorted(s, limit))) for s in _sets(batch, text, words)]
+            columns = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.names.index(key)), *[pa.array(c, pa.int64()) for c in (n, lo, hi)]],
-                ["id", "n", "lo", "hi"])
+                [batch.column(batch.schema.names.index(key)), *[pa.array(c, pa.int64()) for c in columns]],
+                ["id", "n", "lo", "hi", "lead"])
 
     return docs.select(key, text).mapInArrow(
-        run, f"id {docs.schema[key].dataType.simpleString()}, n bigint, lo bigint, hi bigint")
+        run, f"id {docs.schema[key].dataType.simpleString()}, n bigint, lo bigint, hi bigint, lead bigint")
 
 
-def unshared_leading(docs: DataFrame, text: str, words: int, share: float, parts: int) -> DataFrame:
-    """(lo, unshared): shingles in the leading fragments that no other set has, for sets with any.
+def shared_leading(docs: DataFrame, text: str, words: int, share: float, parts: int) -> DataFrame:
+    """(lo, shared): shingles in the leading fragments that another set has too, for sets with any.
 
     A batch sends each fragment one row of sorted hashes and the sets that they belong to; a fragment holds about
-    1 / ``parts`` of all leading shingles.
+    1 / ``parts`` of all leading shingles. The counts of a fragment leave it in ``parts`` rows, by fingerprint.
     """
     limit = int(share * 2**64)
 
@@ -108,10 +112,7 @@ def unshared_leading(docs: DataFrame, text: str, words: int, share: float, parts
                 if not len(h):
                     continue
                 used, o = np.unique(o, return_inverse=True)
-                # differences of sorted hashes, byte by byte of all of them: the high bytes compress to nothing
-                steps = np.diff(h, prepend=edges[p])
-                rows.append((p, steps.view(np.uint8).reshape(-1, 8).T.tobytes(),
-                             o.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), names[used].tobytes()))
+                rows.append((p, steps(h, int(edges[p])), planes(o.astype(np.uint32)), planes(names[used])))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]],
@@ -120,31 +121,55 @@ def unshared_leading(docs: DataFrame, text: str, words: int, share: float, parts
     def count(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         hashes, owners = [], []
-        for steps, owner, names in zip(*(table.column(c).to_pylist() for c in ("steps", "owners", "names"))):
-            steps = np.frombuffer(steps, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
-            owner = np.frombuffer(owner, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
-            hashes.append(np.cumsum(steps, dtype=np.uint64) + np.uint64(limit * part // parts))
-            owners.append(np.frombuffer(names, np.int64)[owner])
+        for hashed, owner, names in zip(*(table.column(c).to_pylist() for c in ("steps", "owners", "names"))):
+            hashes.append(from_steps(hashed, limit * part // parts))
+            owners.append(from_planes(names, np.int64)[from_planes(owner, np.uint32)])
         hashes, owners = np.concatenate(hashes), np.concatenate(owners)
         order = np.lexsort((owners, hashes))
         hashes, owners = hashes[order], owners[order]
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])      # once per set
         hashes, owners = hashes[new], owners[new]
-        alone = np.ones(len(hashes), bool)
-        alone[1:] &= hashes[1:] != hashes[:-1]
-        alone[:-1] &= hashes[:-1] != hashes[1:]
-        lo, n = np.unique(owners[alone], return_counts=True)
-        return pa.table({"lo": pa.array(lo), "unshared": pa.array(n.astype(np.int64))})
-
+        shared = np.zeros(len(hashes), bool)
+        shared[1:] |= hashes[1:] == hashes[:-1]
+        shared[:-1] |= hashes[:-1] == hashes[1:]
+        lo, n = np.unique(owners[shared], return_counts=True)
+        cut = np.searchsorted(lo, lows)
+        rows = [(q, lo[a:b], n[a:b]) for q, (a, b) in enumerate(zip(cut, [*cut[1:], len(lo)])) if a < b]
+        return pa.table({"range": pa.array([q for q, _, _ in rows], pa.int32()),
+                         "lo": pa.array([planes(x) for _, x, _ in rows], pa.binary()),
+                         "shared": pa.array([planes(x.astype(np.uint32)) for _, _, x in rows], pa.binary())})
+
+    def total(table: pa.Table) -> pa.Table:
+        lo = np.concatenate([from_planes(x, np.int64) for x in table.column("lo").to_pylist()])
+        n = np.concatenate([from_planes(x, np.uint32) for x in table.column("shared").to_pylist()])
+        lo, place = np.unique(lo, return_inverse=True)
+        return pa.table({"lo": lo, "shared": np.bincount(place, n).astype(np.int64)})
+
+    lows = np.array([(q << 64) // parts - (1 << 63) for q in range(parts)], np.int64)
     blobs = docs.select(text).mapInArrow(spread, "part int, steps binary, owners binary, names binary")
-    counts = blobs.groupBy("part").applyInArrow(count, "lo bigint, unshared bigint")
-    return counts.groupBy("lo").agg(F.sum("unshared").alias("unshared"))
+    counts = blobs.groupBy("part").applyInArrow(count, "range int, lo binary, shared binary")
+    return counts.groupBy("range").applyInArrow(total, "lo bigint, shared bigint")
+
+
+def sieve(rows: DataFrame, wanted: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
+    """``rows`` without most of those whose ``id`` is not in ``wanted``: a bitmap of hashed ids, of ``2 ** bits`` bits in
+    all whatever the number of ids, so it may be broadcast. What it lets through by chance an exact join must drop."""
+    def place() -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+
+    bitmaps = wanted.select(place().alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bitmap"))
+    met = rows.withColumn("_p", place()).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(bitmaps), "_bucket")
+    position = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.filter(F.getbit(byte, (position % 8).cast("int")) == 1).drop("_p", "_bucket", "_bitmap")
 
 
 def fragments_of(docs: DataFrame, stay: DataFrame, key: str, text: str, words: int, fragments: int) -> DataFrame:
-    """(id, n, fragment, hashes) of the documents in ``stay`` (id, lo), once per id."""
-    wanted = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).join(stay.select("id", "lo"), "id")
+    """(id, n, fragment, hashes) of the documents in ``stay`` (id, lo), once for each of their rows."""
+    texts = sieve(docs.select(F.col(key).alias("id"), F.col(text).alias("_text")), stay)
+    wanted = texts.join(stay.select("id", "lo"), "id")
     kind = stay.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +187,7 @@ def fragments_of(docs: DataFrame, stay: DataFrame, key: str, text: str, words: i
                     pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
                     ["id", "n", "fragment", "hashes"])
 
-    found = wanted.mapInArrow(run, f"id {kind}, n bigint, fragment int, hashes array<bigint>")
-    return found.dropDuplicates(["id", "fragment"])
+    return wanted.mapInArrow(run, f"id {kind}, n bigint, fragment int, hashes array<bigint>")
 
 
 def _reaches(shared: Column, a: Column, b: Column, percent: int) -> Column:
@@ -172,10 +196,14 @@ def _reaches(shared: Column, a: Column, b: Column, percent: int) -> Column:
 
 
 def prefixes(pieces: DataFrame, percent: int) -> DataFrame:
-    """(h, id, n, unshared, place): the first shingles of each set in the order of frequency, without unshared ones."""
-    each = pieces.select("id", "n", F.explode("hashes").alias("h"))
+    """(h, id, n, unshared, place): the first shingles of each set in the order of frequency, without unshared ones.
+
+    Rows that repeat a document count in the frequencies, which only moves their shingles in the order.
+    """
+    each = pieces.select("id", F.explode("hashes").alias("h"))
     counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ordered = each.join(counts, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    ordered = each.join(counts, "h").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("shared"))
+    ordered = ordered.join(pieces.select("id", "n").distinct(), "id")
     unshared = F.col("n") - F.size("shared")
     slack = F.floor(F.col("n") * (100 - percent) / F.lit(100)).cast("bigint")
     kept = ordered.withColumn("unshared", unshared).withColumn("length", slack + 1 - F.col("unshared")).filter("length > 0")
@@ -189,7 +217,7 @@ def overlaps(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
     one = pieces.select(F.col("id").alias("x"), "fragment", F.col("hashes").alias("_a"))
     two = pieces.select(F.col("id").alias("y"), "fragment", F.col("hashes").alias("_b"))
     partial = pairs.select("x", "y").join(one, "x").join(two, ["y", "fragment"]).select(
-        "x", "y", F.size(F.array_intersect("_a", "_b")).cast("bigint").alias("_n"))
+        "x", "y", "fragment", F.size(F.array_intersect("_a", "_b")).cast("bigint").alias("_n")).distinct()
     return partial.groupBy("x", "y").agg(F.sum("_n").alias("shared"))
 
 
@@ -234,12 +262,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
             fragments: int = FRAGMENTS, leading: float = LEADING) -> DataFrame:
     """(key, n_shingles, component_id): one row per key, the component named by its smallest key."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = describe(docs, key, text, words).groupBy("id").agg(F.min(F.struct("n", "lo", "hi")).alias("s"))
-    sets = cut_lineage(rows.select("id", "s.n", "s.lo", "s.hi"))
-    heads = sets.filter("n > 0").groupBy("n", "lo", "hi").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    unshared = unshared_leading(docs, text, words, leading, parts)
+    rows = describe(docs, key, text, words, leading).groupBy("id").agg(F.min(F.struct("n", "lo", "hi", "lead")).alias("s"))
+    sets = cut_lineage(rows.select("id", "s.n", "s.lo", "s.hi", "s.lead"))
+    heads = sets.filter("n > 0").groupBy("n", "lo", "hi").agg(
+        F.min("id").alias("id"), F.first("lead").alias("lead"), F.count(F.lit(1)).alias("copies"))
+    shared = shared_leading(docs, text, words, leading, parts)
     slack = F.floor(F.col("n") * (100 - percent) / F.lit(100))
-    stay = cut_lineage(heads.join(unshared, "lo", "left").filter(F.coalesce("unshared", F.lit(0)) <= slack).select("id", "lo"))
+    unshared = F.col("lead") - F.coalesce("shared", F.lit(0))
+    stay = cut_lineage(heads.join(shared, "lo", "left").filter(unshared <= slack).select("id", "lo"))
     pieces = cut_lineage(fragments_of(docs, stay, key, text, words, fragments))
     first = cut_lineage(prefixes(pieces, percent))
     links = cut_lineage(_linked(leader_pairs(first, percent), pieces, percent))
