@@ -165,6 +165,30 @@ def _top(columns: str, where: str, order: str, limit: int, offset: int = 0) -> s
     return f"SELECT {columns} FROM catalog_v WHERE {where} ORDER BY {order} LIMIT {limit} OFFSET {offset}"
 
 
+# changes of a rule, in order: the values that stand at the end, and what was there before where they are not acceptable
+_MAINTAINED = """
+valid AS (SELECT id, name, pattern, match_type, category, target_folder, priority FROM part_rules_v
+          WHERE length(name) BETWEEN 1 AND 128 AND length(pattern) > 0 AND match_type IN ('glob', 'regex', 'extension')
+            AND length(category) BETWEEN 1 AND 64 AND length(target_folder) > 0 AND priority BETWEEN 0 AND 1000),
+steps AS (SELECT user_id AS id, event_id AS seq, event_type FROM events),
+cuts AS (SELECT id, max(seq) FILTER (event_type = 'error') AS cut, max(seq) FILTER (event_type = 'signup') AS put FROM steps GROUP BY id),
+merged AS (SELECT coalesce(v.id, c.id) AS id, v.id IS NOT NULL AND c.cut IS NULL AS survives, coalesce(c.put > coalesce(c.cut, -1), false) AS made,
+                  v.*, coalesce(c.cut, -1) AS cut FROM valid v FULL OUTER JOIN cuts c ON c.id = v.id),
+ended AS (SELECT m.id, CASE WHEN survives THEN m.name END AS name,
+                 coalesce((SELECT '*.new' FROM steps s WHERE s.id = m.id AND s.event_type = 'signup' AND s.seq > m.cut LIMIT 1),
+                          CASE WHEN survives THEN m.pattern END) AS pattern,
+                 coalesce((SELECT CAST(arg_max(seq % 2000, seq) AS INTEGER) FROM steps s WHERE s.id = m.id AND s.event_type = 'click' AND s.seq > m.cut),
+                          CASE WHEN survives THEN m.priority ELSE 0 END) AS priority,
+                 survives FROM merged m WHERE survives OR made),
+judged AS (SELECT *, concat_ws('; ', CASE WHEN NOT survives THEN 'name must have 1 to 128 characters' END,
+                  CASE WHEN pattern IS NULL THEN 'pattern must not be empty' END,
+                  CASE WHEN NOT survives THEN 'category must have 1 to 64 characters' END,
+                  CASE WHEN NOT survives THEN 'target_folder must not be empty' END,
+                  CASE WHEN priority NOT BETWEEN 0 AND 1000 THEN 'priority must be between 0 and 1000' END) AS reasons FROM ended),
+rejected AS (SELECT id, reasons FROM judged WHERE reasons <> ''),
+final AS (SELECT id, name, pattern, priority FROM judged WHERE reasons = ''
+          UNION ALL SELECT id, name, pattern, priority FROM valid WHERE id IN (SELECT id FROM rejected))"""
+
 _MERGED = "old_catalog_v o FULL OUTER JOIN incoming n ON n.path = o.path"
 _INCOMING = f"""{_EXT},
 incoming AS (SELECT f.*, coalesce(e.cat, 'Others') AS category FROM files_v f LEFT JOIN ext_cat e ON e.ext = f.extension)"""
@@ -209,6 +233,16 @@ confidence FROM classified""", _CLASSIFIED),
  owner AS success, CASE WHEN NOT owner THEN 'Source file not found' END AS error, new_path AS moved_from
  FROM (SELECT *, owner AND id = min(id) FILTER (owner) OVER (PARTITION BY old_path) AS first
        FROM (SELECT *, id = min(id) OVER (PARTITION BY new_path) AS owner FROM shared_logs_v))"""),
+    "scan_session_row": _q("files_v old_catalog_v", """SELECT CAST(9 AS BIGINT) AS id, '/data,/more' AS root_path, count(*) AS total_files, 'done' AS status, true AS finished
+ FROM (SELECT * FROM files_v WHERE path NOT LIKE '%/src3/%') n LEFT JOIN old_catalog_v o ON o.path = n.path
+ WHERE o.path IS NULL OR o.size <> n.size OR o.last_modified <> n.last_modified"""),
+    "regular_files": "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 5 <> 0 AND o_custkey % 3 <> 1",
+    "session_stats_map": _q("old_catalog_v", """SELECT CAST(0 AS BIGINT) AS session_id, CAST(sum(n) AS BIGINT) AS total_files,
+ '{' || string_agg('"' || c || '":' || CAST(n AS VARCHAR), ',' ORDER BY c) || '}' AS categories
+ FROM (SELECT coalesce(category, 'Others') AS c, count(*) AS n FROM old_catalog_v WHERE scan_session_id = 0 GROUP BY 1)"""),
+    "parsed_events": _q("fs_events_v", "SELECT event_id, root, path, kind, dest_path FROM fs_events_v WHERE kind <> 'deleted'"),
+    "maintain_rules": _q("part_rules_v", "SELECT id, name, pattern, priority FROM final", _MAINTAINED),
+    "rejected_rules": _q("part_rules_v", "SELECT id, reasons FROM rejected", _MAINTAINED),
     "classify_rules_join": _q("files_v rules_v", "SELECT file_id AS id, CAST(rule_id AS BIGINT) AS rule_id, rule_name, category FROM winner", _WINNER),
     "validate_rules": _q("part_rules_v", """SELECT id, reasons = '' AS is_valid, reasons FROM (SELECT id, concat_ws('; ',
  CASE WHEN length(name) < 1 OR length(name) > 128 THEN 'name must have 1 to 128 characters' END,

@@ -12,9 +12,10 @@ from ..operators import browse as B, catalog as C, classify as K, dedup as D, fi
 from ..operators import rules as R, stats as A, undo as U
 from ..schemas import FILE_RESPONSE
 from ..session import apply_settings, checkpoint_folder, cut_lineage
+from ..sources import events as V
 from ..streaming import changes as G, debounce as E
 from .organize import organize
-from .scan import scan_catalog
+from .scan import scan as scan_run, scan_catalog
 from .views import view
 
 GAP = 12 * 3600
@@ -194,6 +195,27 @@ def scan_new_ids(spark, sf):
     return C.upsert_catalog(old, new).select("id", "path", "size", "scan_session_id")
 
 
+def _maintained(spark, sf):
+    """Accepted rules, changed by the events of the rules' numbers."""
+    table = R.validate_rules(view(spark, sf, "part_rules_v")).filter("is_valid").drop("is_valid", "reasons")
+    op = F.expr("CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'upsert' ELSE 'update' END")
+    changes = view(spark, sf, "events").select(
+        F.col("user_id").alias("id"), F.col("event_id").alias("seq"), op.alias("op"),
+        F.when(F.col("event_type") == "click", (F.col("event_id") % 2000).cast("int")).alias("priority"),
+        F.when(F.col("event_type") == "signup", F.lit("*.new")).alias("pattern"))
+    return R.maintain_rules(table, changes)
+
+
+@query
+def maintain_rules(spark, sf):
+    return _maintained(spark, sf)[0].select("id", "name", "pattern", "priority")
+
+
+@query
+def rejected_rules(spark, sf):
+    return _maintained(spark, sf)[1].select("id", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query
 def list_rules(spark, sf):
     return R.list_rules(view(spark, sf, "part_rules_v")).select("id", "name", "match_type", "priority", "enabled")
@@ -250,6 +272,25 @@ def scan(spark, sf):
                          F.col("_write").alias("written"))
 
 
+@query
+def scan_session_row(spark, sf):
+    """The session that a scan records: new and changed files are counted from the merged table."""
+    listing = view(spark, sf, "files_v").select("id", "path", "size", "last_modified")
+    done = scan_run(view(spark, sf, "old_catalog_v"), listing, 9, [" /data ", "/more"], exclude=["*/src3/*"])
+    finished = (F.col("completed_at") >= F.col("started_at")).alias("finished")
+    return done.session.select("id", "root_path", "total_files", "status", finished)
+
+
+@query
+def regular_files(spark, sf):
+    """A listing with the marks of links, directories and unreadable places."""
+    marks = view(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", F.lit("denied")).alias("error"),
+        (F.col("o_custkey") % 5 == 0).alias("is_symlink"),
+        F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey") % 3 == 1).alias("is_directory"))
+    return X.regular_files(marks).select("id")
+
+
 @query
 def scan_stats(spark, sf):
     return C.scan_stats(view(spark, sf, "files_v").unionByName(
@@ -346,6 +387,12 @@ def session_stats(spark, sf):
     return A.session_stats(view(spark, sf, "old_catalog_v"), 0)
 
 
+@query
+def session_stats_map(spark, sf):
+    one = A.session_stats_map(view(spark, sf, "old_catalog_v"), 0)
+    return one.select("session_id", "total_files", F.to_json("categories").alias("categories"))
+
+
 @query
 def category_share(spark, sf):
     return A.category_share(_catalog(spark, sf))
@@ -550,6 +597,14 @@ def debounce_by_path(spark, sf):
     return E.debounce_by_path(view(spark, sf, "fs_events_v"), GAP)
 
 
+@query
+def parsed_events(spark, sf):
+    """Events as JSON text, as a queue delivers them; those of directories are dropped."""
+    events = view(spark, sf, "fs_events_v").withColumn("is_directory", F.when(F.col("kind") != "created", F.col("kind") == "deleted"))
+    raw = events.select(F.to_json(F.struct(*[c for c in events.columns])).alias("value"))
+    return V.parse_events(raw).select("event_id", "root", "path", "kind", "dest_path")
+
+
 @query
 def event_counts(spark, sf):
     return G.event_counts(view(spark, sf, "fs_events_v"))
