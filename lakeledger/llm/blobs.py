@@ -1,7 +1,7 @@
 """Number columns as bytes, and blocks of documents that two scans of the same table form alike.
 
 Operators that count something over the whole corpus and need the answer back at the text work in blocks: a block is a
-chunk of whole texts of about two megabytes, or one longer text. A first scan sends every shard of the hash space
+chunk of whole texts of about a megabyte, or one longer text. A first scan sends every shard of the hash space
 one row per block; the shard answers each block in the order of what it was sent. A second scan forms the same blocks and meets the
 answers there. Both scans read the same files in the same partitions and batches, so a block is known by its partition, its
 number in it and a hash of its documents; a repeated task forms the same blocks again.

@@ -58,14 +58,17 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     breaks = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     starts = starts[starts < len(data)]
-    ends = np.append(starts[1:], len(data))
-    sums = {name: np.concatenate([[0], np.cumsum(table[data], dtype=np.int64)]) for name, table in _CLASSES.items()}
+    ends = np.append(starts[1:], len(data))[:len(starts)]
 
-    def count(name: str) -> np.ndarray:
-        return (sums[name][ends] - sums[name][starts]).astype(float)
+    def counted(table: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+        np.cumsum(table[data], out=sums[1:])
+        return (sums[ends] - sums[starts]).astype(float)
 
-    some = count("solid") > 0
+    counts = {name: counted(table) for name, table in _CLASSES.items()}
+    some = counts["solid"] > 0
     starts, ends = starts[some], ends[some]
+    counts = {name: n[some] for name, n in counts.items()}
     doc = np.searchsorted(offsets, starts, side="right") - 1
     first = np.searchsorted(doc, np.arange(n_docs + 1))
     if not len(starts):
@@ -85,6 +88,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     copy = np.zeros(len(keys), bool)
     copy[order[1:]] = (keys[order[1:]] == keys[order[:-1]]).all(axis=1)
 
+    count = counts.__getitem__
     solid, words = count("solid"), np.maximum(n_words, 1)
     last = data[np.maximum(np.minimum(ends, len(data)) - 1, 0)]
     before = data[np.maximum(ends - 2, starts)]

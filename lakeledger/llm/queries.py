@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import backoff, bpe, crf, decontaminate, jaccard, learn, quality_rules, secrets, substrings, toxicity, url_lists
+from .texts import modest_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,6 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     return _table(spark, sf_dir, "documents")
 
 

@@ -10,12 +10,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
-CHUNK_BYTES = 2 << 20
+BATCH_BYTES = "8m"
+CHUNK_BYTES = 1 << 20       # of text that numpy works on at once: its temporaries take some hundred times as much
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Let Spark hand documents to Python in batches of ``BATCH_BYTES``: workers and Spark's buffers hold several at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
     """256 booleans, true for the bytes in the given closed ranges."""
     table = np.zeros(256, dtype=bool)
