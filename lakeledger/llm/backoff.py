@@ -185,7 +185,7 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     ``base_score`` is the unigram log10 probability, ``score`` that of the automaton.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))      # of words, and as many of bigrams
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key), F.col(text).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_learn"))
     asked = texts.mapInArrow(lambda batches: _asked(batches, shards), "shard int, block bigint, grams binary, counts binary")
