@@ -2,8 +2,9 @@
 
 Every shard of documents (a chunk of a few megabytes of whole texts) gets a suffix array over its words. Suffixes whose first
 words begin no test suffix can't match and are left out before sorting. All suffixes of the test items are then
-searched at once by bisection, word by word: the range after ``WINDOW`` words holds every location of a window, the
-last range that is not empty the longest verbatim match. Shards need nothing of each other, so the documents are never shuffled.
+searched at once by bisection, word by word: the range after ``WINDOW`` words holds every location of a window. Each location
+is extended while the words agree, so every document gets its own longest verbatim match, whatever else its shard holds.
+Shards need nothing of each other, so the documents are never shuffled.
 
 Test items are sent to the executors in blocks of at most ``BLOCK_BYTES`` of text (a longer item alone); several blocks are
 several passes over the documents whose hits are put together per row.
@@ -124,14 +125,12 @@ def _bound(column: np.ndarray, inside: np.ndarray, low: np.ndarray, high: np.nda
 
 
 def search(items: TestItems, words: np.ndarray, end: np.ndarray, array: np.ndarray):
-    """Bisect all test suffixes in a suffix array: (suffix, place) of every window, and (longest, place) per suffix.
+    """Bisect all test suffixes in a suffix array: (suffix, place) of every window.
 
     ``end`` is the end of the text at each entry of the array.
     """
     low, high = np.zeros(len(items.starts), np.int64), np.full(len(items.starts), len(array), np.int64)
-    longest, where = np.zeros(len(low), np.int64), np.zeros(len(low), np.int64)
-    window_low, window_high = low.copy(), low.copy()
-    left = items.end[items.starts] - items.starts
+    window_low, window_high = np.zeros(len(low), np.int64), np.zeros(len(low), np.int64)
     live = np.arange(len(low))
     depth = 0
     while len(live) and len(array):
@@ -145,14 +144,37 @@ def search(items: TestItems, words: np.ndarray, end: np.ndarray, array: np.ndarr
         live, a, b = live[found], a[found], b[found]
         low[live], high[live] = a, b
         depth += 1
-        longest[live], where[live] = depth, array[a]
         full = live[items.need[live] == depth]
         window_low[full], window_high[full] = low[full], high[full]
-        live = live[left[live] > depth]
+        live = live[items.need[live] > depth]
     count = window_high - window_low
     suffix = np.repeat(np.arange(len(count)), count)
     place = np.repeat(window_low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return suffix, array[place], longest, where
+    return suffix, array[place]
+
+
+def longest_matches(items: TestItems, words: np.ndarray, doc: np.ndarray, end: np.ndarray, suffix: np.ndarray,
+                    place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, place, item) of the longest match of every text that has a window; of equals the first place, then the first item.
+
+    A match that also agrees one word earlier is a part of a longer one in the list, so only the others are extended.
+    """
+    start = items.starts[suffix]
+    before = (start > 0) & (place > 0)
+    before &= (items.item[start - 1] == items.item[start]) & (doc[place - 1] == doc[place])
+    before &= items.words[start - 1] == words[place - 1]
+    start, place = start[~before], place[~before]
+    most = np.minimum(items.end[start] - start, end[place] - place)
+    length = items.need[suffix[~before]].copy()
+    live = np.flatnonzero(length < most)
+    while len(live):
+        live = live[items.words[start[live] + length[live]] == words[place[live] + length[live]]]
+        length[live] += 1
+        live = live[length[live] < most[live]]
+    order = np.lexsort([items.item[start], place, -length, doc[place]])
+    of = doc[place[order]]
+    order = order[np.append(True, of[1:] != of[:-1])]
+    return length[order], place[order], items.item[start[order]]
 
 
 def shard_hits(items: TestItems, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, list, list, int, str | None, int]]:
@@ -172,9 +194,8 @@ def shard_hits(items: TestItems, data: np.ndarray, offsets: np.ndarray) -> list[
     at = at[items.heads[near] == heads]
     if not len(at):
         return result
-    deepest = int((items.end[items.starts] - items.starts).max())
-    array = suffix_array(words, end[at], at, deepest)
-    suffix, place, longest, where = search(items, words, end[array], array)
+    array = suffix_array(words, end[at], at, int(items.need.max()))
+    suffix, place = search(items, words, end[array], array)
     if len(place):
         mark = np.zeros(len(words) + 1, np.int64)
         need = items.need[suffix]
@@ -192,16 +213,9 @@ def shard_hits(items: TestItems, data: np.ndarray, offsets: np.ndarray) -> list[
         ids: dict[int, set] = {}
         for d, i in pairs.tolist():
             ids.setdefault(d, set()).add(items.ids[i])
-        best = np.lexsort([where, -longest])
-        for s in best[longest[best] >= items.need[best]].tolist():
-            d = int(doc[where[s]])
-            n, spans, found, length, item, start = result[d]
-            if longest[s] > length:
-                result[d] = (n, spans, found, int(longest[s]), items.ids[items.item[items.starts[s]]],
-                             int(where[s] - first[d]))
-        for d in ranges:
-            n, _, _, length, item, start = result[d]
-            result[d] = (n, ranges[d], sorted(ids[d]), length, item, start)
+        for length, start, item in zip(*(x.tolist() for x in longest_matches(items, words, doc, end, suffix, place))):
+            d = int(doc[start])
+            result[d] = (result[d][0], ranges[d], sorted(ids[d]), length, items.ids[item], start - int(first[d]))
     return result
 
 
@@ -236,7 +250,8 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     """Per row: (key, n_words, hits, items, longest, longest_item, longest_start).
 
     ``hits`` are the word ranges inside occurring windows, ``items`` the ids with such windows, ``longest`` the words of the
-    longest verbatim match of at least a window, with its item and first word. With several blocks of items the rows are put together
+    longest verbatim match of at least a window, with its item and first word; of equally long ones the first in the document,
+    then the smallest id. With several blocks of items the rows are put together
     by a row number of their own, so repeated keys stay apart.
     """
     context = docs.sparkSession.sparkContext
@@ -254,7 +269,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
         shared = context.broadcast(pickle.dumps(TestItems.of(rows, window)))
         part = _one_block(numbered.select("_row", "_text"), shared, "_row", "_text", f"_row bigint, {_SCHEMA}")
         parts = part if parts is None else parts.unionByName(part)
-    best = F.max_by(F.struct("longest", "longest_item", "longest_start"), F.struct("longest", F.col("longest_item")))
+    best = F.min(F.struct((-F.col("longest")).alias("shorter"), "longest_start", "longest_item", "longest"))
     merged = parts.groupBy("_row").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("_hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("_best"))

@@ -233,6 +233,35 @@ def test_decontaminate(spark, folder, block_bytes):
     assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {i for i, _ in DOCS} - hit
 
 
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 60])
+def test_longest_match_of_each_document(spark, block_bytes):
+    """Copies, shorter matches and ties in one chunk; the same from one block of items and from many."""
+    item, other = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(15)]
+    docs = [(1, ["x", *item]), (2, ["x", *item]), (3, ["y", "y", *item[5:20], "z", *other]), (4, item[19:]), (5, [*item[:9], "q", *item[9:18]]),
+            (6, [*other[3:], "z", *item[:12]]), (7, [*item[:10], *item[:11]])]
+    items = [("1", item), ("2", other), ("10", item[3:]), ("9", other[3:])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], DOCUMENTS).coalesce(1)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id string, text string")
+
+    def best(w):
+        found = [(0, 1, None)]
+        for i, v in items:
+            for a in range(len(w)):
+                for b in range(len(v)):
+                    n = 0
+                    while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
+                        n += 1
+                    found += [(-n, a, i)] if n >= 10 else []
+        n, a, i = min(found, key=lambda r: (r[0], r[1], r[2] or ""))
+        return (-n, i, a) if i else (0, None, -1)
+
+    assert len(list(decontaminate.item_blocks(table, "item_id", "text", block_bytes))) > (block_bytes == 60)
+    got = {r.doc_id: (r.longest, r.longest_item, r.longest_start)
+           for r in decontaminate.find(df, table, block_bytes=block_bytes).collect()}
+    assert got == {i: best(w) for i, w in docs}
+    assert got[2] == (30, "1", 1) and got[3] == (15, "1", 2) and got[5] == (0, None, -1)
+
+
 def test_suffix_array_order():
     import numpy as np
     generator = np.random.default_rng(3)
