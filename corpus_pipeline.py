@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 next stage's ``docs``. Every stage works on all that its predecessor kept:
 
 1. quality classifier: documents below the score cut go;
-2. n-gram Jaccard join: of every class of near duplicates the document with the smallest id stays;
+2. n-gram Jaccard join: of every class of near duplicates (``NEAR_WORDS``-word shingles, similarity of at least ``NEAR_PERCENT`` %)
+   the document with the smallest id stays;
 3. benchmark decontamination: documents with a window of a benchmark item go;
 4. secret scans: secrets are replaced by their kind in brackets, ``n_chars`` follows;
 5. byte-level BPE: token ids of every document, with the digest of what they decode to.
@@ -23,6 +24,9 @@ from lakeledger.llm import bpe, crf, decontaminate, jaccard, learn, secrets
 from lakeledger.llm.texts import modest_batches
 from lakeledger.session import cut_lineage
 
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score at least ``crf.SCORE_CUT``; learns from the labels of the documents given."""
@@ -34,7 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     modest_batches(spark)
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

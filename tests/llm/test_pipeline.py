@@ -46,6 +46,24 @@ def test_one_of_each_class(stages):
     assert set(after) == {component for _, component in classes.values()}
 
 
+def test_near_copies_between_the_cuts(spark):
+    """Pairs with 0.80 <= J < 0.85, a pair below 0.80, and more edits than that."""
+    def text(name, n=100):
+        return [f"{name}{j}" for j in range(n)]
+
+    def edited(w, *places):
+        return [f"e{j}" if j in places else x for j, x in enumerate(w)]
+
+    a, b, c = text("a"), text("b"), text("c")
+    docs = [(1, a), (2, a + text("footer", 20)), (3, b), (4, edited(b, 30, 60)), (5, c), (6, edited(c, 20, 40, 60, 80))]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    classes = near_classes(docs, 5, 80)
+    assert {i: k for i, (_, k) in classes.items()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
+    assert all(i == k for i, (_, k) in near_classes(docs).items())
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()} == {1, 3, 5, 6}
+
+
 def test_contaminated_go(spark, stages):
     before, after = stages["decontamination"]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
