@@ -8,7 +8,7 @@ of all events is no hot spot; its events then meet their session on (root, tick)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..constants import DEBOUNCE_SECONDS
 
@@ -126,6 +126,9 @@ class DebounceSink:
     overwritten when a batch is repeated, so a restart neither loses nor doubles anything. Because the
     state is a table and the sessions come from the batch operator, a root with most of the events does
     not run in one task, as it would with state keyed by root.
+
+    Events later than the watermark go to the table ``late`` in ``state_dir``, one folder per micro-batch. At the end of the
+    input ``flush`` gives out the bursts that are still open.
     """
 
     STATE = (
@@ -151,6 +154,8 @@ class DebounceSink:
         pending, newest_before = self._previous(batch, batch_id)
         # later than the watermark: the burst such an event belongs to may be out already
         fresh = batch if newest_before is None else batch.filter(F.unix_micros("ts") >= newest_before - self.delay)
+        late = batch.limit(0) if newest_before is None else batch.filter(F.unix_micros("ts") < newest_before - self.delay)
+        late.write.mode("overwrite").parquet(f"{self.state_dir}/late/{batch_id}")
         condensed = last_per_tick(fresh, ["root"], self.gap)
         if pending is not None:
             both = condensed.unionByName(pending)
@@ -173,3 +178,16 @@ class DebounceSink:
         _emitted(done, _ticks_again(done), ["root"], self.gap).write.mode("overwrite").parquet(f"{self.out_dir}/batch={batch_id}")
         clock = spark.range(1).select(F.lit(newest).cast("bigint").alias("newest"))
         clock.write.mode("overwrite").parquet(f"{self.state_dir}/clock/{batch_id}")
+
+    def late_events(self, spark: SparkSession) -> DataFrame:
+        """The events that came too late for their bursts."""
+        return spark.read.parquet(f"{self.state_dir}/late/*")
+
+    def flush(self, spark: SparkSession, last_batch_id: int) -> None:
+        """Give out the bursts still open after the last micro-batch, in the folder of the next one.
+
+        If the stream goes on after all, that micro-batch overwrites the folder, and nothing is doubled.
+        """
+        pending = spark.read.schema(self.STATE).parquet(f"{self.state_dir}/pending/{last_batch_id}")
+        done = _emitted(pending, _ticks_again(pending), ["root"], self.gap)
+        done.write.mode("overwrite").parquet(f"{self.out_dir}/batch={last_batch_id + 1}")

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakeledger.operators.rules import load_rules
 from lakeledger.sources.events import files_only, parse_events, read_events
@@ -128,6 +129,18 @@ def test_late_events_are_dropped(spark, tmp_path):
     assert got == [("/w/a", "created", None, 1), ("/w/b", "created", None, 1), ("/w/c", "created", None, 1)]
 
 
+def test_flush_and_late_events(spark, tmp_path):
+    df = noise(spark, 120, 5, 200)
+    sink = E.DebounceSink(str(tmp_path / "out"), str(tmp_path / "state"))
+    sink(df.filter(F.col("ts") < at(100)), 0)
+    sink(df.filter(F.col("ts") >= at(100)), 1)
+    sink(events(spark, ("/a", "/a/late", "created", 1.0)), 2)
+    assert len(result(spark.read.parquet(str(tmp_path / "out")))) < len(result(E.debounce(df)))
+    sink.flush(spark, 2)
+    assert result(spark.read.parquet(str(tmp_path / "out"))) == result(E.debounce(df))
+    assert [r.path for r in sink.late_events(spark).collect()] == ["/a/late"]
+
+
 CATALOG = "id BIGINT, path STRING, name STRING, extension STRING, size BIGINT, category STRING"
 
 
