@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import backoff, bpe, crf, decontaminate, jaccard, learn, quality_rules, secrets, substrings, toxicity, url_lists
+from . import (backoff, bpe, crf, decontaminate, divergence, jaccard, learn, lines, prefix_trie, quality_rules, secrets, substrings,
+               toxicity, url_lists)
 from .texts import modest_batches
 
 
@@ -100,6 +101,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.drop_repeated(_documents(spark, sf_dir))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -111,8 +125,14 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_divergence": op11_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_lines": op13_lines,
 }
 ORACLE: dict[str, str] = {
     "op4_url_lists": url_lists.ORACLE,
     "op10_quality_rules": quality_rules.oracle_sql(),
+    "op11_divergence": divergence.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_lines": lines.ORACLE,
 }

@@ -115,3 +115,85 @@ def near_classes(docs, size=4, percent=85):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def repeated_lines(docs, least=10, keep_first=False):
+    """[(id, n_lines, n_dropped, kept)] of rows (id, text); ids differ."""
+    blank = b" \t\n\r\x0b\x0c"
+    split = {i: (text or "").encode().split(b"\n") for i, text in docs}
+    having = collections.defaultdict(list)
+    for i, rows in split.items():
+        for k in {r.strip(blank).lower() for r in rows}:
+            having[k].append(i)
+    gone = {k: min(v) for k, v in having.items() if k and len(v) >= least}
+    out = []
+    for i, rows in split.items():
+        kept, seen = [], set()
+        for r in rows:
+            k = r.strip(blank).lower()
+            if k in gone and not (keep_first and gone[k] == i and k not in seen):
+                seen.add(k)
+                continue
+            seen.add(k)
+            kept.append(r)
+        out.append((i, len(rows), len(rows) - len(kept), b"\n".join(kept)))
+    return out
+
+
+def source_divergence(docs, least=10, top=10):
+    """[(lang, source, part, item, value, rank)] of rows (lang, source, text)."""
+    pattern = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    groups, having = collections.defaultdict(collections.Counter), collections.Counter()
+    for lang, source, text in docs:
+        found = pattern.findall(_lower(text))
+        groups[lang or "", source or ""].update(found)
+        having.update((lang or "", t) for t in set(found))
+    out = []
+    for lang in {g for g, _ in groups}:
+        kept = [t for (g, t), n in having.items() if g == lang and n >= least]
+        counts = {s: {t: c[t] for t in kept} for (g, s), c in groups.items() if g == lang}
+
+        def shares(c):
+            n = sum(c.values()) + 2 * len(kept)
+            return {t: 1 + 1_000_000_000 * (c[t] + 2) // n for t in kept}
+
+        q = shares({t: sum(c[t] for c in counts.values()) for t in kept})
+        p = {s: shares(c) for s, c in counts.items()}
+
+        def f(a, b):
+            return (a - b) ** 2 // (a + b)
+
+        for s in counts:
+            pairs = [(-sum(f(p[s][t], p[o][t]) for t in kept), o) for o in counts if o != s]
+            terms = [(-f(p[s][t], q[t]), t) for t in kept if counts[s][t] and p[s][t] > q[t]]
+            for part, rows, limit in (("pair", pairs, len(pairs)), ("term", terms, top)):
+                rows = sorted(rows, key=lambda r: (r[0], r[1].encode()))[:limit]
+                out += [(lang, s, part, item, -v, k + 1) for k, (v, item) in enumerate(rows)]
+    return out
+
+
+def prefix_nodes(rows):
+    """[(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256)] of rows (conv_id, turn, role, text)."""
+    own = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [r[2:] for r in sorted(v)] for c, v in own.items()}
+    members, ends = collections.defaultdict(list), collections.defaultdict(list)
+    for c, turns in sorted(own.items()):
+        h = zlib.crc32(str(c).encode()) % 9
+        turns = own.get(c - int(math.fmod(c, 5)), [])[:h] + turns[h:]
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+        ends[tuple(turns)].append(c)
+    children = collections.defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        leaves[node] = sum(leaves[x] for x in children[node]) or 1
+        own_bytes = (len(members[node]) - 1) * len(node[-1][1].encode()) if node else 0
+        saved[node] = own_bytes + sum(saved[x] for x in children[node])
+    return [(min(m), len(node), min(members[node[:-1]]) if node else None, len(m), len(children[node]), leaves[node], saved[node],
+             sha(",".join(map(str, sorted(ends[node]))).encode())) for node, m in members.items()]

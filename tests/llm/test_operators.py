@@ -57,13 +57,15 @@ def folder(spark, tmp_path_factory):
              [(i, i % 6, kinds[(i * 3) % 5], 1_704_067_200 + (i // 2) * 9_000) for i in range(20, 80)]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string, s long").select(
         "event_id", "user_id", "event_type", F.timestamp_seconds("s").alias("ts")).write.parquet(f"{path}/events.parquet")
+    spark.createDataFrame([(5, None, "user", "a"), (5, 1, None, "b"), (6, 0, "user", None), (None, 0, "user", "a")],
+                          "conv_id long, turn long, role string, text string").withColumn("node", F.lit(0)).write.parquet(f"{path}/conversations.parquet")
     return path
 
 
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for table in "documents benchmark labels pages events".split():
+    for table in "documents benchmark labels pages events conversations".split():
         spark.read.parquet(f"{folder}/{table}.parquet").limit(0).write.parquet(f"{path}/{table}.parquet")
     return path
 
