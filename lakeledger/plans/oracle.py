@@ -143,6 +143,29 @@ undo_result AS (
                EXISTS (SELECT 1 FROM listing_v v WHERE v.path = e.original_path) AS occupied FROM eligible e))"""
 
 
+def _replay(events: str) -> str:
+    """Events applied one after the other, root by root: the files of a root are a list of (path, where the row comes from)."""
+    here = "list_filter(p.files, lambda f: f.path = e.path)"
+    return f"""
+known AS (SELECT DISTINCT root, path FROM {events} WHERE path NOT LIKE '%/f3.txt'),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ts, event_id) AS k FROM {events}),
+play AS (
+  SELECT r.root, CAST(0 AS BIGINT) AS k, coalesce(files, []) AS files FROM (SELECT DISTINCT root FROM {events}) r
+  LEFT JOIN (SELECT root, list({{'path': path, 'origin': path, 'moved': false}}) AS files FROM known GROUP BY root) USING (root)
+  UNION ALL
+  SELECT p.root, e.k, CASE
+    WHEN kind = 'deleted' OR kind = 'moved' AND dest_path IS NULL THEN list_filter(p.files, lambda f: f.path <> e.path)
+    WHEN kind = 'moved' AND dest_path <> e.path THEN list_append(list_filter(p.files, lambda f: f.path <> e.path AND f.path <> e.dest_path),
+      {{'path': e.dest_path, 'origin': {here}[1].origin, 'moved': true}})
+    WHEN len({here}) > 0 THEN p.files
+    ELSE list_append(p.files, {{'path': e.path, 'origin': CAST(NULL AS VARCHAR), 'moved': true}}) END
+  FROM play p JOIN numbered e ON e.root = p.root AND e.k = p.k + 1),
+files_left AS (SELECT unnest(files) AS f FROM (SELECT files, row_number() OVER (PARTITION BY root ORDER BY k DESC) AS rk FROM play) WHERE rk = 1),
+replayed AS (SELECT f.path AS path, regexp_extract(f.path, '([^/]*)$', 1) AS name, lower(regexp_extract(f.path, '([.][^.]+)$', 1)) AS extension,
+  CAST(length(f.origin) AS BIGINT) AS size, CASE WHEN f.path LIKE '%.jpg' AND f.moved THEN 'Images' ELSE 'Documents' END AS category,
+  f.origin AS came_from FROM files_left)"""
+
+
 def _debounced(keys: str, path: str) -> str:
     partition = ", ".join(f"{k}" for k in keys.split())
     return f"""
@@ -353,17 +376,8 @@ FROM logs_v l LEFT JOIN undo_v u ON u.log_id = l.id LEFT JOIN undo_result r ON r
     "event_counts": _q("fs_events_v", """SELECT CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 AS window_start, kind, count(*) AS n_events FROM fs_events_v GROUP BY ALL"""),
     "classify_events": _q("fs_events_v", """SELECT event_id, CASE WHEN kind = 'moved' THEN dest_path ELSE path END AS file, 'Documents' AS category, CAST(0.95 AS DOUBLE) AS confidence
 FROM fs_events_v WHERE kind <> 'deleted'"""),
-    "apply_events": _q("fs_events_v", """SELECT path, name, size, category FROM (
- SELECT c.path, regexp_extract(c.path, '([^/]*)$', 1) AS name, CAST(length(c.path) AS BIGINT) AS size, 'Documents' AS category
- FROM known c JOIN newest n ON n.path = c.path WHERE n.kind IN ('created', 'modified')
- UNION ALL
- SELECT n.dest_path, regexp_extract(n.dest_path, '([^/]*)$', 1), CAST(length(c.path) AS BIGINT), 'Documents'
- FROM newest n LEFT JOIN known c ON c.path = n.path WHERE n.kind = 'moved'
- UNION ALL
- SELECT n.path, regexp_extract(n.path, '([^/]*)$', 1), NULL, 'Documents' FROM newest n
- WHERE n.kind IN ('created', 'modified') AND n.path NOT IN (SELECT path FROM known))""", """
-newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) AS rk FROM fs_events_v) WHERE rk = 1),
-known AS (SELECT DISTINCT path FROM fs_events_v WHERE path NOT LIKE '%/f3.txt')"""),
+    "apply_events": _q("fs_events_v", "SELECT path, name, size, category FROM replayed", _replay("fs_events_v"), True),
+    "replay_moves": _q("busy_events_v", "SELECT path, name, extension, size, category, came_from FROM replayed", _replay("busy_events_v"), True),
 }
 # a stream has not yet given out what is still open when its input ends
 _OPEN = f" AND b.session_end + {GAP} < (SELECT max(us) FROM timed)"

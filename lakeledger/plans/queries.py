@@ -610,16 +610,29 @@ def event_counts(spark, sf):
     return G.event_counts(view(spark, sf, "fs_events_v"))
 
 
-@query
-def apply_events(spark, sf):
-    events = view(spark, sf, "fs_events_v")
-    # the watched folders as they are before the events: every path an event names once
-    catalog = events.select("path").distinct().select(
+def _watched(events):
+    """The watched folders as they are before the events: every path an event names once, but for some."""
+    return events.select("path").distinct().select(
         F.xxhash64("path").alias("id"), "path", P.base_name("path").alias("name"),
         P.extension(P.base_name("path")).alias("extension"), F.length("path").cast("bigint").alias("size"),
         F.lit("Documents").alias("category"),
     ).filter(~F.col("path").endswith("/f3.txt"))
-    return G.apply_events(catalog, events).select("path", "name", "size", "category")
+
+
+@query
+def apply_events(spark, sf):
+    events = view(spark, sf, "fs_events_v")
+    return G.apply_events(_watched(events), events).select("path", "name", "size", "category")
+
+
+@query
+def replay_moves(spark, sf):
+    """Chains of moves, moves over files, paths used again: every file is followed to where it ends."""
+    events = view(spark, sf, "busy_events_v")
+    catalog = _watched(events)
+    done = G.apply_events(catalog, events)
+    return done.join(catalog.select("id", F.col("path").alias("came_from")), "id", "left").select(
+        "path", "name", "extension", "size", "category", "came_from")
 
 
 @query

@@ -112,6 +112,16 @@ SELECT concat('/watch/u', CAST(user_id AS STRING)) AS root,
        CASE event_type WHEN 'click' THEN 'created' WHEN 'error' THEN 'deleted' WHEN 'purchase' THEN 'moved' ELSE 'modified' END AS kind,
        CASE WHEN event_type = 'purchase' THEN concat('/watch/u', CAST(user_id AS STRING), '/m', CAST(event_id AS STRING), '.txt') END AS dest_path,
        event_id, CAST(ts AS TIMESTAMP) AS ts
+FROM events"""),
+    # few names that are moved on, moved over, deleted and used again
+    "busy_events_v": (["events"], """
+SELECT concat('/watch/u', CAST(user_id AS STRING)) AS root,
+       concat('/watch/u', CAST(user_id AS STRING), '/f', CAST(event_id % 5 AS STRING), CASE WHEN event_id % 4 = 1 THEN '.jpg' ELSE '.txt' END) AS path,
+       CASE event_type WHEN 'click' THEN 'created' WHEN 'error' THEN 'deleted' WHEN 'view' THEN 'modified' ELSE 'moved' END AS kind,
+       CASE WHEN event_type NOT IN ('click', 'error', 'view') AND event_id % 11 <> 0
+            THEN concat('/watch/u', CAST(user_id AS STRING), '/f', CAST(CAST(floor(event_id / 5) AS BIGINT) % 7 AS STRING),
+                        CASE WHEN event_id % 3 = 0 THEN '.jpg' ELSE '.txt' END) END AS dest_path,
+       event_id, CAST(ts AS TIMESTAMP) AS ts
 FROM events"""),
     # paths with protected and look-alike places
     "places_v": (["orders"], """

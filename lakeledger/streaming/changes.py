@@ -12,88 +12,81 @@ from ..operators.classify import classify, default_category
 from ..operators.organize import move_requests, plan_moves
 from ..operators.ranking import dense_ids
 from ..operators.rules import RuleSet
-from ..session import cut_lineage, forget
+from ..operators.slabs import in_slabs, previous
+from ..session import cut_lineage
 
 
-def last_event_per_path(events: DataFrame) -> DataFrame:
-    """The newest event of each path."""
-    row = F.max_by(F.struct(*[c for c in events.columns if c != "path"]), F.struct("ts", "event_id"))
-    return events.groupBy("path").agg(row.alias("_e")).select("path", "_e.*")
+def _touches(events: DataFrame) -> DataFrame:
+    """What events do to paths: (path, at, kind, node): ``in`` a file arrives, ``out`` the path is left empty, ``seen`` it has a file.
 
-
-def resolve_moves(moves: DataFrame) -> DataFrame:
-    """(path, final_path, arrived): moves with chains followed to their end, and the time of the last hop.
-
-    A file moved a to b, then b to c, ends at c: the paths jump twice as far every round, so a chain of
-    n moves takes about log2(n) joins on path. A next hop must start later than the last one ended.
+    ``at`` orders the events; a move touches two paths at once, and ``node`` is its name, the same on both.
+    """
+    # events without a path say nothing; a move that is delivered twice is one move
+    moves = (events.filter((F.col("kind") == "moved") & F.col("path").isNotNull() & F.col("dest_path").isNotNull()
+                           & (F.col("path") != F.col("dest_path")))
+             .select("path", "dest_path", F.struct("ts", "event_id", "path").alias("node")).distinct())
+    at = F.struct(F.col("node.ts").alias("ts"), F.col("node.event_id").alias("event_id"))
+    sides = F.explode(F.array(F.struct(F.col("path"), F.lit("out").alias("kind")), F.struct(F.col("dest_path").alias("path"), F.lit("in").alias("kind"))))
+    moved = moves.select(at.alias("at"), "node", sides.alias("_s")).select("_s.path", "at", "_s.kind", "node")
+    leaves = (F.col("kind") == "deleted") | ((F.col("kind") == "moved") & F.col("dest_path").isNull())
+    stays = (F.col("kind") != "moved") | F.col("dest_path").isNull() | (F.col("path") == F.col("dest_path"))
+    others = events.filter(F.col("path").isNotNull() & stays).select(
+        "path", F.struct("ts", "event_id").alias("at"), F.when(leaves, "out").otherwise("seen").alias("kind"),
+        F.lit(None).cast(moved.schema["node"].dataType).alias("node"))
+    return moved.unionByName(others)
+
+
+def move_origins(touches: DataFrame) -> DataFrame:
+    """(node, origin): for every move the path whose first file it carries; null if that file came up during the events.
+
+    A path's versions open where something arrives or leaves, so a move's file is told by what happened last at its source: an earlier move
+    brought it, or it was there from the start, or it appeared after the path had been left. Moves point to the
+    moves that brought their files; the pointers jump twice as far every round, a chain of n moves takes about log2(n) joins.
+    A version is left once, so no move is pointed to twice and no key is hot.
     """
-    hops = cut_lineage(moves.select("path", F.col("dest_path").alias("final_path"), F.col("ts").alias("left"),
-                                    F.col("ts").alias("arrived")))
-    earlier = hops
-    while True:
-        onward = hops.select(F.col("path").alias("final_path"), F.col("final_path").alias("_next"),
-                             F.col("left").alias("_left"), F.col("arrived").alias("_arrived"))
-        jumps = F.coalesce(F.col("_left") > F.col("arrived"), F.lit(False))
-        longer = cut_lineage(hops.join(onward, "final_path", "left").select(
-            "path", "left",
-            F.when(jumps, F.col("_next")).otherwise(F.col("final_path")).alias("final_path"),
-            F.when(jumps, F.col("_arrived")).otherwise(F.col("arrived")).alias("arrived"),
-            jumps.alias("_jumped"),
-        ))
-        forget(earlier)
-        earlier, hops = longer, longer.drop("_jumped")
-        if longer.filter("_jumped").isEmpty():
-            return hops.select("path", "final_path", "arrived")
+    changes = in_slabs(touches.filter("kind <> 'seen'"), ["path"], ["at"])
+    known = previous(changes, ["path"], ["at"], F.struct("kind", "node"), "_last").filter((F.col("kind") == "out") & F.col("node").isNotNull())
+    hops = cut_lineage(known.select(
+        "node", F.when(F.col("_last.kind") == "in", F.col("_last.node")).alias("next"),
+        F.when(F.col("_last").isNull(), F.col("path")).alias("origin")))
+    settled = hops.filter("next IS NULL").select("node", "origin")
+    chained = hops.filter("next IS NOT NULL")
+    while not chained.isEmpty():
+        ahead = hops.select(F.col("node").alias("next"), F.col("next").alias("_next"), F.col("origin").alias("_origin"))
+        jumped = cut_lineage(chained.join(ahead, "next").select(
+            "node", F.col("_next").alias("next"), F.col("_origin").alias("origin")))
+        settled = settled.unionByName(jumped.filter("next IS NULL").select("node", "origin"))
+        chained = hops = jumped.filter("next IS NOT NULL")
+        # a chain of one more jump may point to a settled move
+        hops = hops.unionByName(settled.select("node", F.lit(None).cast(hops.schema["next"].dataType).alias("next"), "origin"))
+    return settled
 
 
 def apply_events(catalog: DataFrame, events: DataFrame) -> DataFrame:
-    """The catalog after debounced events (one per path): created and modified paths are there, deleted ones
-    are gone, moved files keep their row under the new path.
+    """The catalog after all events in the order of (ts, event_id), as if they were applied one by one.
 
-    A file that arrives on a path replaces the row that was there; of several arrivals the last stands.
-    A created path gets size and mtime with the next scan.
+    Created and modified paths have a file afterwards (the one that is there, or a new one without size and time until the next scan), deleted
+    ones have none. A moved file keeps its row under the new path and replaces what is there; a move of a file nobody knew brings a new one, a
+    move without a destination takes the file away. Paths may be used again and again, and moves may form chains.
     """
-    last = cut_lineage(last_event_per_path(events))
-    hops = last.filter((F.col("kind") == "moved") & F.col("dest_path").isNotNull())
-    # what left a path after something had come to it is that something: its own chain covers the hop
-    reached = hops.groupBy(F.col("dest_path").alias("path")).agg(F.min("ts").alias("_reached"))
-    starts = hops.join(reached, "path", "left").filter(F.col("_reached").isNull() | (F.col("_reached") >= F.col("ts")))
-    moves = resolve_moves(hops).join(starts.select("path"), "path", "left_semi")
-    arrivals = moves.groupBy("final_path").agg(
-        F.max_by("path", F.struct("arrived", "path")).alias("_from"), F.max("arrived").alias("_ts")
-    )
-    gone = last.select("path", "kind", F.col("ts").alias("_event_ts"))
-    # rows that stay where they are: not deleted, not moved away, nothing moved onto them later
-    moved_here = arrivals.select(F.col("final_path").alias("path"), "_ts")
-    staying = (
-        catalog.join(gone.filter(F.col("kind").isin("deleted", "moved")).select("path"), "path", "left_anti")
-        .join(moved_here, "path", "left_anti")
-    )
-    # a path deleted after something moved onto it is gone
-    live = arrivals.join(
-        gone.filter(F.col("kind") == "deleted").select(F.col("path").alias("final_path"), "_event_ts"),
-        "final_path", "left",
-    ).filter(F.col("_event_ts").isNull() | (F.col("_event_ts") < F.col("_ts")))
-    source = catalog.select(F.col("path").alias("_from"), *[F.col(c).alias(f"_s_{c}") for c in catalog.columns
-                                                            if c != "path"])
-    name = base_name("final_path")
-    fresh = {"path": F.col("final_path"), "name": name, "extension": extension(name),
-             "category": default_category(extension(name)), "id": F.col("_s_id")}
-    moved = live.join(source, "_from", "left").select(
-        *[fresh.get(c, F.col(f"_s_{c}")).alias(c) for c in catalog.columns]
-    )
-    made = (
-        last.filter(F.col("kind").isin("created", "modified")).select("path")
-        .join(catalog.select("path"), "path", "left_anti")
-        .join(moved.select("path"), "path", "left_anti")
-    )
-    name = base_name("path")
-    blank = {"path": F.col("path"), "name": name, "extension": extension(name),
-             "category": default_category(extension(name))}
+    touches = cut_lineage(_touches(events))
+    change = F.when(F.col("kind") != "seen", F.struct("at", "kind", "node"))
+    ends = touches.groupBy("path").agg(F.max_by("kind", "at").alias("kind"), F.max(change).alias("_last"))
+    ends = cut_lineage(ends.select("path", "kind", F.col("_last.kind").alias("last"), F.col("_last.node").alias("node")))
+    # nothing came or went: a file that is there stays, one that is not is new
+    changed = ends.filter("last IS NOT NULL").select("path")
+    staying = catalog.join(changed, "path", "left_anti")
     types = {f.name: f.dataType for f in catalog.schema}
-    created = made.select(*[blank.get(c, F.lit(None)).cast(types[c]).alias(c) for c in catalog.columns])
-    changed = moved.unionByName(created)
-    return staying.select(*catalog.columns).unionByName(with_ids(changed, catalog) if "id" in catalog.columns else changed)
+    name = base_name("path")
+    named = {"path": F.col("path"), "name": name, "extension": extension(name), "category": default_category(extension(name))}
+    arrived = ends.filter("kind <> 'out' AND last = 'in'").join(move_origins(touches), "node")
+    source = catalog.select(F.col("path").alias("origin"), *[F.col(c).alias(f"_s_{c}") for c in catalog.columns if c != "path"])
+    moved = arrived.join(source, "origin", "left").select(*[named.get(c, F.col(f"_s_{c}")).cast(types[c]).alias(c) for c in catalog.columns])
+    born = ends.filter("kind = 'seen' AND last = 'out'").select("path").unionByName(
+        ends.filter("last IS NULL").select("path").join(catalog.select("path"), "path", "left_anti"))
+    created = born.select(*[named.get(c, F.lit(None)).cast(types[c]).alias(c) for c in catalog.columns])
+    fresh = moved.unionByName(created)
+    return staying.select(*catalog.columns).unionByName(with_ids(fresh, catalog) if "id" in catalog.columns else fresh)
 
 
 def classify_events(events: DataFrame, rules: DataFrame | RuleSet) -> DataFrame:

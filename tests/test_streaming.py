@@ -158,19 +158,80 @@ def test_apply_events(spark):
         ("/w", "/w/h.txt", "modified", 1.0), ("/w", "/w/h.txt", "deleted", 0.5),
     )
     got = {r["path"]: (r["id"], r["name"], r["category"]) for r in G.apply_events(catalog, df).collect()}
-    new = got.pop("/w/new.py")
-    assert new[1:] == ("new.py", "Code")
+    # deleted and then modified: another file
+    assert got.pop("/w/new.py")[1:] == ("new.py", "Code") and got.pop("/w/h.txt")[0] > 7
     # g's file went over f at 4 and back to g at 5
     assert got == {"/w/b2.PDF": (1, "b2.PDF", "Documents"), "/w/t3": (2, "t3", "Others"),
-                   "/w/e.txt": (3, "e.txt", "Documents"), "/w/h.txt": (7, "h.txt", "Documents"), "/w/g.txt": (6, "g.txt", "Documents")}
+                   "/w/e.txt": (3, "e.txt", "Documents"), "/w/g.txt": (6, "g.txt", "Documents")}
+
+
+def replayed(catalog, rows):
+    """Events applied one after the other: {path: path the row comes from, or None}."""
+    files = {p: p for p in catalog}
+    for r in sorted(rows, key=lambda r: (r["ts"], r["event_id"])):
+        path, dest = r["path"], r["dest_path"]
+        if r["kind"] == "deleted" or (r["kind"] == "moved" and dest is None):
+            files.pop(path, None)
+        elif r["kind"] == "moved" and dest != path:
+            files[dest] = files.pop(path, None)
+        else:
+            files.setdefault(path, None)
+    return files
+
+
+def ends_of(spark, catalog, df):
+    """{path: path the row comes from, or None} by ``apply_events``."""
+    ids = {p: i for i, p in enumerate(catalog)}
+    rows = [(i, p, "old", ".old", i, "Old") for p, i in ids.items()]
+    back = {i: p for p, i in ids.items()}
+    done = G.apply_events(spark.createDataFrame(rows, CATALOG), df).collect()
+    assert len({r["path"] for r in done}) == len({r["id"] for r in done}) == len(done)
+    return {r["path"]: back.get(r["id"]) for r in done}
+
+
+@pytest.mark.parametrize("seed,names", [(1, 3), (2, 6), (3, 40)])
+def test_replay_like_one_by_one(spark, seed, names):
+    """Chains, rings, moves over files, paths left and used again, all at random."""
+    r = random.Random(seed)
+    paths = [f"/w/{i}" for i in range(names)]
+    rows = [("/w", r.choice(paths), r.choice(["created", "modified", "deleted", "moved", "moved", "moved"]), r.choice([*paths, None]), i, at(r.randrange(60)))
+            for i in range(400)]
+    rows = [x if x[2] == "moved" else (*x[:3], None, *x[4:]) for x in rows]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    catalog = paths[::2]
+    assert ends_of(spark, catalog, df) == replayed(catalog, df.collect())
+
+
+def test_path_used_again_after_a_move(spark):
+    df = events(spark, ("/w", "/w/a", "moved", "/w/b", 1.0), ("/w", "/w/a", "created", 2.0))
+    assert ends_of(spark, ["/w/a"], df) == {"/w/a": None, "/w/b": "/w/a"}
+    df = events(spark, ("/w", "/w/a", "deleted", 1.0), ("/w", "/w/a", "created", 2.0), ("/w", None, "created", 3.0))
+    assert ends_of(spark, ["/w/a", "/w/z"], df) == {"/w/a": None, "/w/z": "/w/z"}
 
 
 def test_long_move_chain(spark):
     df = events(spark, *[("/w", f"/w/{i}", "moved", f"/w/{i + 1}", float(i)) for i in range(37)])
-    moves = G.resolve_moves(df)
-    assert {r["final_path"] for r in moves.collect()} == {"/w/37"}
+    assert ends_of(spark, ["/w/0"], df) == {"/w/37": "/w/0"}
     back = events(spark, ("/w", "/w/a", "moved", "/w/b", 9.0), ("/w", "/w/b", "moved", "/w/c", 5.0))
-    assert {r["path"]: r["final_path"] for r in G.resolve_moves(back).collect()} == {"/w/a": "/w/b", "/w/b": "/w/c"}
+    assert ends_of(spark, ["/w/a", "/w/b"], back) == {"/w/b": "/w/a", "/w/c": "/w/b"}
+    # delivered twice is moved once
+    assert ends_of(spark, ["/w/a", "/w/b"], back.unionByName(back)) == {"/w/b": "/w/a", "/w/c": "/w/b"}
+
+
+def test_one_path_with_most_events_is_scanned_in_slabs(spark):
+    from lakeledger.operators import slabs
+
+    rows = spark.range(4000).select(F.lit("hot").alias("k"), F.col("id").alias("o")).unionByName(
+        spark.range(100).select(F.concat(F.lit("c"), (F.col("id") % 9).cast("string")).alias("k"), F.col("id").alias("o")))
+    dealt = slabs.in_slabs(rows.repartition(8), ["k"], ["o"], 8)
+    assert dealt.filter("k = 'hot'").select("_slab").distinct().count() > 1
+    got = slabs.highest_so_far(slabs.previous(dealt, ["k"], ["o"], F.col("o"), "before"), ["k"], ["o"], F.when(F.col("o") % 50 == 0, F.col("o")), "top")
+    last = {}
+    for r in sorted(got.collect(), key=lambda r: r["o"]):
+        before, top = last.get(r["k"], (None, None))
+        top = r["o"] if r["o"] % 50 == 0 else top
+        assert (r["before"], r["top"]) == (before, top)
+        last[r["k"]] = (r["o"], top)
 
 
 def test_classify_stream(spark, tmp_path):
