@@ -36,6 +36,7 @@ BITS_PER_KEY = 16
 MAX_BITS = 1 << 29
 SEGMENT_KEYS = 1 << 18          # lines whose places one task fills a segment with
 MAX_SENT = 1 << 22
+LINE_CHUNK = 1 << 18        # bytes of text whose lines are worked on at once
 _LAST = np.iinfo(np.int64).max
 
 
@@ -101,7 +102,7 @@ class Filters:
         for batch in batches:
             data, offsets = documents_of(batch, "_text")
             found = [distinct_keys(Lines(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]))[:2]
-                     for low, high in chunks(offsets)]
+                     for low, high in chunks(offsets, LINE_CHUNK)]
             if not found:
                 continue
             one, two = (np.concatenate(x) for x in zip(*found))
@@ -164,7 +165,7 @@ def _counted(batches: Iterable[pa.RecordBatch], suspects: Suspects) -> Iterator[
         data, offsets = documents_of(batch, "_text")
         ids = np.asarray(batch.column(0).fill_null(_LAST))
         found = []
-        for low, high in chunks(offsets):
+        for low, high in chunks(offsets, LINE_CHUNK):
             one, two, of = distinct_keys(Lines(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]))
             let = suspects(one, two)
             found.append((one[let], two[let], ids[low + of[let]]))
@@ -229,7 +230,7 @@ def _with_sent(texts: DataFrame, shared: Broadcast, keep_first: bool) -> DataFra
         for batch in batches:
             data, offsets = documents_of(batch, "_text")
             ids = np.asarray(batch.column(0).fill_null(_LAST))
-            for low, high in chunks(offsets):
+            for low, high in chunks(offsets, LINE_CHUNK):
                 made = _drop(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], ids[low:high], repeated, keep_first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *made],
                                                  ["_key", "n_lines", "n_dropped", "kept"])
