@@ -1,7 +1,7 @@
 """Classification of file names by rules and by extension.
 
-Everything is a projection on the rows where they are: no join, no shuffle, whatever the number of
-files or however often one name occurs.
+With up to ``FOLDED_RULES`` rules everything is a projection on the rows where they are: no join, no shuffle, whatever the number of
+files or however often one name occurs. More rules stay a table and are joined with the distinct names (``rule_index``).
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from ..constants import (
 )
 from ..functions.paths import extension as extension_of
 from ..functions.patterns import glob_match, regex_match
-from .rules import RuleSet, load_rules
+from .rule_index import all_matches, best_rules
+from .rules import RuleSet, few_rules, load_rules
 
 
 def category_of(extension: Column | str) -> Column:
@@ -159,22 +160,28 @@ def classify(
 
     The enabled rule of the highest priority wins, equal priorities go by id; then the extension
     table, then ``Others``. Rules mean what they mean to Python's ``fnmatch`` and ``re``: those that mean the same to Java
-    are tested by the JVM, only the others by Arrow batches (all of them in the form ``vectorised``). ``fallback(name, extension)`` gives a category (or null) for files
+    are tested by the JVM, only the others by Arrow batches (all of them in the form ``vectorised``). A rule DataFrame of more than ``FOLDED_RULES``
+    enabled rules is joined as a table (form ``table``; not on streams). ``fallback(name, extension)`` gives a category (or null) for files
     that nothing matched, from a column function or a ``pandas_udf``.
     """
-    ruleset = rules if isinstance(rules, RuleSet) else load_rules(rules)
-    active = ruleset.active
-    folded, python = _split(ruleset, form)
     if "extension" not in files.columns:
         files = files.withColumn("extension", extension_of("name"))
+    as_table = form == "table" or (form == "auto" and not isinstance(rules, RuleSet) and not files.isStreaming and not few_rules(rules))
+    if as_table:
+        placed = best_rules(files, rules).withColumnRenamed("_best", "_rule")
 
-    placed = files.withColumn("_rule", _folded_position(folded))
-    if python:
-        placed = placed.withColumn("_rule", _least(F.col("_rule"), _vectorised(python, every=False)))
+        def of_rule(field: str) -> Column:
+            return F.col("_rule")[field]
+    else:
+        ruleset = rules if isinstance(rules, RuleSet) else load_rules(rules)
+        folded, python = _split(ruleset, form)
+        placed = files.withColumn("_rule", _folded_position(folded))
+        if python:
+            placed = placed.withColumn("_rule", _least(F.col("_rule"), _vectorised(python, every=False)))
 
-    def of_rule(field: str) -> Column:
-        values = F.array(*[F.lit(r[field]) for r in active]) if active else F.array().cast("array<string>")
-        return F.when(F.col("_rule").isNotNull(), F.get(values, F.col("_rule")))
+        def of_rule(field: str) -> Column:
+            values = F.array(*[F.lit(r[field]) for r in ruleset.active]) if ruleset.active else F.array().cast("array<string>")
+            return F.when(F.col("_rule").isNotNull(), F.get(values, F.col("_rule")))
 
     placed = placed.withColumn("_table", F.when(F.col("_rule").isNull(), category_of("extension")))
     unmatched = F.col("_rule").isNull() & F.col("_table").isNull()
@@ -201,7 +208,9 @@ def classify(
 
 
 def rule_matches(files: DataFrame, rules: DataFrame | RuleSet, form: str = "auto") -> DataFrame:
-    """One row per file and matching rule (all of them), built map-side without a join."""
+    """One row per file and matching rule (all of them); up to ``FOLDED_RULES`` rules map-side without a join."""
+    if form == "table" or (form == "auto" and not isinstance(rules, RuleSet) and not few_rules(rules)):
+        return all_matches(files if "extension" in files.columns else files.withColumn("extension", extension_of("name")), rules)
     ruleset = rules if isinstance(rules, RuleSet) else load_rules(rules)
     active = ruleset.active
     if not active:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 from ..functions.patterns import python_compiles, same_in_java
 from ..schemas import MATCH_TYPES
 from ..session import cut_lineage
+from .rule_index import compiles
 
 
 def rule_reasons():
@@ -47,15 +48,24 @@ class RuleSet:
     python_only: frozenset[int]   # ids of regex rules that are left to Python's engine
 
 
+FOLDED_RULES = 1_000    # enabled rules that a projection tests; more are joined as a table (``rule_index``)
+
+
+def few_rules(rules: DataFrame) -> bool:
+    return rules.filter(F.col("enabled")).limit(FOLDED_RULES + 1).count() <= FOLDED_RULES
+
+
 def load_rules(rules: DataFrame) -> RuleSet:
-    """Bring the enabled rules to the driver: they are configuration that every row is tested against, not data.
+    """Bring up to ``FOLDED_RULES`` enabled rules to the driver: a configuration that every row is tested against.
 
     Broken regular expressions never match, so they are set aside before a job could fail on them.
     """
     wanted = rules.filter(F.col("enabled")).select(
         "id", "name", "pattern", "match_type", "category", "target_folder", "priority"
     )
-    rows = wanted.collect()
+    rows = wanted.limit(FOLDED_RULES + 1).collect()
+    if len(rows) > FOLDED_RULES:
+        raise ValueError(f"more than {FOLDED_RULES} enabled rules: give the table to classify, rule_matches or rule_hits")
     rows.sort(key=lambda r: (-(r["priority"] or 0), r["id"]))
     broken, active, python_only = [], [], set()
     for row in rows:
@@ -70,8 +80,7 @@ def load_rules(rules: DataFrame) -> RuleSet:
 
 def quarantined_rules(rules: DataFrame) -> DataFrame:
     """The enabled rules whose pattern is broken."""
-    ids = [row["id"] for row in load_rules(rules).broken]
-    return rules.filter(F.col("id").isin(ids)) if ids else rules.limit(0)
+    return rules.filter(F.col("enabled") & (F.col("match_type") == "regex") & F.col("pattern").isNotNull() & ~compiles("pattern"))
 
 
 def apply_changes(table: DataFrame, changes: DataFrame, key: str = "id", defaults: dict | None = None) -> DataFrame:

@@ -41,6 +41,18 @@ classified AS (SELECT f.id, f.path, f.name, f.extension, coalesce(w.category, e.
                       w.rule_name
                FROM files_v f LEFT JOIN winner w ON w.file_id = f.id LEFT JOIN ext_cat e ON e.ext = lower(f.extension))"""
 
+# what the patterns of many_rules_v say about numbers and endings of names
+_MANY_HITS = """
+r AS (SELECT *, regexp_extract_all(pattern, '[0-9]+') AS n, regexp_replace(lower(pattern), '[0-9]+', '', 'g') AS form FROM many_rules_v WHERE enabled),
+f AS (SELECT id AS file_id, name AS file_name, regexp_extract(name, '^Cust([0-9]+)-([0-9]+)[.](.*)$', ['c', 'o', 'e']) AS p FROM order_files_v),
+hits AS (
+  SELECT f.*, r.* FROM f JOIN r ON match_type = 'extension' AND '.' || p.e = lower(pattern)
+  UNION ALL SELECT f.*, r.* FROM f JOIN r ON form = '*-.?*' AND p.o = n[1]
+  UNION ALL SELECT f.*, r.* FROM f JOIN r ON form = 'cust-*' AND p.c = n[1]
+  UNION ALL SELECT f.*, r.* FROM f JOIN r ON match_type = 'regex' AND p.c = n[2] AND p.e IN ('low', 'high')
+  UNION ALL SELECT f.*, r.* FROM f JOIN r ON form = '*-.medium' AND p.o = n[1] AND p.e = 'medium'
+  UNION ALL SELECT f.*, r.* FROM f JOIN r ON form = '*t-*' AND p.c = n[1] AND starts_with(p.o, n[2]))"""
+
 _URL_PATH = "regexp_replace(url, '^https?://[^/]+', '')"
 
 
@@ -245,6 +257,12 @@ confidence FROM classified""", _CLASSIFIED),
                               _CLASSIFIED.replace("rules_v", "name_rules_v").replace(
                                   "regexp_matches(f.name, r.pattern, 'i')",
                                   "regexp_matches(f.name, CASE WHEN starts_with(r.pattern, '(') THEN 'a^' ELSE r.pattern END, 'i')")),
+    "classify_many_rules": _q("order_files_v many_rules_v", """SELECT f.file_id AS id, f.file_name AS name, '.' || f.p.e AS extension,
+ coalesce(w.category, 'Others') AS category, coalesce(w.target_folder, 'Others') AS target_folder,
+ CAST(CASE WHEN w.file_id IS NULL THEN 0.5 ELSE 1 END AS DOUBLE) AS confidence, w.name AS rule_name
+FROM f LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY priority DESC, id, name, category, target_folder) AS rk FROM hits) w
+  ON w.file_id = f.file_id AND w.rk = 1""", _MANY_HITS),
+    "many_rule_hits": _q("order_files_v many_rules_v", "SELECT id AS rule_id, name AS rule_name, count(*) AS n_files FROM hits GROUP BY ALL", _MANY_HITS),
     "rule_quarantine": _q("name_rules_v", "SELECT id, pattern FROM name_rules_v WHERE enabled AND match_type = 'regex' AND starts_with(pattern, '(')"),
     "scan_new_ids": _q("files_v old_catalog_v", """SELECT coalesce(o.id, n.new_id) AS id, coalesce(f.path, o.path) AS path, coalesce(f.size, o.size) AS size,
  CASE WHEN f.path IS NULL THEN o.scan_session_id ELSE 9 END AS scan_session_id

@@ -158,6 +158,18 @@ def classify_part_rules(spark, sf):
     return K.classify(files, view(spark, sf, "name_rules_v"))
 
 
+@query
+def classify_many_rules(spark, sf):
+    """A rule table about as large as the table of names, nearly every pattern another."""
+    return K.classify(view(spark, sf, "order_files_v"), view(spark, sf, "many_rules_v"), "table")
+
+
+@query
+def many_rule_hits(spark, sf):
+    hits = K.rule_matches(view(spark, sf, "order_files_v"), view(spark, sf, "many_rules_v"), "table")
+    return hits.groupBy("rule_id", "rule_name").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 @query
 def rule_quarantine(spark, sf):
     return R.quarantined_rules(view(spark, sf, "name_rules_v")).select("id", "pattern")

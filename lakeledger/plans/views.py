@@ -61,6 +61,23 @@ SELECT p_partkey AS id, p_name AS name,
        CASE p_size % 5 WHEN 0 THEN 'extension' WHEN 1 THEN 'glob' ELSE 'regex' END AS match_type,
        p_brand AS category, concat(p_brand, '/', p_type) AS target_folder, p_size * 20 AS priority, p_size % 10 <> 7 AS enabled
 FROM part"""),
+    # names with numbers in them, and very many rules about such names: nearly a pattern per row
+    "order_files_v": (["orders"], """
+SELECT o_orderkey AS id, concat('Cust', CAST(o_custkey AS STRING), '-', CAST(o_orderkey AS STRING), '.', lower(substr(o_orderpriority, 3))) AS name
+FROM orders"""),
+    "many_rules_v": (["lineitem"], """
+SELECT l_orderkey * 8 + l_linenumber AS id, concat('rule ', CAST(l_partkey AS STRING), '/', CAST(l_suppkey AS STRING)) AS name,
+       CASE l_linenumber % 6
+         WHEN 0 THEN CASE l_suppkey % 50 WHEN 0 THEN '.LOW' WHEN 1 THEN '.high' ELSE concat('.x', CAST(l_suppkey AS STRING)) END
+         WHEN 1 THEN concat('*-', CAST(l_orderkey * 3 AS STRING), '.?*')
+         WHEN 2 THEN concat('CUST', CAST(l_partkey AS STRING), '-*')
+         WHEN 3 THEN concat('^cust0*', CAST(l_partkey AS STRING), '-[0-9]+[.](low|high)$')
+         WHEN 4 THEN concat('*-', CAST(l_orderkey AS STRING), '.medium')
+         ELSE concat('*t', CAST(l_suppkey AS STRING), '-', CAST(l_orderkey AS STRING), '*') END AS pattern,
+       CASE l_linenumber % 6 WHEN 0 THEN 'extension' WHEN 3 THEN 'regex' ELSE 'glob' END AS match_type,
+       concat('C', CAST(l_partkey % 100 AS STRING)) AS category, concat('F/', CAST(l_suppkey AS STRING)) AS target_folder,
+       CAST(CASE WHEN l_linenumber % 6 = 0 THEN l_suppkey % 5 ELSE l_partkey % 900 END AS INT) AS priority, l_tax < 0.07 AS enabled
+FROM lineitem"""),
     # logs of which several name one file, whose files claim one original path
     "shared_logs_v": (["orders"], """
 SELECT o_orderkey AS id, concat('/in/', CAST(CAST(floor(o_custkey / 3) AS BIGINT) AS STRING), '/c.txt') AS old_path,

@@ -158,3 +158,72 @@ def test_maintenance_validates_updates_too(spark):
     assert {r["id"]: list(r["reasons"]) for r in rejected.collect()} == {
         1: ["priority must be between 0 and 1000"], 2: ["category must have 1 to 64 characters"],
         4: ["name must have 1 to 128 characters"]}
+
+
+NAMES = ["Tax_2023.PDF", "tax_20é.pdf", "ſTRASSE.txt", "K-report", "İx", "ıx", "x.y", "", "中文报告.docx", "a[b].c", "q*r", "invoice 7 (final).doc",
+         "UPPER lower", "line\nbreak", "ab", "b", "aXb", "straße", "sTrasse"]
+PATTERNS = [("glob", "*tax_20*"), ("glob", "TAX*"), ("glob", "*.pdf"), ("glob", "*"), ("glob", "?"), ("glob", "[a-z]?"), ("glob", "a[[]b].c"), ("glob", "q[*]r"),
+            ("glob", "*报告*"), ("glob", "*strasse*"), ("glob", "i\u0307x"), ("glob", "ab"), ("glob", "*[!0-9].c"), ("glob", "x.y"), ("glob", "**voice*7*"),
+            ("regex", r"tax_\d{2,4}"), ("regex", "strasse"), ("regex", "k-re"), ("regex", "ix"), ("regex", "(invoice|bill) [0-9]"), ("regex", "(voice){1,2} 7"),
+            ("regex", "^$"), ("regex", "."), ("regex", "(?i:UPP)er"), ("regex", "a(?=X)"), ("regex", "(unclosed"), ("regex", "报告"), ("regex", r"\blower$"),
+            ("regex", "line.break"), ("regex", "(?s)line.break"), ("regex", "[[:x"), ("regex", "(?x) x  [.] y"), ("extension", ".PDF"), ("extension", ".txt")]
+
+
+def table_of(spark, patterns):
+    return rules(spark, *[(i + 1, f"r{i}", p, m, f"c{i}", "t", i % 4, i % 7 != 5) for i, (m, p) in enumerate(patterns)])
+
+
+def test_rules_as_a_table_match_what_python_matches(spark):
+    import fnmatch
+    import re
+    import warnings
+
+    warnings.simplefilter("ignore")
+    table, df = table_of(spark, PATTERNS), files(spark, *NAMES, None)
+    expected = set()
+    for row in df.collect():
+        for r in table.collect():
+            if not r["enabled"]:
+                continue
+            if r["match_type"] == "extension":
+                hit = row["extension"] is not None and row["extension"].lower() == r["pattern"].lower()
+            elif row["name"] is None:
+                hit = False
+            elif r["match_type"] == "glob":
+                hit = fnmatch.fnmatchcase(row["name"].lower(), r["pattern"].lower())
+            else:
+                try:
+                    hit = re.search(r["pattern"], row["name"], re.I) is not None
+                except re.error:
+                    hit = False
+            if hit:
+                expected.add((row["name"], r["id"]))
+    found = [(r["name"], r["rule_id"]) for r in K.rule_matches(df, table, "table").collect()]
+    assert set(found) == expected and len(found) == len(expected)
+    best = {r["name"]: r["rule_name"] for r in K.classify(df, table, "table").collect()}
+    order = {r["id"]: (-(r["priority"] or 0), r["id"], r["name"]) for r in table.collect()}
+    assert best == {n: min([order[i] for m, i in expected if m == n], default=(0, 0, None))[2] for n in [*NAMES, None]}
+    assert categories(K.classify(df, table, "table")) == categories(K.classify(df, table))
+
+
+def test_many_rules_stay_a_table(spark):
+    many = table_of(spark, [("glob", f"*{i}*x") for i in range(R.FOLDED_RULES * 2)])
+    with pytest.raises(ValueError):
+        R.load_rules(many)
+    df = files(spark, "a17bx", "a999", "zzzx")
+    got = {r["name"]: r["rule_name"] for r in K.classify(df, many).collect()}
+    assert got == {"a17bx": "r7", "a999": None, "zzzx": None}
+    assert K.rule_hits(df, many).count() == 3
+
+
+def test_a_pattern_with_a_piece_no_name_has_is_never_tested(spark):
+    from lakeledger.operators import rule_index as I
+
+    assert I.describe_pattern("regex", "(?:abc)+d?ef")[2] == ["abc"]
+    assert I.describe_pattern("glob", "*ab?cdef*")[2] == ["cde", "def"]
+    assert I.describe_pattern("glob", "*a?b*")[2] == ["a"] and I.describe_pattern("regex", r"\d+")[2] == [""]
+
+
+def test_quarantine_is_a_filter_of_the_table(spark):
+    table = table_of(spark, PATTERNS)
+    assert sorted(r["pattern"] for r in R.quarantined_rules(table).collect()) == ["(unclosed", "[[:x"]
