@@ -6,6 +6,7 @@ from ..constants import PROTECTED_UNIX, category_by_extension
 from .views import duckdb_with
 
 GAP = 12 * 3600 * 1_000_000
+ONE_ROOT_GAP = 240 * 1_000_000
 
 
 def _extension_table() -> str:
@@ -178,22 +179,22 @@ replayed AS (SELECT f.path AS path, regexp_extract(f.path, '([^/]*)$', 1) AS nam
   f.origin AS came_from FROM files_left)"""
 
 
-def _debounced(keys: str, path: str) -> str:
+def _debounced(keys: str, gap: int = GAP, root: str = "root") -> str:
     partition = ", ".join(f"{k}" for k in keys.split())
     return f"""
-timed AS (SELECT *, epoch_us(ts) AS us FROM fs_events_v),
+timed AS (SELECT * REPLACE ({root} AS root), epoch_us(ts) AS us FROM fs_events_v),
 gaps AS (SELECT *, lag(us) OVER (PARTITION BY {partition} ORDER BY us, event_id) AS prev FROM timed),
-numbered AS (SELECT *, sum(CASE WHEN prev IS NULL OR us > prev + {GAP} THEN 1 ELSE 0 END)
+numbered AS (SELECT *, sum(CASE WHEN prev IS NULL OR us > prev + {gap} THEN 1 ELSE 0 END)
                        OVER (PARTITION BY {partition} ORDER BY us, event_id) AS burst FROM gaps),
 bounds AS (SELECT {partition}, burst, min(us) AS session_start, max(us) AS session_end FROM numbered GROUP BY {partition}, burst),
 lasts AS (SELECT *, row_number() OVER (PARTITION BY {partition}, burst, path ORDER BY us DESC, event_id DESC) AS rk,
                  count(*) OVER (PARTITION BY {partition}, burst, path) AS n_events FROM numbered)"""
 
 
-def _debounce_result(keys: list[str]) -> str:
+def _debounce_result(keys: list[str], gap: int = GAP) -> str:
     on = " AND ".join(f"b.{k} = l.{k}" for k in [*keys, "burst"])
     return f"""SELECT l.root, l.path, l.kind, l.dest_path, l.event_id, l.n_events, b.session_start, b.session_end,
-       b.session_end + {GAP} AS fires_at FROM lasts l JOIN bounds b ON {on} WHERE l.rk = 1"""
+       b.session_end + {gap} AS fires_at FROM lasts l JOIN bounds b ON {on} WHERE l.rk = 1"""
 
 
 def _top(columns: str, where: str, order: str, limit: int, offset: int = 0) -> str:
@@ -389,8 +390,9 @@ JOIN undo_v u ON u.log_id = l.id WHERE u.can_undo AND l.session_id = 1"""),
     "undo_logs": _q("logs_v undo_v listing_v", """SELECT l.id, CASE WHEN r.success THEN 'undone' ELSE l.status END AS status,
  CASE WHEN r.success THEN false ELSE u.can_undo END AS can_undo, CASE WHEN r.success THEN CAST(1.8e9 AS DOUBLE) END AS undone_at
 FROM logs_v l LEFT JOIN undo_v u ON u.log_id = l.id LEFT JOIN undo_result r ON r.log_id = l.id""", _UNDONE),
-    "debounce": _q("fs_events_v", _debounce_result(["root"]), _debounced("root", "path")),
-    "debounce_by_path": _q("fs_events_v", _debounce_result(["root", "path"]), _debounced("root path", "path")),
+    "debounce": _q("fs_events_v", _debounce_result(["root"]), _debounced("root")),
+    "debounce_one_root": _q("fs_events_v", _debounce_result(["root"], ONE_ROOT_GAP), _debounced("root", ONE_ROOT_GAP, "'/watch'")),
+    "debounce_by_path": _q("fs_events_v", _debounce_result(["root", "path"]), _debounced("root path")),
     "event_counts": _q("fs_events_v", """SELECT CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 AS window_start, kind, count(*) AS n_events FROM fs_events_v GROUP BY ALL"""),
     "classify_events": _q("fs_events_v", """SELECT event_id, CASE WHEN kind = 'moved' THEN dest_path ELSE path END AS file, 'Documents' AS category, CAST(0.95 AS DOUBLE) AS confidence
 FROM fs_events_v WHERE kind <> 'deleted'"""),

@@ -19,6 +19,7 @@ from .scan import scan as scan_run, scan_catalog
 from .views import view
 
 GAP = 12 * 3600
+ONE_ROOT_GAP = 240      # seconds; the events of all users together leave few longer gaps
 TARGET = "/org"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -609,6 +610,13 @@ def debounce_by_path(spark, sf):
     return E.debounce_by_path(view(spark, sf, "fs_events_v"), GAP)
 
 
+@query
+def debounce_one_root(spark, sf):
+    """All events below one root: one timer for everything."""
+    events = view(spark, sf, "fs_events_v").withColumn("root", F.lit("/watch"))
+    return E.debounce(events, ONE_ROOT_GAP)
+
+
 @query
 def parsed_events(spark, sf):
     """Events as JSON text, as a queue delivers them; those of directories are dropped."""

@@ -1,16 +1,17 @@
 """Debounced file events: after a quiet gap, the last event of each path.
 
-Any event below a root restarts the gap of that root. Batch form: event times are first condensed to
-one row per (root, gap-wide tick), which a partial aggregate does map-side; sessions are found on ticks.
-The number of ticks of a root is bounded by time span / gap, not by its events, so a root with a third
-of all events is no hot spot; its events then meet their session on (root, tick).
+Any event below a root restarts the gap of that root. Batch form: events are first condensed to the last one per path and
+gap-wide tick, which a partial aggregate does map-side. Bursts are found by a prefix scan over the ticks in slabs of time
+(``operators/slabs``): a root with all of the events lies in many slabs, and no task goes through a whole root.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import DEBOUNCE_SECONDS
+from ..operators.slabs import highest_so_far, in_slabs, previous
+from ..session import cut_lineage
 
 _LAST = ["kind", "dest_path", "ts", "event_id"]
 
@@ -50,33 +51,30 @@ def last_per_tick(events: DataFrame, keys: list[str], gap: int) -> DataFrame:
     )
 
 
-def ticks_of(events: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """(keys, tick, low, high) straight from the events: a hash aggregate with little to shuffle."""
-    at = F.unix_micros("ts")
-    return events.groupBy(*keys, _tick(gap).alias("tick")).agg(F.min(at).alias("low"), F.max(at).alias("high"))
+def with_bursts(condensed: DataFrame, keys: list[str], gap: int, slabs: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(condensed rows with ``session_start``, bounds): ticks belong together unless more than the gap lies between.
 
-
-def _sessions(ticks: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """(keys, tick, session_start, session_end): ticks belong together unless more than the gap lies between."""
-    ordered = Window.partitionBy(*keys).orderBy("tick")
-    before = F.lag("high").over(ordered)
-    marked = ticks.withColumn("_start", F.when(before.isNull() | (F.col("low") > before + gap), F.col("low")))
-    started = marked.withColumn("session_start", F.last("_start", ignorenulls=True).over(ordered))
-    end = F.max("high").over(Window.partitionBy(*keys, "session_start"))
-    return started.select(*keys, "tick", "session_start", end.alias("session_end"))
+    ``bounds`` has a row (keys, session_start, session_end) per burst. It is a written table, so a burst with very many rows is
+    split by AQE where rows meet their bounds.
+    """
+    dealt = in_slabs(condensed, keys, ["tick"], slabs)
+    part = [*keys, "_slab"]
+    ticks = dealt.groupBy(*part, "tick").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    before = previous(ticks, keys, ["tick"], F.col("high"), "_before")
+    opens = F.when(F.col("_before").isNull() | (F.col("low") > F.col("_before") + gap), F.col("low"))
+    started = cut_lineage(highest_so_far(before, keys, ["tick"], opens, "session_start").select(*part, "tick", "high", "session_start"))
+    bounds = cut_lineage(started.groupBy(*keys, "session_start").agg(F.max("high").alias("session_end")))
+    return dealt.join(started.drop("high"), [*part, "tick"]).drop("_slab"), bounds
 
 
-def _emitted(condensed: DataFrame, ticks: DataFrame, keys: list[str], gap: int) -> DataFrame:
+def _emitted(condensed: DataFrame, keys: list[str], gap: int) -> DataFrame:
     path = [] if "path" in keys else ["path"]
-    return (
-        condensed.join(_sessions(ticks, keys, gap), [*keys, "tick"])
-        .groupBy(*keys, *path, "session_start", "session_end")
-        .agg(F.max_by("last", F.struct("last.ts", "last.event_id")).alias("last"), F.sum("n").alias("n_events"))
-        .select(
-            *keys, *path, "last.kind", "last.dest_path", F.col("last.event_id").alias("event_id"),
-            "n_events", "session_start", "session_end", (F.col("session_end") + gap).alias("fires_at"),
-        )
-    )
+    rows, bounds = with_bursts(condensed, keys, gap)
+    folded = rows.groupBy(*keys, *path, "session_start").agg(
+        F.max_by("last", F.struct("last.ts", "last.event_id")).alias("last"), F.sum("n").alias("n_events"))
+    return folded.join(bounds, [*keys, "session_start"]).select(
+        *keys, *path, "last.kind", "last.dest_path", F.col("last.event_id").alias("event_id"),
+        "n_events", "session_start", "session_end", (F.col("session_end") + gap).alias("fires_at"))
 
 
 def debounce(events: DataFrame, gap_seconds: float = DEBOUNCE_SECONDS, group: str = "root") -> DataFrame:
@@ -86,14 +84,14 @@ def debounce(events: DataFrame, gap_seconds: float = DEBOUNCE_SECONDS, group: st
     whose events share one timer.
     """
     gap = _micros(gap_seconds)
-    return _emitted(last_per_tick(events, [group], gap), ticks_of(events, [group], gap), [group], gap)
+    return _emitted(last_per_tick(events, [group], gap), [group], gap)
 
 
 def debounce_by_path(events: DataFrame, gap_seconds: float = DEBOUNCE_SECONDS, group: str = "root") -> DataFrame:
     """The same with a timer per path."""
     gap = _micros(gap_seconds)
     keys = [group, "path"]
-    return _emitted(last_per_tick(events, keys, gap), ticks_of(events, keys, gap), keys, gap)
+    return _emitted(last_per_tick(events, keys, gap), keys, gap)
 
 
 def debounce_by_path_stream(
@@ -114,10 +112,6 @@ def debounce_by_path_stream(
     )
 
 
-def _ticks_again(condensed: DataFrame) -> DataFrame:
-    return condensed.groupBy("root", "tick").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-
-
 class DebounceSink:
     """Streaming debounce per root, as a ``foreachBatch`` function.
 
@@ -163,19 +157,16 @@ class DebounceSink:
                 F.max_by("last", F.struct("last.ts", "last.event_id")).alias("last"),
                 F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"),
             )
-        staged = f"{self.state_dir}/staged/{batch_id}"
-        condensed.write.mode("overwrite").parquet(staged)
-        condensed = spark.read.schema(self.STATE).parquet(staged)
-        newest = condensed.agg(F.max("high").alias("newest")).first()["newest"]
+        rows, bounds = with_bursts(condensed, ["root"], self.gap)
+        newest = rows.agg(F.max("high").alias("newest")).first()["newest"]
         newest = max(t for t in (newest, newest_before, -(2**62)) if t is not None)
         watermark = newest - self.delay
-        sessions = _sessions(_ticks_again(condensed), ["root"], self.gap)
         closed = F.col("session_end") + self.gap < watermark
-        burst = condensed.join(sessions.withColumn("_closed", closed), ["root", "tick"])
+        burst = rows.join(bounds.withColumn("_closed", closed), ["root", "session_start"])
         still_open = burst.filter(~F.col("_closed")).select(*condensed.columns)
         still_open.write.mode("overwrite").parquet(f"{self.state_dir}/pending/{batch_id}")
         done = burst.filter("_closed").select(*condensed.columns)
-        _emitted(done, _ticks_again(done), ["root"], self.gap).write.mode("overwrite").parquet(f"{self.out_dir}/batch={batch_id}")
+        _emitted(done, ["root"], self.gap).write.mode("overwrite").parquet(f"{self.out_dir}/batch={batch_id}")
         clock = spark.range(1).select(F.lit(newest).cast("bigint").alias("newest"))
         clock.write.mode("overwrite").parquet(f"{self.state_dir}/clock/{batch_id}")
 
@@ -189,5 +180,5 @@ class DebounceSink:
         If the stream goes on after all, that micro-batch overwrites the folder, and nothing is doubled.
         """
         pending = spark.read.schema(self.STATE).parquet(f"{self.state_dir}/pending/{last_batch_id}")
-        done = _emitted(pending, _ticks_again(pending), ["root"], self.gap)
+        done = _emitted(pending, ["root"], self.gap)
         done.write.mode("overwrite").parquet(f"{self.out_dir}/batch={last_batch_id + 1}")
