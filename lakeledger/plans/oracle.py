@@ -399,14 +399,7 @@ FROM fs_events_v WHERE kind <> 'deleted'"""),
     "apply_events": _q("fs_events_v", "SELECT path, name, size, category FROM replayed", _replay("fs_events_v"), True),
     "replay_moves": _q("busy_events_v", "SELECT path, name, extension, size, category, came_from FROM replayed", _replay("busy_events_v"), True),
 }
-# a stream has not yet given out what is still open when its input ends
-_OPEN = f" AND b.session_end + {GAP} < (SELECT max(us) FROM timed)"
-ORACLE["debounce_root_stream"] = ORACLE["debounce"] + _OPEN
-ORACLE["debounce_stream"] = (
-    "SELECT root, path, kind, event_id, n_events, session_start, fires_at FROM ("
-    + ORACLE["debounce_by_path"].replace(
-        "CASE event_type WHEN 'click' THEN 'created' WHEN 'error' THEN 'deleted' WHEN 'purchase' THEN 'moved' ELSE 'modified' END",
-        "event_type")
-    + _OPEN.replace("<", "<=") + ")"
-)
+# a stream that has come to its end gives what the table gives
+ORACLE["debounce_root_stream"] = ORACLE["debounce"]
+ORACLE["debounce_stream"] = ORACLE["debounce_by_path"]
 ORACLE["classify_rules_vectorised"] = ORACLE["classify_rules"]

@@ -655,35 +655,39 @@ def replay_moves(spark, sf):
         "path", "name", "extension", "size", "category", "came_from")
 
 
+def _in_parts(spark, events, folder, start, *last):
+    """The events as a stream whose files come in three parts, in the order of time, and the ``last`` ones after them. After each part
+    ``start`` begins the query anew from its checkpoint and it runs until it has caught up."""
+    at = F.unix_micros("ts")
+    cuts = events.agg(F.percentile_approx(at, [0.33, 0.67])).first()[0] or [0, 0]
+    parts = [events.filter(at <= cuts[0]), events.filter((at > cuts[0]) & (at <= cuts[1])), events.filter(at > cuts[1]), *last]
+    for part in parts:
+        part.select(*events.columns).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        start(stream).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+
+
 @query
 def debounce_stream(spark, sf):
-    """The streaming form over the events table, until the stream has caught up."""
+    """Timers per path on a stream; the marker at the end closes what is open."""
     folder = f"{checkpoint_folder(apply_settings(spark))}/debounce-{uuid.uuid4().hex}"
-    raw = view(spark, sf, "events").schema
-    stream = spark.readStream.schema(raw).option("pathGlobFilter", "events.parquet").parquet(sf)
-    named = stream.select(
-        F.concat(F.lit("/watch/u"), F.col("user_id").cast("string")).alias("root"),
-        F.concat(F.lit("/watch/u"), F.col("user_id").cast("string"), F.lit("/f"),
-                 (F.col("event_id") % 4).cast("string"), F.lit(".txt")).alias("path"),
-        F.col("event_type").alias("kind"), F.lit(None).cast("string").alias("dest_path"), "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
-    )
-    bursts = E.debounce_by_path_stream(named, GAP, delay="0 seconds")
-    writer = bursts.writeStream.format("parquet").option("path", f"{folder}/out")
-    writer.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(bursts.schema).parquet(f"{folder}/out").select(
-        "root", "path", "kind", "event_id", "n_events", "session_start", "fires_at")
+
+    def start(stream):
+        bursts = E.debounce_by_path_stream(stream, GAP, delay="0 seconds")
+        return bursts.writeStream.format("parquet").option("path", f"{folder}/out")
+
+    with E.with_timers(spark):
+        _in_parts(spark, view(spark, sf, "fs_events_v"), folder, start, E.end_of_input(spark))
+    return spark.read.schema(E.BURST).parquet(f"{folder}/out")
 
 
 @query
 def debounce_root_stream(spark, sf):
-    """Streaming debounce per root, fed in two micro-batches by the batch function itself."""
+    """Debounce per root on a stream; at its end the sink gives out the bursts still open."""
     folder = f"{checkpoint_folder(apply_settings(spark))}/debounce-{uuid.uuid4().hex}"
-    events = view(spark, sf, "fs_events_v")
-    half = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
     sink = E.DebounceSink(f"{folder}/out", f"{folder}/state", GAP)
-    sink(events.filter(F.col("event_id") <= half), 0)
-    sink(events.filter(F.col("event_id") > half), 1)
+    _in_parts(spark, view(spark, sf, "fs_events_v"), folder, lambda stream: stream.writeStream.foreachBatch(sink))
+    sink.flush(spark)
     return spark.read.parquet(f"{folder}/out").select(
         "root", "path", "kind", "dest_path", "event_id", "n_events", "session_start", "session_end", "fires_at")
 

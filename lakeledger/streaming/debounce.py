@@ -7,7 +7,12 @@ gap-wide tick, which a partial aggregate does map-side. Bursts are found by a pr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..constants import DEBOUNCE_SECONDS
 from ..operators.slabs import highest_so_far, in_slabs, previous
@@ -94,22 +99,105 @@ def debounce_by_path(events: DataFrame, gap_seconds: float = DEBOUNCE_SECONDS, g
     return _emitted(last_per_tick(events, keys, gap), keys, gap)
 
 
-def debounce_by_path_stream(
-    events: DataFrame, gap_seconds: float = DEBOUNCE_SECONDS, delay: str = "10 minutes", group: str = "root"
-) -> DataFrame:
-    """Streaming per-path debounce: append-mode session windows, one small struct of state per open burst."""
-    window = F.session_window("ts", f"{_micros(gap_seconds)} microseconds")
-    return (
-        _with_event_id(events)
-        .withWatermark("ts", delay)
-        .groupBy(group, "path", window)
-        .agg(F.max_by(F.struct(*_LAST), _order()).alias("last"), F.count(F.lit(1)).alias("n_events"))
-        .select(
-            group, "path", "last.kind", "last.dest_path", F.col("last.event_id").alias("event_id"), "n_events",
-            F.unix_micros("session_window.start").alias("session_start"),
-            F.unix_micros("session_window.end").alias("fires_at"),
-        )
-    )
+class BurstTimers(StatefulProcessor):
+    """One timer per open burst of a path, as ``transformWithState`` runs it.
+
+    The state of a path is the list of its open bursts, nearly always one: events that arrive out of order within the watermark may
+    open an earlier one or join two. A burst goes out when the watermark passes its end and the gap.
+    """
+
+    STATE = T.StructType([T.StructField(n, t) for n, t in (
+        ("start", T.LongType()), ("end", T.LongType()), ("n", T.LongType()), ("kind", T.StringType()), ("dest_path", T.StringType()),
+        ("event_id", T.LongType()))])
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", self.STATE)
+
+    def _deadline(self, burst: tuple) -> int:
+        """Milliseconds, in which timers count, rounded up."""
+        return -(-(burst[1] + self.gap) // 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        before = [tuple(b) for b in self.open.get()] if self.open.exists() else []
+        bursts = list(before)
+        for row in rows:
+            own = (row["at"], row["at"], 1, row["kind"], row["dest_path"], row["event_id"])
+            near = [b for b in bursts if b[0] - self.gap <= own[0] <= b[1] + self.gap]
+            bursts = [b for b in bursts if b not in near]
+            for b in near:
+                # the later one by time, then by id, tells kind and destination
+                last = max(own, b, key=lambda x: (x[1], x[5]))
+                own = (min(own[0], b[0]), max(own[1], b[1]), own[2] + b[2], *last[3:])
+            bursts.append(own)
+        self.open.put(sorted(bursts))
+        old, new = {self._deadline(b) for b in before}, {self._deadline(b) for b in bursts}
+        for at in old - new:
+            self.handle.deleteTimer(at)
+        for at in new - old:
+            self.handle.registerTimer(at)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        bursts = [tuple(b) for b in self.open.get()]
+        left = [b for b in bursts if self._deadline(b) > now]
+        if left:
+            self.open.put(left)
+        else:
+            self.open.clear()
+        for start, end, n, kind, dest, event_id in bursts:
+            if (start, end, n, kind, dest, event_id) not in left:
+                yield Row(root=key[0], path=key[1], kind=kind, dest_path=dest, event_id=event_id, n_events=n,
+                          session_start=start, session_end=end, fires_at=end + self.gap)
+
+    def close(self) -> None:
+        pass
+
+
+BURST = ("root string, path string, kind string, dest_path string, event_id bigint, n_events bigint, session_start bigint, "
+         "session_end bigint, fires_at bigint")
+END_OF_INPUT = "end of input"      # kind of the event that ends a feed: it only moves the clock
+
+
+def end_of_input(spark: SparkSession) -> DataFrame:
+    """One event in the far future without a path. At the end of a feed it moves the watermark over all open bursts, which then go out."""
+    return spark.sql(f"""SELECT CAST(NULL AS STRING) AS root, CAST(NULL AS STRING) AS path, '{END_OF_INPUT}' AS kind,
+        CAST(NULL AS STRING) AS dest_path, CAST(NULL AS BIGINT) AS event_id, TIMESTAMP '9000-01-01 00:00:00' AS ts""")
+
+
+def debounce_by_path_stream(events: DataFrame, gap_seconds: float = DEBOUNCE_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """Streaming debounce with a timer per path, rows like ``debounce_by_path``.
+
+    State is keyed by (root, path) and holds a path's open bursts. Events later than the watermark are dropped and counted (``late_rows``); at
+    the end of a feed ``end_of_input`` closes what is open. Needs a state store with timers (``with_timers``).
+    """
+    timed = _with_event_id(events).withWatermark("ts", delay)
+    rows = timed.select("root", "path", "kind", "dest_path", "event_id", "ts", F.unix_micros("ts").alias("at"))
+    bursts = rows.groupBy("root", "path").transformWithState(
+        BurstTimers(_micros(gap_seconds)), outputStructType=BURST, outputMode="append", timeMode="eventTime")
+    # the marker is a burst of no path
+    return bursts.filter(F.col("kind") != END_OF_INPUT)
+
+
+@contextmanager
+def with_timers(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which ``transformWithState`` asks for."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows of a query came later than the watermark and were dropped, by its recent progress reports."""
+    return sum(op["numRowsDroppedByWatermark"] for report in query.recentProgress for op in report["stateOperators"])
 
 
 class DebounceSink:
@@ -134,6 +222,7 @@ class DebounceSink:
     def __init__(self, out_dir: str, state_dir: str, gap_seconds: float = DEBOUNCE_SECONDS, delay_seconds: float = 0):
         self.out_dir, self.state_dir = out_dir.rstrip("/"), state_dir.rstrip("/")
         self.gap, self.delay = _micros(gap_seconds), round(delay_seconds * 1_000_000)
+        self.last_batch: int | None = None
 
     def _previous(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame | None, int | None]:
         """Pending events and newest time after the micro-batch before (ids follow one another)."""
@@ -169,16 +258,21 @@ class DebounceSink:
         _emitted(done, ["root"], self.gap).write.mode("overwrite").parquet(f"{self.out_dir}/batch={batch_id}")
         clock = spark.range(1).select(F.lit(newest).cast("bigint").alias("newest"))
         clock.write.mode("overwrite").parquet(f"{self.state_dir}/clock/{batch_id}")
+        self.last_batch = batch_id
 
     def late_events(self, spark: SparkSession) -> DataFrame:
         """The events that came too late for their bursts."""
         return spark.read.parquet(f"{self.state_dir}/late/*")
 
-    def flush(self, spark: SparkSession, last_batch_id: int) -> None:
+    def flush(self, spark: SparkSession, last_batch_id: int | None = None) -> None:
         """Give out the bursts still open after the last micro-batch, in the folder of the next one.
 
-        If the stream goes on after all, that micro-batch overwrites the folder, and nothing is doubled.
+        If the stream goes on after all, that micro-batch overwrites the folder, and nothing is doubled. A sink that has seen a batch knows the last one.
         """
-        pending = spark.read.schema(self.STATE).parquet(f"{self.state_dir}/pending/{last_batch_id}")
+        last = self.last_batch if last_batch_id is None else last_batch_id
+        if last is None:
+            pending = spark.createDataFrame([], self.STATE)
+        else:
+            pending = spark.read.schema(self.STATE).parquet(f"{self.state_dir}/pending/{last}")
         done = _emitted(pending, ["root"], self.gap)
-        done.write.mode("overwrite").parquet(f"{self.out_dir}/batch={last_batch_id + 1}")
+        done.write.mode("overwrite").parquet(f"{self.out_dir}/batch={0 if last is None else last + 1}")

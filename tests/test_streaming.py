@@ -90,17 +90,45 @@ def end_of_time(spark):
     return spark.createDataFrame([("/end", "/end/x", "created", None, 10**9, at(10**6))], SCHEMA)
 
 
+def run_by_path(spark, stream, folder, delay="0 seconds", gap=2.0):
+    with E.with_timers(spark):
+        out = E.debounce_by_path_stream(stream, gap, delay=delay)
+        query = (out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp")
+                 .trigger(availableNow=True).start())
+        query.awaitTermination(200)
+    return query
+
+
+def bursts_of(df):
+    return sorted(map(tuple, df.select("root", "path", "kind", "dest_path", "event_id", "n_events", "session_start", "session_end", "fires_at").collect()), key=repr)
+
+
 def test_stream_per_path(spark, tmp_path):
+    """All bursts, also those open when the input ends; late rows are counted."""
     df = noise(spark, 150, 7, 300)
-    stream = feed(spark, tmp_path, df.unionByName(end_of_time(spark)), 4)
-    out = E.debounce_by_path_stream(stream, delay="0 seconds")
-    query = (out.writeStream.format("memory").queryName("by_path").outputMode("append")
-             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    query.awaitTermination(120)
-    assert result(spark.table("by_path")) == model(df.collect(), 2.0, ["root", "path"])
+    late = events(spark, ("/a", "/a/late", "created", 1.0), ("/a", "/a/late", "created", 2.0))
+    stream = feed(spark, tmp_path, df, 3)
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    E.end_of_input(spark).select(*df.columns).write.mode("append").parquet(str(tmp_path / "feed"))
+    query = run_by_path(spark, stream, tmp_path)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert bursts_of(got) == bursts_of(E.debounce_by_path(df)) and result(got) == model(df.collect(), 2.0, ["root", "path"])
+    assert E.late_rows(query) == 2
     assert progress.stream_progress(query)[0]["event"] == "stream_progress"
 
 
+def test_stream_per_path_out_of_order_and_restart(spark, tmp_path):
+    """Events in any order within the delay join and open bursts; the query is started anew for every file."""
+    df = noise(spark, 120, 9, 100)
+    rows = df.collect()
+    random.Random(1).shuffle(rows)
+    folder = str(tmp_path / "feed")
+    for part in (rows[:50], rows[50:90], rows[90:], E.end_of_input(spark).select(*df.columns).collect()):
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(folder)
+        run_by_path(spark, spark.readStream.schema(SCHEMA).parquet(folder), tmp_path, delay="1 hour")
+    assert bursts_of(spark.read.parquet(str(tmp_path / "out"))) == bursts_of(E.debounce_by_path(df))
+
+
 def test_stream_per_root_and_restart(spark, tmp_path):
     df = noise(spark, 200, 11, 300)
     stream = feed(spark, tmp_path, df.unionByName(end_of_time(spark)), 5)
@@ -136,7 +164,7 @@ def test_flush_and_late_events(spark, tmp_path):
     sink(df.filter(F.col("ts") >= at(100)), 1)
     sink(events(spark, ("/a", "/a/late", "created", 1.0)), 2)
     assert len(result(spark.read.parquet(str(tmp_path / "out")))) < len(result(E.debounce(df)))
-    sink.flush(spark, 2)
+    sink.flush(spark)
     assert result(spark.read.parquet(str(tmp_path / "out"))) == result(E.debounce(df))
     assert [r.path for r in sink.late_events(spark).collect()] == ["/a/late"]
 
