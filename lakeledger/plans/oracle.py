@@ -399,6 +399,14 @@ FROM fs_events_v WHERE kind <> 'deleted'"""),
     "apply_events": _q("fs_events_v", "SELECT path, name, size, category FROM replayed", _replay("fs_events_v"), True),
     "replay_moves": _q("busy_events_v", "SELECT path, name, extension, size, category, came_from FROM replayed", _replay("busy_events_v"), True),
 }
+_ARRIVED = f"""{_debounced("root").replace("fs_events_v", "inbox_events_v")},
+fired AS (SELECT l.event_id, b.session_end, CASE WHEN kind = 'moved' THEN dest_path ELSE l.path END AS path
+          FROM lasts l JOIN bounds b ON b.root = l.root AND b.burst = l.burst WHERE l.rk = 1 AND kind <> 'deleted'),
+arrived AS (SELECT row_number() OVER (ORDER BY session_end, event_id, path) - 1 AS id, path, regexp_extract(path, '([^/]*)$', 1) AS name,
+                   lower(regexp_extract(path, '([.][^./]+)$', 1)) AS extension FROM fired)"""
+ORACLE["auto_organize_stream"] = _q(
+    "inbox_events_v rules_v existing_v", "SELECT id, source, destination, success, was_renamed FROM plan",
+    _ARRIVED + "," + _CLASSIFIED.replace("files_v f", "arrived f") + "," + _sequential(_requests("classified", "'/org/' || category")), True)
 # a stream that has come to its end gives what the table gives
 ORACLE["debounce_root_stream"] = ORACLE["debounce"]
 ORACLE["debounce_stream"] = ORACLE["debounce_by_path"]

@@ -692,6 +692,16 @@ def debounce_root_stream(spark, sf):
         "root", "path", "kind", "dest_path", "event_id", "n_events", "session_start", "session_end", "fires_at")
 
 
+@query
+def auto_organize_stream(spark, sf):
+    """Debounce, classify and number on a stream, to the end of its input."""
+    folder = f"{checkpoint_folder(apply_settings(spark))}/organize-{uuid.uuid4().hex}"
+    sink = G.OrganizeSink(R.load_rules(view(spark, sf, "rules_v")), TARGET, view(spark, sf, "existing_v"), f"{folder}/out", f"{folder}/state", GAP)
+    _in_parts(spark, view(spark, sf, "inbox_events_v"), folder, lambda stream: stream.writeStream.foreachBatch(sink))
+    sink.flush(spark)
+    return spark.read.parquet(f"{folder}/out").select("id", "source", "destination", "success", "was_renamed")
+
+
 @query
 def classify_events(spark, sf):
     found = G.classify_events(view(spark, sf, "fs_events_v"), view(spark, sf, "rules_v"))

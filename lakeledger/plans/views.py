@@ -139,6 +139,17 @@ SELECT concat('/watch/u', CAST(user_id AS STRING)) AS root,
             THEN concat('/watch/u', CAST(user_id AS STRING), '/f', CAST(CAST(floor(event_id / 5) AS BIGINT) % 7 AS STRING),
                         CASE WHEN event_id % 3 = 0 THEN '.jpg' ELSE '.txt' END) END AS dest_path,
        event_id, CAST(ts AS TIMESTAMP) AS ts
+FROM events"""),
+    # files that come into watched folders, with names that meet in their target folders
+    "inbox_events_v": (["events"], """
+SELECT concat('/watch/u', CAST(user_id AS STRING)) AS root,
+       concat('/watch/u', CAST(user_id AS STRING), '/',
+              CASE event_id % 7 WHEN 0 THEN 'invoice' WHEN 1 THEN 'tax_2023' ELSE 'scan' END, CAST(CAST(floor(event_id / 7) AS BIGINT) % 12 AS STRING),
+              CASE event_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.JPG' WHEN 2 THEN '.txt' WHEN 3 THEN '' ELSE '.py' END) AS path,
+       CASE event_type WHEN 'click' THEN 'created' WHEN 'error' THEN 'deleted' WHEN 'purchase' THEN 'moved' ELSE 'modified' END AS kind,
+       CASE WHEN event_type = 'purchase' THEN concat('/watch/u', CAST(user_id AS STRING), '/scan', CAST(event_id % 12 AS STRING),
+                                                     CASE WHEN event_id % 2 = 0 THEN '_(1)' ELSE '' END, '.txt') END AS dest_path,
+       event_id, CAST(ts AS TIMESTAMP) AS ts
 FROM events"""),
     # paths with protected and look-alike places
     "places_v": (["orders"], """

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.paths import base_name, extension
+from ..constants import DEBOUNCE_SECONDS
+from ..functions.paths import base_name, dir_name, extension
 from ..operators.catalog import with_ids
 from ..operators.classify import classify, default_category
 from ..operators.organize import move_requests, plan_moves
@@ -14,6 +15,7 @@ from ..operators.ranking import dense_ids
 from ..operators.rules import RuleSet
 from ..operators.slabs import in_slabs, previous
 from ..session import cut_lineage
+from .debounce import DebounceSink
 
 
 def _touches(events: DataFrame) -> DataFrame:
@@ -127,6 +129,51 @@ def auto_organize(
     return handle
 
 
+class OrganizeSink:
+    """Watched folders that keep themselves in order, as a ``foreachBatch`` function: debounce, classify, number.
+
+    Bursts go to the debounce sink; when a burst's timer has fired, its created, modified and moved files are classified under the
+    name they have and get the first free name of their target folder, in the order of firing, then of events. The names given out are a table
+    with a folder per micro-batch: a batch is planned against the ``entries`` at the start and the names of the batches before it,
+    so a batch that is repeated gives the same names again, and one that comes later never gives a name twice. Ids go on from batch to batch.
+    """
+
+    GIVEN = "dest_dir STRING, name STRING"
+
+    def __init__(self, rules: RuleSet, destination_base: str, entries: DataFrame, out_dir: str, state_dir: str,
+                 gap_seconds: float = DEBOUNCE_SECONDS, delay_seconds: float = 0, route_by: str = "category"):
+        self.rules, self.base, self.entries, self.route_by = rules, destination_base, entries, route_by
+        self.out_dir, self.state_dir = out_dir.rstrip("/"), state_dir.rstrip("/")
+        self.bursts = DebounceSink(f"{self.state_dir}/bursts", f"{self.state_dir}/debounce", gap_seconds, delay_seconds)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self.bursts(batch, batch_id)
+        self._plan(batch.sparkSession, batch_id)
+
+    def flush(self, spark: SparkSession) -> None:
+        """Plan the bursts that are open at the end of the input."""
+        self.bursts.flush(spark)
+        self._plan(spark, 0 if self.bursts.last_batch is None else self.bursts.last_batch + 1)
+
+    def _plan(self, spark: SparkSession, batch_id: int) -> None:
+        fired = spark.read.parquet(f"{self.state_dir}/bursts/batch={batch_id}")
+        arriving = classify_events(fired, self.rules).select(F.col("file").alias("path"), self.route_by, "fires_at", "event_id")
+        before = [f"{self.state_dir}/given/{i}" for i in range(batch_id)]
+        held, start = self.entries.select("dest_dir", "name"), 0
+        if before:
+            held = held.unionByName(spark.read.schema(self.GIVEN).parquet(*before))
+            start = spark.read.schema("next BIGINT").parquet(f"{self.state_dir}/next/{batch_id - 1}").first()["next"]
+        numbered = cut_lineage(dense_ids(arriving, ["fires_at", "event_id", "path"], start))
+        requests = move_requests(numbered.drop("fires_at", "event_id"), self.base, route_by=self.route_by)
+        plan = plan_moves(requests, held, skip_in_place=True)
+        folder = f"{self.out_dir}/batch={batch_id}"
+        plan.write.mode("overwrite").parquet(folder)
+        moved = spark.read.parquet(folder).filter("success").select("destination")
+        moved.select(dir_name("destination").alias("dest_dir"), base_name("destination").alias("name")).write.mode("overwrite").parquet(
+            f"{self.state_dir}/given/{batch_id}")
+        numbered.agg((F.count(F.lit(1)) + start).alias("next")).write.mode("overwrite").parquet(f"{self.state_dir}/next/{batch_id}")
+
+
 def event_counts(events: DataFrame, width: str = "1 minute", delay: str | None = None) -> DataFrame:
     """Events per tumbling window and kind; with a ``delay`` the same on a stream."""
     if delay is not None:

@@ -330,3 +330,26 @@ def test_progress(spark):
     assert watch.get["processed"] == 10
     row = progress.progress_event(spark, "done", 1, 10, 10, 0.0).collect()[0]
     assert row["event"] == "done" and row["files_per_second"] > 0
+
+
+def test_organize_sink_repeats_a_batch_and_never_gives_a_name_twice(spark, tmp_path):
+    none = spark.createDataFrame([("/org/Documents", "n.txt")], "dest_dir STRING, name STRING")
+    no_rules = load_rules(spark.createDataFrame([], "id BIGINT, name STRING, pattern STRING, match_type STRING, category STRING, "
+                                                    "target_folder STRING, priority INT, enabled BOOLEAN"))
+    sink = G.OrganizeSink(no_rules, "/org", none, str(tmp_path / "out"), str(tmp_path / "state"))
+    parts = [events(spark, ("/a", "/w/a/n.txt", "created", 1.0), ("/b", "/w/b/n.txt", "created", 0.0), ("/b", "/w/b/x.txt", "deleted", 0.5)),
+             events(spark, ("/c", "/w/c/n.txt", "created", 100.0)), events(spark, ("/d", "/w/d/q", "moved", "/w/d/n_(1).txt", 200.0))]
+
+    def plans():
+        return {r["source"]: (r["id"], r["destination"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    sink(parts[0], 0)
+    assert plans() == {}
+    sink(parts[1], 1)
+    first = plans()
+    assert first == {"/w/b/n.txt": (0, "/org/Documents/n_(1).txt"), "/w/a/n.txt": (1, "/org/Documents/n_(2).txt")}
+    sink(parts[1], 1)                   # as after a lost driver
+    assert plans() == first
+    sink(parts[2], 2)
+    sink.flush(spark)
+    assert plans() == {**first, "/w/c/n.txt": (2, "/org/Documents/n_(3).txt"), "/w/d/n_(1).txt": (3, "/org/Documents/n_(1)_(1).txt")}
