@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
 Every shard of documents (a chunk of a few megabytes of whole texts) gets a suffix array over its words. Suffixes whose first
-words begin no test suffix can't match and are left out before sorting. All suffixes of the test items are then
-searched at once by bisection, word by word: the range after ``WINDOW`` words holds every location of a window. Each location
-is extended while the words agree, so every document gets its own longest verbatim match, whatever else its shard holds.
+words begin no test suffix can't match and are left out before sorting. The test suffixes are then searched at once by
+bisection, word by word; suffixes that begin with the same window are searched once, and their items are looked up by that window.
+The range after ``WINDOW`` words holds every location of a window, so the work grows with the text and the items, not with their product.
+The longest verbatim match of a document is found by halving: a match of some length holds matches of all shorter ones.
 Shards need nothing of each other, so the documents are never shuffled.
 
 Test items are sent to the executors in blocks of at most ``BLOCK_BYTES`` of text (a longer item alone); several blocks are
@@ -56,7 +57,11 @@ class TestItems:
     item: np.ndarray              # number of the item at each word
     end: np.ndarray               # end of that item
     starts: np.ndarray            # where a window starts
-    need: np.ndarray              # words of that window
+    window: np.ndarray            # number of that window: equal ones have one
+    reps: np.ndarray              # a start of each window
+    need: np.ndarray              # words of each window
+    members: np.ndarray           # items of window w: members[edges[w]:edges[w + 1]]
+    edges: np.ndarray
     head: int
     heads: np.ndarray
     sieve: np.ndarray
@@ -72,11 +77,14 @@ class TestItems:
         need = np.minimum(window, lengths)[item] if len(words) else np.zeros(0, np.int64)
         starts = np.flatnonzero(left >= need)
         need = need[starts]
+        _, one, same = np.unique(hash_spans(words, starts, starts + need), return_index=True, return_inverse=True)
+        owners = np.unique(np.column_stack([same, item[starts]]), axis=0) if len(starts) else np.zeros((0, 2), np.int64)
         head = int(min(_HEAD, need.min())) if len(need) else 1
         heads = np.unique(_heads(words, starts, head))
         sieve = np.zeros(1 << _SIEVE_BITS, bool)
         sieve[(heads >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)] = True
-        return cls([i for i, _ in rows], words, item, end, starts, need, head, heads, sieve)
+        return cls([i for i, _ in rows], words, item, end, starts, same, starts[one], need[one], owners[:, 1],
+                   np.searchsorted(owners[:, 0], np.arange(len(one) + 1)), head, heads, sieve)
 
 
 def suffix_array(words: np.ndarray, end: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -125,11 +133,12 @@ def _bound(column: np.ndarray, inside: np.ndarray, low: np.ndarray, high: np.nda
 
 
 def search(items: TestItems, words: np.ndarray, end: np.ndarray, array: np.ndarray):
-    """Bisect all test suffixes in a suffix array: (suffix, place) of every window.
+    """Bisect a suffix of every window in a suffix array: (window, place) wherever one occurs.
 
-    ``end`` is the end of the text at each entry of the array.
+    ``end`` is the end of the text at each entry of the array. Windows of one length share no place, so there are at most
+    ``WINDOW`` pairs per place.
     """
-    low, high = np.zeros(len(items.starts), np.int64), np.full(len(items.starts), len(array), np.int64)
+    low, high = np.zeros(len(items.reps), np.int64), np.full(len(items.reps), len(array), np.int64)
     window_low, window_high = np.zeros(len(low), np.int64), np.zeros(len(low), np.int64)
     live = np.arange(len(low))
     depth = 0
@@ -137,7 +146,7 @@ def search(items: TestItems, words: np.ndarray, end: np.ndarray, array: np.ndarr
         at = array + depth
         inside = at < end
         column = np.where(inside, words[np.minimum(at, len(words) - 1)], np.uint64(0))
-        value = items.words[items.starts[live] + depth]
+        value = items.words[items.reps[live] + depth]
         a = _bound(column, inside, low[live], high[live], value, False)
         b = _bound(column, inside, a, high[live], value, True)
         found = a < b
@@ -148,33 +157,67 @@ def search(items: TestItems, words: np.ndarray, end: np.ndarray, array: np.ndarr
         window_low[full], window_high[full] = low[full], high[full]
         live = live[items.need[live] > depth]
     count = window_high - window_low
-    suffix = np.repeat(np.arange(len(count)), count)
+    window = np.repeat(np.arange(len(count)), count)
     place = np.repeat(window_low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return suffix, array[place]
+    return window, array[place]
 
 
-def longest_matches(items: TestItems, words: np.ndarray, doc: np.ndarray, end: np.ndarray, suffix: np.ndarray,
+def longest_matches(items: TestItems, words: np.ndarray, doc: np.ndarray, end: np.ndarray, window: np.ndarray,
                     place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(length, place, item) of the longest match of every text that has a window; of equals the first place, then the first item.
 
-    A match that also agrees one word earlier is a part of a longer one in the list, so only the others are extended.
+    The length is halved in for all texts at once: a text has a match of n words if the hash of the n words at one of its window places is
+    that of n words at one of the items' places with such a window.
     """
-    start = items.starts[suffix]
-    before = (start > 0) & (place > 0)
-    before &= (items.item[start - 1] == items.item[start]) & (doc[place - 1] == doc[place])
-    before &= items.words[start - 1] == words[place - 1]
-    start, place = start[~before], place[~before]
-    most = np.minimum(items.end[start] - start, end[place] - place)
-    length = items.need[suffix[~before]].copy()
-    live = np.flatnonzero(length < most)
-    while len(live):
-        live = live[items.words[start[live] + length[live]] == words[place[live] + length[live]]]
-        length[live] += 1
-        live = live[length[live] < most[live]]
-    order = np.lexsort([items.item[start], place, -length, doc[place]])
-    of = doc[place[order]]
-    order = order[np.append(True, of[1:] != of[:-1])]
-    return length[order], place[order], items.item[start[order]]
+    shortest = np.full(int(doc[place].max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(shortest, doc[place], items.need[window])
+    place = np.unique(place)
+    text, of = np.unique(doc[place], return_inverse=True)
+    hit = np.zeros(len(items.reps), bool)
+    hit[window] = True
+    starts = items.starts[hit[items.window]]
+    room, left = end[place] - place, items.end[starts] - starts
+
+    def matching(length: np.ndarray, texts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per length asked: places of those texts whose next words are in an item, their hashes, and the items' hashes in order with the starts."""
+        out = []
+        rank = np.full(len(text), -1)
+        rank[texts] = np.arange(len(texts))
+        for n in np.unique(length):
+            mine = np.flatnonzero((rank[of] >= 0) & (room >= n))
+            mine = mine[length[rank[of[mine]]] == n]
+            own = starts[left >= n]
+            known = hash_spans(items.words, own, own + n)
+            order = np.argsort(known, kind="stable")
+            known, own = known[order], own[order]
+            asked = hash_spans(words, place[mine], place[mine] + n)
+            at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
+            met = known[at] == asked if len(known) else np.zeros(len(asked), bool)
+            out.append((mine[met], known, own, asked[met]))
+        return out
+
+    low = shortest[text]                                    # a match of so many words there is
+    longest_room = np.zeros(len(text), np.int64)
+    np.maximum.at(longest_room, of, room)
+    high = np.maximum(np.minimum(longest_room, int(left.max())), low)
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        middle = (low[open_] + high[open_] + 1) >> 1
+        yes = np.zeros(len(text), bool)
+        for met, *_ in matching(middle, open_):
+            yes[of[met]] = True
+        found = yes[open_]
+        low[open_[found]] = middle[found]
+        high[open_[~found]] = middle[~found] - 1
+        open_ = open_[low[open_] < high[open_]]
+    best_place, best_item = np.full(len(text), -1), np.zeros(len(text), np.int64)
+    for met, known, own, asked in matching(low, np.arange(len(text))):
+        first, at = np.unique(of[met], return_index=True)   # places are in order
+        best_place[first] = place[met[at]]
+        a, b = np.searchsorted(known, asked[at], "left"), np.searchsorted(known, asked[at], "right")
+        item = items.item[own]
+        best_item[first] = [item[x:y].min() for x, y in zip(a.tolist(), b.tolist())]
+    return low, best_place, best_item
 
 
 def shard_hits(items: TestItems, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, list, list, int, str | None, int]]:
@@ -195,12 +238,11 @@ def shard_hits(items: TestItems, data: np.ndarray, offsets: np.ndarray) -> list[
     if not len(at):
         return result
     array = suffix_array(words, end[at], at, int(items.need.max()))
-    suffix, place = search(items, words, end[array], array)
+    window, place = search(items, words, end[array], array)
     if len(place):
         mark = np.zeros(len(words) + 1, np.int64)
-        need = items.need[suffix]
         np.add.at(mark, place, 1)
-        np.add.at(mark, place + need, -1)
+        np.add.at(mark, place + items.need[window], -1)
         covered = np.cumsum(mark[:-1]) > 0
         opened = covered.copy()
         opened[1:] &= ~covered[:-1] | (doc[1:] != doc[:-1])
@@ -209,13 +251,18 @@ def shard_hits(items: TestItems, data: np.ndarray, offsets: np.ndarray) -> list[
         ranges: dict[int, list] = {}
         for a, b in zip(np.flatnonzero(opened).tolist(), (np.flatnonzero(closed) + 1).tolist()):
             ranges.setdefault(int(doc[a]), []).append((a - int(first[doc[a]]), b - int(first[doc[a]])))
-        pairs = np.unique(np.column_stack([doc[place], items.item[items.starts[suffix]]]), axis=0)
-        ids: dict[int, set] = {}
-        for d, i in pairs.tolist():
-            ids.setdefault(d, set()).add(items.ids[i])
-        for length, start, item in zip(*(x.tolist() for x in longest_matches(items, words, doc, end, suffix, place))):
-            d = int(doc[start])
-            result[d] = (result[d][0], ranges[d], sorted(ids[d]), length, items.ids[item], start - int(first[d]))
+        pairs = np.unique(doc[place] * len(items.reps) + window)
+        owner, held = np.divmod(pairs, len(items.reps))
+        # texts with the same windows have the same items
+        ids_of: dict[bytes, list[str]] = {}
+        texts, cut = np.unique(owner, return_index=True)
+        best = longest_matches(items, words, doc, end, window, place)
+        for d, own, length, start, item in zip(texts.tolist(), np.split(held, cut[1:]), *(x.tolist() for x in best)):
+            ids = ids_of.get(own.tobytes())
+            if ids is None:
+                members = np.concatenate([items.members[items.edges[w]:items.edges[w + 1]] for w in own.tolist()])
+                ids = ids_of[own.tobytes()] = sorted({items.ids[i] for i in np.unique(members).tolist()})
+            result[d] = (result[d][0], ranges[d], ids, length, items.ids[item], start - int(first[d]))
     return result
 
 

@@ -264,6 +264,24 @@ def test_longest_match_of_each_document(spark, block_bytes):
     assert got[2] == (30, "1", 1) and got[3] == (15, "1", 2) and got[5] == (0, None, -1)
 
 
+@pytest.mark.parametrize("items,texts,longest,n_items", [
+    ([("1", "na " * 200)], ["na " * 120_000], 200, 1),
+    ([(f"{i:04}", " ".join([f"s{j}" for j in range(20)] + [f"q{i}x{j}" for j in range(15)])) for i in range(2000)],
+     [" ".join(f"s{j}" for j in range(20)) + f" z{i}" for i in range(1500)], 20, 2000)])
+def test_repetitive_texts_and_items_cost_no_product(items, texts, longest, n_items):
+    """One word over and over, and an instruction that all items share: no pairs of item windows and places."""
+    import time
+    import numpy as np
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    known = decontaminate.TestItems.of(items, 10)
+    started = time.process_time()
+    got = decontaminate.shard_hits(known, np.frombuffer(b"".join(data), np.uint8), offsets)
+    assert time.process_time() - started < 3
+    assert {(len(ids), n, item, start) for _, _, ids, n, item, start in got} == {(n_items, longest, items[0][0], 0)}
+    assert known.reps.size < 31_000
+
+
 def test_suffix_array_order():
     import numpy as np
     generator = np.random.default_rng(3)
@@ -305,6 +323,12 @@ def test_jaccard_repeated_and_null_keys(spark):
     assert sorted(r.doc_id for r in kept) == [1, 1, 3, 4, 4]
 
 
+def test_keep_one_beside_any_column(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], DOCUMENTS).withColumn("_keep", F.lit(1)).withColumn("_keep_", F.lit(2))
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
 def test_repeated_rows_are_scored_each(spark, folder):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "d"), (2, None)], DOCUMENTS)
     assert substrings.remove_repeated(docs).count() == 4
