@@ -1,18 +1,21 @@
 """Language-model scores from a weighted backoff automaton.
 
-The model is a smoothed bigram model of the training documents. Its states are the known words (one-word histories), the start
-of a text and the root. A seen bigram is an arc of its history with the interpolated probability
-``m(h) * c(hw) / c(h) + (1 - m(h)) * p(w)``, ``m(h) = MIX * c(h) / (c(h) + PRIOR)`` (rare histories are trusted less); where a
-history has no arc for a word, its failure arc leads to the root at the cost of ``1 - m(h)``, and the root has an arc for
-every word, ``p(w) = (c + 0.1) / (N + 0.1 (V + 1))``. The probabilities after a history sum to one.
-A text is read once from left to right: a state is carried, the logarithms add up.
-
-No machine holds the automaton. Counts of all words and bigrams are summed in shards of the hash space; each block of
+The model is a smoothed n-gram model of the training documents, trigrams unless ``order`` says otherwise. A state is a history: up to
+``order - 1`` words that training has in this sequence, or the start of a text with up to ``order - 2`` words; the root is the history of no word. A seen
+n-gram is an arc of its history h with the interpolated probability ``m(h) * c(hw) / c(h) + (1 - m(h)) * p(w | h')``,
+``m(h) = MIX * c(h) / (c(h) + PRIOR)`` (rare histories are trusted less), h' being h without its first word. Where a state has no arc for
+a word, its failure arc leads to the state of h' at the cost of ``1 - m(h)``, from there to the next shorter one, and the root has an arc for
+every word, ``p(w) = (c + 0.1) / (N + 0.1 (V + 1))``. The probabilities after any history sum to one.
+A text is read once from left to right: a state is carried, the logarithms add up. Texts of a block take their steps together.
+
+No machine holds the automaton. Counts of n-grams are summed in shards of the hash space, as many as the texts' bytes ask for; each block of
 documents (see ``blobs``) asks for the n-grams it contains, gets their counts in all training documents back, builds the part of the
 automaton that its texts can reach, which is exactly what the whole one would do on them, and reads its texts.
 
-Words are runs of non-blank bytes after lower-casing A-Z, known by 64-bit hashes; every text ends with an end token.
-A null text is an empty one, which consists of the end token. Repeated rows are learned from and scored each.
+Words are runs of non-blank bytes after lower-casing A-Z, known by 64-bit hashes; every text ends with an end token. Longer n-grams are
+known by 48 bits, which halves what is sent; of 10^9 different ones about 1 in 500,000 shares its count with another.
+A null text is an empty one, which consists of the end token. Repeated rows are learned from and scored each. An empty table gives an
+empty one; only key, text and what ``learn`` names are looked at. A very long text is a block of its own.
 ``docs`` must read the same twice (a table, not a random sample).
 """
 
@@ -31,6 +34,10 @@ from .texts import LOWER, WORD, hash_spans, mix as spread, word_bounds
 MIX = 0.5
 PRIOR = 10.0
 ADD = 0.1
+ORDER = 3
+GRAM_BITS = 48              # of the hash of an n-gram of two words or more
+SHARD_BYTES = 8 << 20       # of text whose n-grams of one length a shard counts
+TOGETHER = 48               # texts that step together; fewer are read one after the other
 END = np.uint64(0x5D6D9B1F2E8C4A73)        # stands for the end of a text
 START = np.uint64(0xA24BAED4963EE407)      # history of the first token; never a token itself
 
@@ -48,29 +55,40 @@ def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return tokens, first
 
 
-def bigram_hashes(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hash of every token with the one before it in its text."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[first[:-1]] = START
-    return spread(spread(before) + tokens)
+def gram_hashes(tokens: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per length up to ``order`` (hash of the n-gram that ends at each token, whether there is one). The start of a text counts as a word."""
+    place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
+    hashes, there = tokens, np.ones(len(tokens), bool)
+    out = [(hashes, there)]
+    for n in range(2, order + 1):
+        before = np.empty_like(tokens)
+        before[1:] = hashes[:-1]
+        before[first[:-1]] = START
+        hashes, there = spread(spread(before) + tokens), place >= n - 2
+        out.append((hashes >> np.uint64(64 - GRAM_BITS), there))
+    return out
+
+
+def _edges(length: int, shards: int) -> np.ndarray:
+    """Lower ends of the ranges of the hashes of n-grams of a length."""
+    return shard_edges(shards) if length == 0 else np.array([(p << GRAM_BITS) // shards for p in range(shards)], np.uint64)
 
 
-def _asked(batches: Iterable[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterable[pa.RecordBatch], shards: int, order: int) -> Iterator[pa.RecordBatch]:
     """Per block and shard the n-grams of the block and how often its training documents have each."""
-    edges = shard_edges(shards)
+    edges = [_edges(length, shards) for length in range(order)]
     for block, rows, data, offsets in blocks(batches, "_text"):
         tokens, first = token_stream(data, offsets)
         learn = np.asarray(rows.column(rows.schema.names.index("_learn")).fill_null(False))
         weight = np.repeat(learn, np.diff(first))
         out = []
-        for order, grams in enumerate((tokens, bigram_hashes(tokens, first))):
-            kinds, place = np.unique(grams, return_inverse=True)
-            counts = np.bincount(place, weight, minlength=len(kinds)).astype(np.uint32)
-            cut = [*np.searchsorted(kinds, edges).tolist(), len(kinds)]
+        for length, (grams, there) in enumerate(gram_hashes(tokens, first, order)):
+            kinds, place = np.unique(grams[there], return_inverse=True)
+            counts = np.bincount(place, weight[there], minlength=len(kinds)).astype(np.uint32)
+            cut = [*np.searchsorted(kinds, edges[length]).tolist(), len(kinds)]
             for p in range(shards):
                 if cut[p] < cut[p + 1]:
-                    out.append((order * shards + p, steps(kinds[cut[p]:cut[p + 1]], int(edges[p])), planes(counts[cut[p]:cut[p + 1]])))
+                    out.append((length * shards + p, steps(kinds[cut[p]:cut[p + 1]], int(edges[length][p])), planes(counts[cut[p]:cut[p + 1]])))
         yield pa.RecordBatch.from_arrays(
             [pa.array([s for s, _, _ in out], pa.int32()), pa.array([block] * len(out), pa.int64()),
              pa.array([g for _, g, _ in out], pa.binary()), pa.array([c for _, _, c in out], pa.binary())],
@@ -80,7 +98,7 @@ def _asked(batches: Iterable[pa.RecordBatch], shards: int) -> Iterator[pa.Record
 def _answers(shards: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        base = int(shard_edges(shards)[shard % shards])
+        base = int(_edges(shard // shards, shards)[shard % shards])
         grams = [from_steps(g, base) for g in table.column("grams").to_pylist()]
         counts = np.concatenate([from_planes(c, np.uint32) for c in table.column("counts").to_pylist()])
         kinds, place = np.unique(np.concatenate(grams), return_inverse=True)
@@ -114,90 +132,173 @@ def _told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Automaton:
-    """The part of the model that a block's texts can reach. States are numbers of words; ``start`` and ``root`` follow."""
+    """The part of the model that a block's texts can reach.
+
+    States are numbers: the root, the start of a text, then known histories. ``arcs`` are sorted numbers state * width + word, with weights and
+    targets; ``failure`` has the weight and target of every state's failure arc, ``root_arcs`` those of the root's arc for every word.
+    """
+
+    ROOT, START = 0, 1
 
-    def __init__(self, n_words: int, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray,
+    def __init__(self, stream: np.ndarray, first: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
                  texts: int, tokens: int, kinds: int, mix: float, add: float):
-        """``pairs`` are history * width + word of the bigrams, ``texts`` the number of training texts."""
-        self.start, self.root, self.width = n_words, n_words + 1, n_words + 2
-        p = (word_counts + add) / (tokens + add * (kinds + 1))
-        self.unigram = np.log10(p)                                        # arcs of the root
-        history = np.append(word_counts, texts)
-        seen = pair_counts > 0
-        pairs, pair_counts = pairs[seen], pair_counts[seen]
-        share = mix * history / (history + PRIOR)
-        own = share[pairs // self.width]
-        weight = np.log10(own * pair_counts / history[pairs // self.width] + (1 - own) * p[pairs % self.width])
-        self.arcs = dict(zip(pairs.tolist(), weight.tolist()))
-        self.known = word_counts > 0
-        # a word that training has not seen is no state: it leads to the root
-        self.after = np.where(self.known, np.arange(n_words), self.root).tolist()
-        self.failure = [*np.log10(1 - share).tolist(), 0.0]               # 0 for histories without a count, and for the root
-
-    def read(self, words: list[int], root_arcs: list[float]) -> float:
-        """log10 probability of one text."""
-        arcs, failure, after, width = self.arcs, self.failure, self.after, self.width
-        state, total = self.start, 0.0
-        for word in words:
-            weight = arcs.get(state * width + word)
-            if weight is None:                                            # failure arc, then the root's arc
-                total += failure[state]
-                weight = root_arcs[word]
-            total += weight
-            state = after[word]
-        return total
-
-
-def _read(shards: int, tokens: int, kinds: int, texts: int, mix: float, add: float):
+        """``stream`` are the numbers of the words of all texts. Per length, ``grams`` are (number of the n-gram that ends at each place or -1, a
+        place of each n-gram, its count in training); those of one word are the words. ``texts``: number of training texts."""
+        order = len(grams)
+        starts = np.zeros(len(stream), bool)
+        starts[first[:-1]] = True
+        number, place, count = grams[0]
+        self.width = len(count)
+        p = (count + add) / (tokens + add * (kinds + 1))
+        state = np.where(count > 0, np.cumsum(count > 0) + self.START, self.ROOT)
+        n_states = self.START + 1 + int((count > 0).sum())
+        self.root_arcs = np.log10(p), state if order > 1 else np.zeros(len(p), np.int64)
+        share = mix * texts / (texts + PRIOR) if order > 1 else 0.0
+        failure_weights, failure_to = [[0.0, np.log10(1 - share)]], [[self.ROOT, self.ROOT]]
+        keys, weights, targets = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for length in range(2, order + 1):
+            # histories of the length before: their failure arcs
+            held = mix * count / (count + PRIOR)
+            known = count > 0
+            failure_weights.append(np.log10(1 - held[known]))
+            failure_to.append(np.full(int(known.sum()), self.ROOT) if length == 2 else shorter[place[known]])
+            # their arcs
+            longer, at, seen = grams[length - 1]
+            arc = np.flatnonzero(seen > 0)
+            where = at[arc]
+            opening = starts[where]
+            before = number[np.where(opening, where, where - 1)]
+            history = np.where(opening, texts, count[before])
+            own = np.where(opening, share, held[before])
+            q = np.zeros(len(seen))
+            q[arc] = own * seen[arc] / history + (1 - own) * p[number[where]]
+            keys.append(np.where(opening, self.START, state[before]) * self.width + stream[where])
+            weights.append(np.log10(q[arc]))
+            shorter = state[number]                       # per place the state of the longest known history one word shorter
+            if length < order:
+                new = np.where(seen > 0, n_states + np.cumsum(seen > 0) - 1, shorter[at])
+                n_states += len(arc)
+                targets.append(new[arc])
+                number, place, count, p, state = np.maximum(longer, 0), at, seen, q, new
+                # where a text is too young for an n-gram of this length, the history is the shorter one: no arc asks for it
+            else:
+                targets.append(shorter[where])
+        arcs = np.concatenate(keys)
+        by_key = np.argsort(arcs, kind="stable")
+        self.arcs, self.weights, self.targets = arcs[by_key], np.concatenate(weights)[by_key], np.concatenate(targets)[by_key]
+        self.failure_weights = np.concatenate(failure_weights)
+        self.failure_to = np.concatenate(failure_to).astype(np.int64)
+
+    def step(self, state: np.ndarray, word: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Reads a word from every state: adds the logarithms to ``total`` and returns the states reached."""
+        reached = np.empty_like(state)
+        open_, at = np.arange(len(state)), state
+        while True:
+            key = at * self.width + word[open_]
+            arc = np.searchsorted(self.arcs, key)
+            hit = self.arcs[np.minimum(arc, len(self.arcs) - 1)] == key if len(self.arcs) else np.zeros(len(key), bool)
+            total[open_[hit]] += self.weights[arc[hit]]
+            reached[open_[hit]] = self.targets[arc[hit]]
+            open_, at = open_[~hit], at[~hit]
+            end = at == self.ROOT
+            done = open_[end]
+            total[done] += self.root_arcs[0][word[done]]
+            reached[done] = self.root_arcs[1][word[done]]
+            open_, at = open_[~end], at[~end]
+            if not len(open_):
+                return reached
+            total[open_] += self.failure_weights[at]
+            at = self.failure_to[at]
+
+    def read(self, stream: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 probability of every text. The longest texts stand first, so those that still have a next word are a prefix."""
+        length = np.diff(first)
+        by_length = np.argsort(-length, kind="stable")
+        begin, length = first[:-1][by_length], length[by_length]
+        state, total = np.full(len(length), self.START), np.zeros(len(length))
+        t = 0
+        still = len(length)
+        while True:
+            while still and length[still - 1] <= t:
+                still -= 1
+            if still < TOGETHER:
+                break
+            state[:still] = self.step(state[:still], stream[begin[:still] + t], total[:still])
+            t += 1
+        if still:
+            arcs = dict(zip(self.arcs.tolist(), zip(self.weights.tolist(), self.targets.tolist())))
+            root_weights, root_to = (x.tolist() for x in self.root_arcs)
+            failure_weights, failure_to, width = self.failure_weights.tolist(), self.failure_to.tolist(), self.width
+            for i in range(still):
+                at, value = int(state[i]), 0.0
+                for word in stream[begin[i] + t:begin[i] + length[i]].tolist():
+                    arc = arcs.get(at * width + word)
+                    while arc is None and at:
+                        value += failure_weights[at]
+                        at = failure_to[at]
+                        arc = arcs.get(at * width + word)
+                    weight, at = arc or (root_weights[word], root_to[word])
+                    value += weight
+                total[i] += value
+        out = np.empty(len(total))
+        out[by_length] = total
+        return out
+
+
+def numbered(hashes: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Per length (number of the n-gram at each place or -1, a place of each, how many)."""
+    out = []
+    for values, there in hashes:
+        places = np.flatnonzero(there)
+        _, one, back = np.unique(values[places], return_index=True, return_inverse=True)
+        number = np.full(len(values), -1)
+        number[places] = back
+        out.append((number, places[one], len(one)))
+    return out
+
+
+def _read(shards: int, order: int, tokens: int, kinds: int, texts: int, mix: float, add: float):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         if block.num_rows != 1 or not answers.num_rows:
             raise ValueError("the documents were not read in the same blocks twice")
         keys = block.column("keys").chunk(0).flatten()
         lengths = from_planes(block.column("lengths")[0].as_py(), np.uint32).astype(np.int64)
         words = from_steps(block.column("words")[0].as_py(), 0)
-        places = from_planes(block.column("places")[0].as_py(), np.uint32).astype(np.int64)
+        stream = from_planes(block.column("places")[0].as_py(), np.uint32).astype(np.int64)
         first = np.concatenate([[0], np.cumsum(lengths)])
         rows = sorted(zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist()))
-        word_counts, pair_counts = (
-            np.concatenate([np.zeros(0), *[from_planes(c, np.uint64) for s, c in rows if s // shards == order]]) for order in (0, 1))
-        hashes = bigram_hashes(words[places], first)
-        _, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(words) != len(word_counts) or len(one) != len(pair_counts):
+        counts = [np.concatenate([np.zeros(0), *[from_planes(c, np.uint64) for s, c in rows if s // shards == length]]) for length in range(order)]
+        grams = numbered(gram_hashes(words[stream], first, order))
+        if any(n != len(c) for (_, _, n), c in zip(grams, counts)):
             raise ValueError("the documents were not read in the same blocks twice")
-        width = len(words) + 2
-        before = np.empty_like(places)
-        before[1:] = places[:-1]
-        before[first[:-1]] = len(words)
-        machine = Automaton(len(words), word_counts, before[one] * width + places[one], pair_counts, texts, tokens, kinds, mix, add)
-        root_arcs = machine.unigram.tolist()
-        stream = places.tolist()
-        scores = [machine.read(stream[a:b], root_arcs) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        machine = Automaton(stream, first, [(number, place, c) for (number, place, _), c in zip(grams, counts)], texts, tokens, kinds, mix, add)
         return pa.table({
-            "key": keys, "n_tokens": lengths, "n_known": np.add.reduceat(machine.known[places].astype(np.int64), first[:-1]),
-            "base_score": np.add.reduceat(machine.unigram[places], first[:-1]), "score": np.array(scores)})
+            "key": keys, "n_tokens": lengths, "n_known": np.add.reduceat((counts[0] > 0)[stream].astype(np.int64), first[:-1]),
+            "base_score": np.add.reduceat(machine.root_arcs[0][stream], first[:-1]), "score": machine.read(stream, first)})
 
     return run
 
 
-def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", mix: float = MIX, add: float = ADD) -> DataFrame:
+def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, mix: float = MIX,
+          add: float = ADD) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) per row; the model learns from the rows where ``learn`` holds.
 
-    ``base_score`` is the unigram log10 probability, ``score`` that of the automaton.
+    ``base_score`` is the unigram log10 probability, ``score`` that of the automaton of n-grams up to ``order`` (1 or more).
     """
     spark = docs.sparkSession
-    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))      # of words, and as many of bigrams
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key), F.col(text).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_learn"))
-    asked = texts.mapInArrow(lambda batches: _asked(batches, shards), "shard int, block bigint, grams binary, counts binary")
+    sizes = texts.agg(F.count_if("_learn").alias("texts"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("bytes")).first()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sizes["bytes"] // SHARD_BYTES))     # of every length
+    asked = texts.mapInArrow(lambda batches: _asked(batches, shards, order), "shard int, block bigint, grams binary, counts binary")
     answers = cut_lineage(asked.groupBy("shard").applyInArrow(
         _answers(shards), "block bigint, shard int, counts binary, tokens bigint, kinds bigint"))
     sums = answers.filter(F.col("block").isNull() & (F.col("shard") < shards)).agg(
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
-    n_texts = texts.filter("_learn").count()
     told = texts.mapInArrow(_told, f"block bigint, keys array<{kind}>, lengths binary, words binary, places binary")
     back = answers.filter(F.col("block").isNotNull()).select("block", "shard", "counts")
     scored = told.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
-        _read(shards, sums["tokens"], sums["kinds"], n_texts, mix, add),
+        _read(shards, order, sums["tokens"], sums["kinds"], sizes["texts"], mix, add),
         f"key {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(sums["tokens"]).cast("bigint").alias("train_tokens"),
                          "base_score", "score")

@@ -44,27 +44,31 @@ def repeated_removed(docs, size=50):
     return out
 
 
-def language_model(docs, mix, prior):
+def language_model(docs, mix, prior, order=2):
     """{id: (n_tokens, n_known, train_tokens, base, score)}."""
-    tokens = {i: words((text or "").lower() if (text or "").isascii() else _lower(text)) + [None] for i, text in docs}
-    single, pair, texts = collections.Counter(), collections.Counter(), 0
+    tokens = {i: words(_lower(text)) + [None] for i, text in docs}
+    grams, texts = collections.Counter(), 0
     for i, w in tokens.items():
         if zlib.crc32(str(i).encode()) % 10:
-            single.update(w)
-            pair.update(zip([0] + w[:-1], w))
+            w = [0] + w                                    # 0 is the start
+            grams.update(tuple(w[t - n + 1:t + 1]) for n in range(1, order + 1) for t in range(max(1, n - 1), len(w)))
             texts += 1
-    total, kinds = sum(single.values()), len(single)
-    context = {**single, 0: texts}
+    total, kinds = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    grams[0,] = texts
+
+    def p(h, x):
+        if not h:
+            return (grams[x,] + 0.1) / (total + 0.1 * (kinds + 1))
+        c = grams[h]
+        share = mix * c / (c + prior)
+        return (share * grams[h + (x,)] / c if c else 0) + (1 - share) * p(h[1:], x)
+
     out = {}
     for i, w in tokens.items():
-        base = score = 0.0
-        for h, x in zip([0] + w[:-1], w):
-            p = (single[x] + 0.1) / (total + 0.1 * (kinds + 1))
-            base += math.log10(p)
-            c = context.get(h, 0)
-            share = mix * c / (c + prior)
-            score += math.log10(share * pair[h, x] / c + (1 - share) * p) if c else math.log10(p)
-        out[i] = (len(w), sum(single[x] > 0 for x in w), total, base, score)
+        w = [0] + w
+        score = sum(math.log10(p(tuple(w[max(0, t - order + 1):t]), w[t])) for t in range(1, len(w)))
+        base = sum(math.log10(p((), x)) for x in w[1:])
+        out[i] = (len(w) - 1, sum(grams[x,] > 0 for x in w[1:]), total, base, score)
     return out
 
 

@@ -202,24 +202,51 @@ def test_sketch_never_underestimates():
     assert found[:100].all() and found.mean() < 0.2
 
 
-def test_backoff(spark, folder):
-    got = by_id(QUERIES["op6_backoff"](spark, folder))
-    for i, (n, known, total, base, score) in language_model(DOCS, backoff.MIX, backoff.PRIOR).items():
+@pytest.mark.parametrize("order,together", [(3, 48), (2, 2), (1, 2), (4, 10**9), (3, 1)])
+def test_backoff(spark, folder, order, together, monkeypatch):
+    monkeypatch.setattr(backoff, "TOGETHER", together)
+    monkeypatch.setattr(backoff, "SHARD_BYTES", 20_000)
+    if order == backoff.ORDER:
+        got = by_id(QUERIES["op6_backoff"](spark, folder))
+    else:
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        got = by_id(backoff.score(docs, learn.bucket_of("doc_id", 10) != 0, order=order))
+    for i, (n, known, total, base, score) in language_model(DOCS, backoff.MIX, backoff.PRIOR, order).items():
         row = got[i]
         assert (row.n_tokens, row.n_known, row.train_tokens) == (n, known, total)
-        assert row.held_out == (zlib.crc32(str(i).encode()) % 10 == 0)
+        if order == backoff.ORDER:
+            assert row.held_out == (zlib.crc32(str(i).encode()) % 10 == 0)
         assert row.base_score == pytest.approx(base, rel=1e-9) and row.score == pytest.approx(score, rel=1e-9)
 
 
-def test_backoff_probabilities_sum_to_one():
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff_probabilities_sum_to_one_after_every_history(order):
+    """All states, of every length; the mass of unknown words is that of one more word."""
     import numpy as np
-    counts = np.array([5.0, 3.0, 2.0, 0.0])                      # the last word is unknown: the mass of all such words
-    pairs, seen = [(0, 1), (0, 0), (1, 2), (2, 2)], [2.0, 3.0, 3.0, 2.0]
-    machine = backoff.Automaton(4, counts, np.array([h * 6 + w for h, w in pairs]), np.array(seen), 2, 10, 3, 0.5, 0.1)
-    for state in range(4):
-        first = machine.arcs
-        total = sum(10 ** (first.get(state * 6 + w, machine.failure[state] + machine.unigram[w])) for w in range(4))
-        assert total == pytest.approx(1.0)
+    r = random.Random(order)
+    training = [[r.randrange(4) for _ in range(r.randint(1, 9))] for _ in range(12)]
+    end, unknown, width = 4, 5, 6
+    lists = [[*w, end] for w in training] + [[a, b, c, end] for a in range(6) for b in range(6) for c in range(4)] + [[unknown]]
+    stream, first = np.array([w for x in lists for w in x]), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    tokens = (np.arange(1, 8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[stream]
+    tokens, order_of = np.sort(np.unique(tokens)), np.argsort((np.arange(1, 7).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    stream = np.argsort(order_of)[stream]                         # words are numbered in the order of their hashes
+    grams = backoff.numbered(backoff.gram_hashes(tokens[stream], first, order))
+    n_train = first[len(training)]
+    counted = [(number, place, np.bincount(number[:n_train][number[:n_train] >= 0], minlength=n).astype(float)) for number, place, n in grams]
+    machine = backoff.Automaton(stream, first, counted, len(training), int(n_train), int((counted[0][2] > 0).sum()), 0.5, 0.1)
+    n_states = len(machine.failure_to)
+    assert n_states > {1: 1, 2: 5, 3: 15, 4: 30}[order]
+    depth = 0
+    for state in range(n_states):
+        total = np.zeros(width)
+        machine.step(np.full(width, state), np.arange(width), total)
+        assert (10 ** total).sum() == pytest.approx(1.0)
+        chain, at = 0, state
+        while at:
+            chain, at = chain + 1, machine.failure_to[at]
+        depth = max(depth, chain)
+    assert depth == max(order - 1, 1)                             # failure arcs chain down to the root
 
 
 @pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 20])
