@@ -147,11 +147,15 @@ class Automaton:
         order = len(grams)
         starts = np.zeros(len(stream), bool)
         starts[first[:-1]] = True
+        ends = np.zeros(len(stream), bool)
+        ends[first[1:] - 1] = True
         number, place, count = grams[0]
         self.width = len(count)
         p = (count + add) / (tokens + add * (kinds + 1))
-        state = np.where(count > 0, np.cumsum(count > 0) + self.START, self.ROOT)
-        n_states = self.START + 1 + int((count > 0).sum())
+        alive = count > 0                                 # an n-gram that ends its text is no history
+        alive[stream[ends]] = False
+        state = np.where(alive, np.cumsum(alive) + self.START, self.ROOT)
+        n_states = self.START + 1 + int(alive.sum())
         self.root_arcs = np.log10(p), state if order > 1 else np.zeros(len(p), np.int64)
         share = mix * texts / (texts + PRIOR) if order > 1 else 0.0
         failure_weights, failure_to = [[0.0, np.log10(1 - share)]], [[self.ROOT, self.ROOT]]
@@ -159,9 +163,8 @@ class Automaton:
         for length in range(2, order + 1):
             # histories of the length before: their failure arcs
             held = mix * count / (count + PRIOR)
-            known = count > 0
-            failure_weights.append(np.log10(1 - held[known]))
-            failure_to.append(np.full(int(known.sum()), self.ROOT) if length == 2 else shorter[place[known]])
+            failure_weights.append(np.log10(1 - held[alive]))
+            failure_to.append(np.full(int(alive.sum()), self.ROOT) if length == 2 else shorter[place[alive]])
             # their arcs
             longer, at, seen = grams[length - 1]
             arc = np.flatnonzero(seen > 0)
@@ -176,8 +179,9 @@ class Automaton:
             weights.append(np.log10(q[arc]))
             shorter = state[number]                       # per place the state of the longest known history one word shorter
             if length < order:
-                new = np.where(seen > 0, n_states + np.cumsum(seen > 0) - 1, shorter[at])
-                n_states += len(arc)
+                alive = (seen > 0) & ~ends[at]
+                new = np.where(alive, n_states + np.cumsum(alive) - 1, shorter[at])
+                n_states += int(alive.sum())
                 targets.append(new[arc])
                 number, place, count, p, state = np.maximum(longer, 0), at, seen, q, new
                 # where a text is too young for an n-gram of this length, the history is the shorter one: no arc asks for it
