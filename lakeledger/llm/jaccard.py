@@ -283,9 +283,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, of the smallest key of every class. Rows of one key stay or go together."""
+    """The rows of ``docs``, all columns, of the smallest key of every class. Rows of one key stay or go together, so do those without."""
     name = "_keep"
     while name in docs.columns:
         name += "_"
-    chosen = classes(docs, key, text, **options).filter(F.col("component_id") == F.col(key)).select(F.col(key).alias(name))
+    chosen = classes(docs, key, text, **options).filter(F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias(name))
     return docs.join(chosen, docs[key].eqNullSafe(chosen[name]), "left_semi")

@@ -89,3 +89,66 @@ def test_tokens_decode_to_the_texts(stages):
 
 def test_run(spark, stages):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(stages["tokens"][1])
+
+
+GOOD = " ".join(f"the report of week {i} says that deliveries came on time." for i in range(30))
+AWKWARD = [(1, None), (2, ""), (3, " \n\t "), (4, GOOD), (4, GOOD), (5, GOOD + " password = hunter22"), (None, "ok " * 40), (6, "é 中文 😀\r\n" * 20),
+           (7, " ".join(f"w{i % 997}" for i in range(40_000))), (7, "another row of the same id"), (8, "x" * 60_000)]
+CLASH = ("_keep _keep_ _text _label _row _key id n h lo hi s block shard key score spans hits items longest ids decoded n_tokens component_id "
+         "fragment hashes copies value prior").split()
+
+
+def stage_names():
+    return [name for name, _ in corpus_pipeline.STAGES]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Labels and items for the awkward documents."""
+    folder = str(tmp_path_factory.mktemp("awkward"))
+    spark.createDataFrame([(4, 1), (8, 0), (None, 1)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15")], "item_id long, text string").write.parquet(
+        f"{folder}/benchmark.parquet")
+    return folder
+
+
+def awkward(spark, extra):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(AWKWARD, "doc_id long, text string")
+    return cut_lineage(df.select("*", *[F.lit(str(i)).alias(c) for i, c in enumerate(extra)]).repartition(3))
+
+
+@pytest.mark.parametrize("name", stage_names())
+@pytest.mark.parametrize("extra", [[], ["lang", "source", *CLASH]], ids=["two columns", "clashing columns"])
+def test_stages_with_awkward_rows(spark, tables, name, extra):
+    """Nulls, empty and very long texts, repeated rows and ids, helper names as columns: what each stage keeps of them."""
+    docs = awkward(spark, extra)
+    made = dict(corpus_pipeline.STAGES)[name](spark, docs, tables)
+    rows = made.collect()
+    ids = sorted(-1 if r.doc_id is None else r.doc_id for r in rows)
+    everything = sorted(-1 if i is None else i for i, _ in AWKWARD)
+    if name != "tokens":
+        assert made.columns == docs.columns
+        for r in rows:
+            assert [r[c] for c in extra] == [str(i) for i in range(len(extra))]
+    if name == "quality":
+        assert not {1, 2} & set(ids) and ids.count(4) in (0, 2)
+    elif name == "near_duplicates":
+        assert ids == [i for i in everything if i != 5]            # 5 is a near copy of 4; rows of one id stay together
+    elif name == "decontamination":
+        assert ids == sorted([i for i in everything if i != 7] + [7])
+    elif name == "redaction":
+        assert ids == everything
+        assert sorted(str(r.text) for r in rows) == sorted(str(t if not t or "hunter22" not in t else t.replace("password = hunter22", "[assign]")) for _, t in AWKWARD)
+    else:
+        assert ids == everything
+        assert sorted(r.decoded_sha256 for r in rows) == sorted(sha((t or "").encode()) for _, t in AWKWARD)
+
+
+@pytest.mark.parametrize("name", stage_names())
+def test_stages_with_empty_tables(spark, tables, name):
+    docs = awkward(spark, ["lang", "_keep"])
+    stage = dict(corpus_pipeline.STAGES)[name]
+    made = stage(spark, cut_lineage(docs.limit(0)), tables)
+    assert made.count() == 0 and made.columns == stage(spark, docs, tables).columns
