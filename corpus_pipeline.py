@@ -10,7 +10,10 @@ next stage's ``docs``. Every stage works on all that its predecessor kept:
 4. secret scans: secrets are replaced by their kind in brackets, ``n_chars`` follows;
 5. byte-level BPE: token ids of every document, with the digest of what they decode to.
 
-Rows that share a ``doc_id`` are judged one by one in stages 1 and 3 and stay or go together in stage 2.
+Rows that share a ``doc_id`` are judged one by one in stages 1 and 3 and stay or go together in stage 2. A null or empty text has quality 0
+and goes in stage 1; in the other stages it is an empty text, which is nobody's copy, holds no item and no secret, and has no tokens. A null
+``doc_id`` is kept as it is. Every stage takes an empty table and gives an empty one, carries extra columns of any name along (the last
+returns its own), and works on whole texts, very long ones in chunks of their own. Only ``doc_id`` and ``text`` are needed.
 """
 
 from __future__ import annotations
@@ -48,7 +51,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     modest_batches(spark)
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    clean = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
