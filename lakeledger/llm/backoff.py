@@ -6,7 +6,7 @@ n-gram is an arc of its history h with the interpolated probability ``m(h) * c(h
 ``m(h) = MIX * c(h) / (c(h) + PRIOR)`` (rare histories are trusted less), h' being h without its first word. Where a state has no arc for
 a word, its failure arc leads to the state of h' at the cost of ``1 - m(h)``, from there to the next shorter one, and the root has an arc for
 every word, ``p(w) = (c + 0.1) / (N + 0.1 (V + 1))``. The probabilities after any history sum to one.
-A text is read once from left to right: a state is carried, the logarithms add up. Texts of a block take their steps together.
+A text is read from left to right: a state is carried, the logarithms add up. All texts of a block take their steps together, in lanes of ``STRIDE`` words.
 
 No machine holds the automaton. Counts of n-grams are summed in shards of the hash space, as many as the texts' bytes ask for; each block of
 documents (see ``blobs``) asks for the n-grams it contains, gets their counts in all training documents back, builds the part of the
@@ -37,7 +37,7 @@ ADD = 0.1
 ORDER = 3
 GRAM_BITS = 48              # of the hash of an n-gram of two words or more
 SHARD_BYTES = 8 << 20       # of text whose n-grams of one length a shard counts
-TOGETHER = 48               # texts that step together; fewer are read one after the other
+STRIDE = 64                 # words that a lane reads
 END = np.uint64(0x5D6D9B1F2E8C4A73)        # stands for the end of a text
 START = np.uint64(0xA24BAED4963EE407)      # history of the first token; never a token itself
 
@@ -144,7 +144,7 @@ class Automaton:
                  texts: int, tokens: int, kinds: int, mix: float, add: float):
         """``stream`` are the numbers of the words of all texts. Per length, ``grams`` are (number of the n-gram that ends at each place or -1, a
         place of each n-gram, its count in training); those of one word are the words. ``texts``: number of training texts."""
-        order = len(grams)
+        order = self.order = len(grams)
         starts = np.zeros(len(stream), bool)
         starts[first[:-1]] = True
         ends = np.zeros(len(stream), bool)
@@ -215,38 +215,29 @@ class Automaton:
             at = self.failure_to[at]
 
     def read(self, stream: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of every text. The longest texts stand first, so those that still have a next word are a prefix."""
+        """log10 probability of every text.
+
+        Texts are read in lanes of ``STRIDE`` words, all lanes together. A state remembers no more than the words of the longest history, so a lane
+        that starts inside a text comes into its state by reading so many words before it, which do not count.
+        """
         length = np.diff(first)
-        by_length = np.argsort(-length, kind="stable")
-        begin, length = first[:-1][by_length], length[by_length]
-        state, total = np.full(len(length), self.START), np.zeros(len(length))
-        t = 0
-        still = len(length)
-        while True:
-            while still and length[still - 1] <= t:
-                still -= 1
-            if still < TOGETHER:
-                break
-            state[:still] = self.step(state[:still], stream[begin[:still] + t], total[:still])
-            t += 1
-        if still:
-            arcs = dict(zip(self.arcs.tolist(), zip(self.weights.tolist(), self.targets.tolist())))
-            root_weights, root_to = (x.tolist() for x in self.root_arcs)
-            failure_weights, failure_to, width = self.failure_weights.tolist(), self.failure_to.tolist(), self.width
-            for i in range(still):
-                at, value = int(state[i]), 0.0
-                for word in stream[begin[i] + t:begin[i] + length[i]].tolist():
-                    arc = arcs.get(at * width + word)
-                    while arc is None and at:
-                        value += failure_weights[at]
-                        at = failure_to[at]
-                        arc = arcs.get(at * width + word)
-                    weight, at = arc or (root_weights[word], root_to[word])
-                    value += weight
-                total[i] += value
-        out = np.empty(len(total))
-        out[by_length] = total
-        return out
+        lanes = -(-length // STRIDE)
+        text = np.repeat(np.arange(len(length)), lanes)
+        begin = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * STRIDE
+        stop = np.minimum(begin + STRIDE, first[text + 1])
+        at = np.maximum(begin - (self.order - 1), first[text])
+        by_length = np.argsort(at - stop, kind="stable")                  # the longest first: those that go on are a prefix
+        at, begin, stop, text = (x[by_length] for x in (at, begin, stop, text))
+        state = np.where(at == first[text], self.START, self.ROOT)
+        total, unread = np.zeros(len(at)), np.zeros(len(at))
+        steps_left = stop - at
+        for t in range(int(steps_left[0]) if len(at) else 0):
+            on = int(np.searchsorted(-steps_left, -t, side="left"))
+            place = at[:on] + t
+            unread[:on] = 0
+            state[:on] = self.step(state[:on], stream[place], unread[:on])
+            total[:on] += np.where(place >= begin[:on], unread[:on], 0)
+        return np.bincount(text, total, minlength=len(length))
 
 
 def numbered(hashes: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, int]]:

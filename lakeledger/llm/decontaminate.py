@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .texts import ALNUM, LOWER, chunks, documents_of, hash_spans, mix, word_bounds
+from .texts import ALNUM, LOWER, chunks, documents_of, hash_spans, hash_sums, mix, prefix_sums, word_bounds
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -177,6 +177,7 @@ def longest_matches(items: TestItems, words: np.ndarray, doc: np.ndarray, end: n
     hit[window] = True
     starts = items.starts[hit[items.window]]
     room, left = end[place] - place, items.end[starts] - starts
+    in_items, in_texts = prefix_sums(items.words), prefix_sums(words)
 
     def matching(length: np.ndarray, texts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per length asked: places of those texts whose next words are in an item, their hashes, and the items' hashes in order with the starts."""
@@ -187,10 +188,10 @@ def longest_matches(items: TestItems, words: np.ndarray, doc: np.ndarray, end: n
             mine = np.flatnonzero((rank[of] >= 0) & (room >= n))
             mine = mine[length[rank[of[mine]]] == n]
             own = starts[left >= n]
-            known = hash_spans(items.words, own, own + n)
+            known = hash_sums(in_items, own, own + n)
             order = np.argsort(known, kind="stable")
             known, own = known[order], own[order]
-            asked = hash_spans(words, place[mine], place[mine] + n)
+            asked = hash_sums(in_texts, place[mine], place[mine] + n)
             at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
             met = known[at] == asked if len(known) else np.zeros(len(asked), bool)
             out.append((mine[met], known, own, asked[met]))

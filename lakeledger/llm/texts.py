@@ -120,14 +120,9 @@ def inverse_powers(which: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of values[starts:ends] by prefix sums of a polynomial; ``which`` picks one of two families.
-
-    ``values`` are bytes or 64-bit word hashes. Each value is mixed first, so that the polynomial sees no structure.
-    """
+def prefix_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
+    """What ``hash_sums`` hashes pieces from, for those who hash many of the same values."""
     n = len(values)
-    if n == 0 or len(starts) == 0:
-        return np.zeros(len(starts), np.uint64)
     if values.dtype == np.uint8:
         terms = mix(np.arange(1, 257, dtype=np.uint64) * _SEEDS[which])[values]
     else:
@@ -135,7 +130,21 @@ def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
     terms *= powers(which, n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(terms, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse_powers(which, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    return sums
+
+
+def hash_sums(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    return mix((sums[ends] - sums[starts]) * inverse_powers(which, len(sums))[starts] + (ends - starts).astype(np.uint64))
+
+
+def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of values[starts:ends] by prefix sums of a polynomial; ``which`` picks one of two families.
+
+    ``values`` are bytes or 64-bit word hashes. Each value is mixed first, so that the polynomial sees no structure.
+    """
+    if len(values) == 0 or len(starts) == 0:
+        return np.zeros(len(starts), np.uint64)
+    return hash_sums(prefix_sums(values, which), starts, ends, which)
 
 
 def documents_of(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:

@@ -202,9 +202,9 @@ def test_sketch_never_underestimates():
     assert found[:100].all() and found.mean() < 0.2
 
 
-@pytest.mark.parametrize("order,together", [(3, 48), (2, 2), (1, 2), (4, 10**9), (3, 1)])
-def test_backoff(spark, folder, order, together, monkeypatch):
-    monkeypatch.setattr(backoff, "TOGETHER", together)
+@pytest.mark.parametrize("order,stride", [(3, 64), (2, 1), (1, 2), (4, 3), (3, 10**9)])
+def test_backoff(spark, folder, order, stride, monkeypatch):
+    monkeypatch.setattr(backoff, "STRIDE", stride)
     monkeypatch.setattr(backoff, "SHARD_BYTES", 20_000)
     if order == backoff.ORDER:
         got = by_id(QUERIES["op6_backoff"](spark, folder))
