@@ -367,3 +367,23 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
 
         docs = docs.mapInArrow(kept, docs.schema)
     return docs
+
+
+_SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLE = f"""
+WITH texts AS (SELECT doc_id, {_SQL_WORDS} AS ws FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, ws, least(10, len(ws)) AS k
+          FROM (SELECT item_id, {_SQL_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0 AND item_id IS NOT NULL),
+item_windows AS (SELECT item_id, k, s, array_to_string(ws[s:s + k - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS s FROM items)),
+text_windows AS (SELECT doc_id, k, p, array_to_string(ws[p:p + k - 1], ' ') AS w
+                 FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM texts, (SELECT DISTINCT k FROM items))),
+met AS (SELECT doc_id, item_id, k, p, s FROM text_windows JOIN item_windows USING (k, w)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS p FROM met) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id),
+runs AS (SELECT doc_id, item_id, k, p - s AS diagonal, min(p) AS p, count(*) + k - 1 AS length
+         FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - s ORDER BY p) AS island FROM met) GROUP BY doc_id, item_id, k, diagonal, island),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, p, item_id) AS rk FROM runs) WHERE rk = 1)
+SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated, coalesce(length, 0) AS longest, b.item_id AS longest_item, coalesce(b.p - 1, -1) AS longest_start
+FROM texts t LEFT JOIN hits h ON h.doc_id = t.doc_id LEFT JOIN found f ON f.doc_id = t.doc_id LEFT JOIN best b ON b.doc_id = t.doc_id"""

@@ -289,3 +289,17 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
         name += "_"
     chosen = classes(docs, key, text, **options).filter(F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias(name))
     return docs.join(chosen, docs[key].eqNullSafe(chosen[name]), "left_semi")
+
+
+ORACLE = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                          '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s
+             FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM texts WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM texts UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other)
+SELECT t.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM texts t
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = t.doc_id LEFT JOIN sizes s ON s.doc_id = t.doc_id"""

@@ -131,6 +131,9 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op4_url_lists": url_lists.ORACLE,
+    "op5_substrings": substrings.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
+    "op8_jaccard": jaccard.ORACLE,
     "op10_quality_rules": quality_rules.oracle_sql(),
     "op11_divergence": divergence.ORACLE,
     "op12_prefix_trie": prefix_trie.ORACLE,

@@ -250,3 +250,15 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     done = told.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _removed(shared, name, window, depth, width_bits, shards, shards), "key bigint, n_words bigint, n_removed bigint, kept binary")
     return done.select(F.col("key").cast(docs.schema[key].dataType).alias(key), "n_words", "n_removed", "kept")
+
+
+ORACLE = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM texts)),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM windows JOIN firsts USING (h) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM texts),
+marked AS (SELECT w.doc_id, w.i, w.w, g.i IS NOT NULL AS removed FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i)
+SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, count(*) FILTER (removed) AS n_removed,
+       sha256(coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT removed), '')) AS kept_sha256
+FROM texts t LEFT JOIN marked m ON m.doc_id = t.doc_id GROUP BY t.doc_id, ws"""
