@@ -5,21 +5,20 @@ become validity intervals: an entry is in force from its time until the key's ne
 capture of a URL the entry in force at its fetch time, for each of the keys that the URL falls under, and the capture is blocked if
 one of them says "added".
 
-The join is an equality on (kind, key, time bucket): per key and bucket the log has one row with the entries of that bucket and the one carried in, so
-captures of a busy host meet one row each, whatever the length of its log; Spark broadcasts the log while it is small
-and splits a hot key of the captures when it isn't.
+The join is one sorted union of entries and captures per key: the interval that holds a capture's time is that of the last entry before it.
+The union is dealt to ranges of (kind, key, time) and looked through slab by slab (``operators/slabs``), with a carry of the entry in force
+from each slab to the next, so a key with most of the entries or captures is no hot spot and rows stay entries and captures.
 
 Of entries for a key at the same time the one with the greatest ``seq`` counts. Entries and captures without a time, and URLs without a
-host, match nothing: such captures are kept. Captures equal in id, URL and time give one row.
+host, match nothing: such captures are kept. Captures equal in id, URL and time give one row. Empty tables on either side are taken;
+columns other than the named ones are not looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
-
-BUCKET = 86_400_000_000     # microseconds
+from ..operators.slabs import highest_so_far, in_slabs
 
 
 def host_of(url: Column) -> Column:
@@ -45,38 +44,31 @@ def keys_of(url: Column) -> Column:
                     lambda k: k["key"].isNotNull())
 
 
-def buckets(entries: DataFrame, last: int, width: int = BUCKET) -> DataFrame:
-    """(kind, key, bucket, log): for every bucket up to ``last`` the entries that can be in force in it, in order.
+def in_force(asked: DataFrame, entries: DataFrame, slabs: int | None = None) -> DataFrame:
+    """``asked`` (kind, key, at and more) with ``force``, the entry (at, seq, added) of the key that is in force then, or null.
 
-    ``entries`` has kind, key, at (microseconds), seq, added. A bucket without entries has the one carried in.
+    ``entries`` has kind, key, at (microseconds), seq, added. At the same time entries come before captures.
     """
     dated = entries.filter(F.col("key").isNotNull() & F.col("at").isNotNull())
-    own = dated.groupBy("kind", "key", F.floor(F.col("at") / width).cast("bigint").alias("first")).agg(
-        F.sort_array(F.collect_list(F.struct("at", "seq", "added"))).alias("own"))
-    order = Window.partitionBy("kind", "key").orderBy("first")
-    spans = own.select("kind", "key", "first", "own", F.lag(F.element_at("own", -1)).over(order).alias("carried"),
-                       (F.lead("first", 1).over(order) - 1).alias("until"))
-    until = F.greatest("first", F.coalesce("until", F.lit(last).cast("bigint")))
-    each = spans.withColumn("bucket", F.explode(F.sequence("first", until)))
-    first_log = F.when(F.col("carried").isNotNull(), F.concat(F.array("carried"), "own")).otherwise(F.col("own"))
-    log = F.when(F.col("bucket") == F.col("first"), first_log).otherwise(F.array(F.element_at("own", -1)))
-    return each.select("kind", "key", "bucket", log.alias("log"))
-
-
-def evaluate(captures: DataFrame, entries: DataFrame, width: int = BUCKET) -> DataFrame:
+    entry = F.struct("at", "seq", "added")
+    both = dated.select("kind", "key", "at", F.lit(0).alias("_turn"), entry.alias("_entry")).unionByName(
+        asked.filter(F.col("key").isNotNull() & F.col("at").isNotNull()).withColumn("_turn", F.lit(1)), allowMissingColumns=True)
+    keys, order = ["kind", "key"], ["at", "_turn"]
+    met = highest_so_far(in_slabs(both, keys, order, slabs), keys, order, F.col("_entry"), "force").filter("_turn = 1")
+    none = asked.filter(F.col("key").isNull() | F.col("at").isNull())
+    return met.select(*asked.columns, "force").unionByName(none, allowMissingColumns=True)
+
+
+def evaluate(captures: DataFrame, entries: DataFrame, slabs: int | None = None) -> DataFrame:
     """(id, host, n_active, matched, entry_age_s, kept) per capture (id, url, at).
 
     ``n_active`` counts the keys in force, ``matched`` is the longest of them (then the greatest), ``entry_age_s`` the whole
     seconds since its entry.
     """
-    last = captures.agg(F.floor(F.max("at") / width).cast("bigint")).first()[0] or 0
-    log = cut_lineage(buckets(entries, last, width))
     asked = captures.select("id", "url", "at", F.explode_outer(keys_of(F.col("url"))).alias("k")).select(
-        "id", "url", "at", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"),
-        F.floor(F.col("at") / width).cast("bigint").alias("bucket"))
-    met = asked.join(log, ["kind", "key", "bucket"], "left")
-    past = F.filter("log", lambda e: e["at"] <= F.col("at"))
-    force = F.when(F.size(past) > 0, F.element_at(past, -1))
+        "id", "url", "at", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"))
+    met = in_force(asked, entries, slabs)
+    force = F.col("force")
     hit = F.when(force["added"], F.struct(F.length("key").alias("n"), F.col("key").alias("key"), force["at"].alias("since")))
     grouped = met.select("id", "url", "at", hit.alias("hit")).groupBy("id", "url", "at").agg(
         F.size(F.collect_set("hit.key")).cast("bigint").alias("n_active"), F.max("hit").alias("best"))

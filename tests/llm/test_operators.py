@@ -167,7 +167,7 @@ def test_url_lists(spark, folder):
 
 
 def test_url_list_takes_the_entry_in_force(spark):
-    day = url_lists.BUCKET
+    day = 86_400_000_000
     entries = spark.createDataFrame([
         ("domain", "a.org", 5, 1, True), ("domain", "a.org", 3 * day, 2, False), ("domain", "a.org", 3 * day, 3, True),
         ("domain", "a.org", 9 * day, 4, False), ("section", "b.org/x", 2 * day, 5, True), ("domain", None, 1, 6, True),
@@ -180,6 +180,23 @@ def test_url_list_takes_the_entry_in_force(spark):
     assert kept == {1: True, 2: False, 3: False, 4: False, 5: True, 6: True, 7: False, 8: True, 9: True, 10: True}
 
 
+def test_url_lists_of_a_busy_key_and_a_capture_in_the_far_future(spark):
+    """One key with nearly all entries and captures, over many slabs; rows stay entries and captures."""
+    r = random.Random(4)
+    entries = [("domain", "hot.org", r.randrange(5000), i, r.random() < 0.5) for i in range(1500)] + [("domain", "b.org", 7, 1, True)]
+    captures = [(i, "https://x.hot.org/p", r.randrange(-10, 5010)) for i in range(1500)] + [(9000, "http://b.org/", 2**55), (9001, "http://b.org/", 6)]
+    log = spark.createDataFrame(entries, "kind string, key string, at long, seq long, added boolean")
+    asked = spark.createDataFrame(captures, "id long, url string, at long")
+    keys = asked.select("id", "url", "at", F.explode(url_lists.keys_of(F.col("url"))).alias("k")).select("id", "at", "k.*")
+    assert url_lists.in_force(keys, log, 8).count() == keys.count() == 4502
+    kept = {x.id: x.kept for x in url_lists.evaluate(asked, log, 8).collect()}
+
+    def blocked(key, at):
+        return max(((a, s, added) for _, k, a, s, added in entries if k == key and a <= at), default=(0, 0, False))[2]
+
+    assert kept == {i: not blocked("b.org" if "b.org" in url else "hot.org", at) for i, url, at in captures}
+
+
 @pytest.mark.parametrize("bits", [28, 3])
 def test_substrings(spark, folder, bits):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -366,19 +383,23 @@ def test_repeated_rows_are_scored_each(spark, folder):
                                spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 4
 
 
-def accuracy(spark, name, label, sf_dir="/root/testdata/sf0.01"):
+def held_out(spark, name, label, sf_dir="/root/testdata/sf0.01"):
+    """(precision, recall) of label 1 on held-out rows, and their share of right answers."""
     scored = QUERIES[name](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
     rows = scored.filter("held_out").select("predicted", label, "score").collect()
     assert all(0 <= r.score <= 1 for r in rows)
-    return sum(r.predicted == r[label] for r in rows) / len(rows)
+    both = sum(r.predicted == r[label] == 1 for r in rows)
+    right = sum(r.predicted == r[label] for r in rows) / len(rows)
+    return both / sum(r.predicted for r in rows), both / sum(r[label] for r in rows), right
 
 
 def test_quality_on_held_out_documents(spark):
-    assert accuracy(spark, "op2_quality", "quality") > 0.95
+    assert min(held_out(spark, "op2_quality", "quality")) > 0.95
 
 
 def test_toxicity_on_held_out_documents(spark):
-    assert accuracy(spark, "op9_toxicity", "toxic", "/root/testdata/sf0.1") > 0.95
+    precision, recall, right = held_out(spark, "op9_toxicity", "toxic", "/root/testdata/sf0.1")
+    assert precision > 0.85 and recall > 0.85 and right > 0.95
 
 
 @pytest.mark.parametrize("name", ["op2_quality", "op9_toxicity"])
