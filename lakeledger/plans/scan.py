@@ -74,11 +74,13 @@ def scan(
 ) -> Scanned:
     """Run a scan and give the new catalog, the finished session row and the statistics.
 
-    The merged rows are written once; the session total (new and changed files) is counted from them.
+    The listing is walked and written once, so statistics and total speak of the same files; the merged rows are written once too, and the session
+    total (new and changed files) is counted from them.
     """
     spark, started = catalog.sparkSession, time.time()
     roots = clean_roots(roots)
     try:
+        listing = cut_lineage(listing)
         merged = cut_lineage(scan_catalog(catalog, listing, session_id, incremental, unique, **filters))
         total = merged.filter("_write").count()
     except Exception as error:

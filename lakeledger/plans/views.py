@@ -105,6 +105,15 @@ UNION ALL
 SELECT -1 - id AS id, concat('/gone', path) AS path, name, extension, size, 'Stale' AS category, last_modified,
        CAST(NULL AS STRING) AS hash, CAST(0 AS BIGINT) AS scan_session_id, CAST(1600000000 AS DOUBLE) AS created_at
 FROM files_v WHERE extension = '.mp3'"""),
+    # a catalog that differs from the files in few places: one folder changed, some files new, some gone
+    "calm_catalog_v": (["files_v"], """
+SELECT id, path, concat('old ', name) AS name, extension, CASE WHEN path LIKE '/data/src5/fr/%' THEN size + 1 ELSE size END AS size, 'Stale' AS category,
+       last_modified, concat('h', CAST(id AS STRING)) AS hash, CAST(0 AS BIGINT) AS scan_session_id, CAST(1600000000 AS DOUBLE) AS created_at
+FROM files_v WHERE path NOT LIKE '/data/src3/de/%'
+UNION ALL
+SELECT -1 - id AS id, concat('/gone', path) AS path, name, extension, size, 'Stale' AS category, last_modified,
+       CAST(NULL AS STRING) AS hash, CAST(0 AS BIGINT) AS scan_session_id, CAST(1600000000 AS DOUBLE) AS created_at
+FROM files_v WHERE path LIKE '/data/src7/es/%'"""),
     "existing_v": (["catalog_v"], """
 SELECT DISTINCT concat('/org/', category) AS dest_dir, name FROM catalog_v WHERE path LIKE '/data/src7/%'"""),
     "logs_v": (["orders"], """

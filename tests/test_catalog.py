@@ -80,9 +80,12 @@ def test_incremental_and_diff(spark):
 
 def test_one_join_for_detection_and_upsert(spark):
     old = catalog(spark, row(1, "/d/a", 1, 1.0)).repartition(4)
-    plan = C.scan_merge(old, C.file_records(listing(spark, ("/d/a", 1, 1.0))).withColumn(
-        "scan_session_id", F.lit(1)))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Join") == 1
+    found = C.file_records(listing(spark, ("/d/a", 1, 1.0))).withColumn("scan_session_id", F.lit(1))
+    plan = C.scan_merge(old, found)._jdf.queryExecution().executedPlan().toString()
+    # besides, the few new paths meet their written numbers
+    assert plan.count("FullOuter") == 1
+    given = C.scan_merge(old, found.withColumn("id", F.lit(7)))._jdf.queryExecution().executedPlan().toString()
+    assert given.count("Join") == 1
 
 
 def test_union_of_nested_roots(spark):
