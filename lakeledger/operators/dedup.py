@@ -107,7 +107,8 @@ def dup_members(
     )
     files = _hashed(hashed, min_bytes).select("id", "path", "size", "hash")
     members = join_by_key(files, groups, ["size", "hash"], "inner", "n", hot_rows=hot_rows)
-    ranked = number_rows(members, ["size", "hash"], "id", "rank", per_bucket)
+    largest = groups.agg(F.max("n")).first()[0] or 0
+    ranked = number_rows(members, ["size", "hash"], "id", "rank", per_bucket, largest)
     return ranked.select(
         F.col("hash").alias("fingerprint"), "size", "id", "path", "rank", F.col("n").alias("n_files"),
         copy_label("rank").alias("label"),

@@ -2,57 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
+from .slabs import earlier, in_slabs
 
 ROWS_PER_BUCKET = 200_000
 
 
-def order_bucket(order: Column, low: Column, high: Column, rows: Column, per_bucket: int = ROWS_PER_BUCKET) -> Column:
-    """Slice of a group's value range a row falls into; slices follow the order of the values.
-
-    A group of up to ``per_bucket`` rows is one slice. The slice depends on the row and the group's
-    bounds only, so every recomputation gives the same one.
-    """
-    slices = F.ceil(rows / F.lit(per_bucket))
-    width = high.cast("double") - low.cast("double")
-    position = F.floor((order.cast("double") - low.cast("double")) / width * slices)
-    return F.when((slices <= 1) | (width <= 0), F.lit(0)).otherwise(F.least(position, slices - 1)).cast("bigint")
-
-
 def number_rows(
-    members: DataFrame, keys: list[str], order: str, rank: str = "rank", per_bucket: int = ROWS_PER_BUCKET
+    members: DataFrame, keys: list[str], order: str, rank: str = "rank", per_bucket: int = ROWS_PER_BUCKET, largest: int | None = None,
+    slabs: int | None = None
 ) -> DataFrame:
-    """Number the rows of each group from 1 by a unique whole-number ``order`` column.
+    """Number the rows of each group from 1 by a unique ``order`` column.
 
-    ``members`` carries its group's ``n``, ``first`` and ``last`` (count, lowest and highest ``order``).
-    A large group is cut into slices of the order range, numbered slice by slice in parallel and moved
-    up by the sizes of the slices before; no task ever sorts a whole large group.
+    ``members`` carries its group's size ``n``. Groups of up to ``per_bucket`` rows are numbered by a window; larger ones are cut into ranges of
+    (group, order) with about the same number of rows each, whatever the values are, numbered range by range and moved up by the sizes of the
+    ranges before, so no task ever sorts a whole large group. Who knows that no group is larger says so with ``largest``.
     """
-    sliced = members.withColumn(
-        "_slice", order_bucket(F.col(order), F.col("first"), F.col("last"), F.col("n"), per_bucket)
-    )
-    part = [*keys, "_slice"]
-    before = (
-        sliced.filter(F.col("n") > per_bucket)
-        .groupBy(*part)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn(
-            "_before",
-            F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)),
-        )
-        .select(*part, "_before")
-    )
-    # an exchange on all of ``part``: the window and the join below both use it, and a hot group spreads
-    spread = sliced.repartition(*part)
-    local = F.row_number().over(Window.partitionBy(*part).orderBy(order))
-    return (
-        spread.withColumn("_local", local)
-        .join(before, part, "left")
-        .withColumn(rank, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint"))
-        .drop("_local", "_before", "_slice")
-    )
+    near = F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("bigint")
+    if largest is not None and largest <= per_bucket:
+        return members.withColumn(rank, near)
+    dealt = in_slabs(members.filter(F.col("n") > per_bucket), keys, [order], slabs)
+    part = [*keys, "_slab"]
+    sizes = dealt.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows"))
+    # a range has at most one group that began in an earlier one, so this is at most a row per range
+    carried = sizes.select(*part, F.sum("_rows").over(earlier(keys)).alias("_before")).filter("_before IS NOT NULL")
+    inside = F.row_number().over(Window.partitionBy(*part).orderBy(order))
+    large = dealt.repartition(*part).withColumn("_near", inside).join(F.broadcast(carried), part, "left").withColumn(
+        rank, (F.col("_near") + F.coalesce("_before", F.lit(0))).cast("bigint")).drop("_slab", "_near", "_before")
+    return members.filter(F.col("n") <= per_bucket).withColumn(rank, near).unionByName(large)
 
 
 def dense_ids(rows: DataFrame, order: list[str], start: int = 0, name: str = "id") -> DataFrame:

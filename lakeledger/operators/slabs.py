@@ -2,7 +2,8 @@
 
 A group's rows in order are what a window function would see in one task. Here rows are dealt to ranges of (group, order), so a group
 with most of the rows lies in many slabs; each slab is scanned by a window of its own, and what it leaves to the next ones is a row in a carry
-table, settled by a window over slabs. A slab holds no more than a range partition, the carry table a row per group and slab.
+table, settled by a window over slabs. A slab holds no more than a range partition, and since ranges follow one another, only its first
+group can have begun before it: at most a row per slab is carried, which is broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ def in_slabs(rows: DataFrame, keys: list[str], order: list[str], slabs: int | No
     return cut_lineage(ranged.withColumn("_slab", F.spark_partition_id()))
 
 
-def _before(keys: list[str]) -> Window:
+def earlier(keys: list[str]) -> Window:
+    """The slabs of a group before this one."""
     return Window.partitionBy(*keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
 
 
@@ -28,8 +30,9 @@ def previous(slabs: DataFrame, keys: list[str], order: list[str], value: Column,
     near = F.lag("_value").over(Window.partitionBy(*part).orderBy(*order))
     valued = slabs.withColumn("_value", value)
     left = valued.groupBy(*part).agg(F.max_by("_value", F.struct(*order)).alias("_tail"))
-    carry = left.select(*part, F.last("_tail").over(_before(keys)).alias("_carry"))
-    return (valued.repartition(*part).withColumn("_near", near).join(carry, part)
+    carry = left.select(*part, F.last("_tail").over(earlier(keys)).alias("_carry"))
+    carry = carry.filter("_carry IS NOT NULL")
+    return (valued.repartition(*part).withColumn("_near", near).join(F.broadcast(carry), part, "left")
             .withColumn(name, F.coalesce("_near", "_carry")).drop("_value", "_near", "_carry"))
 
 
@@ -39,6 +42,6 @@ def highest_so_far(slabs: DataFrame, keys: list[str], order: list[str], value: C
     near = F.max("_value").over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     valued = slabs.withColumn("_value", value)
     carry = valued.groupBy(*part).agg(F.max("_value").alias("_top"))
-    carry = carry.select(*part, F.max("_top").over(_before(keys)).alias("_carry"))
-    return (valued.repartition(*part).withColumn("_near", near).join(carry, part)
+    carry = carry.select(*part, F.max("_top").over(earlier(keys)).alias("_carry")).filter("_carry IS NOT NULL")
+    return (valued.repartition(*part).withColumn("_near", near).join(F.broadcast(carry), part, "left")
             .withColumn(name, F.greatest("_near", "_carry")).drop("_value", "_near", "_carry"))

@@ -20,6 +20,16 @@ def table(spark, *contents):
     return spark.createDataFrame(rows, "id BIGINT, path STRING, size BIGINT, content BINARY")
 
 
+def test_one_outlying_id_spoils_no_slice(spark):
+    from lakeledger.operators import slabs
+
+    rows = spark.range(8000).select(F.lit("hot").alias("k"), F.when(F.col("id") == 0, F.lit(2**60)).otherwise(F.col("id")).alias("v"), F.lit(8000).alias("n"))
+    slices = [r["count"] for r in slabs.in_slabs(rows, ["k"], ["v"], 8).groupBy("_slab").count().collect()]
+    assert len(slices) > 5 and max(slices) <= 2 * sorted(slices)[len(slices) // 2]
+    ranked = number_rows(rows, ["k"], "v", per_bucket=500, slabs=8).collect()
+    assert [r["rank"] for r in sorted(ranked, key=lambda r: r["v"])] == list(range(1, 8001))
+
+
 def test_groups(spark):
     hashed = D.with_hashes(table(spark, A, B_, A, U, TINY, TINY, TINY, B_, A))
     groups = D.duplicate_groups(hashed)
