@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import PROTECTED_UNIX
 from ..functions.patterns import glob_match, literal
 from ..functions.paths import _col, ancestors, dir_name, normalize_path
+from ..session import cut_lineage
+from .rule_index import name_matches
 from .skew import join_by_key
 
 
@@ -70,6 +72,36 @@ def exclude_prefixes(files: DataFrame, prefixes: list[str]) -> DataFrame:
     return files.filter(~_any([has_prefix("path", p) for p in prefixes]))
 
 
+def longest_prefixes(files: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(path, prefix): the longest of a table of raw prefixes (column ``prefix``) that each distinct path begins with, for paths that have one.
+
+    A path is cut at every length that prefixes have, and the pieces meet the prefixes by equality. The lengths are no more than the longest
+    prefix has characters, whatever the number of prefixes.
+    """
+    listed = prefixes.select("prefix").filter(F.col("prefix").isNotNull()).distinct()
+    lengths = sorted(r[0] for r in listed.select(F.length("prefix")).distinct().collect())
+    if not lengths:
+        return files.select("path", F.lit(None).cast("string").alias("prefix")).limit(0)
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
+    pieces = files.select("path").distinct().select("path", F.explode(F.transform(
+        fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("prefix"))
+    return pieces.join(listed, "prefix", "left_semi").groupBy("path").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+
+
+def exclude_prefix_table(files: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Files whose path begins with none of a table of raw prefixes; rows without a path stay."""
+    return files.join(cut_lineage(longest_prefixes(files, prefixes).select("path")), "path", "left_anti").select(*files.columns)
+
+
+def exclude_glob_table(files: DataFrame, globs: DataFrame) -> DataFrame:
+    """Files whose path and name match none of a table of globs (column ``pattern``); globs meet texts on their rarest piece (``rule_index``)."""
+    rules = globs.filter(F.col("pattern").isNotNull()).select(F.struct(F.lit("glob").alias("type"), F.lower("pattern").alias("pattern")).alias("_match"))
+    texts = files.select(F.explode(F.array("path", "name")).alias("name")).filter(F.col("name").isNotNull()).distinct()
+    matched = cut_lineage(name_matches(cut_lineage(texts), rules).select("name").distinct())
+    kept = files.join(matched, "name", "left_anti")
+    return kept.join(matched.withColumnRenamed("name", "path"), "path", "left_anti").select(*files.columns)
+
+
 def exclude_globs(files: DataFrame, globs: list[str]) -> DataFrame:
     """Drop files whose path or name matches one of the globs."""
     return files.filter(~_any([glob_match("path", g) | glob_match("name", g) for g in globs]))

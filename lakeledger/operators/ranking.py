@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .slabs import earlier, in_slabs
@@ -34,7 +34,7 @@ def number_rows(
     return members.filter(F.col("n") <= per_bucket).withColumn(rank, near).unionByName(large)
 
 
-def dense_ids(rows: DataFrame, order: list[str], start: int = 0, name: str = "id") -> DataFrame:
+def dense_ids(rows: DataFrame, order: list[str | Column], start: int = 0, name: str = "id") -> DataFrame:
     """``rows`` with whole numbers from ``start`` in the given order, without gaps.
 
     The rows are range-partitioned, sorted and written once with their place in the partition; the sizes of the partitions before

@@ -125,6 +125,9 @@ plan AS (SELECT r.id, r.source,
          FROM req r LEFT JOIN sim s ON s.id = r.id)"""
 
 
+_ORGANIZED = _sequential(_requests("(SELECT * FROM catalog_v WHERE scan_session_id = 2 AND category IN ('Documents', 'Audio', 'Others'))", "'/org/' || category"))
+
+
 def _preview(where: str = "scan_session_id <> 3") -> str:
     return f"""
 {_requests("catalog_v", "'/org/' || category", where)},
@@ -246,6 +249,11 @@ FROM (SELECT *, regexp_replace(path, '/[^/]*$', '') AS d FROM files_v)"""),
     "not_below": _q("files_v", """SELECT id, path FROM files_v f WHERE name <> 'doc_03.py' AND NOT EXISTS (SELECT 1 FROM dirs WHERE starts_with(f.path, d || '/'))""",
                     "dirs AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS d FROM files_v WHERE extension = '.exe')"),
     "exclude_prefixes": _q("places_v", "SELECT * FROM places_v WHERE NOT starts_with(path, '/etc') AND NOT starts_with(path, '/home/etc/1-URGENT')"),
+    "exclude_prefix_table": _q("files_v prefixes_v", "SELECT id, path, name FROM files_v f WHERE NOT EXISTS (SELECT 1 FROM prefixes_v p WHERE starts_with(f.path, p.prefix))"),
+    "longest_prefixes": _q("files_v prefixes_v", """SELECT path, max_by(prefix, length(prefix)) AS prefix FROM files_v f
+JOIN (SELECT DISTINCT prefix FROM prefixes_v) p ON starts_with(f.path, p.prefix) GROUP BY path"""),
+    "exclude_glob_table": _q("files_v prefixes_v", """SELECT id, path, name FROM files_v f WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(pattern) AS g FROM prefixes_v)
+ WHERE lower(f.path) GLOB g OR lower(f.name) GLOB g)"""),
     "exclude_globs": _q("files_v", r"""SELECT id, path, name FROM files_v WHERE NOT regexp_matches(name, '(?i)^(.*\.xyz|doc_0[0-3].*|tax_20.4\..*)$')
  AND NOT regexp_matches(path, '(?i)^(.*\.xyz|.*/src1/.*)$')"""),
     "classify_default": _q("files_v", """SELECT f.id, f.name, coalesce(e.cat, 'Others') AS category FROM files_v f
@@ -293,7 +301,8 @@ FROM f LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pri
  CASE WHEN length(category) < 1 OR length(category) > 64 THEN 'category must have 1 to 64 characters' END,
  CASE WHEN length(target_folder) < 1 THEN 'target_folder must not be empty' END,
  CASE WHEN priority < 0 OR priority > 1000 THEN 'priority must be between 0 and 1000' END) AS reasons FROM part_rules_v)"""),
-    "list_rules": _q("part_rules_v", "SELECT id, name, match_type, priority, enabled FROM part_rules_v ORDER BY priority DESC, id"),
+    "list_rules": _q("part_rules_v", """SELECT id, name, pattern, match_type, category, target_folder, priority, enabled, CAST(1.6e9 AS DOUBLE) AS created_at,
+ row_number() OVER (ORDER BY priority DESC, id) AS position FROM part_rules_v"""),
     "apply_changes": _q("catalog_v", """SELECT id, CASE WHEN survives THEN name ELSE 'unnamed' END AS name,
  coalesce(CASE WHEN size_seq > since THEN new_size END, CASE WHEN survives THEN size END) AS size,
  coalesce(CASE WHEN cat_seq > since THEN new_cat END, CASE WHEN survives THEN category ELSE 'Others' END) AS category
@@ -336,7 +345,7 @@ FROM (SELECT o, n, n.path IS NOT NULL AND (o.path IS NULL OR o.size <> n.size OR
  (SELECT count(DISTINCT a) FROM (SELECT unnest(list_transform(range(2, len(s) + 1), lambda i: array_to_string(s[1:i], '/'))) AS a
     FROM (SELECT DISTINCT string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS s FROM every WHERE NOT bad))) AS total_dirs FROM every""",
         f"""every AS (SELECT *, {_under('path', PROTECTED_UNIX)} AS bad FROM (SELECT path, size FROM files_v UNION ALL SELECT path, size FROM places_v))"""),
-    "list_sessions": _q("sessions_v", "SELECT * FROM sessions_v ORDER BY id DESC"),
+    "list_sessions": _q("sessions_v", "SELECT *, row_number() OVER (ORDER BY id DESC) AS position FROM sessions_v"),
     "latest_session": _q("sessions_v", "SELECT * FROM sessions_v WHERE id = (SELECT max(id) FROM sessions_v)"),
     "session_durations": _q("sessions_v", """SELECT id, completed_at - started_at AS duration,
  round(CASE WHEN completed_at > started_at THEN total_files / (completed_at - started_at) ELSE 0 END, 9) AS files_per_second FROM sessions_v"""),
@@ -348,6 +357,10 @@ FROM files_v f JOIN sessions_v s ON s.id = f.scan_session_id"""),
                                    "scan_session_id = 2", "size DESC NULLS LAST, id", 200)),
     "browse_search": _q("catalog_v", _top("id, name", "scan_session_id = 1 AND (name ILIKE '%INVOICE_0_%' OR path ILIKE '%INVOICE_0_%')",
                                           "name NULLS FIRST, id", 500, 3)),
+    "search_index": _q("catalog_v", """SELECT term, id, name FROM catalog_v, (VALUES (' INVOICE_0_ ', '%INVOICE_0_%'), ('src1%.TXT', '%src1%.TXT%'), ('_(1)', '%!_(1)%'), ('f', '%f%')) t(term, p)
+WHERE scan_session_id = 1 AND (name ILIKE p ESCAPE '!' OR path ILIKE p ESCAPE '!')"""),
+    "browse_deep": _q("order_files_v", """SELECT id, name, CAST(1 AS BIGINT) AS scan_session_id FROM order_files_v WHERE id % 2 = 1
+ORDER BY name DESC NULLS LAST, id LIMIT 200 OFFSET 6000"""),
     "browse_category": _q("catalog_v", _top("id, path", "scan_session_id = 3 AND category = 'Documents'", "last_modified NULLS FIRST, id", 200)),
     "browse_page": _q("catalog_v", """SELECT id, path FROM (SELECT id, path, row_number() OVER (ORDER BY path NULLS FIRST, id) - 1 AS pos, count(*) OVER () AS n
 FROM catalog_v WHERE scan_session_id = 1) WHERE pos // 50 = (n - 1) // 50"""),
@@ -379,12 +392,16 @@ FROM files_v WHERE size > 1024 GROUP BY size HAVING count(*) > 1"""),
  count(*) FILTER (was_renamed) AS renamed FROM plan""", _sequential(_requests("catalog_v", "'/org/' || category", "scan_session_id <> 3")), True),
     "move_log": _q("catalog_v existing_v", _LOG, _preview()),
     "move_log_dry_run": _q("catalog_v existing_v", _LOG + " WHERE NOT success", _preview()),
+    "organize_logs": _q("catalog_v existing_v", """SELECT source AS old_path, destination AS new_path, 'move' AS operation, 'success' AS status, CAST(1.7e9 AS DOUBLE) AS timestamp,
+ CAST(2 AS BIGINT) AS session_id, error AS error_message, source AS original_path, true AS can_undo, CAST(NULL AS DOUBLE) AS undone_at FROM plan""", _ORGANIZED, True),
+    "organize_undone": _q("catalog_v existing_v", """SELECT id, path, name, CASE WHEN scan_session_id = 2 AND category IN ('Documents', 'Audio', 'Others') THEN CAST(1.8e9 AS DOUBLE) END AS undone_at
+FROM catalog_v"""),
     "organize_session": _q("catalog_v existing_v", """SELECT c.id, coalesce(p.destination, c.path) AS path, coalesce(regexp_extract(p.destination, '([^/]*)$', 1), c.name) AS name, c.scan_session_id
 FROM catalog_v c LEFT JOIN plan p ON p.id = c.id""",
-                           _sequential(_requests("(SELECT * FROM catalog_v WHERE scan_session_id = 2 AND category IN ('Documents', 'Audio', 'Others'))",
-                                                 "'/org/' || category")), True),
+                           _ORGANIZED, True),
     "undo_rows": _q("catalog_v existing_v", """SELECT id, id AS log_id, source AS original_path, true AS can_undo, CAST(NULL AS DOUBLE) AS undone_at FROM plan WHERE success""", _preview()),
-    "list_logs": _q("logs_v", "SELECT * FROM logs_v WHERE status = 'failed' ORDER BY timestamp DESC, id LIMIT 100 OFFSET 20"),
+    "list_logs": _q("logs_v", """SELECT *, old_path AS error_message, row_number() OVER (ORDER BY timestamp DESC, id) AS position
+FROM (SELECT * FROM logs_v WHERE status = 'failed' ORDER BY timestamp DESC, id LIMIT 100 OFFSET 20)"""),
     "log_counts": _q("logs_v", "SELECT status, count(*) AS n_logs FROM logs_v GROUP BY status UNION ALL SELECT 'all', count(*) FROM logs_v"),
     "drop_logs": _q("logs_v undo_v", "SELECT u.* FROM undo_v u JOIN logs_v l ON l.id = u.log_id WHERE l.session_id <> 2"),
     "verify_copies": _q("catalog_v existing_v", """SELECT p.id, s.hash AS source_hash, t.hash AS target_hash, coalesce(s.hash = t.hash, false) AS verified

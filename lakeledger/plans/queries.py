@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import paths as P, scalars as S
-from ..operators import browse as B, catalog as C, classify as K, dedup as D, filters as X, logs as L, organize as O
+from ..operators import browse as B, catalog as C, classify as K, dedup as D, filters as X, indexes as I, logs as L, organize as O
 from ..operators import rules as R, stats as A, undo as U
-from ..schemas import FILE_RESPONSE
+from ..operators.ranking import dense_ids
+from ..schemas import FILE_RESPONSE, LOG_RESPONSE, RULE_RESPONSE, respond
 from ..session import apply_settings, checkpoint_folder, cut_lineage
 from ..sources import events as V, versions as T
 from ..streaming import changes as G, debounce as E
@@ -39,6 +41,11 @@ def _hashed(spark, sf):
     return D.with_hashes(files)
 
 
+def _placed(rows, *order):
+    """Sorted rows with their place in the order, as readers compare tables as sets."""
+    return dense_ids(rows, list(order), 1, "position")
+
+
 # ---- records, paths, scalars
 
 
@@ -124,6 +131,23 @@ def exclude_prefixes(spark, sf):
     return X.exclude_prefixes(view(spark, sf, "places_v"), ["/etc", "/home/etc/1-URGENT"])
 
 
+@query
+def exclude_prefix_table(spark, sf):
+    files = view(spark, sf, "files_v").select("id", "path", "name")
+    return X.exclude_prefix_table(files, view(spark, sf, "prefixes_v"))
+
+
+@query
+def longest_prefixes(spark, sf):
+    return X.longest_prefixes(view(spark, sf, "files_v"), view(spark, sf, "prefixes_v"))
+
+
+@query
+def exclude_glob_table(spark, sf):
+    files = view(spark, sf, "files_v").select("id", "path", "name")
+    return X.exclude_glob_table(files, view(spark, sf, "prefixes_v"))
+
+
 @query
 def exclude_globs(spark, sf):
     files = view(spark, sf, "files_v").select("id", "path", "name")
@@ -231,7 +255,8 @@ def rejected_rules(spark, sf):
 
 @query
 def list_rules(spark, sf):
-    return R.list_rules(view(spark, sf, "part_rules_v")).select("id", "name", "match_type", "priority", "enabled")
+    rules = view(spark, sf, "part_rules_v").withColumn("created_at", F.lit(1.6e9))
+    return _placed(respond(R.list_rules(rules), RULE_RESPONSE), F.desc("priority"), F.asc("id"))
 
 
 @query
@@ -339,7 +364,7 @@ def scan_stats(spark, sf):
 
 @query
 def list_sessions(spark, sf):
-    return C.list_sessions(view(spark, sf, "sessions_v"))
+    return _placed(C.list_sessions(view(spark, sf, "sessions_v")), F.desc("id"))
 
 
 @query
@@ -386,6 +411,26 @@ def browse_search(spark, sf):
     return B.browse(_catalog(spark, sf), 1, term=" INVOICE_0_ ", sort_by="name", limit=500, offset=3).select("id", "name")
 
 
+@query
+def search_index(spark, sf):
+    """``browse_search`` by postings; several terms, one too short for the index."""
+    files = _catalog(spark, sf)
+    index = I.SearchIndex(spark, f"{checkpoint_folder(spark)}/search-{uuid.uuid4().hex}", buckets=32)
+    index.build(files)
+    found = [index.search(B.in_session(files, 1), term, literal).select(F.lit(term).alias("term"), "id", "name")
+             for term, literal in ((" INVOICE_0_ ", False), ("src1%.TXT", False), ("_(1)", True), ("f", False))]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+@query
+def browse_deep(spark, sf):
+    """A page far into a sorted copy."""
+    files = view(spark, sf, "order_files_v").withColumn("scan_session_id", F.pmod("id", F.lit(2)).cast("bigint"))
+    index = I.RankIndex(spark, f"{checkpoint_folder(spark)}/rank-{uuid.uuid4().hex}", "name", descending=True)
+    index.build(files, 16)
+    return index.page(1, 6_000, 200)
+
+
 @query
 def browse_category(spark, sf):
     return B.browse(_catalog(spark, sf), 3, category="Documents", sort_by="last_modified").select("id", "path")
@@ -536,11 +581,31 @@ def move_log_dry_run(spark, sf):
     return O.move_log(plan, 1, 1.7e9, "id", dry_run=True)[0]
 
 
+def _organized(spark, sf):
+    return organize(view(spark, sf, "catalog_v"), 2, TARGET, view(spark, sf, "existing_v"),
+                    categories=["Documents", "Audio", "Others"], now=1.7e9)
+
+
 @query
 def organize_session(spark, sf):
-    done = organize(view(spark, sf, "catalog_v"), 2, TARGET, view(spark, sf, "existing_v"),
-                    categories=["Documents", "Audio", "Others"], now=1.7e9)
-    return done.files.select("id", "path", "name", "scan_session_id")
+    return _organized(spark, sf).files.select("id", "path", "name", "scan_session_id")
+
+
+@query
+def organize_logs(spark, sf):
+    """Logs of a run with the undo rows that belong to them; log ids differ from run to run."""
+    done = _organized(spark, sf)
+    undo = done.undo.select(F.col("log_id").alias("id"), "original_path", "can_undo", "undone_at")
+    return respond(done.logs, LOG_RESPONSE).join(undo, "id", "left").drop("id")
+
+
+@query
+def organize_undone(spark, sf):
+    """A run, and all of it undone: logs are marked, and the catalog names the places the files came from."""
+    done = _organized(spark, sf)
+    back = U.undo_moves(done.logs, done.undo, done.files.select("path"), 1.8e9, files=done.files)
+    marks = back.logs.filter("status = 'undone'").join(back.undo.filter("NOT can_undo").select(F.col("log_id").alias("id"), "undone_at"), "id")
+    return back.files.join(marks.select(F.col("old_path").alias("path"), "undone_at"), "path", "left").select("id", "path", "name", "undone_at")
 
 
 @query
@@ -554,7 +619,9 @@ def undo_rows(spark, sf):
 
 @query
 def list_logs(spark, sf):
-    return L.list_logs(view(spark, sf, "logs_v"), "failed", 100, 20)
+    logs = view(spark, sf, "logs_v").withColumn("error_message", F.col("old_path"))
+    page = respond(L.list_logs(logs, "failed", 100, 20), LOG_RESPONSE)      # a page, so one window may hold it
+    return page.withColumn("position", F.row_number().over(Window.orderBy(F.desc("timestamp"), F.asc("id"))).cast("bigint"))
 
 
 @query

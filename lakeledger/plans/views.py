@@ -78,6 +78,13 @@ SELECT l_orderkey * 8 + l_linenumber AS id, concat('rule ', CAST(l_partkey AS ST
        concat('C', CAST(l_partkey % 100 AS STRING)) AS category, concat('F/', CAST(l_suppkey AS STRING)) AS target_folder,
        CAST(CASE WHEN l_linenumber % 6 = 0 THEN l_suppkey % 5 ELSE l_partkey % 900 END AS INT) AS priority, l_tax < 0.07 AS enabled
 FROM lineitem"""),
+    # prefixes and globs of paths, as many as parts
+    "prefixes_v": (["part"], """
+SELECT concat('/data/src', CAST(p_partkey % 20 AS STRING), CASE p_size % 3 WHEN 0 THEN '/d' WHEN 1 THEN concat('/en/b', CAST(p_size % 4 AS STRING))
+              ELSE concat('/', lower(p_brand), CAST(p_partkey AS STRING)) END) AS prefix,
+       concat('*/src', CAST(p_partkey % 20 AS STRING), CASE p_size % 3 WHEN 0 THEN '/fr/*_0?.*' WHEN 1 THEN concat('/[a-e]?/b', CAST(p_size % 4 AS STRING), '*')
+              ELSE concat('/*', lower(p_brand), CAST(p_partkey AS STRING)) END) AS pattern
+FROM part WHERE p_partkey % 5 = p_size % 5"""),
     # logs of which several name one file, whose files claim one original path
     "shared_logs_v": (["orders"], """
 SELECT o_orderkey AS id, concat('/in/', CAST(CAST(floor(o_custkey / 3) AS BIGINT) AS STRING), '/c.txt') AS old_path,
