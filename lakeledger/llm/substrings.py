@@ -4,8 +4,9 @@ A window is 50 consecutive words of one text. First every window of the corpus i
 its own windows, segments of the sketch merge what the batches counted, and cells saturate at two, which is all that is
 asked of them. The sketch never underestimates. In a second pass only windows whose cells all say "twice or more" are grouped exactly, by
 96-bit hashes in shards of the hash space, so a repeated window is never lost and one that is not costs
-nothing but its place in that shuffle. Each occurrence learns whether the window also starts in a document with a smaller id;
-the third pass removes the words that such windows cover.
+nothing but its place in that shuffle. A block of documents sends each window once, with the smallest id that has it there, so a passage that
+very many documents share is a row per block. It learns whether another block has the window with a smaller id;
+the third pass removes the words that windows of later documents cover. The number of shards follows the bytes of the texts.
 
 The merged sketch has ``DEPTH`` rows of ``2 ** WIDTH_BITS`` cells, one bit each, whatever the size of the corpus: that bounds what is
 broadcast (64 MB). With many more windows than cells ever more windows pass the filter and the second pass does more
@@ -32,6 +33,7 @@ from .texts import WORD, chunks, documents_of, hash_spans, word_bounds
 WINDOW = 50
 DEPTH = 2
 WIDTH_BITS = 28
+SHARD_BYTES = 32 << 20      # of text whose repeated windows one task compares at most
 _LAST = np.iinfo(np.int64).max
 
 
@@ -127,30 +129,37 @@ def _sketch(name: str, shared, depth: int, bits: int, segments: int) -> Sketch:
     return _READY[name]
 
 
-def _flagged(sketch: Sketch, data: np.ndarray, offsets: np.ndarray, size: int):
-    """The windows that the sketch lets through, by hash, and by place where hashes are equal."""
-    one, two, at, doc = windows(data, offsets, size)
-    kept = np.flatnonzero(sketch.repeated(one, two))
-    kept = kept[np.argsort(one[kept], kind="stable")]
-    return one[kept], two[kept], at[kept], doc[kept]
+class Flagged:
+    """The windows of a block that the sketch lets through, those of equal hashes as one, in the order of the hashes."""
+
+    def __init__(self, sketch: Sketch, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, size: int):
+        one, two, at, doc = windows(data, offsets, size)
+        kept = np.flatnonzero(sketch.repeated(one, two))
+        kept = kept[np.lexsort((ids[doc[kept]], two[kept], one[kept]))]
+        one, two, self.at, self.doc = one[kept], two[kept], at[kept], doc[kept]
+        new = np.ones(len(one), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        head = np.flatnonzero(new)
+        # the first of a window has the smallest id in this block
+        self.one, self.two, self.first_doc, self.group = one[head], two[head], self.doc[head], np.cumsum(new) - 1
 
 
 def _asked(batches: Iterable[pa.RecordBatch], sketch: Sketch, size: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Per block and shard every window once, with the smallest id that has it in the block."""
     edges = shard_edges(shards)
     for block, rows, data, offsets in blocks(batches, "_text"):
-        one, two, _, doc = _flagged(sketch, data, offsets, size)
+        ids = np.asarray(rows.column(0).fill_null(_LAST))
+        found = Flagged(sketch, data, offsets, ids, size)
+        one = found.one
         if not len(one):
             continue
-        ids = np.asarray(rows.column(0).fill_null(_LAST))
-        # a document's number in the block, and the ids of those that have windows here
-        used, doc = np.unique(doc, return_inverse=True)
         cut = [*np.searchsorted(one, edges).tolist(), len(one)]
         out = [(p, slice(cut[p], cut[p + 1])) for p in range(shards) if cut[p] < cut[p + 1]]
         columns = []
         for p, s in out:
-            here, number = np.unique(doc[s], return_inverse=True)
-            columns.append((p, steps(one[s], int(edges[p])), planes((two[s] >> np.uint64(32)).astype(np.uint32)),
-                            planes(number.astype(np.uint32)), planes(ids[used[here]])))
+            here, number = np.unique(found.first_doc[s], return_inverse=True)
+            columns.append((p, steps(one[s], int(edges[p])), planes((found.two[s] >> np.uint64(32)).astype(np.uint32)),
+                            planes(number.astype(np.uint32)), planes(ids[here])))
         yield pa.RecordBatch.from_arrays(
             [pa.array([c[0] for c in columns], pa.int32()), pa.array([block] * len(columns), pa.int64()),
              *[pa.array([c[i] for c in columns], pa.binary()) for i in (1, 2, 3, 4)]],
@@ -158,7 +167,7 @@ def _asked(batches: Iterable[pa.RecordBatch], sketch: Sketch, size: int, shards:
 
 
 def _answers(shards: int):
-    """Per block a bit for each window asked about: whether it also starts in a document with a smaller id."""
+    """Per block a bit for each window asked about: whether a document of another block has it with a smaller id than all of this block."""
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         base = int(shard_edges(shards)[shard])
@@ -200,7 +209,9 @@ def _removed(shared, name: str, size: int, depth: int, bits: int, segments: int,
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         text = block.column("texts")[0].as_py()
         data = np.frombuffer(text, np.uint8)
-        one, _, at, _ = _flagged(sketch, data, offsets, size)
+        ids = np.asarray(keys.fill_null(_LAST))
+        found = Flagged(sketch, data, offsets, ids, size)
+        one, at = found.one, found.at
         cut = [*np.searchsorted(one, shard_edges(shards)).tolist(), len(one)]
         later = np.zeros(len(one), bool)
         told = 0
@@ -210,6 +221,8 @@ def _removed(shared, name: str, size: int, depth: int, bits: int, segments: int,
             told += n
         if told != len(one):
             raise ValueError("the documents were not read in the same blocks twice")
+        # later than another block, or than a document of this one
+        later = later[found.group] | (ids[found.doc] > ids[found.first_doc][found.group])
         _, _, first = word_bounds(data, offsets, WORD)
         change = np.zeros(int(first[-1]) + 1, np.int64)
         np.add.at(change, at[later], 1)
@@ -233,8 +246,9 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                     width_bits: int = WIDTH_BITS) -> DataFrame:
     """(key, n_words, n_removed, kept) per row: ``kept`` are the UTF-8 bytes of the remaining words joined by spaces. Keys are integers."""
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(key).cast("bigint"), F.col(text).alias("_text"))
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
     counted = texts.select("_text").mapInArrow(
         lambda batches: _sketched(batches, window, depth, width_bits, shards), "segment int, cells binary")
     parts = counted.groupBy("segment").applyInArrow(_merged(width_bits, shards), "segment int, bits binary").collect()

@@ -206,6 +206,32 @@ def test_substrings(spark, folder, bits):
     assert got[8].n_removed == 60_000 and got[13].n_removed == 70
 
 
+def test_a_passage_of_very_many_documents_is_sent_once_per_block(spark, monkeypatch):
+    """Copies within and across blocks, ids in any order, repeated and null ids."""
+    import numpy as np
+    from lakeledger.session import cut_lineage
+
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 20_000)
+    r = random.Random(8)
+    passage = " ".join(f"p{j}" for j in range(55))
+    ids = r.sample(range(10_000), 300)
+    rows = [(i, f"a{n} b{n} {passage} c{n}") for n, i in enumerate(ids)]
+    got = substrings.remove_repeated(cut_lineage(spark.createDataFrame(rows, DOCUMENTS).repartition(6))).collect()
+    expected = {i: (n, removed, kept) for i, n, removed, kept in repeated_removed(rows)}
+    assert {x.doc_id: (x.n_words, x.n_removed, bytes(x.kept)) for x in got} == expected
+    data = [t.encode() for _, t in rows]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+
+    class Everything:
+        def repeated(self, one, two):
+            return np.ones(len(one), bool)
+
+    found = substrings.Flagged(Everything(), np.frombuffer(b"".join(data), np.uint8), offsets, np.array(ids), 50)
+    assert len(found.one) < len(found.at) - 1500 and (np.array(ids)[found.first_doc][found.group] <= np.array(ids)[found.doc]).all()
+    twice = spark.createDataFrame([(1, passage), (1, passage), (None, passage), (None, passage)], DOCUMENTS)
+    assert sorted((x.doc_id or 0, x.n_removed) for x in substrings.remove_repeated(cut_lineage(twice)).collect()) == [(0, 55), (0, 55), (1, 0), (1, 0)]
+
+
 def test_sketch_never_underestimates():
     import numpy as np
     one = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
