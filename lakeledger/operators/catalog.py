@@ -140,7 +140,7 @@ def scan_changes(catalog: DataFrame, compared: DataFrame, session_id: int, now:
 def _merge(new: DataFrame, catalog: DataFrame, written: Column, now: Column | None) -> DataFrame:
     """Full outer join on path; ``written`` says which incoming rows overwrite."""
     if "id" in catalog.columns and "id" not in new.columns:
-        new = give_ids(cut_lineage(new), catalog)
+        new = cut_lineage(give_ids(new, catalog))
     incoming = new.select("path", *[F.col(c).alias(f"_new_{c}") for c in [*RECORD, "scan_session_id"]],
                           *([F.col("id").alias("_new_id")] if "id" in new.columns else []),
                           F.lit(True).alias("_new"))
