@@ -21,7 +21,7 @@ from ..constants import (
 from ..functions.paths import extension as extension_of
 from ..functions.patterns import glob_match, regex_match
 from .rule_index import all_matches, best_rules
-from .rules import RuleSet, few_rules, load_rules
+from .rules import RuleSet, load_few_rules, load_rules
 
 
 def category_of(extension: Column | str) -> Column:
@@ -150,6 +150,15 @@ def _split(ruleset: RuleSet, form: str) -> tuple[list[tuple[int, Row]], list[tup
     return [x for x, p in zip(numbered, python) if not p], [x for x, p in zip(numbered, python) if p]
 
 
+def _ruleset(rules: DataFrame | RuleSet, form: str, streaming: bool) -> RuleSet | None:
+    """Rules to fold into a projection; None for a table of rules that is joined."""
+    if isinstance(rules, RuleSet):
+        return rules
+    if form == "table":
+        return None
+    return load_few_rules(rules) if form == "auto" and not streaming else load_rules(rules)
+
+
 def classify(
     files: DataFrame,
     rules: DataFrame | RuleSet,
@@ -166,14 +175,13 @@ def classify(
     """
     if "extension" not in files.columns:
         files = files.withColumn("extension", extension_of("name"))
-    as_table = form == "table" or (form == "auto" and not isinstance(rules, RuleSet) and not files.isStreaming and not few_rules(rules))
-    if as_table:
+    ruleset = _ruleset(rules, form, files.isStreaming)
+    if ruleset is None:
         placed = best_rules(files, rules).withColumnRenamed("_best", "_rule")
 
         def of_rule(field: str) -> Column:
             return F.col("_rule")[field]
     else:
-        ruleset = rules if isinstance(rules, RuleSet) else load_rules(rules)
         folded, python = _split(ruleset, form)
         placed = files.withColumn("_rule", _folded_position(folded))
         if python:
@@ -209,9 +217,9 @@ def classify(
 
 def rule_matches(files: DataFrame, rules: DataFrame | RuleSet, form: str = "auto") -> DataFrame:
     """One row per file and matching rule (all of them); up to ``FOLDED_RULES`` rules map-side without a join."""
-    if form == "table" or (form == "auto" and not isinstance(rules, RuleSet) and not few_rules(rules)):
+    ruleset = _ruleset(rules, form, False)
+    if ruleset is None:
         return all_matches(files if "extension" in files.columns else files.withColumn("extension", extension_of("name")), rules)
-    ruleset = rules if isinstance(rules, RuleSet) else load_rules(rules)
     active = ruleset.active
     if not active:
         nothing = "CAST(NULL AS BIGINT) rule_id, CAST(NULL AS INT) priority, CAST(NULL AS STRING) rule_name, " \

@@ -51,21 +51,25 @@ class RuleSet:
 FOLDED_RULES = 1_000    # enabled rules that a projection tests; more are joined as a table (``rule_index``)
 
 
-def few_rules(rules: DataFrame) -> bool:
-    return rules.filter(F.col("enabled")).limit(FOLDED_RULES + 1).count() <= FOLDED_RULES
-
-
 def load_rules(rules: DataFrame) -> RuleSet:
     """Bring up to ``FOLDED_RULES`` enabled rules to the driver: a configuration that every row is tested against.
 
     Broken regular expressions never match, so they are set aside before a job could fail on them.
     """
+    found = load_few_rules(rules)
+    if found is None:
+        raise ValueError(f"more than {FOLDED_RULES} enabled rules: give the table to classify, rule_matches or rule_hits")
+    return found
+
+
+def load_few_rules(rules: DataFrame) -> RuleSet | None:
+    """The same, None where there are more rules."""
     wanted = rules.filter(F.col("enabled")).select(
         "id", "name", "pattern", "match_type", "category", "target_folder", "priority"
     )
     rows = wanted.limit(FOLDED_RULES + 1).collect()
     if len(rows) > FOLDED_RULES:
-        raise ValueError(f"more than {FOLDED_RULES} enabled rules: give the table to classify, rule_matches or rule_hits")
+        return None
     rows.sort(key=lambda r: (-(r["priority"] or 0), r["id"]))
     broken, active, python_only = [], [], set()
     for row in rows:
