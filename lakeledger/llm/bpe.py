@@ -5,7 +5,8 @@ words say which buckets have entries; find-first-set picks the lowest rank. A me
 which are recognised (the pair at that position has another rank now) and skipped. A pre-token of n bytes costs
 O(n log n) however long it is.
 
-Null and empty texts have no tokens; the rows of a repeated document are encoded one by one.
+Null and empty texts have no tokens; the rows of a repeated document are encoded one by one. An empty table gives an empty one; columns other than key and text are not looked at, so
+their names cannot clash.
 """
 
 from __future__ import annotations

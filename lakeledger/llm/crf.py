@@ -12,7 +12,8 @@ The field is fitted on the driver on a bounded sample: ``PER_CLASS`` documents o
 ``SAMPLE_LINES`` lines. Scoring covers every line of every text and stays on the map side.
 
 Null and empty texts, and texts of white space, have no line that could be good: score 0. Every row is scored
-by itself. With no usable labels of one of the classes every other text scores 0.5.
+by itself. With no usable labels of one of the classes every other text scores 0.5. An empty table gives an empty one. Columns other than those named are
+not looked at, and ``keep_good`` carries them along. A very long text is a chunk of its own.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ several passes over the documents whose hits are put together per row.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters, compared by 64-bit hashes of every word. Null texts and
 items have no words; items with a null id are left out. An item row that repeats an id adds its windows to that item.
-Rows of documents are judged one by one.
+Rows of documents are judged one by one. Empty tables on either side are taken. ``find`` looks at key and text only, ``clean`` carries all
+columns along. A very long text is a shard of its own.
 """
 
 from __future__ import annotations

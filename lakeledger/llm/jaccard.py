@@ -15,7 +15,9 @@ pair's overlap is the sum of what its fragments share.
 5. Overlaps are counted fragment by fragment and summed per pair.
 
 Null texts, empty texts and texts without words have no set and are linked with nothing. Of rows that share a key the one with the
-smallest set (then fingerprint) counts; the result has one row per key.
+smallest set (then fingerprint) counts; the result has one row per key. Rows without a key are one document without a name: it joins
+a class only by an equal set. The result is classes, not links. An empty table gives an empty one; other columns are not looked at, and
+``keep_one`` carries them along. A very long text is a chunk of its own.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ strictest certified candidate is used; a stratum with too few labels to certify
 
 Null and empty texts have no words and fail the base rules. A row is judged by itself: a repeated document is judged
 each time, and rows of the labels that repeat a document count once (the best label). A null stratum is
-a stratum of its own.
+a stratum of its own. Empty tables on either side are taken; columns other than those named are not looked at. Texts of
+any length are judged whole.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ reading the rule backwards from its end.
 A rule is accepted when that one pass is enough: a match, once complete, may only grow byte by byte, and no attempt
 that began earlier may still be open. Other rules raise ``ValueError`` when compiled.
 
-Null and empty texts have no spans. Positions are code points, ends exclusive.
+Null and empty texts have no spans. Positions are code points, ends exclusive. Every row is scanned by itself, a repeated one too. An empty table gives
+an empty one; ``redact`` carries all columns along. A very long text is read once like any other, in the memory of the text.
 """
 
 from __future__ import annotations

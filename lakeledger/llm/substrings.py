@@ -13,7 +13,8 @@ broadcast (64 MB). With many more windows than cells ever more windows pass the
 of the work, with the same result; a cluster with large executors should widen it.
 
 Null texts have no words. Rows that share an id are no smaller than each other and keep what they share; a null id counts as the
-largest. ``docs`` must read the same twice (a table, not a random sample).
+largest. ``docs`` must read the same twice (a table, not a random sample). An empty table gives an empty one. Columns other than key and text
+are not looked at. A very long text is a block of its own.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ the lexicon, one for the trees and one for the calibration. Document frequencies
 rows are fitted on the driver. Scoring covers every whole text and stays on the map side.
 
 Null and empty texts score like a text without any word; every row is scored by itself. With no usable labels of one
-of the classes every text scores the share of toxic labels (0 without labels).
+of the classes every text scores the share of toxic labels (0 without labels). An empty table gives an empty one; columns other than those named are not looked
+at. A very long text is a chunk of its own.
 """
 
 from __future__ import annotations

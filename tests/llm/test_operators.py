@@ -405,6 +405,13 @@ def test_repeated_rows_are_scored_each(spark, folder):
     assert backoff.score(docs, F.lit(True)).count() == 4
     assert decontaminate.find(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 4
     assert crf.score(docs, None).agg(F.sum("score")).first()[0] == 1.5
+    coded = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert sorted(bytes(r.decoded) for r in coded) == [b"", b"a b c", b"a b c", b"d"]
+    keys = spark.createDataFrame([(1, "token=abcdef"), (1, "token=abcdef"), (None, "token=abcdef")], DOCUMENTS)
+    assert [len(r.spans) for r in secrets.scan(keys).collect()] == [1, 1, 1]
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    scores = toxicity.score(docs, toxicity.fit(docs, labels, F.lit(True))).collect()
+    assert len(scores) == 4 and len({r.score for r in scores if r.doc_id == 1}) == 1
     assert quality_rules.judge(docs.withColumn("lang", F.lit(None).cast("string")),
                                spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 4
 
