@@ -227,3 +227,18 @@ def test_a_pattern_with_a_piece_no_name_has_is_never_tested(spark):
 def test_quarantine_is_a_filter_of_the_table(spark):
     table = table_of(spark, PATTERNS)
     assert sorted(r["pattern"] for r in R.quarantined_rules(table).collect()) == ["(unclosed", "[[:x"]
+
+
+def test_names_meet_patterns_on_whole_runs(spark):
+    """Pairs to test follow what matches, not names times patterns: three letters of a number are in many names, the whole number in one."""
+    from lakeledger.operators import rule_index as I
+
+    assert I.describe_pattern("glob", "*-123456.?*", I.LONGEST)[2] == ["-123456."]
+    assert I.describe_pattern("glob", "*" + "ab" * 20 + "*", I.LONGEST)[2] == ["ab" * 16, "ba" * 16]
+    names = spark.range(100000, 101000).selectExpr("concat('Cust-', id, '.low') AS name")
+    asked = spark.range(100000, 101000).selectExpr("concat('-', id, '.') AS key").unionByName(spark.createDataFrame([("",), ("w",), ("gone",)], "key STRING"))
+    met = I._met_keys(names, asked).groupBy(F.length("key")).count().collect()
+    assert {tuple(r) for r in met} == {(8, 1000), (0, 1000), (1, 1000)}
+    twice = spark.createDataFrame([("abcabc",), ("",)], "name STRING")
+    held = I._met_keys(twice, spark.createDataFrame([("abc",), ("b",), ("",), ("ca",), ("abcabcd",)], "key STRING")).collect()
+    assert sorted(map(tuple, held)) == sorted([("abc", "abcabc"), ("b", "abcabc"), ("", "abcabc"), ("ca", "abcabc"), ("", "")])
