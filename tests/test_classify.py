@@ -242,3 +242,16 @@ def test_names_meet_patterns_on_whole_runs(spark):
     twice = spark.createDataFrame([("abcabc",), ("",)], "name STRING")
     held = I._met_keys(twice, spark.createDataFrame([("abc",), ("b",), ("",), ("ca",), ("abcabcd",)], "key STRING")).collect()
     assert sorted(map(tuple, held)) == sorted([("abc", "abcabc"), ("b", "abcabc"), ("", "abcabc"), ("ca", "abcabc"), ("", "")])
+
+
+def test_counted_hits_make_no_row_per_file_and_rule(spark):
+    table = table_of(spark, [*PATTERNS, *[("extension", ".TXT")] * 5, *[("glob", "*a*")] * 5])
+    table = table.unionByName(table.filter("id < 3"))            # rows that come twice
+    df = files(spark, *NAMES, *NAMES[:5], "a.txt", "a.txt", None)
+    found = K.rule_matches(df, table, "table")
+    expected = found.groupBy("rule_id", "rule_name").agg(F.count(F.lit(1)).alias("n_files"))
+    assert sorted(map(tuple, K.rule_hits(df, table, "table").collect())) == sorted(map(tuple, expected.collect()))
+    counted = K.rule_matches(df, table, "table", counted=True)
+    assert "name" not in counted.columns and counted.count() <= table.count() < found.count()
+    once = table.dropDuplicates(["id"])
+    assert sorted(map(tuple, K.rule_hits(df, once).collect())) == sorted(map(tuple, K.rule_hits(df, once, "table").collect()))
