@@ -73,8 +73,12 @@ def with_bursts(condensed: DataFrame, keys: list[str], gap: int, slabs: int | No
 
 
 def _emitted(condensed: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    return _folded(*with_bursts(condensed, keys, gap), keys, gap)
+
+
+def _folded(rows: DataFrame, bounds: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """A row per path and burst, of what ``with_bursts`` gives."""
     path = [] if "path" in keys else ["path"]
-    rows, bounds = with_bursts(condensed, keys, gap)
     folded = rows.groupBy(*keys, *path, "session_start").agg(
         F.max_by("last", F.struct("last.ts", "last.event_id")).alias("last"), F.sum("n").alias("n_events"))
     return folded.join(bounds, [*keys, "session_start"]).select(
@@ -247,15 +251,16 @@ class DebounceSink:
                 F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"),
             )
         rows, bounds = with_bursts(condensed, ["root"], self.gap)
-        newest = rows.agg(F.max("high").alias("newest")).first()["newest"]
+        newest = bounds.agg(F.max("session_end").alias("newest")).first()["newest"]
         newest = max(t for t in (newest, newest_before, -(2**62)) if t is not None)
         watermark = newest - self.delay
         closed = F.col("session_end") + self.gap < watermark
-        burst = rows.join(bounds.withColumn("_closed", closed), ["root", "session_start"])
-        still_open = burst.filter(~F.col("_closed")).select(*condensed.columns)
+        open_bursts = bounds.filter(~closed).select("root", "session_start")
+        still_open = rows.join(open_bursts, ["root", "session_start"]).select(*condensed.columns)
         still_open.write.mode("overwrite").parquet(f"{self.state_dir}/pending/{batch_id}")
-        done = burst.filter("_closed").select(*condensed.columns)
-        _emitted(done, ["root"], self.gap).write.mode("overwrite").parquet(f"{self.out_dir}/batch={batch_id}")
+        # a closed burst is whole here: it goes out with the bounds found, and is not looked for again
+        done = _folded(rows, bounds.filter(closed), ["root"], self.gap)
+        done.write.mode("overwrite").parquet(f"{self.out_dir}/batch={batch_id}")
         clock = spark.range(1).select(F.lit(newest).cast("bigint").alias("newest"))
         clock.write.mode("overwrite").parquet(f"{self.state_dir}/clock/{batch_id}")
         self.last_batch = batch_id

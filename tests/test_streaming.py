@@ -169,6 +169,18 @@ def test_flush_and_late_events(spark, tmp_path):
     assert [r.path for r in sink.late_events(spark).collect()] == ["/a/late"]
 
 
+def test_sink_looks_for_bursts_once_a_batch(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(E, "with_bursts", lambda *a, found=E.with_bursts: seen.append(1) or found(*a))
+    df = noise(spark, 120, 5, 200)
+    sink = E.DebounceSink(str(tmp_path / "out"), str(tmp_path / "state"))
+    sink(df.filter(F.col("ts") < at(100)), 0)
+    sink(df.filter(F.col("ts") >= at(100)), 1)
+    assert len(seen) == 2
+    sink.flush(spark)
+    assert bursts_of(spark.read.parquet(str(tmp_path / "out"))) == bursts_of(E.debounce(df))
+
+
 CATALOG = "id BIGINT, path STRING, name STRING, extension STRING, size BIGINT, category STRING"
 
 
