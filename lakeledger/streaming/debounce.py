@@ -103,16 +103,20 @@ def debounce_by_path(events: DataFrame, gap_seconds: float = DEBOUNCE_SECONDS, g
     return _emitted(last_per_tick(events, keys, gap), keys, gap)
 
 
+BUCKETS = 4096      # groups of paths that share a call and a timer; more than there are state partitions
+
+
 class BurstTimers(StatefulProcessor):
-    """One timer per open burst of a path, as ``transformWithState`` runs it.
+    """The timers of a bucket of paths, as ``transformWithState`` runs it.
 
-    The state of a path is the list of its open bursts, nearly always one: events that arrive out of order within the watermark may
-    open an earlier one or join two. A burst goes out when the watermark passes its end and the gap.
+    The state of a bucket is the list of the open bursts of its paths, nearly always one of a path: events that arrive out of order within the
+    watermark may open an earlier one or join two. A burst goes out when the watermark passes its end and the gap. Every call to the state store
+    takes far longer than an event, so paths share them: a bucket reads and writes its list once per micro-batch and has one timer, at the earliest end.
     """
 
     STATE = T.StructType([T.StructField(n, t) for n, t in (
-        ("start", T.LongType()), ("end", T.LongType()), ("n", T.LongType()), ("kind", T.StringType()), ("dest_path", T.StringType()),
-        ("event_id", T.LongType()))])
+        ("root", T.StringType()), ("path", T.StringType()), ("start", T.LongType()), ("end", T.LongType()), ("n", T.LongType()),
+        ("kind", T.StringType()), ("dest_path", T.StringType()), ("event_id", T.LongType()))])
 
     def __init__(self, gap: int):
         self.gap = gap
@@ -123,39 +127,62 @@ class BurstTimers(StatefulProcessor):
 
     def _deadline(self, burst: tuple) -> int:
         """Milliseconds, in which timers count, rounded up."""
-        return -(-(burst[1] + self.gap) // 1000)
+        return -(-(burst[3] + self.gap) // 1000)
+
+    def _bursts(self) -> list[tuple]:
+        return [tuple(b) for b in self.open.get()] if self.open.exists() else []
+
+    def _keep(self, bursts: list[tuple]) -> int | None:
+        """Write what is open; the earliest deadline."""
+        if not bursts:
+            self.open.clear()
+            return None
+        self.open.put(bursts)
+        return min(map(self._deadline, bursts))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        before = [tuple(b) for b in self.open.get()] if self.open.exists() else []
-        bursts = list(before)
+        by_path: dict[tuple, list[tuple]] = {}
+        before = self._bursts()
+        for b in before:
+            by_path.setdefault(b[:2], []).append(b[2:])
+        events: dict[tuple, list[tuple]] = {}
         for row in rows:
-            own = (row["at"], row["at"], 1, row["kind"], row["dest_path"], row["event_id"])
-            near = [b for b in bursts if b[0] - self.gap <= own[0] <= b[1] + self.gap]
-            bursts = [b for b in bursts if b not in near]
-            for b in near:
+            at = row["at"]
+            events.setdefault((row["root"], row["path"]), []).append((at, at, 1, row["kind"], row["dest_path"], row["event_id"]))
+        for path, new in events.items():
+            by_path[path] = self._joined(by_path.get(path, []) + new)
+        first = min(map(self._deadline, before), default=None)
+        earliest = self._keep([(*path, *b) for path, bursts in by_path.items() for b in bursts])
+        if earliest != first:
+            if first is not None:
+                self.handle.deleteTimer(first)
+            self.handle.registerTimer(earliest)
+        return iter([])
+
+    def _joined(self, bursts: list[tuple]) -> list[tuple]:
+        """The bursts of a path, those joined that lie within the gap of each other."""
+        out: list[tuple] = []
+        for own in sorted(bursts, key=lambda x: x[0]):
+            b = out[-1] if out else None
+            if b is None or own[0] > b[1] + self.gap:
+                out.append(own)
+            else:
                 # the later one by time, then by id, tells kind and destination
                 last = max(own, b, key=lambda x: (x[1], x[5]))
-                own = (min(own[0], b[0]), max(own[1], b[1]), own[2] + b[2], *last[3:])
-            bursts.append(own)
-        self.open.put(sorted(bursts))
-        old, new = {self._deadline(b) for b in before}, {self._deadline(b) for b in bursts}
-        for at in old - new:
-            self.handle.deleteTimer(at)
-        for at in new - old:
-            self.handle.registerTimer(at)
-        return iter([])
+                out[-1] = (b[0], max(own[1], b[1]), own[2] + b[2], *last[3:])
+        return out
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        bursts = [tuple(b) for b in self.open.get()]
-        left = [b for b in bursts if self._deadline(b) > now]
-        if left:
-            self.open.put(left)
-        else:
-            self.open.clear()
-        for start, end, n, kind, dest, event_id in bursts:
-            if (start, end, n, kind, dest, event_id) not in left:
-                yield Row(root=key[0], path=key[1], kind=kind, dest_path=dest, event_id=event_id, n_events=n,
+        # what the watermark has passed goes out at once: no event that could join it is still let in
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        bursts = self._bursts()
+        earliest = self._keep([b for b in bursts if self._deadline(b) > now])
+        if earliest is not None:
+            self.handle.registerTimer(earliest)
+        for burst in bursts:
+            if self._deadline(burst) <= now:
+                root, path, start, end, n, kind, dest, event_id = burst
+                yield Row(root=root, path=path, kind=kind, dest_path=dest, event_id=event_id, n_events=n,
                           session_start=start, session_end=end, fires_at=end + self.gap)
 
     def close(self) -> None:
@@ -176,12 +203,13 @@ def end_of_input(spark: SparkSession) -> DataFrame:
 def debounce_by_path_stream(events: DataFrame, gap_seconds: float = DEBOUNCE_SECONDS, delay: str = "10 minutes") -> DataFrame:
     """Streaming debounce with a timer per path, rows like ``debounce_by_path``.
 
-    State is keyed by (root, path) and holds a path's open bursts. Events later than the watermark are dropped and counted (``late_rows``); at
+    State is keyed by a bucket of (root, path) and holds its paths' open bursts. Events later than the watermark are dropped and counted (``late_rows``); at
     the end of a feed ``end_of_input`` closes what is open. Needs a state store with timers (``with_timers``).
     """
     timed = _with_event_id(events).withWatermark("ts", delay)
     rows = timed.select("root", "path", "kind", "dest_path", "event_id", "ts", F.unix_micros("ts").alias("at"))
-    bursts = rows.groupBy("root", "path").transformWithState(
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("root", "path"), F.lit(BUCKETS)))
+    bursts = rows.groupBy("bucket").transformWithState(
         BurstTimers(_micros(gap_seconds)), outputStructType=BURST, outputMode="append", timeMode="eventTime")
     # the marker is a burst of no path
     return bursts.filter(F.col("kind") != END_OF_INPUT)

@@ -169,6 +169,68 @@ def test_flush_and_late_events(spark, tmp_path):
     assert [r.path for r in sink.late_events(spark).collect()] == ["/a/late"]
 
 
+class Store:
+    """A state store that counts the calls made to it."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], set(), 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.rows)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = list(rows)
+
+    def clear(self):
+        self.calls += 1
+        self.rows = []
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_paths_of_a_bucket_share_calls_to_the_state_store():
+    """Bursts of many paths go in by one list and out by one timer; what is open keeps a timer."""
+    from pyspark.sql import Row
+
+    store, timers = Store(), E.BurstTimers(2_000_000)
+    timers.init(store)
+    events = [Row(root="/w", path=f"/w/{i % 100}", kind="created", dest_path=None, event_id=i, at=i // 100 * 10_000_000) for i in range(1000)]
+    assert list(timers.handleInputRows((7,), iter(events), Clock(0))) == []
+    assert store.calls <= 4 and store.timers == {2000}
+    out = list(timers.handleExpiredTimer((7,), Clock(85_000), Clock(2000)))
+    assert len(out) == 900 and store.calls <= 8 and store.timers - {2000} == {92_000}
+    # an event joins the burst that is open, whose timer moves with it
+    list(timers.handleInputRows((7,), iter([Row(root="/w", path="/w/5", kind="deleted", dest_path=None, event_id=5000, at=91_000_000)]), Clock(85_000)))
+    out += list(timers.handleExpiredTimer((7,), Clock(95_000), Clock(92_000)))
+    assert len(out) == 1000 and sum(r["n_events"] for r in out) == 1001 and not store.rows
+    assert [(r["kind"], r["n_events"], r["fires_at"]) for r in out if r["event_id"] == 5000] == [("deleted", 2, 93_000_000)]
+
+
 def test_sink_looks_for_bursts_once_a_batch(spark, tmp_path, monkeypatch):
     seen = []
     monkeypatch.setattr(E, "with_bursts", lambda *a, found=E.with_bursts: seen.append(1) or found(*a))
