@@ -1,5 +1,9 @@
 """Rule classification: defaults, match types, priority, broken patterns, equal forms."""
 
+import fnmatch
+import os
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +259,87 @@ def test_counted_hits_make_no_row_per_file_and_rule(spark):
     assert "name" not in counted.columns and counted.count() <= table.count() < found.count()
     once = table.dropDuplicates(["id"])
     assert sorted(map(tuple, K.rule_hits(df, once).collect())) == sorted(map(tuple, K.rule_hits(df, once, "table").collect()))
+
+
+def test_pieces_of_names_begin_and_end_like_keys(spark):
+    """Of a name only those pieces meet patterns that begin, end and are as long as a key; digits alone made one for every length at every place."""
+    from lakeledger.operators import rule_index as I
+
+    names = spark.range(100000, 101000).selectExpr("concat('Cust', id, '-', id, '.low') AS name", "id AS other")
+    asked = spark.range(100000, 101000).selectExpr("concat(substr(CAST(id AS STRING), 1, 3 + id % 4), '-') AS key").distinct()
+    held = I._pieces(names, I._begins(asked), (0, 1))
+    assert held.columns == ["name", "other", "key"] and held.filter("key NOT LIKE '%-'").isEmpty()
+    assert held.count() <= 5000 and held.distinct().count() == held.count()
+    shares = [I._pieces(names, I._begins(asked), (p, 3)) for p in range(3)]
+    assert sorted(map(tuple, shares[0].union(shares[1]).union(shares[2]).collect())) == sorted(map(tuple, held.collect()))
+
+
+def test_passes_change_nothing(spark, monkeypatch):
+    from lakeledger.operators import rule_index as I
+
+    table = table_of(spark, [*PATTERNS, *[("extension", ".TXT")] * 5, *[("glob", "*a*")] * 5])
+    table = table.unionByName(table.filter("id < 3"))
+    df = files(spark, *NAMES, *NAMES[:5], "a.txt", "a.txt", None)
+    counted, best = K.rule_matches(df, table, "table", counted=True).collect(), K.classify(df, table, "table").collect()
+    every = K.rule_matches(df, table, "table").collect()
+    monkeypatch.setattr(I, "PASS_NAMES", 1)
+    assert sorted(map(str, K.rule_matches(df, table, "table", counted=True).collect())) == sorted(map(str, counted))
+    assert sorted(map(str, K.classify(df, table, "table").collect())) == sorted(map(str, best))
+    assert sorted(map(str, K.rule_matches(df, table, "table").collect())) == sorted(map(str, every))
+
+
+def test_the_jvm_tests_what_java_reads_alike(spark):
+    from lakeledger.operators import rule_index as I
+
+    assert I.describe_pattern("regex", "^cust0*7-[0-9]+[.](low|high)$")[3:] == ("(?iudU)^cust0*7-[0-9]+[.](low|high)$", "7-")
+    for kind, pattern in (("regex", r"\bab"), ("regex", "é.b"), ("glob", "*[a-c]x*"), ("glob", "é?x*"), ("glob", "?" * (I.SHORT + 1)), ("regex", "(")):
+        assert I.describe_pattern(kind, pattern)[3] is None
+    names = ["Cust7-12.LOW", "cust007-3.low", "cust17-3.low", "CU\u017fT7-1.low", "cust7-1.low\n", "cust7-12\u0663.low", "cust7-" + "1" * I.SHORT + ".low", "x-3.lo"]
+    table = table_of(spark, [("regex", "^cust0*7-[0-9]+[.](low|high)$"), ("regex", "[.]LO.?$"), ("glob", "*7-?*.l*w"), ("glob", "X-?.??"), ("regex", "(st|x)+\\d*-")])
+    expected = set()
+    for row in table.collect():
+        for name in names:
+            if fnmatch.fnmatchcase(name.lower(), row["pattern"].lower()) if row["match_type"] == "glob" else re.search(row["pattern"], name, re.I):
+                expected.add((name, row["id"]))
+    found = [(r["name"], r["rule_id"]) for r in K.rule_matches(files(spark, *names), table, "table").collect()]
+    assert sorted(found) == sorted(expected)
+
+
+def test_sparing_steps_leave_no_shuffle_files(spark):
+    import time
+
+    from lakeledger.session import cut_lineage
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        return sum(f.startswith("shuffle_") for top in disk.localDirsString() for _, _, found in os.walk(top) for f in found)
+
+    rows = spark.range(1000).selectExpr("id % 100 AS k").groupBy("k").count()
+    before = shuffled()
+    step = cut_lineage(rows, sparing=True)
+    assert len(step.collect()) == 100
+    deadline = time.time() + 20
+    while shuffled() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert shuffled() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def _left(spark, run):
+    """What ``run`` returns collected, and the rows of the tables that it leaves in the checkpoint folder."""
+    from lakeledger.session import checkpoint_folder
+
+    top = checkpoint_folder(spark).removeprefix("file:")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    result = run()
+    left = [f"{top}/{x}" for x in set(os.listdir(top)) - before]
+    return result.collect(), sum(spark.read.parquet(x).count() for x in left)
+
+
+def test_counted_hits_leave_a_row_per_pattern_on_disk(spark):
+    df = files(spark, *(f"Cust{i}-{i}.low" for i in range(300, 500)))
+    table = table_of(spark, [("glob", f"cust{i}-*") for i in range(300, 500)] + [("regex", f"^cust0*{i}-[0-9]+[.]") for i in range(300, 400)])
+    table = table.withColumn("enabled", F.lit(True)).withColumn("priority", F.lit(0))
+    found, rows = _left(spark, lambda: K.rule_matches(df, table, "table", counted=True))
+    assert len(found) == 300 and all(r["n_files"] == 1 for r in found)
+    assert rows == 300 + 1          # and that of the only extension
