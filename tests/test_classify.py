@@ -343,3 +343,13 @@ def test_counted_hits_leave_a_row_per_pattern_on_disk(spark):
     found, rows = _left(spark, lambda: K.rule_matches(df, table, "table", counted=True))
     assert len(found) == 300 and all(r["n_files"] == 1 for r in found)
     assert rows == 300 + 1          # and that of the only extension
+
+
+def test_best_rules_leave_a_row_per_name_on_disk(spark):
+    df = files(spark, *(f"Cust{i}-{i}.low" for i in range(300, 500)), "a.x7", "b")
+    table = table_of(spark, [("glob", f"cust{i}-*") for i in range(300, 500)] + [("regex", f"^cust0*{i}-[0-9]+[.]") for i in range(300, 400)]
+                     + [("extension", f".x{i}") for i in range(50)])
+    table = table.withColumn("enabled", F.lit(True)).withColumn("priority", F.lit(0))
+    found, rows = _left(spark, lambda: K.classify(df, table, "table"))
+    assert {r["name"]: r["rule_name"] for r in found} == {**{f"Cust{i}-{i}.low": f"r{i - 300}" for i in range(300, 500)}, "a.x7": "r307", "b": None}
+    assert rows == 200 + 1          # the best rule of each name, and of the only extension with files and a rule
