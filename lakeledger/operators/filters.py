@@ -97,7 +97,8 @@ def exclude_glob_table(files: DataFrame, globs: DataFrame) -> DataFrame:
     """Files whose path and name match none of a table of globs (column ``pattern``); globs meet texts on their rarest piece (``rule_index``)."""
     rules = globs.filter(F.col("pattern").isNotNull()).select(F.struct(F.lit("glob").alias("type"), F.lower("pattern").alias("pattern")).alias("_match"))
     texts = files.select(F.explode(F.array("path", "name")).alias("name")).filter(F.col("name").isNotNull()).distinct()
-    matched = cut_lineage(name_matches(cut_lineage(texts), rules).select("name").distinct())
+    parts = name_matches(cut_lineage(texts), rules.distinct(), lambda pairs: pairs.select("name").distinct())
+    matched = cut_lineage(reduce(DataFrame.unionByName, parts).distinct())
     kept = files.join(matched, "name", "left_anti")
     return kept.join(matched.withColumnRenamed("name", "path"), "path", "left_anti").select(*files.columns)
 
